@@ -45,37 +45,50 @@ def word_spans(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of the bytes in each span.
+_K = 0x5851F42D4C957F2D
+_powers: dict[str, np.ndarray] = {}
 
-    Differences of prefix sums of ``table[byte] * K**position`` are shifted back to
-    position zero by the modular inverse of K, and then mixed with the length.
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """K**i and K**-i modulo 2**64 for i up to n."""
+    if len(_powers.get("up", ())) <= n:
+        for name, k in (("up", _K), ("down", pow(_K, -1, 1 << 64))):
+            p = np.full(2 * n + 2, k, np.uint64)
+            p[0] = 1
+            _powers[name] = np.cumprod(p)
+    return _powers["up"], _powers["down"]
+
+
+class Fingerprints:
+    """64-bit fingerprints of any spans of a symbol array (uint64).
+
+    Differences of prefix sums of ``symbol * K**position`` are shifted back to position
+    zero by the inverse of K, and mixed with the span's length.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    k = 0x5851F42D4C957F2D | 1
-    power = np.full(len(flat), k, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * power)))
-    inverse = np.full(len(flat), pow(k, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.cumprod(inverse)
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * _MIX)
-
-
-def gram_hashes(symbols: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit fingerprint of every run of ``n`` consecutive symbols (uint64)."""
-    count = len(symbols) - n + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
-    k = 0xD1342543DE82EF95
-    total = np.zeros(count, np.uint64)
-    for i in range(n):
-        total *= np.uint64(k)
-        total += symbols[i : i + count]
-    return mix(total)
+
+    def __init__(self, symbols: np.ndarray):
+        up, self._down = _power(len(symbols))
+        self._sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(symbols * up[: len(symbols)], out=self._sums[1:])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * _MIX)
+
+    def grams(self, n: int) -> np.ndarray:
+        """Of every run of n symbols."""
+        count = len(self._sums) - n
+        if count <= 0:
+            return np.zeros(0, np.uint64)
+        raw = self._sums[n:] - self._sums[:-n]
+        raw *= self._down[:count]
+        raw += np.uint64(n * int(_MIX) % (1 << 64))
+        return mix(raw)
+
+
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each word."""
+    return Fingerprints(_BYTE[flat]).spans(starts, ends)
 
 
 def byte_symbols(flat: np.ndarray) -> np.ndarray:
