@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, substrings, suffixes
+from . import bpe, covertree, egojoin, mixing, simhash, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = covertree.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = covertree.top_k(vectors.filter("id % 100 = 0"), vectors, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,12 +58,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
+    "op3_topk": op3_topk,
     "op4_suffix": op4_suffix,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_embeddings": op10_embeddings,
 }
 
 #: Where SQL can't express a query or would be too slow on whole tables, there is none; tests/llm has brute-force versions.
