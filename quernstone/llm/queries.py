@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, egojoin, mixing, simhash, substrings, suffixes
+from . import bpe, covertree, egojoin, kneserney, mixing, simhash, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = kneserney.score(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", kneserney.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.drop_repeated_words(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -63,6 +69,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_substring": op2_substring,
     "op3_topk": op3_topk,
     "op4_suffix": op4_suffix,
