@@ -1,0 +1,44 @@
+"""Packing whole rows into blocks that are dealt out once and read by several steps."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+#: Bytes of text in a block.
+BLOCK = 1 << 20
+
+
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """Rows (block, rows array<struct of all columns>) of about BLOCK bytes of text, dealt out by block."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = docs.columns.index(text)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash or repeat
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = np.array([16 + len(t.as_buffer() or b"") for t in batch.column(at).cast(pa.binary())], np.int64)
+            which = np.cumsum(size) // BLOCK
+            cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), batch.num_rows]
+            rows = pa.StructArray.from_arrays(batch.columns, names)
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([task << 32 | made]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows.slice(a, b - a))], ["block", "rows"]
+                    )
+                    made += 1
+
+    row = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema)])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row))])
+    return docs.mapInArrow(pack, schema).repartition(n, "block")
+
+
+def columns_of(rows: pa.ListScalar) -> list[pa.Array]:
+    """The columns of one block's rows."""
+    return rows.values.flatten()

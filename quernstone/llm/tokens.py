@@ -85,6 +85,12 @@ class Fingerprints:
         raw += np.uint64(n * int(_MIX) % (1 << 64))
         return mix(raw)
 
+    def without_each(self) -> np.ndarray:
+        """Of all symbols but one, for each one left out."""
+        n = len(self._sums) - 1
+        raw = self._sums[:-1] + (self._sums[-1] - self._sums[1:]) * self._down[1]
+        return mix(raw + np.uint64((n - 1) * int(_MIX) % (1 << 64)))
+
 
 def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint of each word."""
