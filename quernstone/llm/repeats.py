@@ -11,7 +11,7 @@ exchanged, so they are found through anchors:
 2. Blocks send the fingerprints of their distinct anchors, four bytes each and a count of
    the contexts, by ranges of fingerprints, and get back which occur elsewhere.
 3. The suffixes at shared anchors go, with the few symbols before them, to groups by that
-   prefix.  A prefix with very many contexts would make a large group: its suffixes are
+   prefix, for which its 64-bit fingerprint stands in the sort keys.  A prefix with very many contexts would make a large group: its suffixes are
    sent once for each window instead, by the whole window.  Equal contexts within a block
    are sent once, for the smallest id, so a passage found everywhere costs a row a block.
 4. A group's ``solve`` puts its suffixes in order with their common prefix lengths (a
@@ -159,19 +159,20 @@ class Block:
         return (self.symbols >> np.uint64(32)).astype(">u4") if self.plan.words else self.flat
 
     def anchor_keys(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sort keys (the suffix, then the symbols before it, nearest first), right and left lengths."""
-        n, w = self.plan.n, self.plan.offsets
+        """Sort keys (the anchor's fingerprint, the symbols after it, those before it, nearest first), right and left lengths."""
+        n, k, w = self.plan.n, self.plan.k, self.plan.offsets
         place = self.first[entries]
         at, left, right = self.at[place], self.left[place], self.right[place]
         codes = self.codes()
-        key = np.zeros((len(at), n + w - 1), codes.dtype)
-        step = np.arange(n)
-        ok = step < right[:, None]
-        key[:, :n][ok] = codes[(at[:, None] + step)[ok]]
+        after, before = (np.zeros((len(at), w - 1), codes.dtype) for _ in range(2))
         step = np.arange(w - 1)
+        ok = k + step < right[:, None]
+        after[ok] = codes[(at[:, None] + k + step)[ok]]
         ok = step < left[:, None]
-        key[:, n:][ok] = codes[(at[:, None] - 1 - step)[ok]]
-        return key, right, left
+        before[ok] = codes[(at[:, None] - 1 - step)[ok]]
+        gram = self.grams[self.gram_of[entries]].astype(">u8")
+        parts = [x.view(np.uint8).reshape(len(at), -1) for x in (gram, after, before)]
+        return np.concatenate(parts, axis=1), right, left
 
     def windows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry and offset of every window around these entries' first anchors."""
@@ -221,8 +222,8 @@ def marks(lcp: np.ndarray, right: np.ndarray, left: np.ndarray, before: np.ndarr
     return mask
 
 
-#: A group's rows -> (order, common prefix lengths in symbols with the one before, sort keys in order).
-Solve = Callable[[pd.DataFrame, Plan], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: A group's rows and the bytes of a sort key -> (order, common prefix lengths with the one before, sort keys in order).
+Solve = Callable[[pd.DataFrame, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 #: Sorts the keys of one block's part of a group -> (order, columns to send).
 Code = Callable[[np.ndarray], tuple[np.ndarray, dict[str, bytes]]]
 
@@ -268,11 +269,11 @@ def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable
 
     def send(batches):
         for row, b in rows_of(batches):
-            state = np.frombuffer(b"".join(x["state"] for x in row["states"]), np.uint8)[b.gram_of]
+            state = np.frombuffer(b"".join(x["state"] for x in row["states"] or []), np.uint8)[b.gram_of]
             got: dict[str, list] = {name.split()[0]: [] for name in _SENT.split(", ")}
 
             def put(bucket, kind, key, right, left, entries, offsets):
-                order, coded = code(np.ascontiguousarray(key).view(np.uint8).reshape(len(key), -1))
+                order, coded = code(key)
                 values = {
                     "bucket": bucket, "kind": kind, "block": row["block"], **coded,
                     "rights": right[order].astype(np.uint8).tobytes(), "lefts": left[order].astype(np.uint8).tobytes(),
@@ -306,7 +307,7 @@ def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable
                     for name in ("head", "body", "rights", "lefts", "ids"):
                         got[name].append(b"")
                 entry, offset, start, prints = entry[~here], offset[~here], start[~here], prints[~here]
-                keys = b.codes()[start[:, None] + np.arange(plan.n)]
+                keys = b.codes()[start[:, None] + np.arange(plan.n)].view(np.uint8).reshape(len(start), -1)
                 for bucket, i, j in b.ranges(prints, bits):
                     put(bucket, 1, keys[i:j], np.full(j - i, plan.n), np.zeros(j - i), entry[i:j], offset[i:j])
             if got["bucket"]:
@@ -320,19 +321,23 @@ def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable
             masks = [(np.uint64(1) << np.frombuffer(x, np.uint8).astype(np.uint64)).tobytes() for x in rows.offs]
             return pd.DataFrame({"block": rows.block, "entries": rows.refs, "masks": masks})
         sizes = np.array([len(x) for x in rows.rights])
-        order, lcp, keys = solve(rows, plan)
+        whole_window, w, k = bool(rows.kind.iloc[0]), plan.offsets, plan.k
+        order, lcp, keys = solve(rows, plan.n * plan.width if whole_window else 8 + 2 * (w - 1) * plan.width)
         right, left, ids = whole("rights", np.uint8)[order], whole("lefts", np.uint8)[order], whole("ids", np.int64)[order]
-        if rows.kind.iloc[0]:
-            mask = marks(lcp, right, left, keys[:, plan.n :], ids, plan.n, plan.n) << whole("offs", np.uint8)[order].astype(np.uint64)
+        if whole_window:
+            lcp, before, k = lcp // plan.width, np.zeros((len(ids), 0)), plan.n
         else:
-            mask = marks(lcp, right, left, keys[:, plan.n :], ids, plan.n, plan.k)
+            lcp = np.where(lcp < 8, 0, k + (lcp - 8) // plan.width)
+            before = np.ascontiguousarray(keys[:, keys.shape[1] - (w - 1) * plan.width :]).view(">u4" if plan.words else np.uint8)
+        mask = marks(np.minimum(lcp, plan.n), right, left, before, ids, plan.n, k) << whole("offs", np.uint8)[order].astype(np.uint64)
         back = np.zeros(len(mask), np.uint64)
         back[order] = mask
         refs, cuts = whole("refs", np.uint32), np.cumsum(sizes)[:-1]
         out = [(b, r[m > 0].tobytes(), m[m > 0].tobytes()) for b, r, m in zip(rows.block, np.split(refs, cuts), np.split(back, cuts)) if m.any()]
         return pd.DataFrame(out, columns=columns)
 
-    asked = blocks.join(answers.hint("shuffle_hash"), "block")
+    # Left joins: an inner one would filter the blocks below their exchange, which then could not be used again.
+    asked = blocks.join(answers.hint("shuffle_hash"), "block", "left")
     sent = asked.mapInArrow(send, _SENT)
     found = sent.groupBy("kind", "bucket").applyInPandas(group, "block long, entries binary, masks binary")
     found = found.groupBy("block").agg(F.collect_list(F.struct("entries", "masks")).alias("marks"))

@@ -22,18 +22,16 @@ from .repeats import HOT, Block, Plan, find
 
 
 def _code(keys: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
-    order = np.arange(len(keys))
-    return order, {"head": b"", "body": keys.tobytes()}
+    return np.arange(len(keys)), {"head": b"", "body": keys.tobytes()}
 
 
-def _tree(rows: pd.DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The group's suffixes in order, with the depth at which each leaves the one before."""
-    size = np.array([len(x) for x in rows.rights])
-    keys = np.concatenate([np.frombuffer(x, ">u4").reshape(s, -1) for x, s in zip(rows.body, size)])
-    order = np.lexsort(keys[:, plan.n - 1 :: -1].T if plan.n > 1 else keys[:, :1].T)
+def _tree(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The group's suffixes in order, with the depth (in bytes) at which each leaves the one before."""
+    keys = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in rows.body])
+    order = np.lexsort(np.ascontiguousarray(keys).view(">u4").T[::-1])
     keys = keys[order]
-    differ = keys[1:, : plan.n] != keys[:-1, : plan.n]
-    depth = np.where(differ.any(axis=1), differ.argmax(axis=1), plan.n)
+    differ = keys[1:] != keys[:-1]
+    depth = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     return order, np.concatenate(([0], depth)), keys
 
 

@@ -116,8 +116,7 @@ class LoserTree:
         return order_run, order_at, lcp
 
 
-def _merge(rows: pd.DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    width = plan.n + (0 if rows.kind.iloc[0] else plan.offsets - 1)
+def _merge(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, runs, shares = [], [], []
     for head, body in zip(rows["head"], rows["body"]):
         k, s = unfolded(head, body, width)
@@ -128,7 +127,7 @@ def _merge(rows: pd.DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.n
     run, at, lcp = LoserTree(runs, shares).merged()
     base = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
     order = base[np.array(run, np.int64)] + np.array(at, np.int64)
-    return order, np.minimum(np.array(lcp, np.int64), plan.n), np.concatenate(keys)[order]
+    return order, np.array(lcp, np.int64), np.concatenate(keys)[order]
 
 
 def _finish(block: Block, ids: list, removed: np.ndarray) -> pa.RecordBatch:
@@ -147,5 +146,5 @@ def _finish(block: Block, ids: list, removed: np.ndarray) -> pa.RecordBatch:
 
 def drop_repeated_bytes(docs: DataFrame, n: int = 50, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept) without the bytes of repeated n-byte windows."""
-    plan = Plan(n, max(1, n * 32 // 50), False)
+    plan = Plan(n, max(1, n * 30 // 50), False)
     return find(docs, plan, front_coded, _merge, _finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary", key, text, hot)
