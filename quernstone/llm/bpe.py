@@ -30,7 +30,7 @@ PRETOKEN = (
 _BITS = 20  # of a symbol id in a pair key
 _NONE = np.int64(1 << 40)
 #: Pre-tokens cached in one worker; the cache starts anew beyond that.
-CACHE = 800_000
+CACHE = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -206,8 +206,8 @@ class ByteBPE:
         def bpe_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             vocab = _vocabulary(raw.value)
             for batch in batches:
-                out = [x for part in _slices(batch) for x in vocab.encode([t or "" for t in part])]
-                yield pd.Series(out, dtype=object)
+                for part in _slices(batch):
+                    yield pd.Series(vocab.encode([t or "" for t in part]), dtype=object)
 
         return bpe_encode(text)
 
@@ -223,12 +223,28 @@ class ByteBPE:
 
         return bpe_decode(ids)
 
+    def round_trip(self, text: Column | str) -> Column:
+        """Struct (ids, decoded): the ids of a text column and the text decoded from them, in one worker."""
+        raw = self._raw
+
+        @F.pandas_udf("struct<ids binary, decoded string>")
+        def bpe_round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            vocab = _vocabulary(raw.value)
+            for batch in batches:
+                for part in _slices(batch):
+                    ids = vocab.encode([t or "" for t in part])
+                    yield pd.DataFrame({"ids": ids, "decoded": [vocab.decode(x) for x in ids]})
+
+        return bpe_round_trip(text)
+
 
 def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with a column of packed ids and, if named, one of the text decoded from them."""
     codec = ByteBPE(docs.sparkSession, path)
-    out = docs.withColumn(ids, codec.encode(F.col(text)))
-    return out if decoded is None else out.withColumn(decoded, codec.decode(F.col(ids)))
+    if decoded is None:
+        return docs.withColumn(ids, codec.encode(F.col(text)))
+    both = docs.select(*[docs[c] for c in docs.columns], codec.round_trip(F.col(text)).alias("_bpe"))
+    return both.withColumn(ids, F.col("_bpe.ids")).withColumn(decoded, F.col("_bpe.decoded")).drop("_bpe")
 
 
 def n_tokens(ids: Column | str) -> Column:
