@@ -1,0 +1 @@
+"""Quernstone: evidence corpora, retrieval and time series on PySpark."""
