@@ -5,7 +5,8 @@ the same run starts in a document with a smaller id.  The windows are too many t
 exchanged, so they are found through anchors:
 
 1. Texts are packed into blocks and dealt out by block once; all later steps read that
-   exchange.  In each window, the ``k``-gram with the smallest fingerprint is its anchor
+   exchange.  Whole texts that a smaller id has too lose everything and are left out of
+   what follows.  In each window of the others, the ``k``-gram with the smallest fingerprint is its anchor
    (the leftmost, if equal).  Equal windows have their anchors at the same place, so an
    anchor that occurs in one context only rules out all of its windows.
 2. Blocks send the fingerprints of their distinct anchors, four bytes each and a count of
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +95,9 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
 class Block:
     """Symbols, anchors and distinct contexts of one block."""
 
-    def __init__(self, ids: list, texts: list[bytes], plan: Plan):
-        self.plan, self.texts = plan, texts
+    def __init__(self, ids: list, texts: list[bytes], plan: Plan, copies: list[int] | None = None):
+        """``copies``: rows whose whole text a smaller id has."""
+        self.plan, self.texts, self.copies = plan, texts, copies or []
         self.flat, begins = flatten(texts)
         if plan.words:
             self.starts, self.ends = word_spans(self.flat)
@@ -105,6 +108,7 @@ class Block:
             self.symbols = byte_symbols(self.flat)
             self.lows, self.highs = begins[:-1], begins[1:] - 1
         known = np.array([i is not None for i in ids], bool)
+        known[self.copies] = False
         self.ids = np.array([i if i is not None else 0 for i in ids], np.int64)
         self._find(known)
 
@@ -197,7 +201,11 @@ class Block:
             start = np.unique(self.at[hit] - o)
             edge[start] += 1
             edge[start + n] -= 1
-        return np.cumsum(edge)[: len(self.symbols)] > 0
+        gone = np.cumsum(edge)[: len(self.symbols)] > 0
+        for row in self.copies:
+            if self.highs[row] - self.lows[row] >= n:
+                gone[self.lows[row] : self.highs[row]] = True
+        return gone
 
 
 def marks(lcp: np.ndarray, right: np.ndarray, left: np.ndarray, before: np.ndarray, ids: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -222,6 +230,23 @@ def marks(lcp: np.ndarray, right: np.ndarray, left: np.ndarray, before: np.ndarr
     return mask
 
 
+def _copies(blocks: DataFrame) -> DataFrame:
+    """By block, the rows whose whole text a smaller id has."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts = batch.column(2)[i].as_py()
+                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), np.int64).reshape(-1, 2)
+                block = pa.array([batch.column(0)[i].as_py()] * len(texts), pa.int64())
+                ids = pa.array(batch.column(1)[i].as_py(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), ids, block, pa.array(range(len(texts)), pa.int32())], ["h1", "h2", "id", "block", "row"])
+
+    rows = blocks.mapInArrow(hashes, "h1 long, h2 long, id long, block long, row int")
+    least = rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(least, ["h1", "h2"]).filter("id > least").groupBy("block").agg(F.collect_list("row").alias("copies"))
+
+
 #: A group's rows and the bytes of a sort key -> (order, common prefix lengths with the one before, sort keys in order).
 Solve = Callable[[pd.DataFrame, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 #: Sorts the keys of one block's part of a group -> (order, columns to send).
@@ -234,13 +259,15 @@ def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable
     """All documents with what ``finish(block, removed)`` makes of them."""
     spark = docs.sparkSession
     bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    blocks = packed(docs, key, text)
+    dealt = packed(docs, key, text)
+    # Left joins: an inner one would filter the blocks below their exchange, which then could not be used again.
+    blocks = dealt.join(_copies(dealt).hint("shuffle_hash"), "block", "left")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                yield row, Block(row["ids"], row["texts"], plan)
+                yield row, Block(row["ids"], row["texts"], plan, row["copies"])
 
     def offer(batches):
         for row, b in rows_of(batches):
@@ -336,7 +363,6 @@ def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable
         out = [(b, r[m > 0].tobytes(), m[m > 0].tobytes()) for b, r, m in zip(rows.block, np.split(refs, cuts), np.split(back, cuts)) if m.any()]
         return pd.DataFrame(out, columns=columns)
 
-    # Left joins: an inner one would filter the blocks below their exchange, which then could not be used again.
     asked = blocks.join(answers.hint("shuffle_hash"), "block", "left")
     sent = asked.mapInArrow(send, _SENT)
     found = sent.groupBy("kind", "bucket").applyInPandas(group, "block long, entries binary, masks binary")

@@ -21,9 +21,15 @@ from pyspark.sql import DataFrame
 from .repeats import HOT, Block, Plan, find
 
 
+def _words(keys: np.ndarray) -> np.ndarray:
+    """Rows of bytes as big-endian 8-byte words, padded with zeros at the end."""
+    pad = -keys.shape[1] % 8
+    return np.ascontiguousarray(np.pad(keys, ((0, 0), (0, pad))) if pad else keys).view(">u8").astype(np.uint64)
+
+
 def front_coded(keys: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
     """Rows of bytes -> their order, shared prefix lengths (head) and remaining bytes (body)."""
-    order = np.lexsort(keys.T[::-1]) if keys.shape[1] % 8 else _order(keys)
+    order = np.lexsort(_words(keys).T[::-1])
     keys = keys[order]
     shared = np.zeros(len(keys), np.int64)
     differ = keys[1:] != keys[:-1]
@@ -32,11 +38,6 @@ def front_coded(keys: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
     return order, {"head": shared.astype(np.uint8).tobytes(), "body": keys[rest].tobytes()}
 
 
-def _order(keys: np.ndarray) -> np.ndarray:
-    words = np.ascontiguousarray(keys).view(">u8")
-    return np.lexsort(words.T[::-1])
-
-
 def unfolded(head: bytes, body: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a front-coded run, and their shared prefix lengths."""
     shared = np.frombuffer(head, np.uint8).astype(np.int64)
@@ -46,39 +47,35 @@ def unfolded(head: bytes, body: bytes, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 class LoserTree:
-    """Merges sorted runs of equally long byte strings.
+    """Merges sorted runs of equally long strings, each given as a list of 8-byte words.
 
     A loser keeps the length of the prefix that it shares with the string that beat it.
     Of two candidates, the one that shares more with the last winner is smaller; only if
-    they share equally much are they compared, from that byte on.
+    they share equally much are they compared, from the word on in which that prefix ends.
     """
 
-    def __init__(self, runs: list[list[bytes]], shared: list[list[int]]):
-        self.runs, self.shared = runs, shared
-        self.size = 1 << max(0, (len(runs) - 1).bit_length())
-        self.width = max((len(r[0]) for r in runs if r), default=0)
+    def __init__(self, runs: list[list[list[int]]], shared: list[list[int]], width: int):
+        self.runs, self.shared, self.width = runs, shared, width
 
     def merged(self) -> tuple[list[int], list[int], list[int]]:
         """Run and place of each string in order, and the prefix it shares with the one before."""
-        size, width, runs, shared = self.size, self.width, self.runs, self.shared
+        runs, shared, width = self.runs, self.shared, self.width
+        size = 1 << max(0, (len(runs) - 1).bit_length())
+        last = -(-width // 8)
+        end = [1 << 64] * last  # a run that has ended: above every string
         at = [0] * size
         loser, loser_shares = [-1] * size, [0] * size
-        head: list[bytes | None] = [runs[r][0] if r < len(runs) and runs[r] else None for r in range(size)]
-
-        def play(r: int, rs: int, s: int, ss: int) -> tuple[int, int, int, int]:
-            """Winner and its shared length, loser and the length that it shares with the winner."""
-            x, y = head[r], head[s]
-            if y is None:
-                return r, rs, s, 0
-            if x is None:
-                return s, ss, r, 0
-            if rs > ss:
-                return r, rs, s, ss
-            if ss > rs:
-                return s, ss, r, rs
-            a, b = int.from_bytes(x[rs:]), int.from_bytes(y[rs:])
-            same = width - (((a ^ b).bit_length() + 7) >> 3)
-            return (r, rs, s, same) if (a, r) <= (b, s) else (s, ss, r, same)
+        head = [runs[r][0] if r < len(runs) and runs[r] else end for r in range(size)]
+
+        def meet(x: list[int], y: list[int], known: int) -> tuple[bool, int]:
+            """Whether x is not above y, and the prefix they share, given that they share ``known`` bytes."""
+            i = known >> 3
+            while i < last:
+                a, b = x[i], y[i]
+                if a != b:
+                    return a < b, (i << 3) + 8 - (((a ^ b).bit_length() + 7) >> 3)
+                i += 1
+            return True, width
 
         level = [(r, 0) for r in range(size)]
         node = size
@@ -86,32 +83,37 @@ class LoserTree:
             node >>= 1
             above = []
             for i in range(0, len(level), 2):
-                w, ws, x, xs = play(*level[i], *level[i + 1])
-                loser[node + i // 2], loser_shares[node + i // 2] = x, xs
-                above.append((w, ws))
+                (r, rs), (s, ss) = level[i], level[i + 1]
+                first, same = meet(head[r], head[s], 0)
+                w, x = (r, s) if first else (s, r)
+                loser[node + i // 2], loser_shares[node + i // 2] = x, max(0, same)
+                above.append((w, 0))
             level = above
         r, rs = level[0]
         order_run, order_at, lcp = [], [], []
-        while head[r] is not None:
+        while head[r] is not end:
             order_run.append(r)
             order_at.append(at[r])
             lcp.append(rs)
-            at[r] += 1
-            run = runs[r]
-            if at[r] < len(run):
-                head[r] = run[at[r]]
-                rs = shared[r][at[r]]
+            k = at[r] = at[r] + 1
+            if k < len(runs[r]):
+                x, rs = runs[r][k], shared[r][k]
             else:
-                head[r], rs = None, 0
+                x, rs = end, -1
+            head[r] = x
             node = (r + size) >> 1
             while node:
-                s, ss = loser[node], loser_shares[node]
-                x, y = head[r], head[s]
-                if y is not None and (x is None or ss > rs):
-                    loser[node], loser_shares[node] = r, rs
-                    r, rs = s, ss
-                elif y is not None and ss == rs:
-                    r, rs, loser[node], loser_shares[node] = play(r, rs, s, ss)
+                ss = loser_shares[node]
+                if ss > rs:
+                    loser_shares[node] = rs
+                    rs = ss
+                    r, loser[node] = loser[node], r
+                elif ss == rs:
+                    s = loser[node]
+                    first, same = meet(head[r], head[s], rs if rs > 0 else 0)
+                    loser_shares[node] = same
+                    if not first:
+                        r, loser[node] = s, r
                 node >>= 1
         return order_run, order_at, lcp
 
@@ -120,14 +122,13 @@ def _merge(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     keys, runs, shares = [], [], []
     for head, body in zip(rows["head"], rows["body"]):
         k, s = unfolded(head, body, width)
-        raw = k.tobytes()
         keys.append(k)
-        runs.append([raw[i : i + width] for i in range(0, len(raw), width)])
+        runs.append(_words(k).tolist())
         shares.append(s.tolist())
-    run, at, lcp = LoserTree(runs, shares).merged()
+    run, at, lcp = LoserTree(runs, shares, width).merged()
     base = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
     order = base[np.array(run, np.int64)] + np.array(at, np.int64)
-    return order, np.array(lcp, np.int64), np.concatenate(keys)[order]
+    return order, np.minimum(np.array(lcp, np.int64), width), np.concatenate(keys)[order]
 
 
 def _finish(block: Block, ids: list, removed: np.ndarray) -> pa.RecordBatch:
@@ -146,5 +147,5 @@ def _finish(block: Block, ids: list, removed: np.ndarray) -> pa.RecordBatch:
 
 def drop_repeated_bytes(docs: DataFrame, n: int = 50, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept) without the bytes of repeated n-byte windows."""
-    plan = Plan(n, max(1, n * 30 // 50), False)
+    plan = Plan(n, max(1, n * 24 // 50), False)
     return find(docs, plan, front_coded, _merge, _finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary", key, text, hot)
