@@ -18,15 +18,15 @@ def normalize_doi(doi: Column) -> Column:
     return _blank_to_null(F.regexp_replace(bare, "^/+|/+$", ""))
 
 
-@F.pandas_udf("string")
-def _fold(s: pd.Series) -> pd.Series:
+def fold_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks; there is no built-in for it."""
-    strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    return s.map(strip, na_action="ignore")
 
+    @F.pandas_udf("string")
+    def folded(s: pd.Series) -> pd.Series:
+        strip = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+        return s.map(strip, na_action="ignore")
 
-def fold_accents(c: Column) -> Column:
-    return _fold(c)
+    return folded(c)
 
 
 def normalize_title(title: Column) -> Column:

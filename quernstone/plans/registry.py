@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import corpora, relational, retrieval, series
+
+QUERIES = {**retrieval.QUERIES, **corpora.QUERIES, **series.QUERIES, **relational.QUERIES}
+SQL = {**retrieval.SQL, **corpora.SQL, **series.SQL, **relational.SQL}

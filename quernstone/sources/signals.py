@@ -27,7 +27,8 @@ def _arrays(df: DataFrame, payload: str, part: str, names: list[str]) -> DataFra
     """Rows of the arrays of one part of a JSON payload, side by side."""
     fields = ",".join(["time:array<string>", *[f"{n}:array<double>" for n in names]])
     rows = df.select(F.from_json(F.col(payload), f"{part} struct<{fields}>")[part].alias("p")).filter("p.time is not null")
-    return rows.select(F.explode(F.arrays_zip(*[F.col(f"p.{n}") for n in ("time", *names)])).alias("z")).select(*[F.col(f"z.{n}") for n in ("time", *names)])
+    filled = [F.coalesce(F.col(f"p.{n}"), F.array().cast("array<double>")).alias(n) for n in names]  # arrays can be absent
+    return rows.select(F.col("p.time").alias("time"), *filled).select(F.explode(F.arrays_zip("time", *names)).alias("z")).select(*[F.col(f"z.{n}") for n in ("time", *names)])
 
 
 def weather(df: DataFrame, payload: str = "payload") -> DataFrame:
