@@ -29,10 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import saved, unused
 
 #: Labelled texts of each class that the models are fitted on; longest letter run; Kneser-Ney discount.
-FIT_ROWS, ORDER, DISCOUNT = 4000, 6, 0.75
+FIT_ROWS, ORDER, DISCOUNT = 3000, 6, 0.75
 #: Share of a text's words that stand for its most toxic part.
 TOP = 0.01
 
@@ -84,25 +84,22 @@ class Counts:
 class Model:
     """The two letter models: by run length, counts of runs (toxic, ordinary, continuations) and of contexts."""
 
-    def __init__(self, table: pd.DataFrame):
-        """Rows (m, run, context, tail, toxic, n), one for each run and class; tail is the run without its first letter."""
+    def __init__(self, table: dict[str, np.ndarray]):
+        """Columns m, run, context, tail, toxic and ordinary, a row for each run; tail is the run without its first letter."""
         self.runs: dict[int, Counts] = {}
         self.contexts: dict[int, Counts] = {}
-        self.letters = max(2, table[table.m == 1].run.nunique())
+        self.letters = max(2, int((table["m"] == 1).sum()))
         self.cache: dict[str, float] = {}
         for m in range(1, ORDER + 1):
-            rows = table[table.m == m]
-            run, first, which = np.unique(rows.run.to_numpy(), return_index=True, return_inverse=True)
-            n, toxic = rows.n.to_numpy(float), rows.toxic.to_numpy() == 1
-            own = [np.bincount(which, n * (toxic == c), len(run)) for c in (True, False)]
+            here = table["m"] == m
+            run, own = table["run"][here], [table[c][here].astype(float) for c in ("toxic", "ordinary")]
             if m < ORDER:
-                longer = table[table.m == m + 1].drop_duplicates("run")
-                tails, ahead = np.unique(longer["tail"].to_numpy(), return_counts=True)
+                tails, ahead = np.unique(table["tail"][table["m"] == m + 1], return_counts=True)
                 pooled = np.maximum(Counts(tails, ahead[:, None]).of(run)[0], 1.0)
             else:
                 pooled = own[0] + own[1]
             self.runs[m] = Counts(run, np.column_stack((*own, pooled)))
-            context, which = np.unique(rows.context.to_numpy()[first], return_inverse=True)
+            context, which = np.unique(table["context"][here], return_inverse=True)
             add = lambda v: np.bincount(which, v, len(context))
             self.contexts[m] = Counts(context, np.column_stack((add(own[0]), add(own[1]), add(own[0] > 0), add(own[1] > 0), add(pooled), add(np.ones(len(run))))))
 
@@ -165,7 +162,7 @@ def _run_counts(rows: DataFrame) -> DataFrame:
                 found: Counter[str] = Counter()
                 for text in part.text:
                     found.update(words_of(text))
-                yield pd.DataFrame({"word": list(found), "toxic": int(toxic), "n": list(found.values())})
+                yield pd.DataFrame({"word": pd.Series(list(found), dtype=object), "toxic": int(toxic), "n": list(found.values())})
 
     def count_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,7 +176,8 @@ def _run_counts(rows: DataFrame) -> DataFrame:
 
     words = rows.mapInPandas(count_words, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
     runs = words.mapInPandas(count_runs, "m int, run long, context long, tail long, toxic int, n long")
-    return runs.groupBy("m", "run", "context", "tail", "toxic").agg(F.sum("n").alias("n"))
+    own = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
+    return runs.groupBy("m", "run", "context", "tail").agg(own(1).alias("toxic"), own(0).alias("ordinary"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -206,10 +204,11 @@ def score(
         constant = 1.0 if any(c == 1 for c, _ in seen) else 0.0
         value = F.lit(constant)
         return docs.withColumn("score", value).withColumn("predicted", (value >= threshold).cast("int"))
-    table = _run_counts(rows.filter("part <> 0")).toPandas()  # bounded by fit_rows
-    for name in ("run", "context", "tail"):
-        table[name] = table[name].to_numpy().view(np.uint64)
+    arrow = _run_counts(rows.filter("part <> 0")).toArrow()  # bounded by fit_rows
+    table = {name: arrow.column(name).to_numpy() for name in arrow.column_names}
+    table |= {name: table[name].view(np.uint64) for name in ("run", "context", "tail")}
     model = spark.sparkContext.broadcast(Model(table))
+    del arrow, table
 
     @F.pandas_udf("struct<whole double, top double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -229,6 +228,7 @@ def score(
     share = y.mean()
     shift = np.log(all_labels / (1 - all_labels)) - np.log(share / (1 - share)) if 0 < all_labels < 1 else 0.0
     bias = float(w[0] - slope @ mean + shift)
-    z = F.lit(bias) + F.col("_f.whole") * float(slope[0]) + F.col("_f.top") * float(slope[1])
-    out = docs.withColumn("_f", features(F.col(text))).withColumn("score", 1 / (1 + F.exp(-z))).drop("_f")
+    f = unused("features", docs.columns)
+    z = F.lit(bias) + F.col(f)["whole"] * float(slope[0]) + F.col(f)["top"] * float(slope[1])
+    out = docs.withColumn(f, features(F.col(text))).withColumn("score", 1 / (1 + F.exp(-z))).drop(f)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
