@@ -4,17 +4,19 @@ A line is removed if an earlier line (by document id, then line number) is the s
 one edit away: a character put in, taken out or changed.  Lines are compared without
 white space at either end; lines shorter than ``least`` characters are always kept.
 
-1. Blocks of documents send each distinct line once: its hash, its earliest place and
-   four keys.  Two lines one edit apart share the first or the last half of the shorter
-   one's length, so keys that only one line has rule that line out.
+1. Each distinct line is known by a hash, its earliest place and four keys.  Two lines one
+   edit apart share the first or the last half of the shorter one's length, so keys that
+   only one line has rule that line out.
 2. The other lines emit their neighbourhood: themselves and all variants with one
-   character deleted, as hashes.  Lines with the same variant by the same deleted place
-   differ in that character; a line that is another's variant lacks one character.  Per
-   variant the earliest line is found by an aggregation, never by forming pairs.
+   character deleted outside the shared half, as hashes.  Lines with the same variant by
+   the same deleted place differ in that character; a line that is another's variant
+   lacks one character.  Per variant the earliest line is found by an aggregation, never
+   by forming pairs.
 3. Each line's earliest partner is verified by edit distance; the earliest line stays.
 
-Defined results: a null text stays null; ids that are null come last; equal ids are in
-order of line number; a text whose lines all go becomes empty; judging is on the input.
+Defined results: a null text stays null; ids that are null come last; lines at the same
+number of rows that share an id are judged alike; a text whose lines all go becomes
+empty; judging is on the input.
 """
 
 from __future__ import annotations
@@ -28,41 +30,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import columns_of, packed
+from .store import written
 from .tokens import Fingerprints, mix
 
-#: Lines of fewer characters are never judged.
-LEAST = 12
+#: Lines of fewer characters are never judged.  Documents with shared halves up to which their list is broadcast.
+LEAST, BROADCAST = 12, 200_000
 
 _SPACE = " \t\n\v\f\r"
 
 
-def _lines(ids: list, texts: list, least: int) -> Iterator[tuple[int, int, str]]:
-    """(row, line number, line without white space at its ends) of all lines that are judged."""
-    for row, text in enumerate(texts):
-        if text is not None:
-            for number, line in enumerate(text.split("\n")):
-                line = line.strip(_SPACE)
-                if len(line) >= least:
-                    yield row, number, line
-
-
-def _distinct(ids: list, texts: list, least: int) -> dict[bytes, tuple[tuple, str, int, int]]:
-    """By 128-bit hash: (order, line, row, line number) of the earliest place in a block."""
-    found: dict[bytes, tuple[tuple, str, int, int]] = {}
-    for row, number, line in _lines(ids, texts, least):
-        digest = xxhash.xxh3_128_digest(line.encode())
-        order = (ids[row] is None, ids[row] or 0, number, row)
-        if digest not in found or order < found[digest][0]:
-            found[digest] = (order, line, row, number)
+def _judged(text: str | None, least: int) -> Iterator[tuple[int, str]]:
+    """(line number, line without white space at its ends) of the lines that are judged."""
+    for number, line in enumerate(text.split("\n") if text else ()):
+        line = line.strip(_SPACE)
+        if len(line) >= least:
+            yield number, line
+
+
+def _distinct(ids: list, texts: list, least: int) -> dict[bytes, tuple[tuple[bool, int, int], str]]:
+    """By 128-bit hash, the earliest place (late, id, number) and the line."""
+    found: dict[bytes, tuple[tuple[bool, int, int], str]] = {}
+    for id_, text in zip(ids, texts):
+        for number, line in _judged(text, least):
+            digest = xxhash.xxh3_128_digest(line.encode())
+            place = (id_ is None, id_ or 0, number)
+            if digest not in found or place < found[digest][0]:
+                found[digest] = (place, line)
     return found
 
 
 def _halves(line: str) -> list[int]:
-    """Keys of both halves, for this length and for one less."""
+    """Keys of the first and last half, for this length and for one less."""
     n, out = len(line), []
     for size in (n, n - 1):
-        for half, part in (("first", line[: size // 2]), ("last", line[len(line) - (size - size // 2) :])):
+        for half, part in (("first", line[: size // 2]), ("last", line[n - (size - size // 2) :])):
             out.append(xxhash.xxh64_intdigest(f"{size} {half} {part}".encode()) - (1 << 63))
     return out
 
@@ -75,95 +76,95 @@ def _variants(line: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((whole, prints.without_each())), np.arange(-1, len(code))
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``docs`` with the lines taken out of its text, and columns n_lines and n_removed."""
-    blocks = packed(docs, text)
-    key_at, text_at = docs.columns.index(key), docs.columns.index(text)
+def _first_hash(line: str) -> int:
+    return int.from_bytes(xxhash.xxh3_128_digest(line.encode())[:8], "little", signed=True)
+
 
-    def parts(batch: pa.RecordBatch, i: int) -> tuple[list[pa.Array], list, list]:
-        columns = columns_of(batch.column(1)[i])
-        return columns, columns[key_at].cast(pa.int64()).to_pylist(), columns[text_at].to_pylist()
+_PLACE = "late boolean, id long, number int, h1 long"
 
-    place = "late boolean, id long, number int, block long, ref int"
+
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """``docs`` with the lines taken out of its text, and columns n_lines and n_removed."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash with those used here
+    key_at, text_at = names[docs.columns.index(key)], names[docs.columns.index(text)]
+    rows = docs.toDF(*names).withColumn(key_at, F.col(key_at).cast("long"))
+    texts = rows.select(F.col(key_at).alias("id"), F.col(text_at).alias("text"))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                _, ids, texts = parts(batch, i)
-                found = _distinct(ids, texts, least)
-                digest = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-                orders = [v[0] for v in found.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([_halves(v[1]) for v in found.values()], pa.list_(pa.int64())),
-                        pa.array([o[0] for o in orders], pa.bool_()), pa.array([o[1] for o in orders], pa.int64()), pa.array([o[2] for o in orders], pa.int32()),
-                        pa.array([batch.column(0)[i].as_py()] * len(orders), pa.int64()), pa.array([o[3] for o in orders], pa.int32()),
-                    ],
-                    ["h1", "h2", "halves", "late", "id", "number", "block", "ref"],
-                )
-
-    offered = blocks.mapInArrow(offer, f"h1 long, h2 long, halves array<long>, {place}")
-    first = F.struct("late", "id", "number", "block", "ref")
-    distinct = offered.groupBy("h1", "h2").agg(F.min(first).alias("place"), F.first("halves").alias("halves"))
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.select(F.explode("halves").alias("half"), F.col("place.block").alias("block"), F.col("place.ref").alias("ref"), F.col("place.number").alias("number"), "h1")
-    keyed = keyed.repartition(n, "half")
+            found = _distinct(batch.column(0).to_pylist(), batch.column(1).to_pylist(), least)
+            digest = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            late, ids, numbers = zip(*[v[0] for v in found.values()]) if found else ((), (), ())
+            halves = pa.array([_halves(v[1]) for v in found.values()], pa.list_(pa.int64()))
+            columns = [pa.array(late, pa.bool_()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), halves]
+            yield pa.RecordBatch.from_arrays(columns, ["late", "id", "number", "h1", "h2", "halves"])
+
+    place = F.struct("late", "id", "number", "h1")
+    offered = texts.mapInArrow(offer, f"{_PLACE}, h2 long, halves array<long>")
+    distinct = offered.groupBy("h1", "h2").agg(F.min(F.struct("late", "id", "number")).alias("p"), F.first("halves").alias("halves"))
+    distinct = written(distinct.select("p.*", "h1", "halves"))
+
+    keyed = distinct.select(*[c.split()[0] for c in _PLACE.split(", ")], F.posexplode("halves").alias("which", "half"))
     shared = keyed.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
-    asked = keyed.join(shared, "half").select("block", "ref", "number").distinct()
-    asked = asked.groupBy("block").agg(F.collect_list(F.struct("ref", "number")).alias("asked"))
+    asked = keyed.join(shared, "half").groupBy("late", "id", "number", "h1").agg(F.collect_set("which").alias("which"))
+    asked = written(asked.groupBy("late", "id").agg(F.collect_list(F.struct("number", "h1", "which")).alias("asked")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                wanted = batch.column(2)[i].as_py()
-                if not wanted:
-                    continue
-                _, ids, texts = parts(batch, i)
-                block = batch.column(0)[i].as_py()
-                for w in wanted:
-                    row, number = w["ref"], w["number"]
-                    line = texts[row].split("\n")[number].strip(_SPACE)
+                id_, lines = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().split("\n")
+                for w in batch.column(2)[i].as_py():
+                    line = lines[w["number"]].strip(_SPACE) if w["number"] < len(lines) else ""
+                    if len(line) < least or _first_hash(line) != w["h1"]:
+                        continue  # the line of another row with this id
                     hashes, at = _variants(line)
-                    size = len(at)
-                    fill = lambda v, kind: pa.array([v], kind).take(pa.array(np.zeros(size, np.int64)))
-                    lines = pa.array([line] + [None] * (size - 1), pa.string())
+                    n, rest = len(line), (len(line) - 1) // 2
+                    open_ = at < 0
+                    if {0, 2} & set(w["which"]):
+                        open_ |= at >= rest
+                    if {1, 3} & set(w["which"]):
+                        open_ |= at <= n - (n - 1 - rest)
+                    hashes, at = hashes[open_], at[open_]
+                    fill = lambda v, kind: pa.repeat(pa.scalar(v, kind), len(at))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32)), fill(ids[row] is None, pa.bool_()), fill(ids[row] or 0, pa.int64()), fill(number, pa.int32()), fill(block, pa.int64()), fill(row, pa.int32()), lines],
-                        ["variant", "at", "late", "id", "number", "block", "ref", "line"],
+                        [pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32)), fill(id_ is None, pa.bool_()), fill(id_ or 0, pa.int64()), fill(w["number"], pa.int32()), fill(w["h1"], pa.int64()), pa.array([line] + [None] * (len(at) - 1), pa.string())],
+                        ["variant", "at", "late", "id", "number", "h1", "line"],
                     )
 
-    spread_rows = blocks.join(asked.hint("shuffle_hash"), "block", "left").mapInArrow(spread, f"variant long, at int, {place}, line string")
-    near = spread_rows.select("variant", "at", first.alias("place")).repartition(n, "variant")
-    changed = near.filter("at >= 0").groupBy("variant", "at").agg(F.min("place").alias("partner"))
-    by_length = near.groupBy("variant").agg(F.min(F.when(F.col("at") < 0, F.col("place"))).alias("shorter"), F.min(F.when(F.col("at") >= 0, F.col("place"))).alias("longer"))
-    earlier = near.join(changed, ["variant", "at"]).select("place", "partner")
-    lacking = near.join(by_length, "variant").select("place", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("shorter")).alias("partner"))
+    few = asked.count() <= BROADCAST
+    wanted = asked.select(F.when(~F.col("late"), F.col("id")).alias("of"), "asked")
+    met = texts.filter("text is not null").join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("of")))
+    near = written(met.select("id", "text", "asked").mapInArrow(spread, f"variant long, at int, {_PLACE}, line string"))
+    several = near.groupBy("variant").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("variant")
+    near_again = written(near.select("variant", "at", place.alias("place")).join(several, "variant"))
+    changed = near_again.filter("at >= 0").groupBy("variant", "at").agg(F.min("place").alias("partner"))
+    shorter, longer = (F.min(F.when(c, F.col("place"))) for c in (F.col("at") < 0, F.col("at") >= 0))
+    by_length = near_again.groupBy("variant").agg(shorter.alias("shorter"), longer.alias("longer"))
+    earlier = near_again.join(changed, ["variant", "at"]).select("place", "partner")
+    lacking = near_again.join(by_length, "variant").select("place", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("shorter")).alias("partner"))
     pairs = earlier.unionByName(lacking).filter("partner < place").groupBy("place").agg(F.min("partner").alias("partner"))
-    lines = spread_rows.filter("line is not null").select(first.alias("place"), "line")
+    lines = near.filter("line is not null").select(place.alias("place"), "line")
     pairs = pairs.join(lines, "place").join(lines.select(F.col("place").alias("partner"), F.col("line").alias("other")), "partner")
-    close = pairs.filter(F.levenshtein("line", "other", 1) >= 0).select(F.col("place.block").alias("block"), F.col("place.ref").alias("ref"), F.col("place.number").alias("number"))
-    kept = distinct.select(F.col("place.block").alias("block"), F.col("place.ref").alias("ref"), F.col("place.number").alias("number"))
-    kept = kept.join(close, ["block", "ref", "number"], "left_anti").groupBy("block").agg(F.collect_list(F.struct("ref", "number")).alias("kept"))
+    close = written(pairs.filter(F.levenshtein("line", "other", 1) >= 0).select("place.*"))
+
+    kept = distinct.select("late", "id", "number", "h1").join(close, ["late", "id", "number", "h1"], "left_anti")
+    kept = kept.groupBy("late", "id").agg(F.collect_list(F.struct("number", "h1")).alias("kept"))
+    kept = kept.select(F.when(~F.col("late"), F.col("id")).alias("of"), "kept")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                columns, ids, texts = parts(batch, i)
-                stay = batch.column(2)[i].values
-                pairs = set(zip(stay.field(0).to_pylist(), stay.field(1).to_pylist())) if stay is not None else set()
-                out, total, gone = [], [], []
-                for row, text in enumerate(texts):
-                    all_ = [] if text is None else text.split("\n")
-                    left = [x for k, x in enumerate(all_) if len(x.strip(_SPACE)) < least or (row, k) in pairs]
-                    out.append(None if text is None else "\n".join(left))
-                    total.append(len(all_))
-                    gone.append(len(all_) - len(left))
-                columns[text_at] = pa.array(out, pa.string())
-                names = [*(f"c{j}" for j in range(len(columns))), "n_lines", "n_removed"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names)
-
-    fields = [T.StructField(f"c{j}", f.dataType, True) for j, f in enumerate(docs.schema)]
-    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = blocks.join(kept.hint("shuffle_hash"), "block", "left").mapInArrow(rebuild, schema)
-    return out.toDF(*docs.columns, "n_lines", "n_removed")
+            out, total, gone = [], [], []
+            for value, stay in zip(batch.column(text_at).to_pylist(), batch.column("kept")):
+                stay = set(zip(*(c.to_pylist() for c in stay.values.flatten()))) if stay.is_valid else ()
+                all_ = [] if value is None else value.split("\n")
+                bare = [line.strip(_SPACE) for line in all_]
+                left = [x for k, (x, b) in enumerate(zip(all_, bare)) if len(b) < least or (k, _first_hash(b)) in stay]
+                out.append(None if value is None else "\n".join(left))
+                total.append(len(all_))
+                gone.append(len(all_) - len(left))
+            columns = {n: batch.column(n) for n in names} | {text_at: pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*columns, "n_lines", "n_removed"])
+
+    joined = rows.join(kept.hint("shuffle_hash"), F.col(key_at).eqNullSafe(F.col("of")), "left").drop("of")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return joined.mapInArrow(rebuild, schema).toDF(*docs.columns, "n_lines", "n_removed")
