@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import unused
+
 #: Fixed pattern of the byte-level pre-tokenizer; white space is Unicode's property.
 PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -233,7 +235,7 @@ class ByteBPE:
             for batch in batches:
                 for part in _slices(batch):
                     ids = vocab.encode([t or "" for t in part])
-                    yield pd.DataFrame({"ids": ids, "decoded": [vocab.decode(x) for x in ids]})
+                    yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([vocab.decode(x) for x in ids], dtype=object)})
 
         return bpe_round_trip(text)
 
@@ -243,8 +245,9 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     codec = ByteBPE(docs.sparkSession, path)
     if decoded is None:
         return docs.withColumn(ids, codec.encode(F.col(text)))
-    both = docs.select(*[docs[c] for c in docs.columns], codec.round_trip(F.col(text)).alias("_bpe"))
-    return both.withColumn(ids, F.col("_bpe.ids")).withColumn(decoded, F.col("_bpe.decoded")).drop("_bpe")
+    pair = unused("pair", docs.columns)
+    both = docs.withColumn(pair, codec.round_trip(F.col(text)))
+    return both.withColumns({ids: F.col(pair)["ids"], decoded: F.col(pair)["decoded"]}).drop(pair)
 
 
 def n_tokens(ids: Column | str) -> Column:
