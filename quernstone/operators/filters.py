@@ -10,20 +10,19 @@ from pyspark.sql import functions as F
 
 #: Filters that compare one column; year_min and year_max bound it.
 KEYS = ("source", "lang", "disease_or_condition", "study_design", "country", "evidence_level", "project_context", "journal")
-LEGACY_CONTEXT = {"gesica": "literev"}
 
 
-def where(docs: DataFrame, filters: dict | None, membership: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+def where(docs: DataFrame, filters: dict | None, membership: DataFrame | None = None, key: str = "doc_id", contexts: dict[str, str] | None = None) -> DataFrame:
     """Rows that pass the filters; blank values and unknown keys are ignored.
 
     ``scenario_type`` keeps the documents that ``membership`` (scenario_id, document_id)
-    links to that scenario.
+    links to that scenario.  ``contexts`` gives the current name of older project contexts.
     """
     given = {k: v for k, v in (filters or {}).items() if v is not None and str(v).strip() != ""}
     conditions: list[Column] = []
     for k, v in given.items():
         if k in KEYS and k in docs.columns:
-            conditions.append(F.col(k) == (LEGACY_CONTEXT.get(v, v) if k == "project_context" else v))
+            conditions.append(F.col(k) == ((contexts or {}).get(v, v) if k == "project_context" else v))
         elif k == "year_min" and "year" in docs.columns:
             conditions.append(F.col("year") >= int(v))
         elif k == "year_max" and "year" in docs.columns:

@@ -11,6 +11,8 @@ def test_filters(spark):
     links = spark.createDataFrame([("s", 1), ("s", 3), ("t", 2)], "scenario_id string, document_id long")
     ids = lambda f: sorted(r[0] for r in filters.where(docs, f, links).collect())
     assert ids({"scenario_type": "s"}) == [1, 3] and ids({"source": "a", "lang": ""}) == [1, 2] and ids(None) == [1, 2, 3]
+    named = docs.withColumn("project_context", F.lit("new"))
+    assert filters.where(named, {"project_context": "old"}, contexts={"old": "new"}).count() == 3
 
 
 def test_writes(spark):
