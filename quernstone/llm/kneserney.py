@@ -74,11 +74,15 @@ class Counts:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.uint64(0))
-        self.values = np.vstack((values[order], np.zeros((1, values.shape[1])))).astype(np.float32)
+        self.columns = np.vstack((values[order], np.zeros((1, values.shape[1])))).T.astype(np.float32).copy()
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key; the last row is all zeros."""
         at = np.searchsorted(self.keys[:-1], keys)
-        return self.values[np.where(self.keys[at] == keys, at, len(self.keys) - 1)].T.astype(np.float64)
+        return np.where(self.keys[at] == keys, at, len(self.keys) - 1)
+
+    def of(self, rows: np.ndarray, *columns: int) -> tuple[np.ndarray, ...]:
+        return tuple(self.columns[c][rows].astype(np.float64) for c in columns)
 
 
 class Model:
@@ -95,7 +99,8 @@ class Model:
             run, own = table["run"][here], [table[c][here].astype(float) for c in ("toxic", "ordinary")]
             if m < ORDER:
                 tails, ahead = np.unique(table["tail"][table["m"] == m + 1], return_counts=True)
-                pooled = np.maximum(Counts(tails, ahead[:, None]).of(run)[0], 1.0)
+                counts = Counts(tails, ahead[:, None])
+                pooled = np.maximum(counts.of(counts.rows(run), 0)[0], 1.0)
             else:
                 pooled = own[0] + own[1]
             self.runs[m] = Counts(run, np.column_stack((*own, pooled)))
@@ -106,37 +111,45 @@ class Model:
     def differences(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word as toxic, less that as ordinary."""
         out = np.zeros(len(words))
+        if not words:
+            return out
         shared = np.zeros(0)
         smooth = lambda n, kinds, total, below: np.where(
             total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * below) / np.maximum(total, 1.0), below
         )
         for m, owner, run, context, place, lower in letter_runs(words):
-            toxic, ordinary, pooled = self.runs[m].of(run)
-            n_toxic, n_ordinary, k_toxic, k_ordinary, n_pooled, k_pooled = self.contexts[m].of(context)
+            runs, contexts = self.runs[m], self.contexts[m]
+            r, c = runs.rows(run), contexts.rows(context)
             below = np.full(len(run), 1.0 / self.letters) if m == 1 else shared[lower]
-            shared = smooth(pooled, k_pooled, n_pooled, below)
-            # A letter is scored in the longest run that its word has for it.
-            longest = place == m - 1 if m < ORDER else np.ones(len(place), bool)
-            ratio = np.log(smooth(toxic, k_toxic, n_toxic, below)) - np.log(smooth(ordinary, k_ordinary, n_ordinary, below))
+            if m < ORDER:
+                shared = smooth(*runs.of(r, 2), *contexts.of(c, 5, 4), below)
             if m > 1:
-                out += np.bincount(owner, np.where(longest, ratio, 0.0), len(words))
+                # A letter is scored in the longest run that its word has for it.
+                if m < ORDER:
+                    longest = np.flatnonzero(place == m - 1)
+                    r, c, below, owner = r[longest], c[longest], below[longest], owner[longest]
+                toxic, ordinary = (smooth(*runs.of(r, k), *contexts.of(c, 2 + k, k), below) for k in (0, 1))
+                out += np.bincount(owner, np.log(toxic / ordinary), len(words))
         return out
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Differences by letter over the whole text, and by word over its most toxic part."""
-        words = words_of(text)
-        if not words:
-            return 0.0, 0.0
+    def features(self, texts: list[str | None]) -> list[tuple[float, float]]:
+        """Of each text, the differences by letter over the whole, and by word over its most toxic part."""
+        found = [words_of(t) for t in texts]
         cache = self.cache
-        if len(cache) > 500_000:
+        if len(cache) > 800_000:
             cache.clear()
-        fresh = list({w for w in words if w not in cache})
-        if fresh:
-            cache.update(zip(fresh, self.differences(fresh).tolist()))
-        values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-        top = max(1, int(len(values) * TOP))
-        letters = sum(map(len, words)) + len(words)
-        return float(values.sum() / letters), float(np.partition(values, len(values) - top)[-top:].mean())
+        fresh = list({w for words in found for w in words if w not in cache})
+        cache.update(zip(fresh, self.differences(fresh).tolist()))
+        out = []
+        for words in found:
+            if not words:
+                out.append((0.0, 0.0))
+                continue
+            values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+            top = max(1, int(len(values) * TOP))
+            letters = sum(map(len, words)) + len(words)
+            out.append((float(values.sum() / letters), float(np.partition(values, len(values) - top)[-top:].mean())))
+        return out
 
 
 def held_out(key: Column | str) -> Column:
@@ -213,7 +226,8 @@ def score(
     @F.pandas_udf("struct<whole double, top double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([model.value.features(t) for t in batch], columns=["whole", "top"])
+            for at in range(0, len(batch), 256):
+                yield pd.DataFrame(model.value.features(batch.iloc[at : at + 256].tolist()), columns=["whole", "top"])
 
     fitted = rows.filter("part = 0").select("toxic", features("text").alias("f")).select("toxic", "f.*").toPandas()
     if fitted.toxic.nunique() < 2:  # too few texts to set any aside
