@@ -53,17 +53,28 @@ _SPACE = re.compile(r"[ \t\r\n\f]+")
 def events(html: str) -> Iterator[tuple[str, str, str]]:
     """Balanced (kind, tag, text or attributes); kind is start, text or end."""
     open_: list[str] = []
+    depths: dict[str, list[int]] = {}  # where each tag is open, so that no step walks a deep stack
     at = 0
 
+    def push(tag: str) -> None:
+        depths.setdefault(tag, []).append(len(open_))
+        open_.append(tag)
+
+    def pop() -> str:
+        tag = open_.pop()
+        depths[tag].pop()
+        return tag
+
+    def nearest(tags) -> int:
+        """Depth of the innermost open element of these, -1 without one."""
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
+
     def close(tags, fence=FENCE) -> Iterator[tuple[str, str, str]]:
         """Ends the nearest open element of these, with all inside it, unless a fence comes first."""
-        for i in range(len(open_) - 1, -1, -1):
-            if open_[i] in tags:
-                while len(open_) > i:
-                    yield "end", open_.pop(), ""
-                return
-            if open_[i] in fence:
-                return
+        i = nearest(tags)
+        if i >= 0 and i >= nearest(fence):
+            while len(open_) > i:
+                yield "end", pop(), ""
 
     while at < len(html):
         m = _TAG.search(html, at)
@@ -77,54 +88,42 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and "p" not in open_:
+            if tag == "p" and not depths.get("p"):
                 yield "start", "p", ""
                 yield "end", "p", ""
             elif tag == "br":
                 yield "start", "br", ""
                 yield "end", "br", ""
-            elif tag in open_:
+            elif depths.get(tag):
                 yield from close({tag}, frozenset({"table", "td", "th"}) - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") else frozenset({"table"}) - {tag})
             continue
         if tag in ENDS_P:
             yield from close({"p"})
         if tag in CLOSES:
             tags, fence = CLOSES[tag]
-            while any(t in tags for t in open_):
+            while nearest(tags) >= 0:
                 held = len(open_)
                 yield from close(tags, frozenset(fence))
                 if len(open_) == held:
                     break
-        if tag in ("td", "th") and "table" in open_ and not _inside(open_, "tr"):
-            open_.append("tr")
+        if tag in ("td", "th") and nearest(("tr",)) < nearest(("table",)):
+            push("tr")
             yield "start", "tr", ""
-        if tag == "tr" and "table" not in open_ or tag in ("td", "th") and "table" not in open_:
-            pass  # stray rows and cells are rendered as blocks
         yield "start", tag, m[3]
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             yield "end", tag, ""
             continue
-        open_.append(tag)
+        push(tag)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(html, at)
             stop = end.start() if end else len(html)
             if stop > at:
                 yield "text", tag, html[at:stop]
             at = end.end() if end else len(html)
-            open_.pop()
+            pop()
             yield "end", tag, ""
     while open_:
-        yield "end", open_.pop(), ""
-
-
-def _inside(open_: list[str], tag: str) -> bool:
-    """Whether a tag is open within the innermost table."""
-    for t in reversed(open_):
-        if t == tag:
-            return True
-        if t == "table":
-            return False
-    return False
+        yield "end", pop(), ""
 
 
 class Writer:
@@ -132,15 +131,28 @@ class Writer:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the line that is being written
+        self.blank = True
         self.gap = 0
         self.mark = ""
         self.depth = 0
 
+    def put(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
+            self.blank = self.blank and not text.strip()
+
+    def take(self) -> str:
+        """The line so far, without white space at its end; the next one begins empty."""
+        line = "".join(self.parts).rstrip()
+        self.parts, self.blank = [], True
+        return line
+
     def end_line(self) -> None:
-        if self.line.strip() or self.mark and self.line:
-            self.lines.append(self.line.rstrip())
-        self.line = ""
+        keep = not self.blank or self.mark and self.parts
+        line = self.take()
+        if keep:
+            self.lines.append(line)
 
     def leave(self, gap: int) -> None:
         """The next text starts a new line (1) or stands apart from this (2)."""
@@ -148,29 +160,31 @@ class Writer:
         self.gap = max(self.gap, gap)
 
     def begin(self) -> None:
-        if not self.line:
+        if not self.parts:
             if self.gap > 1 and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = 0
-            self.line = self.mark or "  " * self.depth
+            self.put(self.mark or "  " * self.depth)
             self.mark = ""
 
     def text(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
-        if not self.line.strip() and not self.mark.strip() or self.line.endswith(" "):
+        if self.blank and not self.mark.strip() or self._spaced():
             text = text.lstrip(" ")
-        if text and (text != " " or self.line):
+        if text and (text != " " or self.parts):
             self.begin()
-            self.line += text if not self.line.endswith(" ") else text.lstrip(" ")
+            self.put(text.lstrip(" ") if self._spaced() else text)
+
+    def _spaced(self) -> bool:
+        return bool(self.parts) and self.parts[-1].endswith(" ")
 
     def verbatim(self, text: str) -> None:
         for i, part in enumerate(text.expandtabs(8).split("\n")):
             if i:
-                self.lines.append(self.line.rstrip())
-                self.line = ""
+                self.lines.append(self.take())
             if part:
                 self.begin()
-                self.line += part
+                self.put(part)
 
     def rows(self, rows: list[list[tuple[list[str], int]]]) -> None:
         """Cells of a table, each padded to the width of its column; an empty row is left out."""
@@ -190,10 +204,10 @@ class Writer:
                     out += (lines[k] if k < len(lines) else "").ljust(size) + "  "
                     at += span
                 if out.strip():
-                    self.line = ""
+                    self.take()
                     self.begin()
-                    self.lines.append((self.line + out).rstrip())
-                    self.line = ""
+                    self.put(out)
+                    self.lines.append(self.take())
         self.leave(2)
 
     def done(self) -> list[str]:
@@ -232,8 +246,7 @@ def render(html: str | None) -> str | None:
                 continue
             if tag == "br":
                 out.begin()
-                out.lines.append(out.line.rstrip())
-                out.line = ""
+                out.lines.append(out.take())
             elif tag == "hr":
                 out.leave(2)
             elif tag == "table":
