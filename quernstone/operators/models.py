@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 import unicodedata
 from functools import reduce
@@ -55,7 +57,7 @@ def estimator(family: str, task: str, target: str, n_features: int = 1, seed: in
     return {
         "logistic": lambda: LogisticRegression(**cols, weightCol="_weight", **params), "random_forest": lambda: RandomForestClassifier(**cols, seed=seed, weightCol="_weight", **params),
         "gradient_boosting": lambda: GBTClassifier(**cols, seed=seed, **({"maxIter": 20} | params)), "linear_svm": lambda: LinearSVC(**cols, weightCol="_weight", **params),
-        "mlp": lambda: MultilayerPerceptronClassifier(**cols, layers=[n_features, 16, 2], seed=seed, **params),
+        "mlp": lambda: MultilayerPerceptronClassifier(**cols, seed=seed, **({"layers": [n_features, 16, 2]} | params)),
     }[family]()
 
 
@@ -103,8 +105,8 @@ def classification_metrics(df: DataFrame, actual: str, score: str, threshold: fl
     return df.agg(F.count("*").alias("n"), F.avg((y == hit).cast("int")).alias("accuracy"), (2 * tp / F.when(2 * tp + fp + fn > 0, 2 * tp + fp + fn)).alias("f1"), F.avg(y).alias("positive_share")).crossJoin(auc)  # one row each
 
 
-def train(df: DataFrame, target: str, features: list[str], task: str = REGRESSION, family: str = "linear", key: str = "id", order: str | None = None, positive: str | None = None, least: int = 20, **params) -> dict:
-    """A fitted pipeline with its held-out metrics and warnings; ValueError below the least number of rows."""
+def prepared(df: DataFrame, target: str, features: list[str], task: str, key: str, order: str | None, positive: str | None = None) -> tuple[DataFrame, str, list[str], str | None]:
+    """Rows with a target, its name, the features' names and the positive class; classes become 0 and 1 with weights."""
     keep = [F.col(c) for c in {key, *([order] if order else [])} if c in df.columns]
     data, y, xs = resolve(df, target, features)
     data = df.select(*keep, F.col(f"`{_column(df, target)}`").alias(y), *[F.col(f"`{_column(df, f)}`").alias(slug(f)) for f in features if slug(f) in {slug(c) for c in df.columns} and slug(f) not in (key, order)]).dropna(subset=[y])
@@ -114,6 +116,12 @@ def train(df: DataFrame, target: str, features: list[str], task: str = REGRESSIO
         data = data.withColumn(y, (F.col(y).cast("string") == positive).cast("double"))
         share = data.agg(F.avg(y)).first()[0] or 0.0
         data = data.withColumn("_weight", F.when(F.col(y) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
+    return data, y, xs, positive
+
+
+def train(df: DataFrame, target: str, features: list[str], task: str = REGRESSION, family: str = "linear", key: str = "id", order: str | None = None, positive: str | None = None, least: int = 20, **params) -> dict:
+    """A fitted pipeline with its held-out metrics and warnings; ValueError below the least number of rows."""
+    data, y, xs, positive = prepared(df, target, features, task, key, order, positive)
     rows = data.count()
     if rows < least:
         raise ValueError(f"{rows} rows; {least} are needed")
@@ -167,6 +175,94 @@ def compare(df: DataFrame, target: str, features: list[str], families: list[str]
     return leaderboard(df.sparkSession.createDataFrame(rows, f"family string, method string, {metric} double, error string"), metric)
 
 
+#: By family, range (and scale) of each tuned parameter.
+SPACES: dict[str, dict[str, tuple]] = {
+    "gradient_boosting": {"maxIter": (50, 300, "int"), "stepSize": (0.01, 0.3, "log"), "maxDepth": (2, 5, "int")},
+    "lightgbm": {"maxIter": (100, 600, "int"), "stepSize": (0.01, 0.3, "log"), "maxDepth": (2, 8, "int"), "subsamplingRate": (0.6, 1.0, "linear"), "featureSubsetStrategy": (0.6, 1.0, "text")},
+    "random_forest": {"numTrees": (100, 400, "int"), "maxDepth": (3, 20, "int"), "minInstancesPerNode": (2, 10, "int")},
+    "logistic": {"regParam": (1e-2, 1e3, "log")},
+    "elasticnet": {"regParam": (1e-3, 10.0, "log"), "elasticNetParam": (0.0, 1.0, "linear")},
+    "svm": {"regParam": (1e-2, 1e2, "log")},
+    "linear": {},
+}
+SPACES |= {"xgboost": SPACES["lightgbm"], "knn": SPACES["random_forest"]}
+#: Hidden layers that a perceptron may have.
+HIDDEN = ((64,), (128,), (64, 32))
+
+
+def search_space(family: str, trials: int, n_features: int = 1, seed: int = 42) -> list[dict]:
+    """Parameters of each trial, drawn from the family's ranges; one empty set where nothing can be tuned."""
+    rng = random.Random(seed)
+    if family == "mlp":
+        return [{"layers": [n_features, *rng.choice(HIDDEN), 2]} for _ in range(trials)]
+    space = SPACES.get(family, {})
+
+    def draw(low: float, high: float, scale: str) -> int | float | str:
+        if scale == "int":
+            return rng.randint(int(low), int(high))
+        x = math.exp(rng.uniform(math.log(low), math.log(high))) if scale == "log" else rng.uniform(low, high)
+        return str(round(x, 3)) if scale == "text" else x
+
+    return [{name: draw(*given) for name, given in space.items()} for _ in range(trials)] if space else [{}]
+
+
+def _ranked(df: DataFrame, by: list[str], bucket: Column, order: list[Column | str]) -> DataFrame:
+    """``df`` with _rank, from 0 within ``by``: a rank in each bucket plus the rows of the buckets before it, so no class is ordered in one task."""
+    rows = df.withColumn("_bucket", bucket)
+    before = F.sum("count").over(W.partitionBy(*by).orderBy("_bucket")) - F.col("count")
+    before = rows.groupBy(*by, "_bucket").count().select(*by, "_bucket", before.alias("_before"))
+    within = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*order)) - 1
+    return rows.withColumn("_rank", within).join(before, [*by, "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_before")
+
+
+def folds(df: DataFrame, strategy: str, k: int, key: str, label: str | None = None, order: str | None = None, buckets: int = 256) -> DataFrame:
+    """``df`` with fold, an int from 0: by a hash of the key (kfold), evenly within each class (stratified), or by time (timeseries).
+
+    By time, the last k of k + 1 equal stretches are the folds, rows before them have fold -1, and a fold is
+    tested on a model of all earlier rows.  Rows without a class or time are left out.
+    """
+    h = F.xxhash64(key)
+    if strategy == "kfold":
+        return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
+    if strategy == "stratified":
+        rows = _ranked(df.filter(F.col(label).isNotNull()), [label], F.pmod(h, F.lit(buckets)), [h, key])
+        return rows.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
+    rows = df.filter(F.col(order).isNotNull())
+    time = F.unix_micros(F.col(order).cast("timestamp")).cast("double") if dict(df.dtypes)[order].startswith(("date", "timestamp")) else F.col(order).cast("double")
+    cuts = rows.select(time.alias("t")).approxQuantile("t", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
+    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < time)) if cuts else F.lit(0)
+    rows, size = _ranked(rows, [], bucket, [order, key]), max(1, rows.count() // (k + 1))
+    start = F.lit(rows.count() - k * size)
+    return rows.withColumn("fold", F.greatest(F.floor((F.col("_rank") - start) / size), F.lit(-1)).cast("int")).drop("_rank")
+
+
+def cross_validate(df: DataFrame, target: str, features: list[str], task: str = REGRESSION, family: str = "linear", key: str = "id", order: str | None = None, k: int = 5, strategy: str | None = None, positive: str | None = None, **params) -> dict[str, float]:
+    """Metrics as means over the folds; classes are stratified unless asked otherwise."""
+    data, y, xs, _ = prepared(df, target, features, task, key, order, positive)
+    strategy = strategy or ("stratified" if task == CLASSIFICATION else "kfold")
+    data = folds(data, strategy, k, key, y, order)
+    got = []
+    for i in range(k):
+        fit = data.filter(F.col("fold") < i if strategy == "timeseries" else F.col("fold") != i)
+        stages, _ = preprocessing(data, xs)
+        model = Pipeline(stages=[*stages, estimator(family_for(family, task), task, y, len(xs), **params)]).fit(fit)
+        scored = score(model, data.filter(F.col("fold") == i), task)
+        got.append((regression_metrics(scored, y, "score") if task == REGRESSION else classification_metrics(scored, y, "score")).first().asDict())
+    known = {m: [g[m] for g in got if g[m] is not None] for m in got[0] if m != "n"}
+    return {m: sum(v) / len(v) for m, v in known.items() if v}
+
+
+def tune(df: DataFrame, target: str, features: list[str], task: str = REGRESSION, family: str = "gradient_boosting", trials: int = 25, metric: str = "rmse", seed: int = 42, **given) -> dict:
+    """The best of some trials by cross-validation: its parameters, metrics and place."""
+    best: dict = {}
+    for n, params in enumerate(search_space(family, trials, len(features), seed)):
+        metrics = cross_validate(df, target, features, task, family, **given, **params)
+        value = metrics.get(metric)
+        if value is not None and (not best or (value < best["value"] if metric in LOWER_IS_BETTER else value > best["value"])):
+            best = {"trial": n, "value": value, "params": params, "metrics": metrics}
+    return best
+
+
 def bootstrap_ci(df: DataFrame, actual: str, predicted: str, key: str, rounds: int = 300, metric: str = "rmse") -> DataFrame:
     """95 % interval of a metric over Poisson-weighted resamples of the rows (weights follow a hash of key and round)."""
     u = lambda r: (F.pmod(F.xxhash64(key, r), F.lit(1 << 30)) + 0.5) / float(1 << 30)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunks, corpus, dedup, filters
 from ..session import table
+from ..sources import enrichment
 
 
 def _title(text: Column | None = None) -> Column:
@@ -249,6 +250,24 @@ def corpus_page(spark: SparkSession, sf: str) -> DataFrame:
     return filters.page(docs, "score", 5000.0, 25, 25).select("doc_id", "score")
 
 
+def enrichment_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as documents, orders as works: by identifier, then by title; the status by identifier only."""
+    name = lambda n: F.concat(F.lit("report number "), n.cast("string"))
+    docs = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("10.1/"), F.col("c_custkey").cast("string"))).alias("doi"), name(F.col("c_custkey") % 9).alias("title"))
+    works = table(spark, sf, "orders").select(F.col("o_orderkey").alias("work_id"), F.concat(F.lit("10.1/"), F.col("o_orderkey").cast("string")).alias("doi"), name(F.col("o_orderkey") % 7).alias("title"), F.col("o_orderkey").alias("cited"), F.col("o_orderstatus").alias("type"))
+    return enrichment.enrich(docs, works, ["cited"], works, ["type"]).select("c_custkey", "cited", "type")
+
+
+def backfill_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' segments and countries from three sources, the first that has a value."""
+    c = table(spark, sf, "customer")
+    docs = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("journal"), F.lit(None).cast("string").alias("country"))
+    a = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("").alias("journal"), F.lit("A").alias("country"))
+    b = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("B").alias("journal"), F.lit("B").alias("country"))
+    d = c.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.lit("D").alias("journal"))
+    return enrichment.backfill(docs, [a, b, d]).groupBy("journal", "country").agg(F.count("*").alias("n"))
+
+
 _MD = "md5(text)"
 _T1 = "split_part(text, chr(10), 1)"
 
@@ -257,7 +276,7 @@ QUERIES = {f.__name__: f for f in (
     quality_score, canonical_pick, survivorship, chunk_rows, chunk_structured, chunk_keep_one, legacy_partition, prisma_funnel, screening_progress,
     cohen_kappa, agreement_matrix, corpus_stats_heatmap, fulltext_coverage, embedding_status, filter_options, null_profile, evidence_summary,
     keyword_classifier, doc_tags, section_weight, token_counts, title_norms, identifier_forms, inverted_index_text, insert_new, update_from,
-    hard_dedup, repointed_links, capped_sources, corpus_page,
+    hard_dedup, repointed_links, capped_sources, corpus_page, enrichment_lookup, backfill_fields,
 )}
 
 
@@ -310,4 +329,6 @@ SQL = {
     "repointed_links": f"WITH c AS ({_CANON}), l AS (SELECT DISTINCT 'sc-' || quality AS scenario_id, canonical_id FROM labels JOIN c USING (doc_id)) SELECT scenario_id, count(*) AS n, sum(canonical_id)::BIGINT AS ids FROM l GROUP BY scenario_id",
     "capped_sources": "SELECT source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 20 GROUP BY source",
     "corpus_page": "SELECT doc_id, n_chars::DOUBLE AS score FROM documents ORDER BY (n_chars >= 5000) DESC, n_chars DESC, doc_id LIMIT 25 OFFSET 25",
+    "enrichment_lookup": "WITH t AS (SELECT o_orderkey % 7 AS k, min(o_orderkey) AS cited FROM orders GROUP BY 1) SELECT c_custkey, coalesce(o_orderkey, cited) AS cited, o_orderstatus AS type FROM customer LEFT JOIN orders ON c_custkey % 2 = 0 AND o_orderkey = c_custkey LEFT JOIN t ON c_custkey % 9 = k",
+    "backfill_fields": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'B' WHEN c_custkey % 5 = 0 THEN 'D' ELSE c_mktsegment END AS journal, CASE WHEN c_custkey % 3 = 0 THEN 'A' WHEN c_custkey % 2 = 0 THEN 'B' END AS country, count(*) AS n FROM customer GROUP BY 1, 2",
 }

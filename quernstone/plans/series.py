@@ -185,10 +185,33 @@ def _dated(query):
     return run
 
 
+def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return models.folds(table(spark, sf, "lineitem"), "stratified", 5, "l_orderkey", "l_returnflag").groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"))
+
+
+def expanding_folds(spark: SparkSession, sf: str) -> DataFrame:
+    out = models.folds(_events(spark, sf).select("event_id", "ts", "value"), "timeseries", 5, "event_id", order="ts")
+    return out.groupBy("fold").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+def living_review_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Event types as scenarios with look-backs of their own; by scenario, its new users as records."""
+    e = _events(spark, sf)
+    now = e.agg(F.date_add(F.max(F.to_date("ts")), 1).alias("now"))
+    batch = e.select(F.col("event_type").alias("scenario_id"), F.col("user_id").cast("string").alias("external_id"), F.lit("events").alias("source"), F.to_date("ts").alias("entered"))
+    presets = spark.createDataFrame([("view", 0, 1), ("click", 1, None)], "scenario_id string, place int, lookback_days int")
+    users = spark.createDataFrame([("purchase", 0, 9, "a", "flu"), ("signup", 1, 9, None, "flu")], "scenario_id string, place int, lookback_days int, owner string, query string")
+    existing = batch.filter("external_id % 7 = 0").select("external_id", "source").distinct()
+    under = living_review.scenarios(presets, users, days=3).crossJoin(now)  # one row
+    out = living_review.review_all(existing, batch, under, now=F.col("now"))
+    return out.groupBy("scenario_id", "project_context").agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: _dated(f) for f in (
     hourly_to_daily, weekly_resample_mixed, weekly_outer_join, pivot_event_type, seasonal_harmonics, isoweek_dates, week_ends, digest_due, durbin_watson,
     corr_leakage, quantile_bands, weighted_pool, median_gap, error_metrics, class_metrics, leaderboard, monitor_level, bootstrap_ci, train_eval_regression,
     forecast, seir_projection, seir_ensemble_bands, seir_calibrate, tumbling_events, sliding_events, session_events, living_review_increment,
+    stratified_folds, expanding_folds, living_review_all,
 )}
 
 _WEEK = "(date_trunc('week', {0}) + INTERVAL 6 DAY)::DATE"
@@ -229,6 +252,9 @@ SQL = {
     "sliding_events": "WITH h AS (SELECT date_trunc('hour', ts) - to_hours(k::INT) AS window_start, event_type FROM events, range(2) t(k)) SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n FROM h GROUP BY 1, 2, 3",
     "session_events": "WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE)::INT AS b FROM events), s AS (SELECT user_id, ts, sum(coalesce(b, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k",
     "living_review_increment": "WITH e AS (SELECT user_id || ':' || event_type || ':' || hour(ts) AS external_id, ts::DATE AS d, (SELECT max(ts)::DATE FROM events) AS last FROM events) SELECT DISTINCT external_id FROM e WHERE d >= last - 1 AND external_id NOT IN (SELECT external_id FROM e WHERE d < last - 1)",
+    "stratified_folds": "SELECT l_returnflag, fold::INT AS fold, count(*) AS n FROM (SELECT l_returnflag, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey) - 1) % 5 AS fold FROM lineitem) GROUP BY 1, 2",
+    "expanding_folds": "WITH r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS r, count(*) OVER () AS c FROM events WHERE ts IS NOT NULL) SELECT greatest(floor((r - (c - 5 * (c // 6))) / (c // 6)), -1)::INT AS fold, count(*) AS n, sum(event_id)::BIGINT AS ids, round(avg(value), 6) AS mean FROM r GROUP BY 1",
+    "living_review_all": "WITH l AS (SELECT max(ts)::DATE + 1 AS now FROM events), s AS (SELECT * FROM (VALUES ('view', 0, 1, 'preset'), ('click', 1, 3, 'preset'), ('purchase', 2, 9, 'user')) t(scenario_id, place, days, project_context)), f AS (SELECT user_id, min(place) AS place FROM events JOIN s ON event_type = scenario_id, l WHERE ts::DATE >= now - days AND user_id % 7 <> 0 GROUP BY 1) SELECT scenario_id, project_context, count(*) AS n FROM f JOIN s USING (place) GROUP BY 1, 2",
 }
 
 for _name, _columns in {"weekly_resample_mixed": "week", "weekly_outer_join": "week", "pivot_event_type": "date", "seasonal_harmonics": "day", "isoweek_dates": "monday", "week_ends": "week"}.items():

@@ -60,3 +60,24 @@ def sessions(events: DataFrame, ts: str, gap: str, by: list[str], aggs: list[Col
 
 def _names(aggs: list[Column]) -> list[str]:
     return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggs]
+
+
+def scenarios(presets: DataFrame, users: DataFrame, days: int = 30) -> DataFrame:
+    """All scenarios under review: presets by their place, then users' own with an owner and a query.
+
+    Gives scenario_id, place, lookback_days and project_context ("preset" or "user").
+    """
+    owned = users.filter("owner is not null and trim(query) <> ''")
+    columns = ["scenario_id", "turn", "place", F.coalesce("lookback_days", F.lit(days)).alias("lookback_days"), "project_context"]
+    rows = [df.withColumns({"turn": F.lit(i), "project_context": F.lit(c)}).select(*columns) for i, (df, c) in enumerate(((presets, "preset"), (owned, "user")))]
+    return rows[0].unionByName(rows[1])
+
+
+def review_all(existing: DataFrame, batch: DataFrame, under_review: DataFrame, entered: str = "entered", now: Column | None = None) -> DataFrame:
+    """New records of all scenarios in one pass, each under the first scenario that finds it, as if they were reviewed in turn."""
+    rows = batch.join(under_review, "scenario_id")
+    since = F.date_sub(now if now is not None else F.current_date(), F.col("lookback_days"))
+    fresh = rows.filter((F.col(entered) >= since) & F.col("external_id").isNotNull())
+    first = F.min_by(F.struct(*[c for c in rows.columns if c not in ("external_id", "source")]), F.struct("turn", "place", "scenario_id"))
+    fresh = fresh.groupBy("external_id", "source").agg(first.alias("r")).select("external_id", "source", "r.*")
+    return fresh.join(existing.select("external_id", "source"), ["external_id", "source"], "left_anti").select(*batch.columns, "project_context")
