@@ -40,21 +40,17 @@ def lexical(df: DataFrame, terms: list[str], text: str = "text", name: str = "le
     return rows.withColumn(name, F.coalesce(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))).drop("_tf", "_n", "_df")
 
 
-def hybrid(df: DataFrame, terms: list[str], query: list[float], alpha: float = 0.5, text: str = "text", vector: str = "embedding", key: str = "doc_id", first: int = 60, k: int = 10) -> DataFrame:
-    """The best ``first`` rows by words, ranked again by a blend of scaled lexical score and cosine; alpha weighs the cosine."""
-    rows = lexical(df, terms, text).filter("lexical > 0").orderBy(F.col("lexical").desc(), key).limit(first)
+def hybrid(df: DataFrame, terms: list[str], query: list[float], alpha: float = 0.5, text: str = "text", vector: str = "embedding", key: str = "doc_id", first: int | None = 60, k: int = 10) -> DataFrame:
+    """The best ``first`` rows by words (None for all), ranked again by a blend of scaled lexical score and cosine; alpha weighs the cosine."""
+    rows = lexical(df, terms, text).filter("lexical > 0")
+    if first is not None:
+        rows = rows.orderBy(F.col("lexical").desc(), key).limit(first)
     rows = with_similarity(rows, query, vector)
-    most = F.max("lexical").over(_all())
-    rows = rows.withColumn("score", alpha * F.coalesce("similarity", F.lit(0.0)) + (1 - alpha) * F.col("lexical") / most)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("lexical").alias("_most"))))  # one row
+    rows = rows.withColumn("score", alpha * F.coalesce("similarity", F.lit(0.0)) + (1 - alpha) * F.col("lexical") / F.col("_most")).drop("_most")
     return rows.orderBy(F.col("score").desc(), key).limit(k)
 
 
-def _all():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(F.lit(0))
-
-
 def screened(df: DataFrame, query: list[float], k: int = 8, floor: float = 0.18, decision: str = "decision", duplicate: str = "is_duplicate", included_first: bool = False, vector: str = "embedding", key: str = "doc_id") -> DataFrame:
     """Retrieval for answers: no duplicates, nothing excluded, a floor on the cosine; included rows first if asked."""
     rows = df.filter(~F.coalesce(duplicate, F.lit(False)) & ~F.col(decision).eqNullSafe(F.lit("excluded")))

@@ -99,9 +99,9 @@ def _lexical_sql() -> str:
 
 
 def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with the vector of the same id."""
+    """Documents with the vector of the same id; all with any of the terms are ranked."""
     docs = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return search.hybrid(docs, _TERMS, QUERY, first=10_000).select("doc_id", F.round("score", 5).alias("score"))
+    return search.hybrid(docs, _TERMS, QUERY, first=None).select("doc_id", F.round("score", 5).alias("score"))
 
 
 def _hybrid_sql() -> str:
