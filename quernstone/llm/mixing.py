@@ -1,12 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
-The total of all sizes is cut into slots.  Slot i stands at the fractional part of
+The total of all targets is cut into slots.  Slot i stands at the fractional part of
 i / golden ratio; the source whose interval of the cumulative targets holds that point
-gets the slot.  Slots are ranked within their source.  A source's documents are laid
-end to end in shuffled order and cut into blocks of as many tokens as a slot; the slot
-of rank r takes block r modulo the number of blocks.  Ranks and offsets are running
-sums in two levels (within a bucket, over the buckets), so no source is ever ordered
-in one task.
+gets the slot.  Sources with too few slots to be served evenly are dealt again among
+themselves, in slots of fewer tokens.  A source's documents are laid end to end in
+shuffled order, in a ring; each slot takes the next tokens of the ring, always as many
+as it counts.  Offsets are running sums in two levels (within a bucket, over the
+buckets), so no source is ever ordered in one task.
 
 Defined results: a null text has size zero and is never taken; a null source is a
 source of its own, the last; equal rows stay separate rows; no tokens at all give
@@ -15,6 +15,8 @@ targets and takings of zero.
 
 from __future__ import annotations
 
+from math import ceil, isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,8 +24,8 @@ from pyspark.sql import Window as W
 from .store import saved
 from .tokens import WORD
 
-#: Slots that all tokens are cut into; buckets of a source's shuffled order; slots ranked together; cells of the unit interval.
-SLOTS, BUCKETS, CHUNK, CELLS = 1 << 20, 4096, 4096, 1024
+#: Slots that all tokens are cut into; buckets of a source's shuffled order; cells of the unit interval.
+SLOTS, BUCKETS, CELLS = 1 << 20, 4096, 1024
 
 _GOLDEN = 0.6180339887498949
 
@@ -56,23 +58,33 @@ def targets(sized: DataFrame, most: float = 3.0, cycle: tuple[float, ...] = (1.0
     return by.withColumn("target", F.coalesce(share, F.col("limit"))).select("rank", "source", "weight", "source_size", "target")
 
 
-def schedule(sources: DataFrame, slots: int = SLOTS, most: float = 3.0) -> DataFrame:
-    """Sources -> slots (rank, block, turns): how often the schedule takes each block of each source."""
-    spark = sources.sparkSession
-    all_ = W.orderBy("rank")
-    s = sources.withColumn("high", F.sum("target").over(all_)).withColumn("total", F.sum("target").over(all_.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    s = s.filter("target > 0").withColumn("low", (F.col("high") - F.col("target")) / F.col("total")).withColumn("high", F.col("high") / F.col("total"))
+def _turns(sources: DataFrame, total: float, tokens: int) -> DataFrame:
+    """Rows (rank, target) -> (rank, words): what the slots of ``tokens`` that the schedule gives to each source count."""
+    s = sources.withColumn("high", F.sum("target").over(W.orderBy("rank"))).withColumn("low", (F.col("high") - F.col("target")) / total).withColumn("high", F.col("high") / total)
     s = s.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
     point = F.col("id") * F.lit(_GOLDEN)
-    points = spark.range(slots).withColumn("x", point - F.floor(point)).withColumn("cell", F.floor(F.col("x") * CELLS))
-    used = points.join(s, "cell").filter("x >= low and x < high and id * tokens < total_size")
-    used = used.withColumn("chunk", F.floor(F.col("id") / CHUNK)).select("id", "chunk", "rank", "blocks")
-    before = used.groupBy("rank", "chunk").count()
-    before = before.select("rank", "chunk", (F.sum("count").over(W.partitionBy("rank").orderBy("chunk")) - F.col("count")).alias("before"))
-    ranked = used.withColumn("n", F.row_number().over(W.partitionBy("rank", "chunk").orderBy("id")) - 1).join(before, ["rank", "chunk"])
-    turn = F.col("before") + F.col("n")
-    ranked = ranked.filter(turn < F.floor(F.lit(float(most))) * F.col("blocks"))
-    return ranked.groupBy("rank", (turn % F.col("blocks")).alias("block")).agg(F.count("*").alias("turns"))
+    points = sources.sparkSession.range(ceil(total / tokens)).withColumn("x", point - F.floor(point)).withColumn("cell", F.floor(F.col("x") * CELLS))
+    used = points.join(F.broadcast(s), "cell").filter("x >= low and x < high")  # a row for each source and cell at most
+    return used.groupBy("rank").agg((F.count("*") * tokens).alias("words"))
+
+
+def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Sources -> (rank, words): words that the slots of each source take.
+
+    A source that would get less than the root of ``slots`` (or than half an even share,
+    if that is less) waits for the next round, so no target is small beside a slot of
+    its round; in a round of no more words than slots, a slot is one word.
+    """
+    left = sources.filter("target > 0").select("rank", "target")
+    done = left.select("rank", F.lit(0).cast("long").alias("words")).limit(0)
+    while (all_ := left.agg(F.count("*").alias("n"), F.sum("target").alias("total")).first())["n"]:
+        here = max(slots, 64 * all_["n"])
+        least = min(isqrt(slots) * all_["total"] / here, all_["total"] / (2 * all_["n"])) if all_["total"] > here else 0.0
+        served = left.filter(F.col("target") >= least)
+        total = served.agg(F.sum("target").alias("total")).first()["total"]
+        done = done.unionByName(_turns(served, total, max(1, ceil(total / here))))
+        left = left.filter(F.col("target") < least)
+    return done
 
 
 def mix(
@@ -82,11 +94,9 @@ def mix(
     """One row for each document: id, source, size, source_size, target (of its source) and taken."""
     size = n_words(text) if size is None else size
     sized = saved(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size")))
-    total = F.sum("source_size").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    sources = targets(sized, most).withColumn("total_size", total)
-    sources = sources.withColumn("tokens", F.greatest(F.ceil(F.col("total_size") / slots), F.lit(1)).cast("long"))
-    sources = saved(sources.withColumn("blocks", F.ceil(F.col("source_size") / F.col("tokens")).cast("long")))
-    turns = schedule(sources, slots, most)
+    sources = saved(targets(sized, most))
+    limit = F.floor(F.col("source_size") * F.lit(float(most)))
+    sources = sources.join(schedule(sources, slots), "rank", "left").withColumn("words", F.coalesce(F.least("words", limit), F.lit(0)))
 
     h = F.xxhash64(F.lit(seed), "id")
     placed = sized.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
@@ -97,14 +107,10 @@ def mix(
     sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("nth"), before.alias("before"))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("nth")))
     placed = placed.select("id", "source", "size", (F.col("before") + F.col("end")).alias("end"))
-    named = sources.select(F.col("source").alias("of"), "rank", "tokens", "source_size", "target")
+    named = sources.select(F.col("source").alias("of"), "words", "source_size", "target")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = placed.withColumn("start", F.col("end") - F.col("size"))
-
-    full = placed.filter("size > 0")
-    blocks = F.sequence(F.floor(F.col("start") / F.col("tokens")), F.floor((F.col("end") - 1) / F.col("tokens")))
-    laid = full.select("rank", "start", "end", "tokens", F.explode(blocks).alias("block"))
-    overlap = F.least("end", (F.col("block") + 1) * F.col("tokens")) - F.greatest("start", F.col("block") * F.col("tokens"))
-    laid = laid.join(turns, ["rank", "block"]).groupBy("rank", "start").agg(F.sum(overlap * F.col("turns")).alias("taken"))
-    out = placed.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(laid.withColumnRenamed("start", "at"), ["rank", "at"], "left")
-    return out.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+    rounds = F.when(F.col("size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - rounds * F.col("source_size") - F.col("end") + F.col("size")))
+    taken = F.when(F.col("size") > 0, F.col("size") * rounds + rest).otherwise(0)
+    return placed.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -66,3 +66,18 @@ def test_empty(spark):
     assert mixing.mix(empty).count() == 0
     none = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["target"], r["taken"]) for r in mixing.mix(none).collect()] == [(0.0, 0)] * 2
+
+
+def test_tiny_sources_beside_a_huge_one(spark):
+    """Sources smaller than a slot of all tokens, one of one word, and one whose last lap is a partial one."""
+    rows = [(i, 1_250_000, "huge") for i in range(4000)] + [(10_000 + i, 100, "tiny") for i in range(10)] + [(20_000 + i, 25, "small") for i in range(100)]
+    rows += [(30_000, 1, "word")] + [(40_000 + i, 7_001, "odd") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, words long, source string")
+    got = mixing.mix(df, text="words", size=mixing.F.col("words")).collect()
+    by, target = defaultdict(int), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        by[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    for s, t in target.items():
+        assert abs(by[s] - t) <= 0.005 * t, (s, by[s], t)
