@@ -33,11 +33,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by SimHash of five-word shingles, the document with the smallest id stays.
+    """Of each group of near copies, the document with the smallest id stays.
 
-    Three of 64 bits stand for a similarity of over 0.95, so links are above 0.8.
+    Links are SimHashes of five-word shingles within three of 64 bits, and shingle sets of
+    a similarity of 0.8 or more.
     """
-    groups = simhash.near_duplicates(docs, words=5, radius=3)
+    groups = simhash.near_copies(docs, words=5, radius=3, similarity=0.8)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").select(*docs.columns)
 

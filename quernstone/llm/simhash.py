@@ -7,6 +7,10 @@ BK-tree (children keyed by their Hamming distance to the parent) is searched for
 neighbours of each fingerprint before that is inserted, along the edges within the
 radius only.  A shard emits a spanning forest of its links, never all pairs.
 
+``near_copies`` adds links at a shingle similarity (Jaccard), which differs in far more
+bits than a tree's radius can cover: fingerprints that share a band of minimum hashes
+are candidates, and the shingles of both are compared exactly.
+
 Defined results: null and empty texts, and texts of white space, have fingerprint
 zero; equal rows stay separate rows; rows with a null id take part, but a component's
 id is the smallest id that is not null.
@@ -21,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -28,28 +33,54 @@ from .store import saved
 
 #: Fingerprints of a shard from which on it is dealt out again.
 SHARD = 1024
+#: Bands of so many minimum hashes each; members of a band that each member meets besides the first.  At a similarity of
+#: 0.8 a pair shares no band with a probability of (1 - 0.8**4)**20, 0.00003.
+BANDS, BAND, NEXT = 20, 4, 4
+#: Odd multipliers: one order of all hashes each.
+_SEEDS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _hashes(text: str | None, words: int, lower: bool) -> np.ndarray:
+    """64-bit hashes of the shingles of ``words`` words, of the whole text if it has fewer."""
+    data = (text or "").encode()
+    parts = (data.lower() if lower else data).split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(parts) - words + 1)
+    spans = zip(starts[:n].tolist(), ends[len(parts) - n :].tolist())
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+
+
+def _simhash(hashes: np.ndarray) -> int:
+    n = len(hashes)
+    if not n:
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A hash for each band of minimum hashes; none for no shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1 << 10):
+        least = np.minimum(least, (hashes[at : at + (1 << 10), None] * _SEEDS).min(axis=0))
+    return [xxhash.xxh64_intdigest(band.tobytes()) - (1 << 63) for band in least.reshape(BANDS, BAND)]
 
 
 def fingerprint(text: Column | str, words: int = 3, lower: bool = True) -> Column:
     """64-bit SimHash of the shingles of ``words`` words, as a signed long."""
 
     def of(text: str | None) -> int:
-        data = (text or "").encode()
-        parts = (data.lower() if lower else data).split()
-        if not parts:
-            return 0
-        joined = b" ".join(parts)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        n = max(1, len(parts) - words + 1)
-        spans = zip(starts[:n].tolist(), ends[len(parts) - n :].tolist())
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, 1 << 16):
-            part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-        return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+        return _simhash(_hashes(text, words, lower))
 
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -176,3 +207,54 @@ def near_duplicates(
     classes = saved(distinct.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     return fps.join(classes.select("fp", "component"), "fp").join(least, "component").select(key, "fp", "component_id")
+
+
+def _similar_links(reps: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float, lower: bool) -> DataFrame:
+    """Rows (fp, place, n, bands), one for each fingerprint -> links (a, b) beyond the radius of shingle sets at least so similar.
+
+    In a band each member meets the first and the next few in order of fingerprints, so a
+    large group gives a few pairs for each member.
+    """
+    banded = reps.select("fp", "n", F.posexplode("bands").alias("band", "v"))
+    order = W.partitionBy("band", "v").orderBy("fp")
+    other = F.struct("fp", "n")
+    met = F.array(F.first(other).over(order), *[F.lag(other, i).over(order) for i in range(1, NEXT + 1)])
+    pairs = banded.withColumn("met", met).select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.explode(F.array_distinct("met")).alias("o"))
+    pairs = pairs.select(F.col("o.fp").alias("a"), F.col("o.n").alias("n_a"), "b", "n_b").filter("a <> b")
+    pairs = pairs.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > radius)
+    pairs = saved(pairs.select("a", "b").distinct())
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(_hashes(t, words, lower)).view(np.int64) for t in batch], dtype=object)
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps.select("fp", "place"), "fp")
+    asked = asked.select("fp", F.col("place.id").alias("_of"), F.col("place.h").alias("_h"))
+    found = texts.join(asked, F.col("id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_h"))).dropDuplicates(["fp"])
+    sets = saved(found.select("fp", shingles("text").alias("s")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("s_b")), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.filter(common >= similarity * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+
+
+def near_copies(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 3, similarity: float = 0.8, lower: bool = True, shard: int = SHARD
+) -> DataFrame:
+    """As ``near_duplicates``, with links also between documents whose sets of shingles have a Jaccard similarity from ``similarity`` on."""
+
+    @F.pandas_udf("struct<fp long, n int, bands array<long>>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [_hashes(t, words, lower) for t in batch]
+            yield pd.DataFrame({"fp": [_simhash(h) for h in hashes], "n": [len(np.unique(h)) for h in hashes], "bands": [_bands(h) for h in hashes]})
+
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = saved(texts.select("id", F.xxhash64("text").alias("h"), prints("text").alias("p")).select("id", "h", "p.*"))
+    reps = rows.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "h", "n", "bands")).alias("r"))
+    reps = saved(reps.select("fp", "least", F.struct("r.id", "r.h").alias("place"), "r.n", "r.bands"))
+    links = near_links(reps.select("fp"), radius, shard).unionByName(_similar_links(reps, texts, words, radius, similarity, lower))
+    linked = components(links).select(F.col("id").alias("fp"), "component")
+    classes = saved(reps.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select(F.col("id").alias(key), "fp").join(classes.select("fp", "component"), "fp").join(least, "component").select(key, "fp", "component_id")

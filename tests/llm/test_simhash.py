@@ -74,3 +74,39 @@ def test_components(spark, groups):
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: g.find(x) for a, b in edges if a != b for x in (a, b)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingles(text, words=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_near_copies_at_a_similarity(spark, groups):
+    """Edited copies from well above 0.8 to well below, by brute-force Jaccard; a large group of copies of one text."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [None, "", "  ", "one two", "One TWO", "one two three"]
+    for edits in [0, 1, 2, 3, 4, 6, 8, 12] * 10:
+        base = [word() for _ in range(200)]
+        copy = list(base)
+        for at in rng.sample(range(200), edits):
+            copy[at] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    base = [word() for _ in range(200)]
+    texts += [" ".join(word() if i == k else w for i, w in enumerate(base)) for k in range(200)]
+    sets, prints = [shingles(t) for t in texts], [brute(t, 5) for t in texts]
+    g, linked = groups(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            alike = not both or len(sets[i] & sets[j]) >= 0.8 * both
+            if alike or (prints[i] ^ prints[j]).bit_count() <= 3:
+                g.join(i, j)
+            linked += alike and (prints[i] ^ prints[j]).bit_count() > 3
+    assert linked > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert got == {i: g.find(i) for i in range(len(texts))}
+    old = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, words=5, radius=3).collect()}
+    assert old != got
+    assert simhash.near_copies(df.limit(0)).count() == 0
