@@ -6,9 +6,11 @@ into lines.  Blocks start new lines, paragraphs and headings stand apart, list i
 their marks and depth, preformatted text keeps its white space, and the cells of a table
 are padded to the width of their column.
 
-Not visible: head, script, style, template, noscript and other elements without text of
-their own, anything with the hidden attribute or with display:none or visibility:hidden
-in its style, and comments.
+Not visible: head, script, style, template, noscript and other elements whose content
+browsers do not show, anything with the hidden attribute or with display:none or
+visibility:hidden in its style, and comments.  Of a select, the options marked as selected
+are shown, and all of one that is drawn as a list (multiple, or a size over one).  Of svg,
+the text elements are shown, of math all but its annotations.
 
 Defined results: null stays null; an empty page is an empty text; unclosed and stray tags
 are repaired; tags of any depth are handled without recursion; other columns are kept.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head script style template noscript title iframe object audio video canvas svg math select datalist noembed noframes".split())
+UNSEEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary ul".split()
@@ -44,7 +46,9 @@ ENDS_P = BLOCK - {"html", "body", "li", "dd", "dt", "option", "optgroup", "legen
 FENCE = frozenset({"table", "td", "th", "caption", "button", "html"})
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?|\"[^\"]*\"?|'[^']*'?")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_MAYBE = re.compile(r"hidden|style", re.I)
 _COLSPAN = re.compile(r"colspan\s*=\s*[\"']?(\d+)", re.I)
 _START = re.compile(r"start\s*=\s*[\"']?(-?\d+)", re.I)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
@@ -126,6 +130,29 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         yield "end", pop(), ""
 
 
+def attributes(more: str) -> dict[str, str]:
+    """Names, in lower case, and values of a start tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(more):
+        if m[1]:
+            out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _hidden(more: str) -> bool:
+    if not _MAYBE.search(more):
+        return False
+    named = attributes(more)
+    return "hidden" in named or bool(_UNSHOWN.search(named.get("style", "")))
+
+
+def _is_list(more: str) -> bool:
+    """Whether a select shows all its options."""
+    named = attributes(more)
+    size = named.get("size", "").strip()
+    return "multiple" in named or size.isdecimal() and int(size) > 1
+
+
 class Writer:
     """Lines of text; breaks are held back until text follows."""
 
@@ -227,11 +254,15 @@ def render(html: str | None) -> str | None:
     lists: list[list] = []
     spans: list[int] = []
     hidden = pre = 0
+    selects: list[bool] = []  # of the open ones, whether all options show
+    drawn: list[str] = []  # open svg elements, and those in them that hold text
     for kind, tag, more in events(html):
         if hidden:
             hidden += (kind == "start") - (kind == "end")
             continue
         if kind == "text":
+            if drawn and drawn[-1] == "svg":
+                continue  # white space and text beside the drawn text
             text = unescape(more) if tag in ("", "textarea") else more
             if pre:
                 out.verbatim(text)
@@ -241,9 +272,16 @@ def render(html: str | None) -> str | None:
                 out.text(text)
             continue
         if kind == "start":
-            if tag in UNSEEN or more and _HIDDEN.search(more):
+            unseen = tag in UNSEEN or drawn and tag in ("desc", "defs", "metadata") or more and _hidden(more)
+            if unseen or selects and tag == "option" and not selects[-1] and "selected" not in attributes(more):
                 hidden = 1
                 continue
+            if tag == "select":
+                selects.append(_is_list(more))
+            elif tag == "svg" or drawn and tag in ("text", "foreignobject"):
+                drawn.append(tag)
+                if tag != "svg":
+                    out.leave(1)
             if tag == "br":
                 out.begin()
                 out.lines.append(out.take())
@@ -278,7 +316,13 @@ def render(html: str | None) -> str | None:
                 elif tag == "pre":
                     pre += 1
             continue
-        if tag == "table" and tables:
+        if tag == "select" and selects:
+            selects.pop()
+        elif drawn and tag == drawn[-1]:
+            drawn.pop()
+            if tag != "svg":
+                out.leave(1)
+        elif tag == "table" and tables:
             out.rows(tables.pop())
         elif tag in ("td", "th") and tables and writers:
             lines = out.done()
