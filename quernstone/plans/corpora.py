@@ -45,6 +45,15 @@ def dedup_exact_min_id(spark: SparkSession, sf: str) -> DataFrame:
 def dedup_title_hash(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of ASCII titles that are equal after normalisation."""
     rows = _docs(spark, sf).select("doc_id", _title().alias("title")).filter(~F.col("title").rlike(r"[^\x00-\x7F]"))
+    return _title_groups(rows)
+
+
+def dedup_title_hash_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of titles in any script that are equal after normalisation, accents folded."""
+    return _title_groups(_docs(spark, sf).select("doc_id", _title().alias("title")))
+
+
+def _title_groups(rows: DataFrame) -> DataFrame:
     keyed = rows.select("doc_id", T.title_hash(F.col("title")).alias("key")).filter("key is not null")
     return keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("canonical_id")).filter("n > 1")
 
@@ -272,7 +281,7 @@ _MD = "md5(text)"
 _T1 = "split_part(text, chr(10), 1)"
 
 QUERIES = {f.__name__: f for f in (
-    filter_blank_ignored, membership_semi, membership_diff, dedup_exact_min_id, dedup_title_hash, dedup_impact, dedup_soft, dedup_fuzzy_block,
+    filter_blank_ignored, membership_semi, membership_diff, dedup_exact_min_id, dedup_title_hash, dedup_title_hash_all, dedup_impact, dedup_soft, dedup_fuzzy_block,
     quality_score, canonical_pick, survivorship, chunk_rows, chunk_structured, chunk_keep_one, legacy_partition, prisma_funnel, screening_progress,
     cohen_kappa, agreement_matrix, corpus_stats_heatmap, fulltext_coverage, embedding_status, filter_options, null_profile, evidence_summary,
     keyword_classifier, doc_tags, section_weight, token_counts, title_norms, identifier_forms, inverted_index_text, insert_new, update_from,
