@@ -2,7 +2,8 @@
 
 A line is removed if an earlier line (by document id, then line number) is the same or
 one edit away: a character put in, taken out or changed.  Lines are compared without
-white space at either end; lines shorter than ``least`` characters are always kept.
+white space at either end.  Lines shorter than ``least`` characters are not compared by
+edits; exact copies are removed from ``exact`` characters on (``least`` if not given).
 
 1. Each distinct line is known by a hash, its earliest place and four keys.  Two lines one
    edit apart share the first or the last half of the shorter one's length, so keys that
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from .store import written
 from .tokens import Fingerprints, mix
 
-#: Lines of fewer characters are never judged.  Documents with shared halves up to which their list is broadcast.
+#: Lines of fewer characters are not compared by edits.  Documents with shared halves up to which their list is broadcast.
 LEAST, BROADCAST = 12, 200_000
 
 _SPACE = " \t\n\v\f\r"
@@ -83,8 +84,9 @@ def _first_hash(line: str) -> int:
 _PLACE = "late boolean, id long, number int, h1 long"
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, exact: int | None = None) -> DataFrame:
     """``docs`` with the lines taken out of its text, and columns n_lines and n_removed."""
+    exact = least if exact is None else max(1, min(exact, least))
     names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash with those used here
     key_at, text_at = names[docs.columns.index(key)], names[docs.columns.index(text)]
     rows = docs.toDF(*names).withColumn(key_at, F.col(key_at).cast("long"))
@@ -92,10 +94,10 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _distinct(batch.column(0).to_pylist(), batch.column(1).to_pylist(), least)
+            found = _distinct(batch.column(0).to_pylist(), batch.column(1).to_pylist(), exact)
             digest = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
             late, ids, numbers = zip(*[v[0] for v in found.values()]) if found else ((), (), ())
-            halves = pa.array([_halves(v[1]) for v in found.values()], pa.list_(pa.int64()))
+            halves = pa.array([_halves(v[1]) if len(v[1]) >= least else [] for v in found.values()], pa.list_(pa.int64()))
             columns = [pa.array(late, pa.bool_()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), halves]
             yield pa.RecordBatch.from_arrays(columns, ["late", "id", "number", "h1", "h2", "halves"])
 
@@ -158,7 +160,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
                 stay = set(zip(*(c.to_pylist() for c in stay.values.flatten()))) if stay.is_valid else ()
                 all_ = [] if value is None else value.split("\n")
                 bare = [line.strip(_SPACE) for line in all_]
-                left = [x for k, (x, b) in enumerate(zip(all_, bare)) if len(b) < least or (k, _first_hash(b)) in stay]
+                left = [x for k, (x, b) in enumerate(zip(all_, bare)) if len(b) < exact or (k, _first_hash(b)) in stay]
                 out.append(None if value is None else "\n".join(left))
                 total.append(len(all_))
                 gone.append(len(all_) - len(left))

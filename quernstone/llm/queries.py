@@ -48,6 +48,12 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_lines, with exact copies of every line that is not blank removed."""
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=1)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", F.length("text").cast("long").alias("n_chars"), "text")
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_suffix": op4_suffix,
     "op5_lines": op5_lines,
+    "op5_lines_all": op5_lines_all,
     "op6_html": op6_html,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
