@@ -58,6 +58,11 @@ def _length(gaps: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, near enough to choose by; radii are measured exactly."""
+    return np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b) - 2 * (a @ b.T)
+
+
 class Node:
     __slots__ = ("center", "radius", "members", "children", "norm")
 
@@ -70,18 +75,19 @@ class Node:
         if len(members) <= LEAF or self.radius == 0.0:
             return
         reach = min(bound, self.radius) / 2
-        near, rest, alone, dist = at, members, [], distance
+        alone, rest = [], members[distance > reach]
+        self._child(points, members[distance <= reach], at, reach, alone)
         while len(rest):
-            inside = dist <= reach
-            part = rest[inside]
-            if len(part) > 1:
-                self.children.append(Node(points, part, near, dist[inside], reach))
-            else:
-                alone.append(part)
-            rest = rest[~inside]
-            if len(rest):
-                near = int(rest[0])
-                dist = _length(points[rest] - points[near])
+            lead = rest[:LEAF]  # the next centres, unless one of them covers another
+            gap = _squares(points[rest], points[lead])
+            free = np.ones(len(rest), bool)
+            for c in range(len(lead)):
+                if free[c]:
+                    inside = free & (gap[:, c] <= reach * reach)
+                    inside[c] = True
+                    self._child(points, rest[inside], int(lead[c]), reach, alone)
+                    free &= ~inside
+            rest = rest[free]
         single = np.concatenate(alone) if alone else np.zeros(0, np.int64)
         if len(single):  # points with no company within reach stay together, covered by this node's radius
             leaf = Node.__new__(Node)
@@ -89,6 +95,12 @@ class Node:
             leaf.radius = float(_length(points[single] - self.center).max())
             self.children.append(leaf)
 
+    def _child(self, points: np.ndarray, part: np.ndarray, at: int, reach: float, alone: list[np.ndarray]) -> None:
+        if len(part) > 1:
+            self.children.append(Node(points, part, at, _length(points[part] - points[at]), reach))
+        else:
+            alone.append(part)
+
 
 def cover_tree(points: np.ndarray) -> Node:
     return Node(points, np.arange(len(points)), 0, _length(points - points[0]), float("inf"))
@@ -136,8 +148,8 @@ class Search:
     def __init__(self, k: int):
         self.k, self.products = k, 0
 
-    def run(self, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, least: np.ndarray | None = None) -> Best:
-        """Best of integer vectors (int64); ``least``: known lower bounds of each query's kth score."""
+    def run(self, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, least: np.ndarray | None = None, below: Node | None = None) -> Best:
+        """Best of integer vectors (int64); ``least``: known lower bounds of each query's kth score; ``below``: the tree of x."""
         best = Best(len(q), self.k)
         if not len(q) or not len(x):
             return best
@@ -145,8 +157,7 @@ class Search:
             best.kth = np.maximum(best.kth, least)
         high = [float(np.abs(v.astype(np.float64)).max(initial=0)) for v in (q, x)]
         most = max(1.0, high[0] * high[1] * q.shape[1])
-        qf, xf = q.astype(np.float64), x.astype(np.float64)
-        top, below = cover_tree(qf), cover_tree(xf)
+        top, below = cover_tree(q.astype(np.float64)), below or cover_tree(x.astype(np.float64))
         slack = 1e-9 * (1 + (top.norm + top.radius) * (below.norm + below.radius))
 
         def bound(a: Node, b: Node) -> float:
@@ -262,14 +273,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, shard: int = S
         """The k best of each pair of a block and a shard: (row, query_id, id, high, score)."""
         both = asked.select("block", F.col("rows").alias("queries"))
         both = both.withColumn("least", F.lit(None).cast("array<struct<row long, kth double>>")) if least is None else both.join(least, "block", "left")
-        both = pairs.join(both, "block").join(shards.select("shard", "rows"), "shard").select("queries", "least", "rows")
+        both = pairs.join(both, "block").join(shards.select("shard", "rows").hint("merge"), "shard").select("queries", "least", "shard", "rows")
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here = tree = None
             for batch in batches:
-                for a, known, b in zip(batch.column(0), batch.column(1), batch.column(2)):
-                    (rows, q_ids, q), (_, ids, x) = _unpacked(a, width), _unpacked(b, width)
+                for a, known, name, b in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+                    rows, q_ids, q = _unpacked(a, width)
+                    if name != here:  # a merge join brings a shard's blocks one after the other
+                        here, (_, ids, x) = name, _unpacked(b, width)
+                        tree = cover_tree(x.astype(np.float64))
                     held = {v["row"]: v["kth"] for v in known.as_py() or []}
-                    best = Search(k).run(q_ids, q, ids, x, np.array([held.get(r, -np.inf) for r in rows.tolist()]))
+                    best = Search(k).run(q_ids, q, ids, x, np.array([held.get(r, -np.inf) for r in rows.tolist()]), tree)
                     out = [(r, i, who, max(-_LONG, min(_LONG, int(-s) >> _LOW)), int(-s) & ((1 << _LOW) - 1)) for r, i, f in zip(rows.tolist(), q_ids.tolist(), best.found) for s, who in f]
                     columns = list(zip(*out)) if out else [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "query_id", "id", "high", "score"])
