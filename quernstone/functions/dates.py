@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,8 +32,15 @@ def digest_due(frequency: Column, last_sent: Column, now: Column) -> Column:
     return F.when(last_sent.isNull() | (frequency == "immediate"), True).when(frequency == "daily", days >= 1).otherwise(days >= 7)
 
 
-def day_offset(day: Column, partition: list[str] | None = None) -> Column:
-    return F.datediff(day, F.min(day).over(W.partitionBy(*(partition or [F.lit(0)]))))
+def day_offsets(df: DataFrame, day: str, by: list[str] | None = None, name: str = "offset") -> DataFrame:
+    """``df`` with the days since the first day of its group (of the table without groups); numbers count as days already."""
+    kind = dict(df.dtypes)[day]
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return df.withColumn(name, F.col(day).cast("double"))
+    days = F.to_date(F.col(day))
+    first = df.groupBy(*[F.col(c).alias(f"_{c}") for c in by or []]).agg(F.min(days).alias("_first"))  # an aggregation, no window over the table
+    joined = df.join(first, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else df.crossJoin(F.broadcast(first))  # one row
+    return joined.withColumn(name, F.datediff(days, F.col("_first")).cast("double")).select(*df.columns, name)
 
 
 def horizon(days: Column) -> Column:

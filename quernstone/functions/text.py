@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -29,6 +30,12 @@ def fold_accents(c: Column) -> Column:
     return folded(c)
 
 
+def plain_words(c: Column) -> Column:
+    """Lower case, accents folded, other letters left out, everything else than ASCII letters and digits as one space."""
+    bare = F.regexp_replace(fold_accents(c), r"[^\x00-\x7F]", "")
+    return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
+
+
 def normalize_title(title: Column) -> Column:
     """For dedup: without accents and signs, lower case, single spaces; null below 10 characters."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold_accents(title)), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
@@ -161,3 +168,70 @@ def number_band(text: Column) -> Column:
     """The smallest and largest number written in a text."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
     return F.struct(F.array_min(numbers).alias("low"), F.array_max(numbers).alias("high"))
+
+
+def clean_email(value: Column) -> Column:
+    """Lower case without white space around; null unless it has one @ with a dotted name after it."""
+    bare = F.lower(F.trim(value))
+    return F.when(bare.rlike(r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"), bare)
+
+
+def highlight(text: Column, words: list[str], around: int = 80, marks: tuple[str, str] = ("<b>", "</b>")) -> Column:
+    """The stretch of a text around the first of the words, which is marked, in any case; the start of the text without one."""
+    words = [w for w in words if w]
+    if not words:
+        return excerpt(text, 2 * around)
+    pattern = "(?i)(" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
+    at = F.array_min(F.filter(F.array(*[F.locate(w.lower(), F.lower(text)) for w in words]), lambda x: x > 0))
+    start = F.greatest(F.lit(1), at - around)
+    part = F.substring(text, start, F.lit(2 * around))
+    cut = F.concat(F.when(start > 1, "…").otherwise(""), part, F.when(F.length(text) >= start + 2 * around, "…").otherwise(""))
+    return F.when(at.isNull(), excerpt(text, 2 * around)).otherwise(F.regexp_replace(cut, F.lit(pattern), F.lit(f"{marks[0]}$1{marks[1]}")))
+
+
+def as_fraction(value: Column, other: Column | None = None) -> Column:
+    """A share that may be written in per cent: divided by 100 if it, or the one it belongs with, is above 1."""
+    percent = value > 1 if other is None else (value > 1) | (other > 1)
+    return F.when(percent, value / 100).otherwise(value)
+
+
+def valid_ids(ids: Column, known: Column) -> Column:
+    """Of an array of texts, the whole numbers that are known, each once, in their order."""
+    numbers = F.transform(ids, lambda x: F.trim(x).try_cast("long"))
+    return F.array_distinct(F.filter(numbers, lambda x: x.isNotNull() & F.array_contains(known, x)))
+
+
+#: The keys that an extracted record of population, intervention, comparator and outcome has to have.
+PICO_KEYS = ("P", "I", "C", "O", "study_design", "pico_confidence")
+
+
+def pico(payload: Column) -> Column:
+    """The fields of an extracted JSON record; null unless it parses and has all PICO_KEYS (their values may be null).
+
+    A confidence that is missing counts as 0.5, notes as empty.
+    """
+    keys = F.json_object_keys(payload)
+    whole = F.size(F.array_except(F.array(*map(F.lit, PICO_KEYS)), F.coalesce(keys, F.array().cast("array<string>")))) == 0
+    x = F.from_json(payload, "P string, I string, C string, O string, study_design string, pico_confidence double, pico_notes string")
+    fields = [x[k].alias(k) for k in PICO_KEYS[:-1]]
+    return F.when(whole, F.struct(*fields, F.coalesce(x["pico_confidence"], F.lit(0.5)).alias("pico_confidence"), F.coalesce(x["pico_notes"], F.lit("")).alias("pico_notes")))
+
+
+#: Words of each kind of evidence signal; the vocabulary is this library's own.
+SIGNALS = {
+    "demand": ["demand", "attendance", "admissions", "calls", "surge"], "resource": ["ambulance", "beds", "staff", "ventilator", "capacity"],
+    "intervention": ["vaccin", "quarantine", "isolation", "screening", "training"], "horizon": ["forecast", "short-term", "long-term", "nowcast"],
+    "crisis": ["outbreak", "pandemic", "disaster", "emergency", "heatwave"], "border": ["cross-border", "border", "frontier"],
+}
+
+
+def evidence_signals(text: Column) -> Column:
+    """By kind of signal, the words that a text holds, in any case."""
+    low = F.lower(text)
+    return F.struct(*[F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)).alias(kind) for kind, words in SIGNALS.items()])
+
+
+def evidence_strength(signals: Column, high: int = 3, some: int = 1) -> Column:
+    """strong, moderate or weak, by how many kinds of signal there are."""
+    kinds = sum(((F.size(signals[k]) > 0).cast("int") for k in SIGNALS), F.lit(0))
+    return F.when(kinds >= high, "strong").when(kinds >= some, "moderate").otherwise("weak")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import saved
 
 
 def canonical_by(df: DataFrame, key: Column, id_: str = "doc_id") -> DataFrame:
@@ -39,51 +39,59 @@ def exact_groups(df: DataFrame, doi: str = "doi", pmid: str = "pmid", title: str
     return found
 
 
+#: Length of the pieces that title candidates are found by.
+GRAM = 3
+
+
+def similar_titles(titles: DataFrame, ratio: float = 0.92, gap: float = 0.15) -> DataFrame:
+    """Distinct titles (id, t) -> pairs (a < b) with the same first word, like lengths and a distance of at most (1 - ratio) of the longer.
+
+    With k edits at most k * GRAM pieces of a title can be lost, so two such titles share
+    one of their k * GRAM + 1 rarest pieces: those alone are joined, no block is compared
+    pair by pair, and a first word that very many titles have makes no large group.
+    """
+    rows = titles.select("id", "t", F.split("t", " ")[0].alias("word"), F.length("t").alias("n"))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - (GRAM - 1))), lambda i: F.substring(F.col("t"), i, F.lit(GRAM)))
+    grams = rows.select("id", "word", "n", F.posexplode(pieces).alias("at", "gram"))
+    grams = grams.withColumn("nth", F.row_number().over(W.partitionBy("id", "gram").orderBy("at"))).drop("at")
+    common = grams.groupBy("gram", "nth").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("held", "gram", "nth"))
+    lost = F.floor(F.col("n") * ((1 - ratio) / ratio) + 1e-9) * GRAM  # by the most edits that any partner allows
+    keys = grams.join(common, ["gram", "nth"]).withColumn("rank", rank).filter(F.col("rank") <= lost + 1).select("word", "gram", "nth", "id", "n")
+    left, right = (keys.select("word", "gram", "nth", F.col("id").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
+    near = F.abs(F.col("n_a") - F.col("n_b")) <= F.least(F.lit(gap), F.lit(1 - ratio)) * F.greatest("n_a", "n_b") + 1e-9
+    pairs = left.join(right, ["word", "gram", "nth"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    text = lambda k: titles.select(F.col("id").alias(k), F.col("t").alias(f"t_{k}"))
+    both = pairs.join(text("a"), "a").join(text("b"), "b")
+    most = F.floor((1 - ratio) * F.greatest(F.length("t_a"), F.length("t_b")) + 1e-9)
+    return both.filter(F.levenshtein("t_a", "t_b") <= most).select("a", "b")
+
+
 def fuzzy_groups(df: DataFrame, title: str = "title", id_: str = "id", ratio: float = 0.92, gap: float = 0.15) -> DataFrame:
     """Rows (id, group_id): groups of titles alike, each anchored at its first free document.
 
-    Titles meet only within a block: the same first word and word count band is not
-    enough, so the block is the first word and lengths are compared inside it.  The
-    grouping is greedy in order of id, so a block is one group of a pandas function.
+    In order of id, a document that no anchor has taken yet becomes an anchor and takes
+    all free ones that are like it.  So a document is an anchor once all smaller ones like
+    it are taken, and is taken by the smallest anchor like it: rounds of joins over the
+    pairs decide that for all documents side by side.  Equal titles go as one.
     """
     rows = df.select(F.col(id_).cast("long").alias("id"), T.normalize_title(F.col(title)).alias("t")).filter("t is not null")
-    rows = rows.withColumn("word", F.split("t", " ")[0])
-
-    def greedy(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("id")
-        titles, ids, free, out = block.t.tolist(), block.id.tolist(), [True] * len(block), []
-        for i, anchor in enumerate(titles):
-            if not free[i]:
-                continue
-            members = [i]
-            for j in range(i + 1, len(titles)):
-                longer = max(len(anchor), len(titles[j]))
-                if free[j] and abs(len(anchor) - len(titles[j])) <= gap * longer and _within(anchor, titles[j], int((1 - ratio) * longer + 1e-9)):
-                    members.append(j)
-            if len(members) > 1:
-                for j in members:
-                    free[j] = False
-                    out.append((ids[j], ids[i]))
-        return pd.DataFrame(out, columns=["id", "group_id"])
-
-    return rows.groupBy("word").applyInPandas(greedy, "id long, group_id long")
-
-
-def _within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``; only a band around the diagonal is filled."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        diagonal, row[0] = row[0], i
-        if low > 1:
-            diagonal, row[low - 1] = row[low - 1], most + 1
-        for j in range(low, high + 1):
-            diagonal, row[j] = row[j], min(diagonal + (x != b[j - 1]), row[j] + 1 if j < i + most else most + 1, row[j - 1] + 1)
-        if min(row[low - 1 : high + 1]) > most:
-            return False
-    return row[len(b)] <= most
+    same = saved(rows.groupBy("t").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")))
+    pairs = saved(similar_titles(same.select("id", "t"), ratio, gap))
+    state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("is", F.lit("open"))
+    while True:
+        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("is").alias("of")), "a").groupBy("b")
+        seen = seen.agg(F.bool_or(F.col("of") == "anchor").alias("near"), F.bool_and(F.col("of") == "taken").alias("free"))
+        now = F.when(F.col("is") != "open", F.col("is")).when(F.col("near"), "taken").when(F.coalesce("free", F.lit(True)), "anchor").otherwise("open")
+        state = saved(state.join(seen, F.col("id") == F.col("b"), "left").select("id", now.alias("is")))
+        if not state.filter("is = 'open'").limit(1).count():
+            break
+    anchors = state.filter("is = 'anchor'").select(F.col("id").alias("a"))
+    members = pairs.join(anchors, "a").groupBy("b").agg(F.min("a").alias("group_id"))
+    members = members.join(state.filter("is = 'taken'").select(F.col("id").alias("b")), "b").select(F.col("b").alias("id"), "group_id")
+    placed = members.unionByName(members.select("group_id").distinct().select(F.col("group_id").alias("id"), "group_id"))
+    out = same.join(placed, "id", "left").filter((F.size("ids") > 1) | F.col("group_id").isNotNull())
+    return out.select(F.explode("ids").alias("id"), F.coalesce("group_id", "id").alias("group_id"))
 
 
 def quality_score(has_fulltext: Column, abstract: Column, citations: Column, doi: Column, authors: Column, journal: Column, year: Column) -> Column:

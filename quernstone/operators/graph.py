@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
+from ..session import saved
 
 #: A knowledge graph is drawn of this many nodes at most; more are an error, not a sample.
 NODES = 400
@@ -30,20 +32,48 @@ def degrees(nodes: DataFrame, edges: DataFrame, key: str = "vec_id") -> DataFram
     return nodes.select(key).join(ends, key, "left").select(key, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, key: str = "vec_id", rounds: int = 20) -> DataFrame:
-    """Connected groups (key, community), by the smallest key that each node hears of; the graph is small (see NODES)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = nodes.select(F.col(key).alias("id"), F.col(key).alias("label"))
-    before = None
-    for _ in range(rounds):
+def communities(nodes: DataFrame, edges: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Connected groups (key, community), by the smallest key that a node reaches over any number of edges.
+
+    Each round a node takes the smallest label of its neighbours, and then the label of
+    that label, so a path of n nodes takes about log n rounds; it ends when no label moves.
+    """
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = saved(nodes.select(F.col(key).alias("id"), F.col(key).alias("label")))
+    while True:
         heard = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("heard"))
-        label = label.join(heard, label.id == heard.a, "left").select("id", F.least("label", F.coalesce("heard", "label")).alias("label"))
-        label = label.sparkSession.createDataFrame(label.collect(), label.schema)  # at most NODES rows
-        now = label.agg(F.sum("label")).first()[0]
-        if now == before:
-            break
-        before = now
-    return label.select(F.col("id").alias(key), F.col("label").alias("community"))
+        now = label.join(heard, label.id == heard.a, "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("label"))
+        up = now.select(F.col("id").alias("of"), F.col("label").alias("higher"))
+        now = saved(now.join(up, now.label == up.of, "left").select("id", "was", F.least("label", F.coalesce("higher", "label")).alias("label")))
+        label = now.select("id", "label")
+        if not now.filter("was <> label").limit(1).count():
+            return label.select(F.col("id").alias(key), F.col("label").alias("community"))
+
+
+def convex_hull(points: DataFrame, group: str, x: str = "x", y: str = "y", parts: int = 64) -> DataFrame:
+    """The corners (group, place, x, y) of each group's convex hull, counter-clockwise from the leftmost; inner and collinear points go.
+
+    A group is dealt into parts whose hulls are taken first, so only corners of parts meet in one task.
+    """
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        found = sorted(set(zip(part["x"].tolist(), part["y"].tolist())))
+        if len(found) > 2:
+            corners = []
+            for order in (found, found[::-1]):
+                chain: list[tuple[float, float]] = []
+                for p in order:
+                    while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                        chain.pop()
+                    chain.append(p)
+                corners += chain[:-1]
+            found = corners
+        return pd.DataFrame({group: part[group].iloc[0], "place": range(len(found)), "x": [p[0] for p in found], "y": [p[1] for p in found]})
+
+    out = f"{group} {dict(points.dtypes)[group]}, place int, x double, y double"
+    rows = points.select(group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    local = rows.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.lit(parts))).groupBy(group, "_part").applyInPandas(walk, out)
+    return local.groupBy(group).applyInPandas(walk, out)
 
 
 def clusters(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 42, noise: float = 2.5) -> DataFrame:

@@ -8,9 +8,10 @@ import re
 import unicodedata
 from functools import reduce
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, OneHotEncoderModel, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -62,24 +63,36 @@ def estimator(family: str, task: str, target: str, n_features: int = 1, seed: in
 
 
 def preprocessing(df: DataFrame, features: list[str]) -> tuple[list, list[str]]:
-    """Median and scale for numbers, mode-like index and one-hot for texts; unseen values get a place of their own."""
+    """Median and scale for numbers; the most frequent value for texts without one, then one-hot; unseen values get a place of their own."""
     numeric = [f for f, t in df.dtypes if f in features and t not in ("string", "boolean")]
     texts = [f for f in features if f not in numeric]
     stages: list = []
     if numeric:
         stages += [Imputer(strategy="median", inputCols=numeric, outputCols=[f"_i_{f}" for f in numeric]), VectorAssembler(inputCols=[f"_i_{f}" for f in numeric], outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
+    if texts:
+        modes = df.agg(*[F.mode(F.col(f).cast("string"), True).alias(f) for f in texts]).first()
+        filled = ", ".join(f"coalesce(cast(`{f}` as string), '{_quoted(modes[f])}') AS `_m_{f}`" for f in texts if modes[f] is not None)
+        stages += [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")] if filled else []
     for f in texts:
-        stages += [StringIndexer(inputCol=f, outputCol=f"_x_{f}", handleInvalid="keep"), OneHotEncoder(inputCol=f"_x_{f}", outputCol=f"_h_{f}")]
+        source = f"_m_{f}" if modes[f] is not None else f
+        stages += [StringIndexer(inputCol=source, outputCol=f"_x_{f}", handleInvalid="keep"), OneHotEncoder(inputCol=f"_x_{f}", outputCol=f"_h_{f}")]
     return [*stages, VectorAssembler(inputCols=(["_scaled"] if numeric else []) + [f"_h_{f}" for f in texts], outputCol="features")], numeric
 
 
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def holdout(df: DataFrame, order: str | None, key: str, share: float = 0.2, stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Train and test: the last rows by time, or a stable hash of the key, within each class if asked."""
     if order:
         cut = df.select(F.percentile(F.col(order).cast("timestamp").cast("double") if dict(df.dtypes)[order] in ("date", "timestamp") else F.col(order).cast("double"), 1 - share)).first()[0]
         value = F.col(order).cast("timestamp").cast("double") if dict(df.dtypes)[order] in ("date", "timestamp") else F.col(order).cast("double")
         return df.filter(value <= cut), df.filter(value > cut)
-    test = F.pmod(F.xxhash64(key, *([stratify] if stratify else [])), F.lit(1000)) < int(1000 * share)
+    if stratify:  # an even part of each class
+        dealt = folds(df, "stratified", max(2, round(1 / share)), key, stratify)
+        return dealt.filter("fold > 0").drop("fold"), dealt.filter("fold = 0").drop("fold")
+    test = F.pmod(F.xxhash64(key), F.lit(1000)) < int(1000 * share)
     return df.filter(~test), df.filter(test)
 
 
@@ -95,16 +108,53 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, group: list[s
 
 
 def classification_metrics(df: DataFrame, actual: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """accuracy, f1, area under ROC (by average ranks) and class shares of a 0/1 target."""
+    """accuracy, f1, area under ROC (by average ranks), average precision and share of positives of a 0/1 target."""
     y, hit = F.col(actual).cast("int"), (F.col(score) >= threshold).cast("int")
-    by_score = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = by_score.withColumn("rank", below + (F.col("n") + 1) / 2).agg(F.sum(F.col("pos") * F.col("rank")).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("all"))
-    auc = ranks.select(((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / F.when((F.col("p") > 0) & (F.col("all") > F.col("p")), F.col("p") * (F.col("all") - F.col("p")))).alias("roc_auc"))
+    by_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
+    sums = _running(by_score, F.col("s"), ["n", "pos"])  # below each score
+    total = sums.agg(F.sum("n").alias("all"), F.sum("pos").alias("p"))
+    sums = sums.crossJoin(F.broadcast(total))  # one row
+    precision = (F.col("p") - F.col("pos_before")) / (F.col("all") - F.col("n_before"))
+    ranks = sums.agg(F.first("all").alias("all"), F.first("p").alias("p"), F.sum(F.col("pos") * (F.col("n_before") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum(F.col("pos") * precision).alias("ap"))
+    mixed = (F.col("p") > 0) & (F.col("all") > F.col("p"))
+    auc = ranks.select(
+        ((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / F.when(mixed, F.col("p") * (F.col("all") - F.col("p")))).alias("roc_auc"),
+        (F.col("ap") / F.when(F.col("p") > 0, F.col("p"))).alias("average_precision"),
+    )
     tp, fp, fn = F.count_if((y == 1) & (hit == 1)), F.count_if((y == 0) & (hit == 1)), F.count_if((y == 1) & (hit == 0))
     return df.agg(F.count("*").alias("n"), F.avg((y == hit).cast("int")).alias("accuracy"), (2 * tp / F.when(2 * tp + fp + fn > 0, 2 * tp + fp + fn)).alias("f1"), F.avg(y).alias("positive_share")).crossJoin(auc)  # one row each
 
 
+#: The metric that a run is tuned by.
+SCORERS = {REGRESSION: {"rmse": "rmse", "mae": "mae", "r2": "r2"}, CLASSIFICATION: {"accuracy": "accuracy", "average_precision": "average_precision", "roc_auc": "roc_auc"}}
+
+
+def scorer(metric: str | None, task: str, n_classes: int = 2) -> tuple[str, bool]:
+    """The metric to tune by and whether larger is better; the task's own (rmse, area under ROC) for unknown ones.
+
+    Average precision is for two classes only.
+    """
+    name = SCORERS[CLASSIFICATION if task == CLASSIFICATION else REGRESSION].get((metric or "").strip().lower())
+    if task == CLASSIFICATION:
+        name = "roc_auc" if name is None or (name == "average_precision" and n_classes > 2) else name
+    name = name or "rmse"
+    return name, name not in LOWER_IS_BETTER
+
+
+def positive_class(values: list[str], wanted: str | None = None) -> str | None:
+    """The class that counts as positive: the wanted one (in any case), else a usual name for it, else the last in order."""
+    known = sorted({str(v) for v in values})
+    by_name = {v.strip().lower(): v for v in known}
+    for name in ([wanted.strip().lower()] if wanted else []) + list(POSITIVE):
+        if name in by_name:
+            return by_name[name]
+    return known[-1] if known else None
+
+
+#: Usual names of a positive class.
+POSITIVE = ("1", "1.0", "true", "yes", "oui", "positive", "case", "event", "high")
+
+
 def prepared(df: DataFrame, target: str, features: list[str], task: str, key: str, order: str | None, positive: str | None = None) -> tuple[DataFrame, str, list[str], str | None]:
     """Rows with a target, its name, the features' names and the positive class; classes become 0 and 1 with weights."""
     keep = [F.col(c) for c in {key, *([order] if order else [])} if c in df.columns]
@@ -112,7 +162,10 @@ def prepared(df: DataFrame, target: str, features: list[str], task: str, key: st
     data = df.select(*keep, F.col(f"`{_column(df, target)}`").alias(y), *[F.col(f"`{_column(df, f)}`").alias(slug(f)) for f in features if slug(f) in {slug(c) for c in df.columns} and slug(f) not in (key, order)]).dropna(subset=[y])
     xs = [x for x in xs if x in data.columns]
     if task == CLASSIFICATION:
-        positive = positive if positive is not None else data.agg(F.max(F.col(y).cast("string"))).first()[0]
+        counts = {str(r[0]): r[1] for r in data.groupBy(y).count().limit(1001).collect()}
+        if len(counts) < 2 or len(counts) > 1000 or min(counts.values()) < 2:
+            raise ValueError("a class target has two to a thousand classes with two rows each")
+        positive = positive_class(list(counts), positive)
         data = data.withColumn(y, (F.col(y).cast("string") == positive).cast("double"))
         share = data.agg(F.avg(y)).first()[0] or 0.0
         data = data.withColumn("_weight", F.when(F.col(y) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
@@ -126,12 +179,13 @@ def train(df: DataFrame, target: str, features: list[str], task: str = REGRESSIO
     if rows < least:
         raise ValueError(f"{rows} rows; {least} are needed")
     used = family_for(family, task)
-    stages, _ = preprocessing(data, xs)
+    stages, numeric = preprocessing(data, xs)
     fit, test = holdout(data, order, key if key in data.columns else xs[0], stratify=y if task == CLASSIFICATION else None)
     model = Pipeline(stages=[*stages, estimator(used, task, y, len(xs), **params)]).fit(fit)
     scored = score(model, test, task)
     metrics = (regression_metrics(scored, y, "score") if task == REGRESSION else classification_metrics(scored, y, "score")).first().asDict()
-    return {"model": model, "family": family, "method": used, "metrics": metrics, "n": rows, "target": y, "features": xs, "positive": positive, "warnings": guardrails(data, y, xs, task)}
+    top, by_variable = importances(model, xs, numeric)
+    return {"model": model, "family": family, "method": used, "metrics": metrics, "importances": top, "importances_by_variable": by_variable, "n": rows, "target": y, "features": xs, "positive": positive, "warnings": guardrails(data, y, xs, task)}
 
 
 def _column(df: DataFrame, name: str) -> str:
@@ -146,11 +200,24 @@ def score(model: PipelineModel, df: DataFrame, task: str) -> DataFrame:
     return out.withColumn("score", vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction"))
 
 
-def guardrails(df: DataFrame, target: str, features: list[str], task: str) -> list[str]:
-    """Features that give the target away, and rare classes."""
+def class_shares(df: DataFrame, target: str) -> DataFrame:
+    """Rows and share of each class, and whether it is rare (below a tenth)."""
+    by = df.filter(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("class")).agg(F.count("*").alias("n"))
+    share = F.col("n") / F.col("all")
+    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("all")))).select("class", "n", share.alias("share"), (share < 0.1).alias("rare"))  # one row
+
+
+def guardrails(df: DataFrame, target: str, features: list[str], task: str, leak: float = 0.999) -> list[str]:
+    """Features that give the target away (by correlation, or by their own area under ROC), and rare classes."""
     numeric = [c for c, t in df.dtypes if c in features and t in ("int", "bigint", "double", "float")]
     row = df.agg(F.lit(1), *[F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(c) for c in numeric]).first()
-    out = [f"leak: {c}" for c in numeric if row[c] is not None and row[c] >= 0.999]
+    found = {c: row[c] for c in numeric if row[c] is not None and row[c] >= leak}
+    if task == CLASSIFICATION:
+        for c in numeric:
+            auc = classification_metrics(df.filter(F.col(c).isNotNull()), target, c).first()["roc_auc"]
+            if c not in found and auc is not None and max(auc, 1 - auc) >= leak:
+                found[c] = max(auc, 1 - auc)
+    out = [f"leak: {c}" for c in numeric if c in found]
     if task == CLASSIFICATION:
         share = df.agg(F.avg(target)).first()[0] or 0.0
         out += [f"rare class: {min(share, 1 - share):.3f}"] if min(share, 1 - share) < 0.1 else []
@@ -159,22 +226,53 @@ def guardrails(df: DataFrame, target: str, features: list[str], task: str) -> li
 
 def leaderboard(runs: DataFrame, metric: str) -> DataFrame:
     """Rank of each run; smaller is better for errors, failed runs come last without a rank."""
-    value = F.col(metric) if metric in LOWER_IS_BETTER else -F.col(metric)
-    rank = F.row_number().over(W.orderBy(value.asc_nulls_last(), "family"))
-    return runs.withColumn("rank", F.when(F.col(metric).isNotNull(), rank))
+    value = F.col(metric).cast("double") * (1 if metric in LOWER_IS_BETTER else -1)
+    known = runs.filter(F.col(metric).isNotNull())
+    placed = _ranked(known, [], _bucket(known, value), [value, "family"]).withColumn("rank", (F.col("_rank") + 1).cast("int")).drop("_rank")
+    return placed.unionByName(runs.filter(F.col(metric).isNull()).withColumn("rank", F.lit(None).cast("int")))
 
 
 def compare(df: DataFrame, target: str, features: list[str], families: list[str], task: str = REGRESSION, metric: str = "rmse", **given) -> DataFrame:
+    """A leaderboard of families; one that can't be trained on these rows is listed with the reason."""
     rows = []
     for f in families:
         try:
             got = train(df, target, features, task, f, **given)
             rows.append((f, got["method"], got["metrics"].get(metric), None))
-        except Exception as e:  # a run that fails is listed as such
+        except (ValueError, AnalysisException, IllegalArgumentException) as e:
             rows.append((f, family_for(f, task), None, str(e)[:200]))
     return leaderboard(df.sparkSession.createDataFrame(rows, f"family string, method string, {metric} double, error string"), metric)
 
 
+def _vectors(model: PipelineModel, features: list[str], numeric: list[str]) -> list[tuple[str, str]]:
+    """(variable, name) of each place of the feature vector: numbers first, then a place for each level of a text."""
+    out = [(f, f) for f in features if f in numeric]
+    indexers = {m.getOutputCol().removeprefix("_x_"): m for m in model.stages if isinstance(m, StringIndexerModel)}
+    encoders = {m.getInputCol(): m for m in model.stages if isinstance(m, OneHotEncoderModel)}
+    for f in features:
+        if f in indexers:
+            places = encoders[f"_x_{f}"].categorySizes[0] - 1
+            levels = [*indexers[f].labels, "other"][:places]
+            out += [(f, f"{f}={level}") for level in levels]
+    return out
+
+
+def importances(model: PipelineModel, features: list[str], numeric: list[str], top: int = 20) -> tuple[list[tuple[str, float]], dict[str, float]]:
+    """The places of the feature vector that weigh most, and the share of each variable (they sum to 1; all zero without any weight).
+
+    Weights are a tree family's importances or the size of a linear one's coefficients; other families have none.
+    """
+    last = model.stages[-1]
+    weights = getattr(last, "featureImportances", None)
+    weights = weights if weights is not None else getattr(last, "coefficients", None)
+    if weights is None:
+        return [], {}
+    named = [(v, name, abs(float(w))) for (v, name), w in zip(_vectors(model, features, numeric), weights.toArray())]
+    total = sum(w for *_, w in named) or 1.0
+    by = {f: sum(w for v, _, w in named if v == f) / total for f in features}
+    return sorted(((name, w) for _, name, w in named), key=lambda x: (-x[1], x[0]))[:top], by
+
+
 #: By family, range (and scale) of each tuned parameter.
 SPACES: dict[str, dict[str, tuple]] = {
     "gradient_boosting": {"maxIter": (50, 300, "int"), "stepSize": (0.01, 0.3, "log"), "maxDepth": (2, 5, "int")},
@@ -215,6 +313,23 @@ def _ranked(df: DataFrame, by: list[str], bucket: Column, order: list[Column | s
     return rows.withColumn("_rank", within).join(before, [*by, "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_before")
 
 
+def _bucket(df: DataFrame, value: Column, buckets: int = 256) -> Column:
+    """About equal stretches of a value's range, as numbers in its order; nulls are in the first."""
+    cuts = df.select(value.alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < value)), F.lit(0)) if cuts else F.lit(0)
+
+
+def _running(df: DataFrame, order: Column, columns: list[str]) -> DataFrame:
+    """``df`` with, for each column c, c_before: its sum over the rows before, in two levels so that no task has all rows."""
+    rows = df.withColumn("_bucket", _bucket(df, order))
+    within = W.partitionBy("_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in columns])  # a few hundred rows
+    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(F.col("_bucket"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    rows = rows.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}).join(totals, "_bucket")
+    return rows.select(*df.columns, *[(F.col(f"_{c}") + F.col(f"_in_{c}")).alias(f"{c}_before") for c in columns])
+
+
 def folds(df: DataFrame, strategy: str, k: int, key: str, label: str | None = None, order: str | None = None, buckets: int = 256) -> DataFrame:
     """``df`` with fold, an int from 0: by a hash of the key (kfold), evenly within each class (stratified), or by time (timeseries).
 
@@ -229,15 +344,13 @@ def folds(df: DataFrame, strategy: str, k: int, key: str, label: str | None = No
         return rows.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
     rows = df.filter(F.col(order).isNotNull())
     time = F.unix_micros(F.col(order).cast("timestamp")).cast("double") if dict(df.dtypes)[order].startswith(("date", "timestamp")) else F.col(order).cast("double")
-    cuts = rows.select(time.alias("t")).approxQuantile("t", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < time)) if cuts else F.lit(0)
-    rows, size = _ranked(rows, [], bucket, [order, key]), max(1, rows.count() // (k + 1))
+    rows, size = _ranked(rows, [], _bucket(rows, time, buckets), [order, key]), max(1, rows.count() // (k + 1))
     start = F.lit(rows.count() - k * size)
     return rows.withColumn("fold", F.greatest(F.floor((F.col("_rank") - start) / size), F.lit(-1)).cast("int")).drop("_rank")
 
 
 def cross_validate(df: DataFrame, target: str, features: list[str], task: str = REGRESSION, family: str = "linear", key: str = "id", order: str | None = None, k: int = 5, strategy: str | None = None, positive: str | None = None, **params) -> dict[str, float]:
-    """Metrics as means over the folds; classes are stratified unless asked otherwise."""
+    """Metrics as means over the folds, and their population deviations as ``<metric>_std``; classes are stratified unless asked otherwise."""
     data, y, xs, _ = prepared(df, target, features, task, key, order, positive)
     strategy = strategy or ("stratified" if task == CLASSIFICATION else "kfold")
     data = folds(data, strategy, k, key, y, order)
@@ -249,7 +362,16 @@ def cross_validate(df: DataFrame, target: str, features: list[str], task: str =
         scored = score(model, data.filter(F.col("fold") == i), task)
         got.append((regression_metrics(scored, y, "score") if task == REGRESSION else classification_metrics(scored, y, "score")).first().asDict())
     known = {m: [g[m] for g in got if g[m] is not None] for m in got[0] if m != "n"}
-    return {m: sum(v) / len(v) for m, v in known.items() if v}
+    mean = {m: sum(v) / len(v) for m, v in known.items() if v}
+    return mean | {f"{m}_std": math.sqrt(sum((x - mean[m]) ** 2 for x in v) / len(v)) for m, v in known.items() if v}
+
+
+def unstable(cv: dict[str, float], metric: str, most: float = 0.25) -> str | None:
+    """A warning if a metric's deviation over the folds is more than ``most`` of its mean."""
+    mean, sd = cv.get(metric), cv.get(f"{metric}_std")
+    if mean is None or sd is None or abs(mean) < 1e-12 or sd / abs(mean) <= most:
+        return None
+    return f"unstable {metric}: {sd / abs(mean):.2f}"
 
 
 def tune(df: DataFrame, target: str, features: list[str], task: str = REGRESSION, family: str = "gradient_boosting", trials: int = 25, metric: str = "rmse", seed: int = 42, **given) -> dict:
@@ -263,8 +385,11 @@ def tune(df: DataFrame, target: str, features: list[str], task: str = REGRESSION
     return best
 
 
-def bootstrap_ci(df: DataFrame, actual: str, predicted: str, key: str, rounds: int = 300, metric: str = "rmse") -> DataFrame:
-    """95 % interval of a metric over Poisson-weighted resamples of the rows (weights follow a hash of key and round)."""
+def bootstrap_ci(df: DataFrame, actual: str, predicted: str, key: str, rounds: int = 300, metric: str = "rmse", least: int = 20, least_rounds: int = 30) -> DataFrame:
+    """95 % interval of a metric over Poisson-weighted resamples of the rows (weights follow a hash of key and round).
+
+    Null below the least number of rows or of resamples with a value.
+    """
     u = lambda r: (F.pmod(F.xxhash64(key, r), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cuts, total, term = [], 0.0, 0.36787944117144233
     for k in range(6):
@@ -276,7 +401,9 @@ def bootstrap_ci(df: DataFrame, actual: str, predicted: str, key: str, rounds: i
     rows = rows.withColumn("u", u(F.col("round"))).withColumn("w", weight)
     error = F.col("y") - F.col("p")
     value = F.sqrt(F.sum(F.col("w") * error * error) / F.sum("w")) if metric == "rmse" else F.sum(F.col("w") * F.abs(error)) / F.sum("w")
-    return rows.groupBy("round").agg(value.alias("value")).agg(F.count("value").alias("rounds"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+    got = rows.groupBy("round").agg(value.alias("value"), F.count("*").alias("n")).agg(F.count("value").alias("rounds"), F.max("n").alias("n"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+    enough = (F.col("n") >= least) & (F.col("rounds") >= least_rounds)
+    return got.select("rounds", *[F.when(enough, F.col(c)).alias(c) for c in ("low", "high")])
 
 
 def explain(model: PipelineModel, df: DataFrame, features: list[str], task: str, key: str) -> DataFrame:

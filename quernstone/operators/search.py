@@ -33,7 +33,7 @@ def lexical(df: DataFrame, terms: list[str], text: str = "text", name: str = "le
     The two totals per term come from one aggregation of one row, which is joined back.
     """
     terms = sorted({t.lower() for t in terms if t})
-    rows = df.withColumn("_tf", F.array(*term_counts(F.col(text), terms)))
+    rows = df.withColumn("_tf", F.array(*term_counts(F.col(text), terms)))  # lower-cased once: the optimizer shares the expression
     totals = rows.agg(F.count("*").alias("_n"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms))]).alias("_df"))
     rows = rows.crossJoin(F.broadcast(totals))  # one row
     parts = F.zip_with("_tf", "_df", lambda tf, d: F.when(d > 0, F.ln(1 + tf) * F.ln(1 + F.col("_n") / d)).otherwise(0.0))

@@ -43,12 +43,6 @@ def dedup_exact_min_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedup_title_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of ASCII titles that are equal after normalisation."""
-    rows = _docs(spark, sf).select("doc_id", _title().alias("title")).filter(~F.col("title").rlike(r"[^\x00-\x7F]"))
-    return _title_groups(rows)
-
-
-def dedup_title_hash_all(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of titles in any script that are equal after normalisation, accents folded."""
     return _title_groups(_docs(spark, sf).select("doc_id", _title().alias("title")))
 
@@ -281,7 +275,7 @@ _MD = "md5(text)"
 _T1 = "split_part(text, chr(10), 1)"
 
 QUERIES = {f.__name__: f for f in (
-    filter_blank_ignored, membership_semi, membership_diff, dedup_exact_min_id, dedup_title_hash, dedup_title_hash_all, dedup_impact, dedup_soft, dedup_fuzzy_block,
+    filter_blank_ignored, membership_semi, membership_diff, dedup_exact_min_id, dedup_title_hash, dedup_impact, dedup_soft, dedup_fuzzy_block,
     quality_score, canonical_pick, survivorship, chunk_rows, chunk_structured, chunk_keep_one, legacy_partition, prisma_funnel, screening_progress,
     cohen_kappa, agreement_matrix, corpus_stats_heatmap, fulltext_coverage, embedding_status, filter_options, null_profile, evidence_summary,
     keyword_classifier, doc_tags, section_weight, token_counts, title_norms, identifier_forms, inverted_index_text, insert_new, update_from,
@@ -307,7 +301,7 @@ SQL = {
     "membership_semi": "SELECT lang, count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) GROUP BY lang",
     "membership_diff": "WITH a AS (SELECT DISTINCT source, doc_id FROM documents WHERE n_chars > 1000), b AS (SELECT DISTINCT source, d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id), x AS (SELECT coalesce(a.source, b.source) AS source, a.doc_id AS a, b.doc_id AS b FROM a FULL JOIN b ON a.source = b.source AND a.doc_id = b.doc_id) SELECT source, count(a) AS n_a, count(b) AS n_b, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (WHERE b IS NULL) AS n_lost, count(*) FILTER (WHERE a IS NULL) AS n_gained, count(a) > 0 AND count(b) = 0 AS emptied FROM x GROUP BY source",
     "dedup_exact_min_id": f"SELECT * FROM ({_CANON}) WHERE canonical_id < doc_id",
-    "dedup_title_hash": f"WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower({_T1}), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents WHERE NOT regexp_matches({_T1}, '[^\\x00-\\x7F]')) SELECT md5(t) AS key, count(*) AS n, min(doc_id) AS canonical_id FROM t WHERE length(t) >= 10 GROUP BY t HAVING count(*) > 1",
+    "dedup_title_hash": f"WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower({_T1})), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents) SELECT md5(t) AS key, count(*) AS n, min(doc_id) AS canonical_id FROM t WHERE length(t) >= 10 GROUP BY t HAVING count(*) > 1",
     "dedup_impact": f"SELECT count(*) AS n_groups, coalesce(sum(n - 1), 0)::BIGINT AS n_removable FROM (SELECT count(*) AS n FROM documents GROUP BY {_MD} HAVING count(*) > 1)",
     "dedup_soft": f"WITH m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_MD}) AS a, min(doc_id) OVER (PARTITION BY source, {_T1}) AS b FROM documents) SELECT doc_id, CASE WHEN a < doc_id THEN a ELSE b END AS canonical_id FROM m WHERE a < doc_id OR b < doc_id",
     "quality_score": "SELECT doc_id, round(least(CASE WHEN n_chars > 2000 THEN 40.0 ELSE 0 END + CASE WHEN length(text) > 200 THEN 20.0 WHEN length(text) > 0 THEN 10.0 ELSE 0 END + least((doc_id % 300) / 10.0, 20.0) + CASE WHEN source <> '' THEN 5.0 ELSE 0 END + CASE WHEN lang <> '' THEN 5.0 ELSE 0 END + CASE WHEN 2010 + doc_id % 15 >= 2018 THEN 5.0 ELSE 0 END, 100.0)::DOUBLE, 4) AS score FROM documents",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpora, relational, retrieval, series
+from . import corpora, feeds, relational, retrieval, series, upkeep
 
-QUERIES = {**retrieval.QUERIES, **corpora.QUERIES, **series.QUERIES, **relational.QUERIES}
-SQL = {**retrieval.SQL, **corpora.SQL, **series.SQL, **relational.SQL}
+QUERIES = {**retrieval.QUERIES, **corpora.QUERIES, **series.QUERIES, **relational.QUERIES, **feeds.QUERIES, **upkeep.QUERIES}
+SQL = {**retrieval.SQL, **corpora.SQL, **series.SQL, **relational.SQL, **feeds.SQL, **upkeep.SQL}

@@ -104,13 +104,19 @@ def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
     return search.hybrid(docs, _TERMS, QUERY, first=None).select("doc_id", F.round("score", 5).alias("score"))
 
 
-def _hybrid_sql() -> str:
+def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """As hybrid_rank, with the feature's first stage: the 60 best by words alone are ranked again."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    return search.hybrid(docs, _TERMS, QUERY, first=60).select("doc_id", F.round("score", 5).alias("score"))
+
+
+def _hybrid_sql(first: str = "") -> str:
     tf = ", ".join(f"(length({_LOW}) - length(replace({_LOW}, '{t}', ''))) / {len(t)}.0 AS t{i}" for i, t in enumerate(sorted(_TERMS)))
     df = ", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS d{i}" for i in range(3))
     score = " + ".join(f"CASE WHEN d{i} > 0 THEN ln(1 + t{i}) * ln(1 + n::DOUBLE / d{i}) ELSE 0 END" for i in range(3))
     return (
         f"WITH v AS ({_VEC}), r AS (SELECT doc_id, e, q, {tf} FROM documents JOIN v ON vec_id = doc_id), d AS (SELECT count(*) AS n, {df} FROM r), "
-        f"s AS (SELECT doc_id, {score} AS lex, {_COS} AS c FROM r, d), f AS (SELECT * FROM s WHERE lex > 0) "
+        f"s AS (SELECT doc_id, {score} AS lex, {_COS} AS c FROM r, d), f AS (SELECT * FROM s WHERE lex > 0{first}) "
         "SELECT doc_id, round(0.5 * c + 0.5 * lex / (SELECT max(lex) FROM f), 5) AS score FROM f ORDER BY 0.5 * c + 0.5 * lex / (SELECT max(lex) FROM f) DESC, doc_id LIMIT 10"
     )
 
@@ -168,6 +174,7 @@ QUERIES = {
     "scenario_scores": scenario_scores,
     "lexical_rank": lexical_rank,
     "hybrid_rank": hybrid_rank,
+    "hybrid_rerank": hybrid_rerank,
     "knn_graph_degree": knn_graph_degree,
     "graph_communities": graph_communities,
     "cluster_vectors": cluster_vectors,
@@ -197,6 +204,7 @@ SQL = {
     "scenario_scores": f"WITH v AS ({_VEC}) SELECT label, count(*) AS n, round(avg({_COS}), 5) AS mean_similarity, round(max({_COS}), 5) AS best FROM v GROUP BY label",
     "lexical_rank": _lexical_sql(),
     "hybrid_rank": _hybrid_sql(),
+    "hybrid_rerank": _hybrid_sql(" ORDER BY lex DESC, doc_id LIMIT 60"),
     "knn_graph_degree": _EDGES.format(least=0.35) + ", d AS (SELECT unnest([a, b]) AS vec_id FROM x) SELECT v.vec_id, count(d.vec_id) AS degree FROM v LEFT JOIN d USING (vec_id) GROUP BY v.vec_id",
     "graph_communities": "WITH RECURSIVE " + _EDGES.format(least=0.5).removeprefix("WITH ") + ", y AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x), r(id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, y.b FROM r JOIN y ON y.a = r.seen) SELECT id AS vec_id, min(seen) AS community FROM r GROUP BY id",
     "label_neighbours": "WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i), m AS (SELECT label, list(m ORDER BY i) AS mean FROM p GROUP BY label), s AS (SELECT label, list_dot_product(embedding::DOUBLE[], mean) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(mean, mean))) AS s FROM embeddings JOIN m USING (label)) SELECT label, count(*) AS n, round(avg(s), 5) AS mean_similarity FROM s GROUP BY label",

@@ -138,7 +138,8 @@ def forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seir_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return epidemic.simulate(spark, {"r0": 2.5, "infectious_period_days": 7, "incubation_period_days": 4, "cfr": 0.01}, 200)
+    out = epidemic.simulate(spark, {"r0": 2.5, "infectious_period_days": 7, "incubation_period_days": 4, "cfr": 0.01}, 200)
+    return out.select("day", *[F.round(c, 1).alias(c) for c in ("incidence", "prevalence", "cumulative", "deaths", "susceptible", "exposed", "recovered")])
 
 
 def seir_ensemble_bands(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,12 +147,6 @@ def seir_ensemble_bands(spark: SparkSession, sf: str) -> DataFrame:
     return epidemic.ensemble(spark, {"r0": d(2.2, 1.8, 2.6), "infectious_period_days": d(6, 5, 7), "incubation_period_days": 3.0}, 120, 100)
 
 
-def seir_calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    truth = epidemic.simulate(spark, {"r0": 2.7, "infectious_period_days": 7.0, "incubation_period_days": 4.0}, 90).filter("day % 7 = 0").select("day", "incidence").collect()
-    got = epidemic.calibrate_r0([(r["day"], 0.3 * r["incidence"]) for r in truth], {"infectious_period_days": 7.0, "incubation_period_days": 4.0})
-    return spark.createDataFrame([(got["r0"],)], "r0 double").select(F.round("r0", 2).alias("r0"))
-
-
 def tumbling_events(spark: SparkSession, sf: str) -> DataFrame:
     return living_review.tumbling(_events(spark, sf), "ts", "1 hour", ["event_type"], [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")])
 
@@ -210,7 +205,7 @@ def living_review_all(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: _dated(f) for f in (
     hourly_to_daily, weekly_resample_mixed, weekly_outer_join, pivot_event_type, seasonal_harmonics, isoweek_dates, week_ends, digest_due, durbin_watson,
     corr_leakage, quantile_bands, weighted_pool, median_gap, error_metrics, class_metrics, leaderboard, monitor_level, bootstrap_ci, train_eval_regression,
-    forecast, seir_projection, seir_ensemble_bands, seir_calibrate, tumbling_events, sliding_events, session_events, living_review_increment,
+    forecast, seir_projection, seir_ensemble_bands, tumbling_events, sliding_events, session_events, living_review_increment,
     stratified_folds, expanding_folds, living_review_all,
 )}
 
@@ -222,6 +217,26 @@ def _week_mean(kind: str) -> str:
     return f"{kind}_d AS (SELECT ts::DATE AS d, avg(value) AS v FROM events WHERE event_type = '{kind}' GROUP BY 1), {kind} AS (SELECT {_WEEK.format('d')} AS week, avg(v) AS v FROM {kind}_d GROUP BY 1)"
 
 
+def _seir_sql(r0: float, infectious: float, incubation: float, cfr: float, days: int) -> str:
+    """The same integration as a recursive query: four Runge-Kutta steps a day, states as fractions of a million."""
+    beta, gamma, sigma = r0 / infectious, 1 / infectious, 1 / incubation
+    states = ("s", "e", "i", "r", "d", "c")
+    slope = {"s": "-{b}*{s}*{i}", "e": "{b}*{s}*{i} - {g2}*{e}", "i": "{g2}*{e} - {g}*{i}", "r": "(1 - {f})*{g}*{i}", "d": "{f}*{g}*{i}", "c": "{b}*{s}*{i}"}
+    fixed = {"b": f"{beta!r}::DOUBLE", "g": f"{gamma!r}::DOUBLE", "g2": f"{sigma!r}::DOUBLE", "f": f"{cfr!r}::DOUBLE"}
+
+    def stage(at: dict[str, str], k: int) -> str:
+        return ", ".join(f"{slope[x].format(**fixed, **at)} AS {x}{k}" for x in states)
+
+    sql, h = "SELECT * FROM t WHERE n < " + str(4 * days), 0.25
+    for k in range(1, 5):
+        before = {x: x if k == 1 else f"({x} + {h * (1.0 if k == 4 else 0.5)!r}::DOUBLE * {x}{k - 1})" for x in states}
+        sql = f"SELECT *, {stage(before, k)} FROM ({sql})"
+    step = ", ".join(f"greatest({x} + {h / 6!r}::DOUBLE * ({x}1 + 2 * {x}2 + 2 * {x}3 + {x}4), 0)" for x in states)
+    start = "0, 1 - 1e-5::DOUBLE, 0::DOUBLE, 1e-5::DOUBLE, 0::DOUBLE, 0::DOUBLE, 1e-5::DOUBLE"
+    named = {"incidence": f"{fixed['b']} * s * i", "prevalence": "i", "cumulative": "c", "deaths": "d", "susceptible": "s", "exposed": "e", "recovered": "r"}
+    return f"WITH RECURSIVE t(n, s, e, i, r, d, c) AS (SELECT {start} UNION ALL SELECT n + 1, {step} FROM ({sql})) SELECT (n // 4)::INT AS day, " + ", ".join(f"round({x} * 1e6, 1) AS {k}" for k, x in named.items()) + " FROM t WHERE n % 4 = 0"
+
+
 _DAY, _TIME = "strftime({0}, '%Y-%m-%d')", "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -231,6 +246,7 @@ def _texts(sql: str, days: tuple[str, ...] = (), times: tuple[str, ...] = ()) ->
 
 
 SQL = {
+    "seir_projection": _seir_sql(2.5, 7, 4, 0.01, 200),
     "hourly_to_daily": "SELECT strftime(ts, '%Y-%m-%d') AS date, round(avg(value), 4) AS v_mean, round(max(value), 4) AS v_max, round(min(value), 4) AS v_min, round(sum(value), 4) AS v_sum FROM events GROUP BY 1",
     "weekly_resample_mixed": f"WITH d AS (SELECT ts::DATE AS date, sum(value) AS p, avg(value) AS t, max(value) AS r FROM events GROUP BY 1), w AS (SELECT {_WEEK.format('date')} AS week, sum(p) AS p, avg(t) AS t, arg_max(r, date) AS r FROM d GROUP BY 1), {_CAL} SELECT week, round(coalesce(p, 0), 4) AS precip_sum, round(t, 4) AS temp_mean, round(r, 4) AS rsv_load FROM cal LEFT JOIN w USING (week)",
     "weekly_outer_join": f"WITH {_week_mean('click')}, {_week_mean('view')} SELECT coalesce(c.week, v.week) AS week, round(c.v, 4) AS click_mean, round(v.v, 4) AS view_mean FROM click c FULL JOIN view v ON c.week = v.week",

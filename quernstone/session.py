@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,5 +22,18 @@ def session(name: str = "quernstone", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df``, computed once and read from then on from the folder that all executors share (``spark.checkpoint.dir``)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quernstone-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

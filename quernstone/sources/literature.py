@@ -144,6 +144,16 @@ def pubmed(df: DataFrame, payload: str = "payload") -> DataFrame:
     return _tidy(i, external_id=F.nullif(pmid, F.lit("")), doi=doi, title=squeeze(F.col(f"{a}.ArticleTitle")), abstract=F.nullif(F.array_join(parts, " "), F.lit("")), year=year, url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")))
 
 
+#: Parts of an article's XML that are no running text.
+NOT_BODY = ("ref-list", "table-wrap", "fig", "disp-formula", "inline-formula", "xref", "supplementary-material", "back", "front")
+
+
+def body_text(xml: Column, skip: tuple[str, ...] = NOT_BODY) -> Column:
+    """Running text of an article's XML, in one line; elements to skip go with all that is in them (of nested ones of a kind, up to the first end)."""
+    bare = F.regexp_replace(xml, r"(?is)<(" + "|".join(skip) + r")\b[^>]*(?:/>|>.*?</\1\s*>)", " ")
+    return F.nullif(squeeze(F.regexp_replace(bare, "<[^>]*>", " ")), F.lit(""))
+
+
 def full_text(candidates: DataFrame, key: str, sources: list[str], least: int = 500) -> DataFrame:
     """The first source's text, in order of priority, that is long enough."""
     text = F.coalesce(*[F.when(F.length(s) > least, F.struct(F.lit(s).alias("source"), F.col(s).alias("text"))) for s in sources])

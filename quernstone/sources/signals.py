@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import isoweek_to_date
 from ..operators.timeseries import fold_duplicate_days, wide
 
+#: Names of the feeds' fields and of the columns made of them, places, and column names that are recognised.
 DAILY = {"temperature_2m_mean": "temp_mean", "temperature_2m_max": "temp_max", "temperature_2m_min": "temp_min", "precipitation_sum": "precip_sum", "wind_speed_10m_max": "wind_speed_max"}
 AIR = {"pm2_5": "pm2_5", "pm10": "pm10", "nitrogen_dioxide": "no2", "ozone": "o3"}
 TARGETS = {"IAV": "flu_a_load", "IBV": "flu_b_load", "RSV": "rsv_load", "SARS-COV-2": "sars_cov2_load"}
@@ -96,6 +97,23 @@ def latest_incidence(df: DataFrame, payload: str = "payload") -> DataFrame:
     return x.agg(F.max_by(F.coalesce("inc100", "inc"), "week").alias("value"))
 
 
+def csv_resource(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """(url) of the first CSV resource of each catalogue payload that has a download address or an address; null without one."""
+    item = "array<struct<format:string,download_url:string,url:string>>"
+    found = F.from_json(F.col(payload), f"result struct<resources:{item}>")["result"]["resources"]
+    address = lambda r: F.coalesce(F.nullif(r["download_url"], F.lit("")), F.nullif(r["url"], F.lit("")))
+    usable = F.filter(found, lambda r: (F.lower(r["format"]) == "csv") & address(r).isNotNull())
+    return df.select(*[c for c in df.columns if c != payload], F.get(F.transform(usable, address), F.lit(0)).alias("url"))
+
+
+def snapshots(df: DataFrame, fields: dict[str, str], feed: str = "feed", taken: str = "taken_at", payload: str = "payload") -> DataFrame:
+    """The latest landed snapshot of each feed, with fields of its JSON (name to Spark type); payloads that don't parse are passed over."""
+    x = F.from_json(F.col(payload), ", ".join(f"`{k}` {v}" for k, v in fields.items()))
+    rows = df.select(F.col(feed).alias("feed"), F.col(taken).alias("taken_at"), x.alias("x")).filter(F.greatest(*[F.col(f"x.`{k}`").isNotNull() for k in fields], F.lit(False)))
+    last = rows.groupBy("feed").agg(F.max("taken_at").alias("taken_at"), F.max_by("x", "taken_at").alias("x"))
+    return last.select("feed", "taken_at", *[F.col(f"x.`{k}`").alias(k) for k in fields])
+
+
 def epidemic_projection(spark: SparkSession, params: dict, days: int = 365, n: int = 200) -> DataFrame:
     """The median trajectory of an ensemble as a feed; no usable parameters give no rows."""
     from ..operators.epidemic import Dist, ensemble

@@ -32,7 +32,7 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, lookback_days: int =
 
     def add(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema(batch.schema).parquet(target)
+        known = spark.read.schema(batch.schema).parquet(target).select("external_id", "source")  # two columns of the table
         out = new_records(known, batch, F.lit(lookback_days))
         out.write.mode("append").parquet(target)
         if then is not None:
@@ -50,16 +50,14 @@ def tumbling(events: DataFrame, ts: str, size: str, by: list[str], aggs: list[Co
     """Tumbling or sliding windows; on a stream, ``late`` is how long late rows are waited for."""
     rows = events.withWatermark(ts, late) if late and events.isStreaming else events
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return rows.groupBy(window.alias("w"), *by).agg(*aggs).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, *[F.col(c) for c in _names(aggs)])
+    out = rows.groupBy(window.alias("w"), *by).agg(*aggs)
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *out.columns[1:])
 
 
 def sessions(events: DataFrame, ts: str, gap: str, by: list[str], aggs: list[Column], late: str | None = None) -> DataFrame:
     rows = events.withWatermark(ts, late) if late and events.isStreaming else events
-    return rows.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(*aggs).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, *[F.col(c) for c in _names(aggs)])
-
-
-def _names(aggs: list[Column]) -> list[str]:
-    return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggs]
+    out = rows.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(*aggs)
+    return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *out.columns[1:])
 
 
 def scenarios(presets: DataFrame, users: DataFrame, days: int = 30) -> DataFrame:
