@@ -5,21 +5,28 @@ the same run starts in a document with a smaller id.  The windows are too many t
 exchanged, so they are found through anchors:
 
 1. Texts are packed into blocks and dealt out by block once; all later steps read that
-   exchange.  Whole texts that a smaller id has too lose everything and are left out of
-   what follows.  In each window of the others, the ``k``-gram with the smallest fingerprint is its anchor
-   (the leftmost, if equal).  Equal windows have their anchors at the same place, so an
-   anchor that occurs in one context only rules out all of its windows.
+   exchange.  A text too long for one block's memory is a block of its own, of several
+   parts that overlap by a window on either side.  Whole texts that a smaller id has too
+   lose everything and are left out of what follows.  In each window of the others, the
+   ``k``-gram with the smallest fingerprint (by its upper half, the same in every block) is
+   its anchor (the leftmost, if equal).  Equal windows have their anchors at the same
+   place, so an anchor that occurs in one context only rules out all of its windows.
 2. Blocks send the fingerprints of their distinct anchors, four bytes each and a count of
    the contexts, by ranges of fingerprints, and get back which occur elsewhere.
 3. The suffixes at shared anchors go, with the few symbols before them, to groups by that
-   prefix, for which its 64-bit fingerprint stands in the sort keys.  A prefix with very many contexts would make a large group: its suffixes are
-   sent once for each window instead, by the whole window.  Equal contexts within a block
-   are sent once, for the smallest id, so a passage found everywhere costs a row a block.
+   prefix, for which its 64-bit fingerprint stands in the sort keys, as 64 bits do for a
+   word.  A prefix with very many contexts would make a large group: it is extended to the
+   whole window, and such windows' smallest ids are an aggregation by 128 bits of them,
+   combined before the exchange, and a join back.  Equal contexts within a block are sent
+   once, for the smallest id, so a passage found everywhere costs a row a block.
 4. A group's ``solve`` puts its suffixes in order with their common prefix lengths (a
    suffix tree, or merged runs); per offset, windows with equal symbols on both sides of
    the anchor form a class, and those above the class's smallest id are marked.
 5. Marks return to their blocks.
 
+Groups, exchanges and blocks are as many as the bytes of text ask for, so none grows with
+the input.
+
 Rows with a null id neither remove nor lose anything.  Rows with the same id do not
 remove each other's windows.
 """
@@ -37,10 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import saved
 from .tokens import Fingerprints, byte_symbols, flatten, mix, word_hashes, word_spans
 
-#: Bytes of text in a block; contexts of an anchor from which on its windows are dealt out one by one.
-BLOCK, HOT = 1 << 20, 1000
+#: Bytes of text in a block, in a part of a longer text, in a group and in a partition; contexts of an anchor from which on its windows are dealt out one by one.
+BLOCK, PART, GROUP, SHARE, HOT = 1 << 20, 4 << 20, 4 << 20, 64 << 20, 1000
 
 
 @dataclass(frozen=True)
@@ -58,12 +66,15 @@ class Plan:
     @property
     def width(self) -> int:
         """Bytes of a symbol in a sort key."""
-        return 4 if self.words else 1
+        return 8 if self.words else 1
+
+    @property
+    def code(self) -> str:
+        return ">u8" if self.words else "u1"
 
 
-def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (block, ids, texts) of about BLOCK bytes, dealt out by block."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def packed(docs: DataFrame, key: str, text: str, n: int, part: int) -> DataFrame:
+    """Rows (block, ids, texts) of about BLOCK bytes, dealt out by block to n partitions; a text above ``part`` bytes has a row of its own."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -79,9 +90,13 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = b"" if (b := t.as_buffer()) is None else b.to_pybytes()
+                if len(data) > part and ids:
+                    yield row()
+                    ids, texts, held, made = [], [], 0, made + 1
                 ids.append(i)
-                texts.append(b"" if (b := t.as_buffer()) is None else b.to_pybytes())
-                held += len(texts[-1]) + 16
+                texts.append(data)
+                held += len(data) + 16 + (BLOCK if len(data) > part else 0)
                 if held >= BLOCK:
                     yield row()
                     ids, texts, held, made = [], [], 0, made + 1
@@ -95,9 +110,9 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
 class Block:
     """Symbols, anchors and distinct contexts of one block."""
 
-    def __init__(self, ids: list, texts: list[bytes], plan: Plan, copies: list[int] | None = None):
-        """``copies``: rows whose whole text a smaller id has."""
-        self.plan, self.texts, self.copies = plan, texts, copies or []
+    def __init__(self, ids: list, texts: list[bytes], plan: Plan, copies: list[int] | None = None, part: int = 0, core: tuple[int, int] | None = None, total: int = 0):
+        """``copies``: rows whose whole text a smaller id has; ``core``: of a part of a text of ``total`` symbols, those that it answers for."""
+        self.plan, self.texts, self.copies, self.part, self.core, self.total = plan, texts, copies or [], part, core, total
         self.flat, begins = flatten(texts)
         if plan.words:
             self.starts, self.ends = word_spans(self.flat)
@@ -119,7 +134,7 @@ class Block:
         sizes = np.where(known, self.highs - self.lows - n + 1, 0)
         docs = np.flatnonzero(sizes > 0)
         if len(docs):
-            bits = np.uint64((1 << max(1, len(grams).bit_length())) - 1)
+            bits = np.uint64((1 << 32) - 1)  # not by the block's size: equal windows have to choose alike in every block
             least = (grams & ~bits) | np.arange(len(grams), dtype=np.uint64)
             reach = 1
             while reach < w:
@@ -160,7 +175,7 @@ class Block:
 
     def codes(self) -> np.ndarray:
         """Symbols as they stand in sort keys."""
-        return (self.symbols >> np.uint64(32)).astype(">u4") if self.plan.words else self.flat
+        return self.symbols.astype(">u8") if self.plan.words else self.flat
 
     def anchor_keys(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sort keys (the anchor's fingerprint, the symbols after it, those before it, nearest first), right and left lengths."""
@@ -203,24 +218,50 @@ class Block:
             edge[start + n] -= 1
         gone = np.cumsum(edge)[: len(self.symbols)] > 0
         for row in self.copies:
-            if self.highs[row] - self.lows[row] >= n:
+            if max(self.highs[row] - self.lows[row], self.total) >= n:
                 gone[self.lows[row] : self.highs[row]] = True
         return gone
 
 
-def marks(lcp: np.ndarray, right: np.ndarray, left: np.ndarray, before: np.ndarray, ids: np.ndarray, n: int, k: int) -> np.ndarray:
-    """For suffixes in order, with common prefix lengths in symbols: a mask of the offsets whose window has a smaller id."""
+def parts_of(row: dict, plan: Plan, size: int) -> Iterator[Block]:
+    """The block of a row; of a text above ``size`` bytes, its parts in order.
+
+    A part's core is preceded by n symbols and followed by n - 1, so it holds every window
+    that covers a symbol of the core or the one before it.
+    """
+    if len(row["texts"]) != 1 or len(row["texts"][0]) <= size:
+        yield Block(row["ids"], row["texts"], plan, row["copies"])
+        return
+    text, n = row["texts"][0], plan.n
+    if plan.words:
+        starts, ends = word_spans(np.frombuffer(text, np.uint8))
+        total, step = len(starts), max(1, int(len(starts) * size / len(text)))
+    else:
+        total, step = len(text), size
+    for part, low in enumerate(range(0, max(1, total), step)):
+        high = min(total, low + step)
+        a, b = max(0, low - n), min(total, high + n - 1)
+        cut = text[int(starts[a]) if a < total else 0 : int(ends[b - 1]) if b else 0] if plan.words else text[a:b]
+        yield Block(row["ids"], [cut], plan, row["copies"], part, (low - a, high - a), total)
+
+
+def marks(classes: Callable[[int], tuple[np.ndarray, np.ndarray]], right: np.ndarray, left: np.ndarray, before: np.ndarray, ids: np.ndarray, n: int, k: int) -> np.ndarray:
+    """For suffixes in order: a mask of the offsets whose window has a smaller id.
+
+    ``classes`` gives, for a length, the places of suffixes that share so many symbols with
+    another one, and the number of the class of each.
+    """
     mask = np.zeros(len(ids), np.uint64)
     behind = np.zeros(len(ids), np.uint64)
-    keep = np.arange(len(ids))
     for o in range(n - k + 1):
         if o:
             behind = mix(behind + before[:, o - 1].astype(np.uint64) + np.uint64(1))
-        node = np.cumsum(lcp < n - o).astype(np.uint64)
-        ok = keep[(right >= n - o) & (left >= o)]
+        places, node = classes(n - o)
+        able = (right[places] >= n - o) & (left[places] >= o)
+        ok, node = places[able], node[able].astype(np.uint64)
         if len(ok) < 2:
             continue
-        key = mix(mix(node[ok]) * np.uint64(3) + behind[ok])
+        key = mix(mix(node) * np.uint64(3) + behind[ok])
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -230,6 +271,12 @@ def marks(lcp: np.ndarray, right: np.ndarray, left: np.ndarray, before: np.ndarr
     return mask
 
 
+def runs_of(lcp: np.ndarray) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+    """Classes of sorted suffixes: runs of neighbours that share a length."""
+    keep = np.arange(len(lcp))
+    return lambda length: (keep, np.cumsum(lcp < length))
+
+
 def _copies(blocks: DataFrame) -> DataFrame:
     """By block, the rows whose whole text a smaller id has."""
 
@@ -247,39 +294,40 @@ def _copies(blocks: DataFrame) -> DataFrame:
     return rows.join(least, ["h1", "h2"]).filter("id > least").groupBy("block").agg(F.collect_list("row").alias("copies"))
 
 
-#: A group's rows and the bytes of a sort key -> (order, common prefix lengths with the one before, sort keys in order).
-Solve = Callable[[pd.DataFrame, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: A group's rows, the bytes of a sort key, and how many symbols so many shared bytes mean -> (order, classes by length, sort keys in order).
+Solve = Callable[[pd.DataFrame, int, Callable[[np.ndarray], np.ndarray]], tuple[np.ndarray, Callable, np.ndarray]]
 #: Sorts the keys of one block's part of a group -> (order, columns to send).
 Code = Callable[[np.ndarray], tuple[np.ndarray, dict[str, bytes]]]
 
-_SENT = "bucket long, kind int, block long, head binary, body binary, rights binary, lefts binary, ids binary, refs binary, offs binary"
+_SENT = "bucket long, kind int, block long, part int, head binary, body binary, rights binary, lefts binary, ids binary, refs binary, offs binary"
+_FOUND = "block long, part int, entries binary, masks binary, w1 long, w2 long, id long, ref int, off int"
 
 
-def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable, result: str, key: str, text: str, hot: int = HOT) -> DataFrame:
-    """All documents with what ``finish(block, removed)`` makes of them."""
+def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable, result: str, key: str, text: str, hot: int = HOT, part: int = PART) -> DataFrame:
+    """All documents with what ``finish(ids, [(part, removed)])`` makes of the parts of a block."""
     spark = docs.sparkSession
-    bits = max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    dealt = packed(docs, key, text)
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+    bits = max(4, (max(4 * shares, size // GROUP) - 1).bit_length())
+    dealt = packed(docs, key, text, shares, part)
     # Left joins: an inner one would filter the blocks below their exchange, which then could not be used again.
     blocks = dealt.join(_copies(dealt).hint("shuffle_hash"), "block", "left")
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                yield row, Block(row["ids"], row["texts"], plan, row["copies"])
+                yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
     def offer(batches):
-        for row, b in rows_of(batches):
-            got: dict[str, list] = {"bucket": [], "block": [], "low": [], "contexts": []}
-            low = ((b.grams << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            count = np.minimum(b.contexts, 255).astype(np.uint8)
-            for bucket, i, j in b.ranges(b.grams, bits):
-                got["bucket"].append(bucket)
-                got["block"].append(row["block"])
-                got["low"].append(low[i:j].tobytes())
-                got["contexts"].append(count[i:j].tobytes())
-            yield pa.RecordBatch.from_pydict(got, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("low", pa.binary()), ("contexts", pa.binary())]))
+        for row in rows_of(batches):
+            for b in parts_of(row, plan, part):
+                got: dict[str, list] = {"bucket": [], "block": [], "part": [], "low": [], "contexts": []}
+                low = ((b.grams << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+                count = np.minimum(b.contexts, 255).astype(np.uint8)
+                for bucket, i, j in b.ranges(b.grams, bits):
+                    for name, value in zip(got, (bucket, row["block"], b.part, low[i:j].tobytes(), count[i:j].tobytes())):
+                        got[name].append(value)
+                yield pa.RecordBatch.from_pydict(got, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("low", pa.binary()), ("contexts", pa.binary())]))
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         low = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.low])
@@ -288,88 +336,109 @@ def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable
         total = np.bincount(which, count)[which]
         state = (total > 1).astype(np.uint8) + (total > hot)
         cuts = np.cumsum([len(x) // 4 for x in rows.low])[:-1]
-        return pd.DataFrame({"block": rows.block, "bucket": rows.bucket, "state": [x.tobytes() for x in np.split(state, cuts)]})
+        return pd.DataFrame({"block": rows.block, "part": rows.part, "bucket": rows.bucket, "state": [x.tobytes() for x in np.split(state, cuts)]})
 
-    offered = blocks.mapInArrow(offer, "bucket long, block long, low binary, contexts binary")
-    answers = offered.groupBy("bucket").applyInPandas(answer, "block long, bucket long, state binary")
-    answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "state"))).alias("states"))
+    offered = blocks.mapInArrow(offer, "bucket long, block long, part int, low binary, contexts binary").repartition(shares, "bucket")
+    answers = offered.groupBy("bucket").applyInPandas(answer, "block long, part int, bucket long, state binary")
+    answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "bucket", "state"))).alias("states"))
 
     def send(batches):
-        for row, b in rows_of(batches):
-            state = np.frombuffer(b"".join(x["state"] for x in row["states"] or []), np.uint8)[b.gram_of]
-            got: dict[str, list] = {name.split()[0]: [] for name in _SENT.split(", ")}
-
-            def put(bucket, kind, key, right, left, entries, offsets):
-                order, coded = code(key)
-                values = {
-                    "bucket": bucket, "kind": kind, "block": row["block"], **coded,
-                    "rights": right[order].astype(np.uint8).tobytes(), "lefts": left[order].astype(np.uint8).tobytes(),
-                    "ids": b.ids[b.doc[b.first[entries[order]]]].tobytes(), "refs": entries[order].astype(np.uint32).tobytes(),
-                    "offs": offsets[order].astype(np.uint8).tobytes(),
-                }
-                for name, value in values.items():
-                    got[name].append(value)
-
-            entries = np.flatnonzero(state == 1)
-            if len(entries):
-                keys, right, left = b.anchor_keys(entries)
-                for bucket, i, j in b.ranges(b.grams[b.gram_of[entries]], bits):
-                    put(bucket, 0, keys[i:j], right[i:j], left[i:j], entries[i:j], np.zeros(j - i))
-            hot_entries = np.flatnonzero(state == 2)
-            if len(hot_entries):
-                entry, offset = b.windows(hot_entries)
-                start = b.at[b.first[entry]] - offset
-                prints = b.prints.spans(start, start + plan.n)
-                owner = b.ids[b.doc[b.first[entry]]]
-                order = np.lexsort((owner, prints))
-                entry, offset, start, prints, owner = entry[order], offset[order], start[order], prints[order], owner[order]
-                new = np.concatenate(([True], prints[1:] != prints[:-1]))
-                here = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]  # this block has the window in a smaller id
-                if here.any():
-                    got["bucket"].append(row["block"] % (1 << bits))
-                    got["kind"].append(2)
-                    got["block"].append(row["block"])
-                    got["refs"].append(entry[here].astype(np.uint32).tobytes())
-                    got["offs"].append(offset[here].astype(np.uint8).tobytes())
-                    for name in ("head", "body", "rights", "lefts", "ids"):
-                        got[name].append(b"")
-                entry, offset, start, prints = entry[~here], offset[~here], start[~here], prints[~here]
-                keys = b.codes()[start[:, None] + np.arange(plan.n)].view(np.uint8).reshape(len(start), -1)
-                for bucket, i, j in b.ranges(prints, bits):
-                    put(bucket, 1, keys[i:j], np.full(j - i, plan.n), np.zeros(j - i), entry[i:j], offset[i:j])
-            if got["bucket"]:
-                kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-                yield pa.RecordBatch.from_pydict(got, pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _SENT.split(", ")]))
+        for row in rows_of(batches):
+            for b in parts_of(row, plan, part):
+                yield from send_part(row, b)
+
+    def send_part(row: dict, b: Block) -> Iterator[pa.RecordBatch]:
+        state = np.frombuffer(b"".join(x["state"] for x in row["states"] or [] if x["part"] == b.part), np.uint8)[b.gram_of]
+        got: dict[str, list] = {name.split()[0]: [] for name in _SENT.split(", ")}
+
+        def put(bucket: int, kind: int, **given: bytes) -> None:
+            values = {"bucket": bucket, "kind": kind, "block": row["block"], "part": b.part} | given
+            for name in got:
+                got[name].append(values.get(name, b""))
+
+        owner = lambda entries: b.ids[b.doc[b.first[entries]]]
+        entries = np.flatnonzero(state == 1)
+        if len(entries):
+            keys, right, left = b.anchor_keys(entries)
+            for bucket, i, j in b.ranges(b.grams[b.gram_of[entries]], bits):
+                order, coded = code(keys[i:j])
+                own = entries[i:j][order]
+                put(bucket, 0, **coded, rights=right[i:j][order].astype(np.uint8).tobytes(), lefts=left[i:j][order].astype(np.uint8).tobytes(), ids=owner(own).tobytes(), refs=own.astype(np.uint32).tobytes())
+        hot_entries = np.flatnonzero(state == 2)
+        if len(hot_entries):
+            entry, offset = b.windows(hot_entries)
+            start = b.at[b.first[entry]] - offset
+            w1, w2 = b.prints.spans(start, start + plan.n), Fingerprints(mix(b.symbols + np.uint64(1))).spans(start, start + plan.n)
+            ids = owner(entry)
+            order = np.lexsort((ids, w2, w1))
+            entry, offset, ids, w1, w2 = entry[order], offset[order], ids[order], w1[order], w2[order]
+            new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+            here = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]  # this block has the window in a smaller id
+            pack = lambda which, **more: put(row["block"] % (1 << bits), 2, refs=entry[which].astype(np.uint32).tobytes(), offs=offset[which].astype(np.uint8).tobytes(), **more)
+            if here.any():
+                pack(here)
+            pack(~here, ids=ids[~here].tobytes(), head=w1[~here].tobytes(), body=w2[~here].tobytes())
+        if got["bucket"]:
+            kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+            yield pa.RecordBatch.from_pydict(got, pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _SENT.split(", ")]))
+
+    def unpacked(rows: pd.DataFrame) -> pd.DataFrame:
+        """Hot windows: marks that are known already, and the others one by one."""
+        out = []
+        for block, at, head, body, ids, refs, offs in zip(rows.block, rows.part, rows["head"], rows["body"], rows.ids, rows.refs, rows.offs):
+            off = np.frombuffer(offs, np.uint8)
+            if not len(ids):
+                out.append(pd.DataFrame({"block": [block], "part": [at], "entries": [refs], "masks": [(np.uint64(1) << off.astype(np.uint64)).tobytes()]}))
+            else:
+                columns = {"w1": np.frombuffer(head, np.int64), "w2": np.frombuffer(body, np.int64), "id": np.frombuffer(ids, np.int64), "ref": np.frombuffer(refs, np.uint32).astype(np.int32), "off": off.astype(np.int32)}
+                out.append(pd.DataFrame({"block": block, "part": at} | columns))
+        return pd.concat(out)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
-        columns = ["block", "entries", "masks"]
+        columns = [c.split()[0] for c in _FOUND.split(", ")]
         if rows.kind.iloc[0] == 2:
-            masks = [(np.uint64(1) << np.frombuffer(x, np.uint8).astype(np.uint64)).tobytes() for x in rows.offs]
-            return pd.DataFrame({"block": rows.block, "entries": rows.refs, "masks": masks})
-        sizes = np.array([len(x) for x in rows.rights])
-        whole_window, w, k = bool(rows.kind.iloc[0]), plan.offsets, plan.k
-        order, lcp, keys = solve(rows, plan.n * plan.width if whole_window else 8 + 2 * (w - 1) * plan.width)
+            return unpacked(rows).reindex(columns=columns)
+        whole = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
+        w, k = plan.offsets, plan.k
+        order, classes, keys = solve(rows, 8 + 2 * (w - 1) * plan.width, lambda lcp: np.minimum(np.where(lcp < 8, 0, k + (lcp - 8) // plan.width), plan.n))
         right, left, ids = whole("rights", np.uint8)[order], whole("lefts", np.uint8)[order], whole("ids", np.int64)[order]
-        if whole_window:
-            lcp, before, k = lcp // plan.width, np.zeros((len(ids), 0)), plan.n
-        else:
-            lcp = np.where(lcp < 8, 0, k + (lcp - 8) // plan.width)
-            before = np.ascontiguousarray(keys[:, keys.shape[1] - (w - 1) * plan.width :]).view(">u4" if plan.words else np.uint8)
-        mask = marks(np.minimum(lcp, plan.n), right, left, before, ids, plan.n, k) << whole("offs", np.uint8)[order].astype(np.uint64)
+        before = np.ascontiguousarray(keys[:, keys.shape[1] - (w - 1) * plan.width :]).view(plan.code)
+        mask = marks(classes, right, left, before, ids, plan.n, k)
         back = np.zeros(len(mask), np.uint64)
         back[order] = mask
-        refs, cuts = whole("refs", np.uint32), np.cumsum(sizes)[:-1]
-        out = [(b, r[m > 0].tobytes(), m[m > 0].tobytes()) for b, r, m in zip(rows.block, np.split(refs, cuts), np.split(back, cuts)) if m.any()]
-        return pd.DataFrame(out, columns=columns)
+        cuts = np.cumsum([len(x) for x in rows.rights])[:-1]
+        parts = zip(rows.block, rows.part, np.split(whole("refs", np.uint32), cuts), np.split(back, cuts))
+        out = [(block, at, r[m > 0].tobytes(), m[m > 0].tobytes()) for block, at, r, m in parts if m.any()]
+        return pd.DataFrame(out, columns=columns[:4]).reindex(columns=columns)
 
     asked = blocks.join(answers.hint("shuffle_hash"), "block", "left")
-    sent = asked.mapInArrow(send, _SENT)
-    found = sent.groupBy("kind", "bucket").applyInPandas(group, "block long, entries binary, masks binary")
-    found = found.groupBy("block").agg(F.collect_list(F.struct("entries", "masks")).alias("marks"))
+    sent = asked.mapInArrow(send, _SENT).repartition(shares, "kind", "bucket")
+    found = saved(sent.groupBy("kind", "bucket").applyInPandas(group, _FOUND))
+    windows = found.filter("w1 is not null")
+    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    late = windows.join(least, ["w1", "w2"]).filter("id > least").groupBy("block", "part", "ref").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
+    late = late.groupBy("block").agg(F.collect_list(F.struct("part", "ref", "mask")).alias("late"))
+    known = found.filter("w1 is null").groupBy("block").agg(F.collect_list(F.struct("part", "entries", "masks")).alias("marks"))
+    returned = known.join(late, "block", "full")
 
     def last(batches):
-        for row, b in rows_of(batches):
-            yield finish(b, row["ids"], b.removed([(m["entries"], m["masks"]) for m in row["marks"] or []]))
+        for row in rows_of(batches):
+            done = []
+            for b in parts_of(row, plan, part):
+                replies = [(m["entries"], m["masks"]) for m in row["marks"] or [] if m["part"] == b.part]
+                more = [x for x in row["late"] or [] if x["part"] == b.part]
+                replies.append((np.array([x["ref"] for x in more], np.uint32).tobytes(), np.array([x["mask"] for x in more], np.int64).tobytes()))
+                done.append(finish(b, row["ids"], b.removed(replies)))
+            yield done[0] if len(done) == 1 else joined(done)
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """One row of the parts of a text: sums, and the kept pieces one after the other."""
+        kept = [p.column(4)[0].as_py() for p in parts]
+        if plan.words:
+            kept = [" ".join(x for x in kept if x)]
+        else:
+            kept = [b"".join(kept)]
+        sums = [pa.array([sum(p.column(i)[0].as_py() for p in parts)], pa.int64()) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([parts[0].column(0), *sums, pa.array(kept, parts[0].schema.field(4).type)], parts[0].schema.names)
 
-    return blocks.join(found.hint("shuffle_hash"), "block", "left").mapInArrow(last, result)
+    return blocks.join(returned.hint("shuffle_hash"), "block", "left").mapInArrow(last, result)

@@ -8,7 +8,7 @@ its common prefix lengths.
 
 Defined results: a null text has no bytes; a document shorter than a window keeps all;
 rows with equal ids do not remove each other's bytes; ``kept`` is binary, since cuts
-can fall inside a character.
+can fall inside a character; very long texts are treated in parts, with the same result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import HOT, Block, Plan, find
+from .repeats import HOT, PART, Block, Plan, find, runs_of
 
 
 def _words(keys: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ class LoserTree:
         return order_run, order_at, lcp
 
 
-def _merge(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merge(rows: pd.DataFrame, width: int, symbols) -> tuple[np.ndarray, object, np.ndarray]:
     keys, runs, shares = [], [], []
     for head, body in zip(rows["head"], rows["body"]):
         k, s = unfolded(head, body, width)
@@ -128,24 +128,24 @@ def _merge(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     run, at, lcp = LoserTree(runs, shares, width).merged()
     base = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
     order = base[np.array(run, np.int64)] + np.array(at, np.int64)
-    return order, np.minimum(np.array(lcp, np.int64), width), np.concatenate(keys)[order]
+    return order, runs_of(symbols(np.minimum(np.array(lcp, np.int64), width))), np.concatenate(keys)[order]
 
 
 def _finish(block: Block, ids: list, removed: np.ndarray) -> pa.RecordBatch:
     gone = np.concatenate(([0], np.cumsum(removed)))
     begins = removed & ~np.concatenate(([False], removed[:-1]))
     starts = np.concatenate(([0], np.cumsum(begins)))
-    lows, highs = block.lows, block.highs
+    lows, highs = (block.lows, block.highs) if block.core is None else (np.array([x]) for x in block.core)
     kept = []
     for i, (low, high) in enumerate(zip(lows.tolist(), highs.tolist())):
-        kept.append(block.texts[i] if gone[high] == gone[low] else block.flat[low:high][~removed[low:high]].tobytes())
+        kept.append(block.texts[i] if gone[high] == gone[low] and block.core is None else block.flat[low:high][~removed[low:high]].tobytes())
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array((highs - lows).astype(np.int64)), pa.array((gone[highs] - gone[lows]).astype(np.int64)), pa.array((starts[highs] - starts[lows]).astype(np.int64)), pa.array(kept, pa.binary())],
         ["id", "n_bytes", "n_removed", "n_spans", "kept"],
     )
 
 
-def drop_repeated_bytes(docs: DataFrame, n: int = 50, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, n: int = 50, key: str = "doc_id", text: str = "text", hot: int = HOT, part: int = PART) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept) without the bytes of repeated n-byte windows."""
     plan = Plan(n, max(1, n * 24 // 50), False)
-    return find(docs, plan, front_coded, _merge, _finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary", key, text, hot)
+    return find(docs, plan, front_coded, _merge, _finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary", key, text, hot, part)

@@ -38,13 +38,13 @@ def odd():
     return [(rng.randrange(1000) if i % 7 else i, t) for i, t in enumerate(texts)] + [(None, common), (5, common), (5, common)]
 
 
-@pytest.mark.parametrize("hot", [1000, 3, 1])
+@pytest.mark.parametrize("hot, part", [(1000, 1 << 22), (3, 150), (1, 70), (1000, 333)])
 @pytest.mark.parametrize("case", [WORDS, BYTES], ids=["words", "bytes"])
-def test_odd_rows(spark, odd, case, hot):
+def test_odd_rows(spark, odd, case, hot, part):
     run, n, split, join = case
     df = spark.createDataFrame([(*r, "x") for r in odd], "doc_id long, text string, block string").repartition(3)
     as_bytes = lambda k: k.encode() if isinstance(k, str) else bytes(k)
-    got = [(r["id"], r[1], r["n_removed"], r["n_spans"], as_bytes(r["kept"])) for r in run(df, hot=hot).collect()]
+    got = [(r["id"], r[1], r["n_removed"], r["n_spans"], as_bytes(r["kept"])) for r in run(df, hot=hot, part=part).collect()]
     assert sorted(got, key=str) == sorted(brute(odd, n, split, join), key=str)
     assert run(df.limit(0)).count() == 0
 
@@ -79,3 +79,37 @@ def test_loser_tree():
         for a, b, n in zip(merged, merged[1:], lcp[1:]):
             same = next((i for i in range(width) if a[i] != b[i]), width)
             assert same == min(n, width)
+
+
+def test_suffix_tree():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = sorted("".join(rng.choice(list("ab"), 6)) for _ in range(60))
+    same = lambda a, b: next((i for i in range(6) if a[i] != b[i]), 6)
+    tree = substrings.SuffixTree(np.array([0, *map(same, words, words[1:])]))
+    for length in range(1, 7):
+        leaves, node = tree.repeats(length)
+        found = {}
+        for leaf, n in zip(leaves.tolist(), node.tolist()):
+            found.setdefault(n, []).append(leaf)
+        want = {}
+        for i, w in enumerate(words):
+            want.setdefault(w[:length], []).append(i)
+        assert sorted(found.values()) == sorted(v for v in want.values() if len(v) > 1)
+
+
+def test_long_text_in_parts(spark):
+    """A text of several parts of the production size, with passages that another document has across a border."""
+    from quernstone.llm.repeats import PART
+
+    rng = random.Random(8)
+    words = [f"{rng.randrange(1 << 30):x}" for _ in range(PART // 4)]
+    long, size = " ".join(words), 0
+    near = next(i for i, w in enumerate(words) if (size := size + len(w) + 1) > PART)
+    first = " ".join(words[near - 400 : near + 400])
+    df = spark.createDataFrame([(1, first), (2, long)], "doc_id long, text string")
+    row = substrings.drop_repeated_words(df).filter("id = 2").first()
+    assert (row["n_words"], row["n_removed"], row["n_spans"]) == (len(words), 800, 1) and row["kept"] == " ".join(words[: near - 400] + words[near + 400 :])
+    row = suffixes.drop_repeated_bytes(df).filter("id = 2").first()
+    assert row["n_removed"] - len(first) in (0, 1, 2) and row["n_spans"] == 1
