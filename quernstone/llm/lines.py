@@ -15,9 +15,12 @@ edits; exact copies are removed from ``exact`` characters on (``least`` if not g
    by forming pairs.
 3. Each line's earliest partner is verified by edit distance; the earliest line stays.
 
-Defined results: a null text stays null; ids that are null come last; lines at the same
-number of rows that share an id are judged alike; a text whose lines all go becomes
-empty; judging is on the input.
+Defined results: a null text stays null.  Rows with null ids come last, in an order of
+their texts' hashes, each text by itself.  Rows that share an id (or, without one, a text)
+are judged as one document: the same line at the same number stays or goes in all of
+them.  A text whose lines all go becomes empty; judging is on the input.  Columns of the
+input keep their names; if it has an ``n_lines`` or ``n_removed``, the new one gets an
+underscore more.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import written
+from .store import unused, written
 from .tokens import Fingerprints, mix
 
 #: Lines of fewer characters are not compared by edits.  Documents with shared halves up to which their list is broadcast.
@@ -48,13 +51,13 @@ def _judged(text: str | None, least: int) -> Iterator[tuple[int, str]]:
             yield number, line
 
 
-def _distinct(ids: list, texts: list, least: int) -> dict[bytes, tuple[tuple[bool, int, int], str]]:
+def _distinct(late: list, ids: list, texts: list, least: int) -> dict[bytes, tuple[tuple[bool, int, int], str]]:
     """By 128-bit hash, the earliest place (late, id, number) and the line."""
     found: dict[bytes, tuple[tuple[bool, int, int], str]] = {}
-    for id_, text in zip(ids, texts):
+    for after, id_, text in zip(late, ids, texts):
         for number, line in _judged(text, least):
             digest = xxhash.xxh3_128_digest(line.encode())
-            place = (id_ is None, id_ or 0, number)
+            place = (after, id_, number)
             if digest not in found or place < found[digest][0]:
                 found[digest] = (place, line)
     return found
@@ -90,11 +93,13 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash with those used here
     key_at, text_at = names[docs.columns.index(key)], names[docs.columns.index(text)]
     rows = docs.toDF(*names).withColumn(key_at, F.col(key_at).cast("long"))
-    texts = rows.select(F.col(key_at).alias("id"), F.col(text_at).alias("text"))
+    # Without an id, a text's hash stands for it, so that no list of lines is of more than one document.
+    place_of = [F.col(key_at).isNull().alias("late"), F.coalesce(F.col(key_at), F.xxhash64(F.col(text_at))).alias("id")]
+    texts = rows.select(*place_of, F.col(text_at).alias("text"))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _distinct(batch.column(0).to_pylist(), batch.column(1).to_pylist(), exact)
+            found = _distinct(*(batch.column(i).to_pylist() for i in range(3)), exact)
             digest = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
             late, ids, numbers = zip(*[v[0] for v in found.values()]) if found else ((), (), ())
             halves = pa.array([_halves(v[1]) if len(v[1]) >= least else [] for v in found.values()], pa.list_(pa.int64()))
@@ -114,8 +119,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                id_, lines = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().split("\n")
-                for w in batch.column(2)[i].as_py():
+                late, id_, lines = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().split("\n")
+                for w in batch.column(3)[i].as_py():
                     line = lines[w["number"]].strip(_SPACE) if w["number"] < len(lines) else ""
                     if len(line) < least or _first_hash(line) != w["h1"]:
                         continue  # the line of another row with this id
@@ -129,14 +134,13 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
                     hashes, at = hashes[open_], at[open_]
                     fill = lambda v, kind: pa.repeat(pa.scalar(v, kind), len(at))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32)), fill(id_ is None, pa.bool_()), fill(id_ or 0, pa.int64()), fill(w["number"], pa.int32()), fill(w["h1"], pa.int64()), pa.array([line] + [None] * (len(at) - 1), pa.string())],
+                        [pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32)), fill(late, pa.bool_()), fill(id_, pa.int64()), fill(w["number"], pa.int32()), fill(w["h1"], pa.int64()), pa.array([line] + [None] * (len(at) - 1), pa.string())],
                         ["variant", "at", "late", "id", "number", "h1", "line"],
                     )
 
     few = asked.count() <= BROADCAST
-    wanted = asked.select(F.when(~F.col("late"), F.col("id")).alias("of"), "asked")
-    met = texts.filter("text is not null").join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("of")))
-    near = written(met.select("id", "text", "asked").mapInArrow(spread, f"variant long, at int, {_PLACE}, line string"))
+    met = texts.filter("text is not null").join(F.broadcast(asked) if few else asked, ["late", "id"])
+    near = written(met.select("late", "id", "text", "asked").mapInArrow(spread, f"variant long, at int, {_PLACE}, line string"))
     several = near.groupBy("variant").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("variant")
     near_again = written(near.select("variant", "at", place.alias("place")).join(several, "variant"))
     changed = near_again.filter("at >= 0").groupBy("variant", "at").agg(F.min("place").alias("partner"))
@@ -151,7 +155,6 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     kept = distinct.select("late", "id", "number", "h1").join(close, ["late", "id", "number", "h1"], "left_anti")
     kept = kept.groupBy("late", "id").agg(F.collect_list(F.struct("number", "h1")).alias("kept"))
-    kept = kept.select(F.when(~F.col("late"), F.col("id")).alias("of"), "kept")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,6 +170,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
             columns = {n: batch.column(n) for n in names} | {text_at: pa.array(out, pa.string())}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*columns, "n_lines", "n_removed"])
 
-    joined = rows.join(kept.hint("shuffle_hash"), F.col(key_at).eqNullSafe(F.col("of")), "left").drop("of")
+    joined = rows.select("*", *place_of).join(kept.hint("shuffle_hash"), ["late", "id"], "left").drop("late", "id")
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(rebuild, schema).toDF(*docs.columns, "n_lines", "n_removed")
+    more = [unused(n, docs.columns) for n in ("n_lines", "n_removed")]
+    return joined.mapInArrow(rebuild, schema).toDF(*docs.columns, *more)

@@ -57,3 +57,22 @@ def test_query(spark, folder):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     want = {i: hashlib.sha256(x.encode()).hexdigest() for (i, _), x in zip(rows, brute(rows))}
     assert {r["doc_id"]: r["kept_sha256"] for r in queries.op5_lines(spark, folder).collect()} == want
+
+
+def test_null_ids_and_clashing_names(spark):
+    """Texts without an id are documents of their own, after all others; columns of the input stay."""
+    shared = "a line that many of them have"
+    rows = [(None, f"{shared}\nown line of number {i:09d} {'x' * i}", i, 7) for i in range(40)] + [(9, shared, 99, 7), (None, None, 98, 7), (None, "", 97, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_removed int").repartition(3)
+    got = {r["n_lines"]: r for r in lines.drop_repeated_lines(df).collect()}
+    assert got[99]["text"] == shared and got[98]["text"] is None and got[97]["text"] == ""
+    assert [got[i]["n_removed_"] for i in range(40)] == [1] * 40 and all(r["n_removed"] == 7 for r in got.values())
+    assert {r["id"] for r in lines.drop_repeated_lines(df.withColumnRenamed("n_lines", "id").withColumnRenamed("n_removed", "late")).collect()} == {*range(40), 97, 98, 99}
+
+
+def test_list_is_joined_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(i, f"line of some length with number {i % 7}\nanother line {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, lines.drop_repeated_lines(df).collect()))
+    monkeypatch.setattr(lines, "BROADCAST", 0)
+    assert sorted(map(tuple, lines.drop_repeated_lines(df).collect())) == want
