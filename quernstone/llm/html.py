@@ -7,18 +7,21 @@ their marks and depth, preformatted text keeps its white space, and the cells of
 are padded to the width of their column.
 
 Not visible: head, script, style, template, noscript and other elements whose content
-browsers do not show, anything with the hidden attribute or with display:none or
-visibility:hidden in its style, and comments.  Of a select, the options marked as selected
+browsers do not show, anything with the hidden attribute or with display:none in its
+style, what has visibility:hidden (or collapse) but for parts with visibility:visible,
+and comments.  Of a select, the options marked as selected
 are shown, and all of one that is drawn as a list (multiple, or a size over one).  Of svg,
 the text elements are shown, of math all but its annotations.
 
 Defined results: null stays null; an empty page is an empty text; unclosed and stray tags
-are repaired; tags of any depth are handled without recursion; other columns are kept.
+are repaired; tags of any depth are handled without recursion; other columns are kept,
+but a column named as the text's takes the text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,10 +50,12 @@ FENCE = frozenset({"table", "td", "th", "caption", "button", "html"})
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?|\"[^\"]*\"?|'[^']*'?")
-_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 _MAYBE = re.compile(r"hidden|style", re.I)
-_COLSPAN = re.compile(r"colspan\s*=\s*[\"']?(\d+)", re.I)
-_START = re.compile(r"start\s*=\s*[\"']?(-?\d+)", re.I)
+_NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
+#: Fixed values of the HTML standard: columns and rows that a cell can span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -139,13 +144,15 @@ def attributes(more: str) -> dict[str, str]:
     return out
 
 
-def _hidden(more: str) -> bool:
-    if not _MAYBE.search(more):
-        return False
-    named = attributes(more)
+def _hidden(named: dict[str, str]) -> bool:
     return "hidden" in named or bool(_UNSHOWN.search(named.get("style", "")))
 
 
+def _number(named: dict[str, str], name: str) -> int | None:
+    found = _NUMBER.match(named.get(name, ""))
+    return int(found[1]) if found else None
+
+
 def _is_list(more: str) -> bool:
     """Whether a select shows all its options."""
     named = attributes(more)
@@ -213,23 +220,43 @@ class Writer:
                 self.begin()
                 self.put(part)
 
-    def rows(self, rows: list[list[tuple[list[str], int]]]) -> None:
-        """Cells of a table, each padded to the width of its column; an empty row is left out."""
+    def rows(self, rows: list[list[tuple[list[str], int, int]]]) -> None:
+        """Cells (lines, columns, rows) of a table, each padded to the width of its column; an empty row is left out."""
         self.leave(2)
-        width: dict[int, int] = {}
+        placed: list[list[tuple[int, list[str], int]]] = []
+        covered: dict[int, int] = {}  # by column, the rows that a cell from above still takes up
         for row in rows:
-            at = 0
-            for lines, span in row:
-                if span == 1:
-                    width[at] = max(width.get(at, 0), *map(len, lines or [""]))
+            cells, at, fresh = [], 0, {}
+            for lines, span, deep in row:
+                while covered.get(at):
+                    at += 1
+                cells.append((at, lines, span))
+                if deep > 1:
+                    fresh |= dict.fromkeys(range(at, at + span), deep - 1)
                 at += span
-        for row in rows:
-            for k in range(max((len(lines) for lines, _ in row), default=0)):
-                out, at = "", 0
-                for lines, span in row:
-                    size = sum(width.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                    out += (lines[k] if k < len(lines) else "").ljust(size) + "  "
-                    at += span
+            placed.append(cells)
+            covered = {c: n - 1 for c, n in covered.items() if n > 1} | fresh
+        width = {at: 0 for cells in placed for at, _, _ in cells}  # of the columns in which a cell begins
+        for cells in placed:
+            for at, lines, span in cells:
+                if span == 1:
+                    width[at] = max(width[at], *map(len, lines or [""]))
+        columns = sorted(width)
+        for cells in placed:
+            for at, lines, span in cells:
+                own = columns[bisect_left(columns, at) : bisect_left(columns, at + span)]
+                lacks = max(map(len, lines or [""])) - sum(width[c] for c in own) - 2 * (len(own) - 1)
+                if span > 1 and lacks > 0 and own[-1] != columns[-1]:
+                    width[own[-1]] += lacks
+        begin, x = {}, 0
+        for c in columns:
+            begin[c] = x
+            x += width[c] + 2
+        for cells in placed:
+            for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
+                out = ""
+                for at, lines, _ in cells:
+                    out = out.ljust(begin[at]) + (lines[k] if k < len(lines) else "")
                 if out.strip():
                     self.take()
                     self.begin()
@@ -250,17 +277,23 @@ def render(html: str | None) -> str | None:
         return None
     out = Writer()
     writers: list[Writer] = []
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
     lists: list[list] = []
-    spans: list[int] = []
-    hidden = pre = 0
+    spans: list[tuple[int, int]] = []
+    hidden = pre = depth = 0
+    veils: list[tuple[int, bool]] = []  # open elements that set a visibility: their depth, and whether it hides
     selects: list[bool] = []  # of the open ones, whether all options show
     drawn: list[str] = []  # open svg elements, and those in them that hold text
     for kind, tag, more in events(html):
         if hidden:
             hidden += (kind == "start") - (kind == "end")
             continue
+        depth += (kind == "start") - (kind == "end")
+        if veils and kind == "end" and veils[-1][0] > depth:
+            veils.pop()
         if kind == "text":
+            if veils and veils[-1][1]:
+                continue
             if drawn and drawn[-1] == "svg":
                 continue  # white space and text beside the drawn text
             text = unescape(more) if tag in ("", "textarea") else more
@@ -272,10 +305,13 @@ def render(html: str | None) -> str | None:
                 out.text(text)
             continue
         if kind == "start":
-            unseen = tag in UNSEEN or drawn and tag in ("desc", "defs", "metadata") or more and _hidden(more)
-            if unseen or selects and tag == "option" and not selects[-1] and "selected" not in attributes(more):
-                hidden = 1
+            named = attributes(more) if more and (tag in ("td", "th", "ol", "li", "option") or _MAYBE.search(more)) else {}
+            unseen = tag in UNSEEN or drawn and tag in ("desc", "defs", "metadata") or named and _hidden(named)
+            if unseen or selects and tag == "option" and not selects[-1] and "selected" not in named:
+                hidden, depth = 1, depth - 1
                 continue
+            if seen := _VISIBILITY.search(named.get("style", "")):
+                veils.append((depth, seen[1].lower() in ("hidden", "collapse")))
             if tag == "select":
                 selects.append(_is_list(more))
             elif tag == "svg" or drawn and tag in ("text", "foreignobject"):
@@ -296,18 +332,20 @@ def render(html: str | None) -> str | None:
                 writers.append(out)
                 if not tables[-1]:
                     tables[-1].append([])
-                span = _COLSPAN.search(more) if more else None
-                spans.append(min(100, max(1, int(span[1]))) if span else 1)
+                deep = _number(named, "rowspan")  # of zero: down to the table's end
+                spans.append((min(MOST_COLUMNS, max(1, _number(named, "colspan") or 1)), MOST_ROWS if deep == 0 else min(MOST_ROWS, max(1, deep or 1))))
                 out = Writer()
             elif tag in BLOCK or tag in ("tr", "caption"):
                 out.leave(2 if tag in APART and not (tag in ("ul", "ol", "menu") and lists) else 1)
                 if tag in ("ul", "ol", "menu"):
-                    begin = _START.search(more) if more else None
-                    lists.append([tag, int(begin[1]) if begin else 1])
+                    begin = _number(named, "start")
+                    lists.append([tag, 1 if begin is None else begin])
                     out.depth += len(lists) > 1
                 elif tag == "li":
                     mark = "- "
                     if lists and lists[-1][0] == "ol":
+                        own = _number(named, "value")
+                        lists[-1][1] = lists[-1][1] if own is None else own
                         mark = f"{lists[-1][1]}. "
                         lists[-1][1] += 1
                     out.mark = "  " * out.depth + mark
@@ -327,7 +365,7 @@ def render(html: str | None) -> str | None:
         elif tag in ("td", "th") and tables and writers:
             lines = out.done()
             out = writers.pop()
-            tables[-1][-1].append((lines, spans.pop()))
+            tables[-1][-1].append((lines, *spans.pop()))
         elif tag == "pre":
             pre = max(0, pre - 1)
             out.leave(2)
