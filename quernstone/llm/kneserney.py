@@ -164,7 +164,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     by_hash = lambda c: known.filter(F.col("toxic") == c).orderBy(F.xxhash64(key), key).limit(most)
     chosen = by_hash(0).unionByName(by_hash(1))
     part = F.floor(F.crc32(F.col(key).cast("string").cast("binary")) / 4) % 5
-    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)  # at most 2 * most rows
+    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)  # at most 2 * most ids
+    rows = rows.groupBy(key).agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # one text of an id, however often it is there
     return rows.select("text", F.col("toxic").cast("int"), part.cast("int").alias("part"))
 
 
@@ -206,17 +207,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray
 
 def score(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    fit_rows: int = FIT_ROWS, threshold: float = 0.3,
+    fit_rows: int = FIT_ROWS, threshold: float = 0.3, score: str = "score", predicted: str = "predicted",
 ) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from the threshold on)."""
+    """``docs`` with a score (0 to 1) and a prediction (1 from the threshold on) as the last two columns; columns of those names stay, the new ones get an underscore more."""
     spark = docs.sparkSession
+    score = unused(score, docs.columns)
+    predicted = unused(predicted, [*docs.columns, score])
     rows = saved(training_rows(docs, labels, key, text, label, fit_rows))
     seen = {(r["toxic"], r["part"] == 0): r["count"] for r in rows.groupBy("toxic", "part").count().collect()}
     both = all(any(c == k for c, _ in seen) for k in (0, 1))
     if not both:
         constant = 1.0 if any(c == 1 for c, _ in seen) else 0.0
         value = F.lit(constant)
-        return docs.withColumn("score", value).withColumn("predicted", (value >= threshold).cast("int"))
+        return docs.withColumn(score, value).withColumn(predicted, (value >= threshold).cast("int"))
     arrow = _run_counts(rows.filter("part <> 0")).toArrow()  # bounded by fit_rows
     table = {name: arrow.column(name).to_numpy() for name in arrow.column_names}
     table |= {name: table[name].view(np.uint64) for name in ("run", "context", "tail")}
@@ -238,11 +241,11 @@ def score(
     mean = x.mean(axis=0)
     w = fit_logistic((x - mean) / scale, y)
     slope = w[1:] / scale
-    all_labels = labels.filter(~held_out(key)).agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
+    all_labels = labels.filter(~held_out(key) & F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
     share = y.mean()
     shift = np.log(all_labels / (1 - all_labels)) - np.log(share / (1 - share)) if 0 < all_labels < 1 else 0.0
     bias = float(w[0] - slope @ mean + shift)
     f = unused("features", docs.columns)
     z = F.lit(bias) + F.col(f)["whole"] * float(slope[0]) + F.col(f)["top"] * float(slope[1])
-    out = docs.withColumn(f, features(F.col(text))).withColumn("score", 1 / (1 + F.exp(-z))).drop(f)
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = docs.withColumn(f, features(F.col(text))).withColumn(score, 1 / (1 + F.exp(-z))).drop(f)
+    return out.withColumn(predicted, (F.col(score) >= threshold).cast("int"))
