@@ -48,3 +48,23 @@ def test_stages_take_effect(spark, folder, tmp_path):
         docs = out
     before = sorted(map(str, docs.collect()))
     assert sorted(map(str, P.run(spark, folder).collect())) == before
+
+
+def test_odd_rows_pass_each_stage(spark, folder):
+    """Nulls, empty texts, repeated rows and columns with the names that stages use; empty tables."""
+    texts = ["some words of a text " * 9, None, "", " \n\t", "one\ntwo", "some words of a text " * 9]
+    extra = ["_of", "_times", "_turn", "_kept", "score", "predicted", "features", "n_lines", "n_removed", "size", "taken", "id", "late", "fp", "component_id"]
+    rows = [(i if i != 4 else None, t, None if i == 2 else "en", None if i % 3 == 0 else f"s{i % 3}", None) for i, t in enumerate(texts * 2)]
+    rows = [(*r, *[7] * len(extra)) for r in [*rows, rows[0], rows[0]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in extra))
+    for name, stage in P.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, folder)
+            if name != "BPE":
+                assert out.columns == docs.columns
+                assert all(r["score"] == r["_times"] == r["n_lines"] == 7 for r in out.collect())
+            else:
+                assert out.count() == given.count()
+    kept = {r["doc_id"] for r in P.drop_toxic(spark, docs, folder).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+    assert sorted(str(r["doc_id"]) for r in P.mix_sources(spark, docs.filter("text is not null"), folder).collect())
