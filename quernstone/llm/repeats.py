@@ -16,9 +16,9 @@ exchanged, so they are found through anchors:
 3. The suffixes at shared anchors go, with the few symbols before them, to groups by that
    prefix, for which its 64-bit fingerprint stands in the sort keys, as 64 bits do for a
    word.  A prefix with very many contexts would make a large group: it is extended to the
-   whole window, and such windows' smallest ids are an aggregation by 128 bits of them,
-   combined before the exchange, and a join back.  Equal contexts within a block are sent
-   once, for the smallest id, so a passage found everywhere costs a row a block.
+   whole window, for which 128 bits stand.  Of such a window a partition sends only its
+   smallest id, and marks its others itself, so a passage found everywhere costs a row a
+   partition.  Other equal contexts are sent once a block.
 4. A group's ``solve`` puts its suffixes in order with their common prefix lengths (a
    suffix tree, or merged runs); per offset, windows with equal symbols on both sides of
    the anchor form a class, and those above the class's smallest id are marked.
@@ -44,7 +44,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
 from .tokens import Fingerprints, byte_symbols, flatten, mix, word_hashes, word_spans
 
 #: Bytes of text in a block, in a part of a longer text, in a group and in a partition; contexts of an anchor from which on its windows are dealt out one by one.
@@ -277,6 +276,16 @@ def runs_of(lcp: np.ndarray) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
     return lambda length: (keep, np.cumsum(lcp < length))
 
 
+def least_ids(w1: np.ndarray, w2: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window, by its two fingerprints, the smallest id that it is given with."""
+    order = np.lexsort((ids, w2, w1))
+    a, b = w1[order], w2[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    out = np.empty(len(ids), np.int64)
+    out[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
 def _copies(blocks: DataFrame) -> DataFrame:
     """By block, the rows whose whole text a smaller id has."""
 
@@ -300,7 +309,9 @@ Solve = Callable[[pd.DataFrame, int, Callable[[np.ndarray], np.ndarray]], tuple[
 Code = Callable[[np.ndarray], tuple[np.ndarray, dict[str, bytes]]]
 
 _SENT = "bucket long, kind int, block long, part int, head binary, body binary, rights binary, lefts binary, ids binary, refs binary, offs binary"
-_FOUND = "block long, part int, entries binary, masks binary, w1 long, w2 long, id long, ref int, off int"
+_FOUND = "block long, part int, entries binary, masks binary"
+#: Hot windows that a task combines at a time.
+HELD = 1 << 20
 
 
 def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable, result: str, key: str, text: str, hot: int = HOT, part: int = PART) -> DataFrame:
@@ -343,92 +354,88 @@ def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable
     answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "bucket", "state"))).alias("states"))
 
     def send(batches):
+        held: list[dict[str, np.ndarray]] = []  # hot windows of several blocks
         for row in rows_of(batches):
             for b in parts_of(row, plan, part):
-                yield from send_part(row, b)
-
-    def send_part(row: dict, b: Block) -> Iterator[pa.RecordBatch]:
-        state = np.frombuffer(b"".join(x["state"] for x in row["states"] or [] if x["part"] == b.part), np.uint8)[b.gram_of]
-        got: dict[str, list] = {name.split()[0]: [] for name in _SENT.split(", ")}
-
-        def put(bucket: int, kind: int, **given: bytes) -> None:
-            values = {"bucket": bucket, "kind": kind, "block": row["block"], "part": b.part} | given
-            for name in got:
-                got[name].append(values.get(name, b""))
-
-        owner = lambda entries: b.ids[b.doc[b.first[entries]]]
-        entries = np.flatnonzero(state == 1)
-        if len(entries):
-            keys, right, left = b.anchor_keys(entries)
-            for bucket, i, j in b.ranges(b.grams[b.gram_of[entries]], bits):
-                order, coded = code(keys[i:j])
-                own = entries[i:j][order]
-                put(bucket, 0, **coded, rights=right[i:j][order].astype(np.uint8).tobytes(), lefts=left[i:j][order].astype(np.uint8).tobytes(), ids=owner(own).tobytes(), refs=own.astype(np.uint32).tobytes())
-        hot_entries = np.flatnonzero(state == 2)
-        if len(hot_entries):
-            entry, offset = b.windows(hot_entries)
-            start = b.at[b.first[entry]] - offset
-            w1, w2 = b.prints.spans(start, start + plan.n), Fingerprints(mix(b.symbols + np.uint64(1))).spans(start, start + plan.n)
-            ids = owner(entry)
-            order = np.lexsort((ids, w2, w1))
-            entry, offset, ids, w1, w2 = entry[order], offset[order], ids[order], w1[order], w2[order]
-            new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-            here = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]  # this block has the window in a smaller id
-            pack = lambda which, **more: put(row["block"] % (1 << bits), 2, refs=entry[which].astype(np.uint32).tobytes(), offs=offset[which].astype(np.uint8).tobytes(), **more)
-            if here.any():
-                pack(here)
-            pack(~here, ids=ids[~here].tobytes(), head=w1[~here].tobytes(), body=w2[~here].tobytes())
-        if got["bucket"]:
-            kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-            yield pa.RecordBatch.from_pydict(got, pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _SENT.split(", ")]))
-
-    def unpacked(rows: pd.DataFrame) -> pd.DataFrame:
-        """Hot windows: marks that are known already, and the others one by one."""
-        out = []
-        for block, at, head, body, ids, refs, offs in zip(rows.block, rows.part, rows["head"], rows["body"], rows.ids, rows.refs, rows.offs):
-            off = np.frombuffer(offs, np.uint8)
-            if not len(ids):
-                out.append(pd.DataFrame({"block": [block], "part": [at], "entries": [refs], "masks": [(np.uint64(1) << off.astype(np.uint64)).tobytes()]}))
-            else:
-                columns = {"w1": np.frombuffer(head, np.int64), "w2": np.frombuffer(body, np.int64), "id": np.frombuffer(ids, np.int64), "ref": np.frombuffer(refs, np.uint32).astype(np.int32), "off": off.astype(np.int32)}
-                out.append(pd.DataFrame({"block": block, "part": at} | columns))
-        return pd.concat(out)
+                state = np.frombuffer(b"".join(x["state"] for x in row["states"] or [] if x["part"] == b.part), np.uint8)[b.gram_of]
+                yield from send_suffixes(row["block"], b, np.flatnonzero(state == 1))
+                if (state == 2).any():
+                    held.append(hot_windows(row["block"], b, np.flatnonzero(state == 2)))
+                if sum(len(h["w1"]) for h in held) > HELD:
+                    yield send_windows(held)
+                    held = []
+        if held:
+            yield send_windows(held)
+
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        named = [c.split() for c in _SENT.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n, b"") for r in rows], kinds[k]) for n, k in named], [n for n, _ in named])
+
+    def send_suffixes(block: int, b: Block, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(entries):
+            return
+        keys, right, left = b.anchor_keys(entries)
+        rows = []
+        for bucket, i, j in b.ranges(b.grams[b.gram_of[entries]], bits):
+            order, coded = code(keys[i:j])
+            own = entries[i:j][order]
+            given = {"rights": right[i:j][order].astype(np.uint8), "lefts": left[i:j][order].astype(np.uint8), "ids": b.ids[b.doc[b.first[own]]], "refs": own.astype(np.uint32)}
+            rows.append({"bucket": bucket, "kind": 0, "block": block, "part": b.part} | coded | {k: v.tobytes() for k, v in given.items()})
+        yield table(rows)
+
+    def hot_windows(block: int, b: Block, entries: np.ndarray) -> dict[str, np.ndarray]:
+        entry, offset = b.windows(entries)
+        start = b.at[b.first[entry]] - offset
+        more = Fingerprints(mix(b.symbols + np.uint64(1)))
+        return {
+            "w1": b.prints.spans(start, start + plan.n), "w2": more.spans(start, start + plan.n), "ids": b.ids[b.doc[b.first[entry]]],
+            "block": np.full(len(entry), block), "part": np.full(len(entry), b.part), "refs": entry.astype(np.uint32), "offs": offset.astype(np.uint8),
+        }
+
+    def send_windows(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        """Rows with a smaller id here are marked (kind 2), the others ask for the smallest id of all (kind 1)."""
+        all_ = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        late = all_["ids"] > least_ids(all_["w1"], all_["w2"], all_["ids"])
+        bucket = np.where(late, all_["block"] % (1 << bits), (all_["w1"] >> np.uint64(64 - bits)).astype(np.int64))
+        order = np.lexsort((all_["part"], all_["block"], bucket, late))
+        key = np.stack([late[order], bucket[order], all_["block"][order], all_["part"][order]])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        rows = []
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+            at = order[i:j]
+            given = {"refs": all_["refs"], "offs": all_["offs"]} | ({} if late[at[0]] else {"head": all_["w1"], "body": all_["w2"], "ids": all_["ids"]})
+            rows.append({"bucket": int(bucket[at[0]]), "kind": 2 if late[at[0]] else 1, "block": int(all_["block"][at[0]]), "part": int(all_["part"][at[0]])} | {k: v[at].tobytes() for k, v in given.items()})
+        return table(rows)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in _FOUND.split(", ")]
-        if rows.kind.iloc[0] == 2:
-            return unpacked(rows).reindex(columns=columns)
         whole = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
-        w, k = plan.offsets, plan.k
-        order, classes, keys = solve(rows, 8 + 2 * (w - 1) * plan.width, lambda lcp: np.minimum(np.where(lcp < 8, 0, k + (lcp - 8) // plan.width), plan.n))
-        right, left, ids = whole("rights", np.uint8)[order], whole("lefts", np.uint8)[order], whole("ids", np.int64)[order]
-        before = np.ascontiguousarray(keys[:, keys.shape[1] - (w - 1) * plan.width :]).view(plan.code)
-        mask = marks(classes, right, left, before, ids, plan.n, k)
-        back = np.zeros(len(mask), np.uint64)
-        back[order] = mask
-        cuts = np.cumsum([len(x) for x in rows.rights])[:-1]
-        parts = zip(rows.block, rows.part, np.split(whole("refs", np.uint32), cuts), np.split(back, cuts))
-        out = [(block, at, r[m > 0].tobytes(), m[m > 0].tobytes()) for block, at, r, m in parts if m.any()]
-        return pd.DataFrame(out, columns=columns[:4]).reindex(columns=columns)
+        refs, kind = whole("refs", np.uint32), rows.kind.iloc[0]
+        if kind:
+            back = np.uint64(1) << whole("offs", np.uint8).astype(np.uint64)
+            if kind == 1:
+                ids = whole("ids", np.int64)
+                back[ids <= least_ids(whole("head", np.uint64), whole("body", np.uint64), ids)] = 0
+        else:
+            w, k = plan.offsets, plan.k
+            order, classes, keys = solve(rows, 8 + 2 * (w - 1) * plan.width, lambda lcp: np.minimum(np.where(lcp < 8, 0, k + (lcp - 8) // plan.width), plan.n))
+            before = np.ascontiguousarray(keys[:, keys.shape[1] - (w - 1) * plan.width :]).view(plan.code)
+            back = np.zeros(len(refs), np.uint64)
+            back[order] = marks(classes, whole("rights", np.uint8)[order], whole("lefts", np.uint8)[order], before, whole("ids", np.int64)[order], plan.n, k)
+        cuts = np.cumsum([len(x) // 4 for x in rows.refs])[:-1]
+        out = [(block, at, r[m > 0].tobytes(), m[m > 0].tobytes()) for block, at, r, m in zip(rows.block, rows.part, np.split(refs, cuts), np.split(back, cuts)) if m.any()]
+        return pd.DataFrame(out, columns=["block", "part", "entries", "masks"])
 
     asked = blocks.join(answers.hint("shuffle_hash"), "block", "left")
     sent = asked.mapInArrow(send, _SENT).repartition(shares, "kind", "bucket")
-    found = saved(sent.groupBy("kind", "bucket").applyInPandas(group, _FOUND))
-    windows = found.filter("w1 is not null")
-    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = windows.join(least, ["w1", "w2"]).filter("id > least").groupBy("block", "part", "ref").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
-    late = late.groupBy("block").agg(F.collect_list(F.struct("part", "ref", "mask")).alias("late"))
-    known = found.filter("w1 is null").groupBy("block").agg(F.collect_list(F.struct("part", "entries", "masks")).alias("marks"))
-    returned = known.join(late, "block", "full")
+    found = sent.groupBy("kind", "bucket").applyInPandas(group, _FOUND)
+    found = found.groupBy("block").agg(F.collect_list(F.struct("part", "entries", "masks")).alias("marks"))
 
     def last(batches):
         for row in rows_of(batches):
             done = []
             for b in parts_of(row, plan, part):
-                replies = [(m["entries"], m["masks"]) for m in row["marks"] or [] if m["part"] == b.part]
-                more = [x for x in row["late"] or [] if x["part"] == b.part]
-                replies.append((np.array([x["ref"] for x in more], np.uint32).tobytes(), np.array([x["mask"] for x in more], np.int64).tobytes()))
-                done.append(finish(b, row["ids"], b.removed(replies)))
+                done.append(finish(b, row["ids"], b.removed([(m["entries"], m["masks"]) for m in row["marks"] or [] if m["part"] == b.part])))
             yield done[0] if len(done) == 1 else joined(done)
 
     def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -441,4 +448,4 @@ def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable
         sums = [pa.array([sum(p.column(i)[0].as_py() for p in parts)], pa.int64()) for i in (1, 2, 3)]
         return pa.RecordBatch.from_arrays([parts[0].column(0), *sums, pa.array(kept, parts[0].schema.field(4).type)], parts[0].schema.names)
 
-    return blocks.join(returned.hint("shuffle_hash"), "block", "left").mapInArrow(last, result)
+    return blocks.join(found.hint("shuffle_hash"), "block", "left").mapInArrow(last, result)
