@@ -16,9 +16,10 @@ exchanged, so they are found through anchors:
 3. The suffixes at shared anchors go, with the few symbols before them, to groups by that
    prefix, for which its 64-bit fingerprint stands in the sort keys, as 64 bits do for a
    word.  A prefix with very many contexts would make a large group: it is extended to the
-   whole window, for which 128 bits stand.  Of such a window a partition sends only its
-   smallest id, and marks its others itself, so a passage found everywhere costs a row a
-   partition.  Other equal contexts are sent once a block.
+   whole window, for which 128 bits stand.  Such windows are combined, several blocks at a
+   time: only the smallest id is sent, the others are marked at once.  A passage found
+   everywhere so costs a few bytes for each block or less.  Other equal contexts are sent
+   once a block.
 4. A group's ``solve`` puts its suffixes in order with their common prefix lengths (a
    suffix tree, or merged runs); per offset, windows with equal symbols on both sides of
    the anchor form a class, and those above the class's smallest id are marked.
@@ -311,7 +312,7 @@ Code = Callable[[np.ndarray], tuple[np.ndarray, dict[str, bytes]]]
 _SENT = "bucket long, kind int, block long, part int, head binary, body binary, rights binary, lefts binary, ids binary, refs binary, offs binary"
 _FOUND = "block long, part int, entries binary, masks binary"
 #: Hot windows that a task combines at a time.
-HELD = 1 << 20
+HELD = 1 << 17
 
 
 def find(docs: DataFrame, plan: Plan, code: Code, solve: Solve, finish: Callable, result: str, key: str, text: str, hot: int = HOT, part: int = PART) -> DataFrame:
