@@ -149,7 +149,7 @@ class Block:
         left = np.minimum(at - self.lows[doc], w - 1)
         right = np.minimum(self.highs[doc] - at, n)
         context = prints.spans(at - left, at + right) + mix(left.astype(np.uint64))
-        gram = grams[at]
+        gram = mix(grams[at])  # smallest fingerprints crowd at the low end; their groups should not
         order = np.lexsort((at, self.ids[doc], context, gram))
         self.at, self.doc, self.left, self.right = at[order], doc[order], left[order], right[order]
         gram, context = gram[order], context[order]
