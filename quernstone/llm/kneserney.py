@@ -2,16 +2,18 @@
 
 Two letter models, of toxic and of ordinary texts, give each word a log-likelihood.
 The longest contexts have counts of their own class, interpolated Kneser-Ney style with
-one backoff distribution that both classes share: continuation counts over all training
-texts.  A rare expression thus differs between the classes only where a class has seen
-it.  A text's features are the length-normalised difference of the two log-likelihoods
-over the whole text and over the hundredth of its words that differ most; a logistic
-function of the two, fitted on a fifth of the training texts that the counts leave out,
-is the score.
-
-The models are fitted on at most ``FIT_ROWS`` labelled texts of each class, those with the
-smallest hash of their id, so what is sent to the executors is bounded.  The counts of
-their words and letter runs are Spark aggregations.
+one backoff distribution that both classes share: continuation counts over the distinct
+words of all documents.  A rare expression thus differs between the classes only where a
+class has seen it.  A text's features are the length-normalised difference of the two
+log-likelihoods over the whole text and over the hundredth of its words that differ most;
+a logistic function of the two, fitted on a fifth of the training texts that the class
+counts leave out, is the score.
+
+The class counts are of at most ``FIT_ROWS`` labelled texts of each class, those with the
+smallest hash of their id.  The continuation counts need no labels and grow with the
+documents; they stay a distributed table.  A letter that neither class has seen after its
+context has the same ratio whatever its backoff, so only the backoff of runs in the
+labelled texts is looked up there, and what is sent to the executors is bounded.
 
 Defined results: a null or empty text, or one with no letters, has features of zero and
 so the score of the bias; without both classes among the training texts every score is
@@ -68,6 +70,11 @@ def letter_runs(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         before = ends
 
 
+def smooth(n: np.ndarray, kinds: np.ndarray, total: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Discounted share of n in the total, with the rest dealt out by the backoff; the backoff alone where the context is new."""
+    return np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * below) / np.maximum(total, 1.0), below)
+
+
 class Counts:
     """Sorted hashes, each with a row of values; zeros for what is not there."""
 
@@ -86,50 +93,49 @@ class Counts:
 
 
 class Model:
-    """The two letter models: by run length, counts of runs (toxic, ordinary, continuations) and of contexts."""
+    """The two letter models: by run length, counts of runs (toxic, ordinary, shared backoff) and of contexts."""
 
-    def __init__(self, table: dict[str, np.ndarray]):
-        """Columns m, run, context, tail, toxic and ordinary, a row for each run; tail is the run without its first letter."""
+    def __init__(self, table: dict[str, np.ndarray], letters: int):
+        """Columns m, run, context, tail, toxic, ordinary, ahead, total and kinds, a row for each run; tail is the run without its first letter.
+
+        Ahead is how many letters the corpus has before the run; total and kinds are the sum of
+        these over the runs with the same context, and the number of such runs.
+        """
         self.runs: dict[int, Counts] = {}
         self.contexts: dict[int, Counts] = {}
-        self.letters = max(2, int((table["m"] == 1).sum()))
         self.cache: dict[str, float] = {}
+        shared = Counts(np.zeros(0, np.uint64), np.zeros((0, 1)))
         for m in range(1, ORDER + 1):
             here = table["m"] == m
-            run, own = table["run"][here], [table[c][here].astype(float) for c in ("toxic", "ordinary")]
+            run = table["run"][here]
+            own = [table[c][here].astype(float) for c in ("toxic", "ordinary")]
+            below = np.full(len(run), 1.0 / letters) if m == 1 else shared.of(shared.rows(table["tail"][here]), 0)[0]
+            self.runs[m] = Counts(run, np.column_stack((*own, below)))
             if m < ORDER:
-                tails, ahead = np.unique(table["tail"][table["m"] == m + 1], return_counts=True)
-                counts = Counts(tails, ahead[:, None])
-                pooled = np.maximum(counts.of(counts.rows(run), 0)[0], 1.0)
-            else:
-                pooled = own[0] + own[1]
-            self.runs[m] = Counts(run, np.column_stack((*own, pooled)))
+                ahead, total, kinds = (table[c][here].astype(float) for c in ("ahead", "total", "kinds"))
+                shared = Counts(run, smooth(ahead, kinds, total, below)[:, None])
             context, which = np.unique(table["context"][here], return_inverse=True)
             add = lambda v: np.bincount(which, v, len(context))
-            self.contexts[m] = Counts(context, np.column_stack((add(own[0]), add(own[1]), add(own[0] > 0), add(own[1] > 0), add(pooled), add(np.ones(len(run))))))
+            self.contexts[m] = Counts(context, np.column_stack((add(own[0]), add(own[1]), add(own[0] > 0), add(own[1] > 0))))
 
     def differences(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word as toxic, less that as ordinary."""
         out = np.zeros(len(words))
         if not words:
             return out
-        shared = np.zeros(0)
-        smooth = lambda n, kinds, total, below: np.where(
-            total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * below) / np.maximum(total, 1.0), below
-        )
-        for m, owner, run, context, place, lower in letter_runs(words):
-            runs, contexts = self.runs[m], self.contexts[m]
-            r, c = runs.rows(run), contexts.rows(context)
-            below = np.full(len(run), 1.0 / self.letters) if m == 1 else shared[lower]
+        for m, owner, run, context, place, _ in letter_runs(words):
+            if m == 1:
+                continue
             if m < ORDER:
-                shared = smooth(*runs.of(r, 2), *contexts.of(c, 5, 4), below)
-            if m > 1:
                 # A letter is scored in the longest run that its word has for it.
-                if m < ORDER:
-                    longest = np.flatnonzero(place == m - 1)
-                    r, c, below, owner = r[longest], c[longest], below[longest], owner[longest]
-                toxic, ordinary = (smooth(*runs.of(r, k), *contexts.of(c, 2 + k, k), below) for k in (0, 1))
-                out += np.bincount(owner, np.log(toxic / ordinary), len(words))
+                longest = np.flatnonzero(place == m - 1)
+                owner, run, context = owner[longest], run[longest], context[longest]
+            runs, contexts = self.runs[m], self.contexts[m]
+            r, c = runs.rows(run), contexts.rows(context)
+            below = runs.of(r, 2)[0]
+            below[below == 0] = 1.0  # in neither class: the ratio is the same for any backoff
+            toxic, ordinary = (smooth(*runs.of(r, k), *contexts.of(c, 2 + k, k), below) for k in (0, 1))
+            out += np.bincount(owner, np.log(toxic / ordinary), len(words))
         return out
 
     def features(self, texts: list[str | None]) -> list[tuple[float, float]]:
@@ -169,7 +175,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return rows.select("text", F.col("toxic").cast("int"), part.cast("int").alias("part"))
 
 
-def _run_counts(rows: DataFrame) -> DataFrame:
+def _class_counts(rows: DataFrame) -> DataFrame:
+    """Training texts -> letter runs with their counts in toxic and in ordinary ones."""
+
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for toxic, part in batch.groupby("toxic"):
@@ -180,12 +188,9 @@ def _run_counts(rows: DataFrame) -> DataFrame:
 
     def count_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            before = np.zeros(0, np.uint64)
             toxic, n = batch.toxic.to_numpy(), batch.n.to_numpy()
-            for m, owner, run, context, _, lower in letter_runs(batch.word.tolist()):
-                tail = before[lower] if m > 1 else np.zeros(len(run), np.uint64)
-                before = run
-                rows = pd.DataFrame({"m": m, "run": run.view(np.int64), "context": context.view(np.int64), "tail": tail.view(np.int64), "toxic": toxic[owner], "n": n[owner]})
+            for rows, owner in _run_rows(batch.word.tolist()):
+                rows = rows.assign(toxic=toxic[owner], n=n[owner])
                 yield rows.groupby(["m", "run", "context", "tail", "toxic"], as_index=False).sum()
 
     words = rows.mapInPandas(count_words, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
@@ -194,6 +199,53 @@ def _run_counts(rows: DataFrame) -> DataFrame:
     return runs.groupBy("m", "run", "context", "tail").agg(own(1).alias("toxic"), own(0).alias("ordinary"))
 
 
+def _run_rows(words: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """By run length, rows (m, run, context, tail) of the words' runs, and the word of each."""
+    before = np.zeros(0, np.uint64)
+    for m, owner, run, context, _, lower in letter_runs(words):
+        tail = before[lower] if m > 1 else np.zeros(len(run), np.uint64)
+        before = run
+        yield pd.DataFrame({"m": m, "run": run.view(np.int64), "context": context.view(np.int64), "tail": tail.view(np.int64)}), owner
+
+
+def corpus_runs(texts: DataFrame) -> DataFrame:
+    """Texts (one column) -> the distinct letter runs (m, run, context, tail) of all their words."""
+
+    def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                found: set[str] = set()
+                for text in batch.iloc[at : at + 1024, 0]:
+                    found.update(words_of(text))
+                yield pd.DataFrame({"word": pd.Series(list(found), dtype=object)})
+
+    def distinct_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows, _ in _run_rows(batch.word.tolist()):
+                yield rows.drop_duplicates()
+
+    words = texts.mapInPandas(distinct_words, "word string").distinct()
+    return words.mapInPandas(distinct_runs, "m int, run long, context long, tail long").distinct()
+
+
+def shared_counts(own: DataFrame, runs: DataFrame) -> DataFrame:
+    """``own`` (runs of the training texts) with the corpus's continuation counts: ahead, total and kinds.
+
+    ``own`` is bounded and so broadcast; the runs of the corpus are joined by key.
+    """
+    ahead = runs.filter("m > 1").groupBy((F.col("m") - 1).alias("m"), F.col("tail").alias("run")).agg(F.count("*").alias("ahead"))
+    contexts = own.filter(F.col("m") < ORDER).select("m", "context").distinct()
+    asked = runs.filter(F.col("m") < ORDER).select("m", "run", "context").join(F.broadcast(contexts), ["m", "context"], "left_semi")
+    # A run at the start of a word has no letter before it, and counts once.
+    counted = asked.join(ahead, ["m", "run"], "left").select("m", "run", "context", F.coalesce("ahead", F.lit(1)).alias("ahead"))
+    counted = counted.join(F.broadcast(own.select("m", "run", F.lit(True).alias("kept"))), ["m", "run"], "left")
+    of_context = counted.groupBy("m", "context").agg(
+        F.sum("ahead").alias("total"), F.count("*").alias("kinds"), F.collect_list(F.when(F.col("kept"), F.struct("run", "ahead"))).alias("found")
+    )
+    found = of_context.select("m", "total", "kinds", F.explode("found").alias("f")).select("m", "f.run", "f.ahead", "total", "kinds")
+    return own.join(found, ["m", "run"], "left").na.fill(0, ["ahead", "total", "kinds"])
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights of (1, *features) by Newton steps."""
     x = np.column_stack((np.ones(len(x)), x))
@@ -220,10 +272,13 @@ def score(
         constant = 1.0 if any(c == 1 for c, _ in seen) else 0.0
         value = F.lit(constant)
         return docs.withColumn(score, value).withColumn(predicted, (value >= threshold).cast("int"))
-    arrow = _run_counts(rows.filter("part <> 0")).toArrow()  # bounded by fit_rows
+    own = saved(_class_counts(rows.filter("part <> 0")))  # bounded by fit_rows
+    runs = saved(corpus_runs(docs.select(F.col(text).alias("text"))))
+    letters = max(2, runs.filter("m = 1").count())
+    arrow = shared_counts(own, runs).toArrow()
     table = {name: arrow.column(name).to_numpy() for name in arrow.column_names}
     table |= {name: table[name].view(np.uint64) for name in ("run", "context", "tail")}
-    model = spark.sparkContext.broadcast(Model(table))
+    model = spark.sparkContext.broadcast(Model(table, letters))
     del arrow, table
 
     @F.pandas_udf("struct<whole double, top double>")
