@@ -8,8 +8,8 @@ neighbours of each fingerprint before that is inserted, along the edges within t
 radius only.  A shard emits a spanning forest of its links, never all pairs.
 
 ``near_copies`` adds links at a shingle similarity (Jaccard), which differs in far more
-bits than a tree's radius can cover: fingerprints that share a band of minimum hashes
-are candidates, and the shingles of both are compared exactly.
+bits than a tree's radius can cover: texts that share a band of minimum hashes are
+candidates, and the shingles of both are compared exactly.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint
 zero; equal rows stay separate rows; rows with a null id take part, but a component's
@@ -33,9 +33,9 @@ from .store import saved
 
 #: Fingerprints of a shard from which on it is dealt out again.
 SHARD = 1024
-#: Bands of so many minimum hashes each; members of a band that each member meets besides the first.  At a similarity of
+#: Bands of so many minimum hashes each; texts of a band that meet its others in the first round.  At a similarity of
 #: 0.8 a pair shares no band with a probability of (1 - 0.8**4)**20, 0.00003.
-BANDS, BAND, NEXT = 20, 4, 4
+BANDS, BAND, LEADERS = 20, 4, 4
 #: Odd multipliers: one order of all hashes each.
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -209,39 +209,61 @@ def near_duplicates(
     return fps.join(classes.select("fp", "component"), "fp").join(least, "component").select(key, "fp", "component_id")
 
 
-def _similar_links(reps: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float, lower: bool) -> DataFrame:
-    """Rows (fp, place, n, bands), one for each fingerprint -> links (a, b) beyond the radius of shingle sets at least so similar.
-
-    In a band each member meets the first and the next few in order of fingerprints, so a
-    large group gives a few pairs for each member.
-    """
-    banded = reps.select("fp", "n", F.posexplode("bands").alias("band", "v"))
-    order = W.partitionBy("band", "v").orderBy("fp")
-    other = F.struct("fp", "n")
-    met = F.array(F.first(other).over(order), *[F.lag(other, i).over(order) for i in range(1, NEXT + 1)])
-    pairs = banded.withColumn("met", met).select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.explode(F.array_distinct("met")).alias("o"))
-    pairs = pairs.select(F.col("o.fp").alias("a"), F.col("o.n").alias("n_a"), "b", "n_b").filter("a <> b")
-    pairs = pairs.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > radius)
-    pairs = saved(pairs.select("a", "b").distinct())
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, lower: bool) -> DataFrame:
+    """Of the pairs (a, b) of text hashes, those whose sets of shingles are at least so similar."""
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([np.unique(_hashes(t, words, lower)).view(np.int64) for t in batch], dtype=object)
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps.select("fp", "place"), "fp")
-    asked = asked.select("fp", F.col("place.id").alias("_of"), F.col("place.h").alias("_h"))
-    found = texts.join(asked, F.col("id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_h"))).dropDuplicates(["fp"])
-    sets = saved(found.select("fp", shingles("text").alias("s")))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("s_b")), "b")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", "least"), "h")
+    asked = asked.select(F.col("h").alias("_h"), F.col("least").alias("_of"))
+    found = texts.join(asked, F.col("id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_h"))).dropDuplicates(["_h"])
+    sets = saved(found.select("_h", shingles("text").alias("s")))
+    both = pairs.join(sets.select(F.col("_h").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_h").alias("b"), F.col("s").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.filter(common >= similarity * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
 
+def _linked(nodes: DataFrame, links: DataFrame, texts: DataFrame, words: int, similarity: float, lower: bool, leaders: int) -> DataFrame:
+    """Nodes (h, least, n, bands) and links (a, b) -> components (id, component) with links at the similarity too.
+
+    Texts that share a band and no component yet are candidates.  In each round the first few
+    of a band's texts, those of its smallest components first, meet all its texts of other
+    components and leave; twice as many in the next round.  A band is done when all it has left
+    are of one component, so no link between components is missed and few pairs are formed
+    where copies are many.
+    """
+    banded = nodes.select("h", "n", F.posexplode("bands").alias("band", "v"))
+    several = banded.groupBy("band", "v").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("band", "v")
+    left = saved(banded.join(several, ["band", "v"], "left_semi"))
+    while True:
+        linked = saved(components(links))
+        now = left.join(linked.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+        here = now.groupBy("band", "v", "component").agg(F.count("*").alias("size"))
+        mixed = here.groupBy("band", "v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band", "v")
+        now = saved(now.join(here.join(mixed, ["band", "v"], "left_semi"), ["band", "v", "component"]))
+        if now.isEmpty():
+            return linked
+        order = W.partitionBy("band", "v").orderBy("size", "component", "h")
+        first = now.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
+        first = saved(first.select("band", "v", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")))
+        met = now.join(first, ["band", "v"]).filter("component <> of_a").filter(F.least("n", "n_a") >= similarity * F.greatest("n", "n_a"))
+        pairs = saved(met.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct())
+        links = saved(links.unionByName(_verified(pairs, nodes, texts, words, similarity, lower)))
+        left = saved(now.select("band", "v", "h", "n").join(first.select("band", "v", F.col("a").alias("h")), ["band", "v", "h"], "left_anti"))
+        leaders *= 2
+
+
 def near_copies(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 3, similarity: float = 0.8, lower: bool = True, shard: int = SHARD
+    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 3, similarity: float = 0.8, lower: bool = True,
+    shard: int = SHARD, leaders: int = LEADERS,
 ) -> DataFrame:
-    """As ``near_duplicates``, with links also between documents whose sets of shingles have a Jaccard similarity from ``similarity`` on."""
+    """As ``near_duplicates``, with links also between documents whose sets of shingles have a Jaccard similarity from ``similarity`` on.
+
+    Distinct texts are told apart by a 64-bit hash.  ``leaders`` changes the route, not the result.
+    """
 
     @F.pandas_udf("struct<fp long, n int, bands array<long>>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -251,10 +273,13 @@ def near_copies(
 
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = saved(texts.select("id", F.xxhash64("text").alias("h"), prints("text").alias("p")).select("id", "h", "p.*"))
-    reps = rows.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "h", "n", "bands")).alias("r"))
-    reps = saved(reps.select("fp", "least", F.struct("r.id", "r.h").alias("place"), "r.n", "r.bands"))
-    links = near_links(reps.select("fp"), radius, shard).unionByName(_similar_links(reps, texts, words, radius, similarity, lower))
-    linked = components(links).select(F.col("id").alias("fp"), "component")
-    classes = saved(reps.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    nodes = saved(rows.groupBy("h").agg(F.min("id").alias("least"), F.first(F.struct("fp", "n", "bands")).alias("p")).select("h", "least", "p.*"))
+    prime = saved(nodes.groupBy("fp").agg(F.min("h").alias("h")))
+    of = lambda side: prime.select(F.col("fp").alias(side), F.col("h").alias(f"h_{side}"))
+    near = near_links(prime.select("fp"), radius, shard).join(of("a"), "a").join(of("b"), "b").select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+    same = nodes.select("fp", F.col("h").alias("a")).join(prime, "fp").filter("a <> h").select("a", F.col("h").alias("b"))
+    linked = _linked(nodes, saved(near.unionByName(same)), texts, words, similarity, lower, leaders)
+    classes = nodes.join(linked.select(F.col("id").alias("h"), "component"), "h", "left").select("h", "least", F.coalesce("component", "h").alias("component"))
+    classes = saved(classes)
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select(F.col("id").alias(key), "fp").join(classes.select("fp", "component"), "fp").join(least, "component").select(key, "fp", "component_id")
+    return rows.select(F.col("id").alias(key), "h", "fp").join(classes.select("h", "component"), "h").join(least, "component").select(key, "fp", "component_id")

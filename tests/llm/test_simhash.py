@@ -110,3 +110,31 @@ def test_near_copies_at_a_similarity(spark, groups):
     old = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, words=5, radius=3).collect()}
     assert old != got
     assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_bands_of_many_texts(spark, groups):
+    """Chains and rings of texts that share bands, where the first text of a band is like few of the others; few and many leaders."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(3):
+        stem = [word() for _ in range(150)]
+        for _ in range(12):  # branches about 0.6 like each other, each with a chain of copies
+            branch = list(stem)
+            for at in rng.sample(range(150), 7):
+                branch[at] = word()
+            for _ in range(6):
+                texts.append(" ".join(branch))
+                for at in rng.sample(range(150), 3):
+                    branch[at] = word()
+    sets, prints = [shingles(t) for t in texts], [brute(t, 5) for t in texts]
+    g = groups(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 3:
+                g.join(i, j)
+    want = {i: g.find(i) for i in range(len(texts))}
+    assert 10 < len(set(want.values())) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for leaders in (1, simhash.LEADERS):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, leaders=leaders).collect()} == want
