@@ -36,6 +36,8 @@ SHARD = 1024
 #: Bands of so many minimum hashes each; texts of a band that meet its others in the first round.  At a similarity of
 #: 0.8 a pair shares no band with a probability of (1 - 0.8**4)**20, 0.00003.
 BANDS, BAND, LEADERS = 20, 4, 4
+#: Times as many leaders in each further round; texts to compare up to which their hashes are broadcast.
+FASTER, BROADCAST = 8, 100_000
 #: Odd multipliers: one order of all hashes each.
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -218,8 +220,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
             yield pd.Series([np.unique(_hashes(t, words, lower)).view(np.int64) for t in batch], dtype=object)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", "least"), "h")
-    asked = asked.select(F.col("h").alias("_h"), F.col("least").alias("_of"))
-    found = texts.join(asked, F.col("id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_h"))).dropDuplicates(["_h"])
+    asked = saved(asked.select(F.col("h").alias("_h"), F.col("least").alias("_of")))
+    few = asked.count() <= BROADCAST
+    found = texts.join(F.broadcast(asked) if few else asked, F.col("id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_h"))).dropDuplicates(["_h"])
     sets = saved(found.select("_h", shingles("text").alias("s")))
     both = pairs.join(sets.select(F.col("_h").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_h").alias("b"), F.col("s").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -231,7 +234,7 @@ def _linked(nodes: DataFrame, links: DataFrame, texts: DataFrame, words: int, si
 
     Texts that share a band and no component yet are candidates.  In each round the first few
     of a band's texts, those of its smallest components first, meet all its texts of other
-    components and leave; twice as many in the next round.  A band is done when all it has left
+    components and leave; ``FASTER`` times as many in the next round.  A band is done when all it has left
     are of one component, so no link between components is missed and few pairs are formed
     where copies are many.
     """
@@ -253,7 +256,7 @@ def _linked(nodes: DataFrame, links: DataFrame, texts: DataFrame, words: int, si
         pairs = saved(met.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct())
         links = saved(links.unionByName(_verified(pairs, nodes, texts, words, similarity, lower)))
         left = saved(now.select("band", "v", "h", "n").join(first.select("band", "v", F.col("a").alias("h")), ["band", "v", "h"], "left_anti"))
-        leaders *= 2
+        leaders *= FASTER
 
 
 def near_copies(

@@ -112,8 +112,8 @@ def test_near_copies_at_a_similarity(spark, groups):
     assert simhash.near_copies(df.limit(0)).count() == 0
 
 
-def test_bands_of_many_texts(spark, groups):
-    """Chains and rings of texts that share bands, where the first text of a band is like few of the others; few and many leaders."""
+def test_bands_of_many_texts(spark, groups, monkeypatch):
+    """Chains of texts that share bands, where the first text of a band is like few of the others; few and many leaders, with and without a broadcast."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     texts = []
@@ -137,4 +137,5 @@ def test_bands_of_many_texts(spark, groups):
     assert 10 < len(set(want.values())) < len(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for leaders in (1, simhash.LEADERS):
+        monkeypatch.setattr(simhash, "BROADCAST", 0 if leaders == 1 else 100_000)
         assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, leaders=leaders).collect()} == want
