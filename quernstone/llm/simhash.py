@@ -211,22 +211,40 @@ def near_duplicates(
     return fps.join(classes.select("fp", "component"), "fp").join(least, "component").select(key, "fp", "component_id")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, lower: bool) -> DataFrame:
-    """Of the pairs (a, b) of text hashes, those whose sets of shingles are at least so similar."""
+def _shingles(asked: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, lower: bool) -> DataFrame:
+    """Text hashes (h) -> (h, s), s the set of the text's shingles."""
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([np.unique(_hashes(t, words, lower)).view(np.int64) for t in batch], dtype=object)
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", "least"), "h")
-    asked = saved(asked.select(F.col("h").alias("_h"), F.col("least").alias("_of")))
+    asked = saved(asked.join(nodes.select("h", "least"), "h").select(F.col("h").alias("_h"), F.col("least").alias("_of")))
     few = asked.count() <= BROADCAST
     found = texts.join(F.broadcast(asked) if few else asked, F.col("id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_h"))).dropDuplicates(["_h"])
-    sets = saved(found.select("_h", shingles("text").alias("s")))
-    both = pairs.join(sets.select(F.col("_h").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_h").alias("b"), F.col("s").alias("s_b")), "b")
+    return saved(found.select(F.col("_h").alias("h"), shingles("text").alias("s")))
+
+
+def _shared(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(h, shared): how many of a text's shingles a text of another component has too."""
+    each = left.select("h", "component").distinct().join(sets, "h").select("h", "component", F.explode("s").alias("x"))
+    common = each.groupBy("x").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("x")
+    return each.join(common, "x").groupBy("h").agg(F.count("*").alias("shared"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of text hashes, those whose sets of shingles are at least so similar."""
+    of = lambda side: sets.select(F.col("h").alias(side), F.col("s").alias(f"s_{side}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.filter(common >= similarity * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(common >= similarity * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+
+
+def _apart(banded: DataFrame, linked: DataFrame) -> DataFrame:
+    """The texts of bands that hold more than one component, with their component and its size in the band."""
+    now = banded.join(linked.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    here = now.groupBy("band", "v", "component").agg(F.count("*").alias("size"))
+    mixed = here.groupBy("band", "v").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("band", "v")
+    return saved(now.join(here.join(mixed, ["band", "v"], "left_semi"), ["band", "v", "component"]))
 
 
 def _linked(nodes: DataFrame, links: DataFrame, texts: DataFrame, words: int, similarity: float, lower: bool, leaders: int) -> DataFrame:
@@ -237,26 +255,35 @@ def _linked(nodes: DataFrame, links: DataFrame, texts: DataFrame, words: int, si
     components and leave; ``FASTER`` times as many in the next round.  A band is done when all it has left
     are of one component, so no link between components is missed and few pairs are formed
     where copies are many.
+
+    Two sets of a and b shingles can only be similar if they have similarity / (1 + similarity) * (a + b)
+    in common, and neither has more in common with the other than with all texts of other
+    components.  That rules out exactly, before they meet, the texts whose own edits set them apart.
     """
     banded = nodes.select("h", "n", F.posexplode("bands").alias("band", "v"))
     several = banded.groupBy("band", "v").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("band", "v")
-    left = saved(banded.join(several, ["band", "v"], "left_semi"))
-    while True:
-        linked = saved(components(links))
-        now = left.join(linked.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-        here = now.groupBy("band", "v", "component").agg(F.count("*").alias("size"))
-        mixed = here.groupBy("band", "v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band", "v")
-        now = saved(now.join(here.join(mixed, ["band", "v"], "left_semi"), ["band", "v", "component"]))
-        if now.isEmpty():
-            return linked
-        order = W.partitionBy("band", "v").orderBy("size", "component", "h")
-        first = now.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
-        first = saved(first.select("band", "v", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")))
-        met = now.join(first, ["band", "v"]).filter("component <> of_a").filter(F.least("n", "n_a") >= similarity * F.greatest("n", "n_a"))
+    linked = saved(components(links))
+    left = _apart(saved(banded.join(several, ["band", "v"], "left_semi")), linked)
+    if left.isEmpty():
+        return linked
+    sets = _shingles(left.select("h").distinct(), nodes, texts, words, lower)
+    enough = lambda common, a, b: common * (1 + similarity) >= similarity * (a + b) - 1e-6
+    kept = ["band", "v", "h", "n", "shared"]
+    left = left.join(_shared(left, sets), "h").filter(enough(F.col("shared"), F.col("n"), similarity * F.col("n"))).select(*kept)
+    left = _apart(saved(left), linked)
+    while not left.isEmpty():
+        order = W.partitionBy("band", "v").orderBy("size", F.desc(F.col("shared") / F.col("n")), "component", "h")
+        first = left.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
+        first = saved(first.select("band", "v", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"), F.col("component").alias("of_a")))
+        met = left.join(first, ["band", "v"]).filter("component <> of_a").filter(F.least("n", "n_a") >= similarity * F.greatest("n", "n_a"))
+        met = met.filter(enough(F.least("shared", "shared_a"), F.col("n"), F.col("n_a")))
         pairs = saved(met.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct())
-        links = saved(links.unionByName(_verified(pairs, nodes, texts, words, similarity, lower)))
-        left = saved(now.select("band", "v", "h", "n").join(first.select("band", "v", F.col("a").alias("h")), ["band", "v", "h"], "left_anti"))
+        links = saved(links.unionByName(_verified(pairs, sets, similarity)))
+        linked = saved(components(links))
+        left = left.select(*kept).join(first.select("band", "v", F.col("a").alias("h")), ["band", "v", "h"], "left_anti")
+        left = _apart(left, linked)
         leaders *= FASTER
+    return linked
 
 
 def near_copies(
