@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table."""
+"""The queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, egojoin, html, kneserney, lines, mixing, simhash, substrings, suffixes
+from . import audit, bpe, covertree, egojoin, html, kneserney, lines, mixing, simhash, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring": op2_substring,
@@ -96,7 +100,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
+    "op13_filters": op13_filters,
 }
 
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+f AS (
+  SELECT doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM w
+),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+n AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask
+),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS filter_order FROM c v, c w, c x, c y, c z
+  WHERE w.c <> v.c AND x.c NOT IN (v.c, w.c) AND y.c NOT IN (v.c, w.c, x.c) AND z.c NOT IN (v.c, w.c, x.c, y.c)
+),
+b AS (SELECT filter_order, i AS step, (1 << (ascii(substr(filter_order, i, 1)) - 65))::INT AS own FROM o, generate_series(1, 5) s(i)),
+s AS (SELECT *, coalesce(sum(own) OVER (PARTITION BY filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before FROM b),
+r AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE mask & (own | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & own > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & own > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & own > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & own > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM n, s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM r
+"""
+
 #: Where SQL can't express a query or would be too slow on whole tables, there is none; tests/llm has brute-force versions.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_filters": _AUDIT}
