@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, covertree, egojoin, hardneg, html, kneserney, lines, mixing, simhash, substrings, suffixes
+from . import audit, bpe, covertree, ctph, egojoin, hardneg, html, kneserney, lines, mixing, simhash, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op11_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.with_next(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label, scale=256.0)
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_embeddings": op10_embeddings,
+    "op11_ctph": op11_ctph,
     "op12_negatives": op12_negatives,
     "op13_filters": op13_filters,
 }
