@@ -23,6 +23,18 @@ def aggregate(column: str, how: str, order: str = "date") -> Column:
     return {"sum": F.sum(value), "mean": F.avg(value), "last": F.max_by(value, F.when(value.isNotNull(), F.col(order))), "max": F.max(value), "min": F.min(value)}[how]
 
 
+def rounded_mean(column: str, digits: int, places: int = 7) -> Column:
+    """The mean of a column, rounded half away from zero; the same whatever order rows come in.
+
+    Values are taken to ``places`` decimals and summed as whole numbers, so no sum of doubles decides a tie.
+    """
+    value = F.col(column)
+    total, n = F.sum(F.round(value * 10**places).cast("decimal(28,0)")), F.count(value)
+    halves = F.abs(total) * F.lit(2 * 10**digits) + n * F.lit(10**places)
+    whole = F.call_function("div", halves.cast("decimal(38,0)"), (n * F.lit(2 * 10**places)).cast("decimal(38,0)"))
+    return F.when(n > 0, F.signum(total.cast("double")) * whole / float(10**digits))
+
+
 def daily(df: DataFrame, ts: str, values: dict[str, str], digits: int | None = None) -> DataFrame:
     """Sub-daily rows to days; ``values`` maps a column to mean, sum, max or min; nulls are skipped."""
     aggs = [aggregate(c, how, ts) for c, how in values.items()]
@@ -76,8 +88,8 @@ def fold_duplicate_days(df: DataFrame, values: list[str], extensive: tuple[str,
     """If any date repeats: one row for each date, sums of extensive columns and means of the others; else as it is."""
     if df.groupBy("date").count().filter("count > 1").limit(1).count() == 0:
         return df
-    agg = lambda c: F.sum(c) if c.lower() in extensive else F.avg(c)
-    return df.groupBy("date").agg(*[F.round(agg(c), digits).alias(c) for c in values])
+    agg = lambda c: F.round(F.sum(c), digits) if c.lower() in extensive else rounded_mean(c, digits)
+    return df.groupBy("date").agg(*[agg(c).alias(c) for c in values])
 
 
 def validate(df: DataFrame, target: str, features: list[str], numeric: list[str], least: int = 20) -> dict:

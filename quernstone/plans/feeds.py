@@ -134,8 +134,9 @@ def parse_pubmed(spark: SparkSession, sf: str) -> DataFrame:
 
 def full_text_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """The first of two candidates with enough running text: a marked-up one with a table in it, and the plain text."""
-    docs = table(spark, sf, "documents").filter("text not like '%<%' and text not like '%>%'")
-    marked = F.concat(F.lit("<article><body><p>"), F.substring("text", 1, 900), F.lit("</p><table-wrap><p>cells</p></table-wrap></body></article>"))
+    docs = table(spark, sf, "documents")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    marked = F.concat(F.lit("<article><body><p>"), escaped, F.lit("</p><table-wrap><p>cells</p></table-wrap></body></article>"))
     rows = docs.select("doc_id", literature.body_text(marked).alias("pmc"), F.col("text").alias("plain"))
     return literature.full_text(rows, "doc_id", ["pmc", "plain"], 500).select("doc_id", "source", F.length("text").alias("n_chars"))
 
@@ -254,6 +255,12 @@ def _documents(id_: str, url: str, kind: str = "article", doi: str = _D, abstrac
 
 _HOURS = "WITH h AS (SELECT strftime(ts, '%Y-%m-%d') AS date, round(avg(value) / 7, 7) AS v, round(max(value) / 7, 7) AS w FROM events GROUP BY strftime(ts, '%Y-%m-%d'), hour(ts))"
 
+def _mean(value: str, digits: int) -> str:
+    """A mean rounded half away from zero, by whole numbers."""
+    total = f"sum(round({value} * 10000000)::HUGEINT)"
+    return f"sign({total}) * ((abs({total}) * {2 * 10**digits} + count({value})::HUGEINT * 10000000) // (count({value})::HUGEINT * 20000000))::DOUBLE / {10**digits}"
+
+
 SQL = {
     "parse_semantic_scholar": _documents("'s2:' || c_custkey", "'u/' || c_custkey"),
     "parse_doaj": _documents("'doaj:' || c_custkey", "'u/' || c_custkey"),
@@ -267,12 +274,12 @@ SQL = {
     "parse_openaire_graph": _documents("'openaire:' || c_custkey", "NULL::VARCHAR"),
     "parse_arxiv": _documents("'arxiv:' || c_custkey", "'http://arxiv.org/abs/' || c_custkey", "preprint"),
     "parse_pubmed": _documents("c_custkey::VARCHAR", "'https://pubmed.ncbi.nlm.nih.gov/' || c_custkey || '/'", doi="NULL::VARCHAR", abstract="c_mktsegment || ' done'"),
-    "full_text_cascade": "WITH t AS (SELECT doc_id, text, trim(regexp_replace(left(text, 900), '\\s+', ' ', 'g')) AS m FROM documents WHERE NOT contains(text, '<') AND NOT contains(text, '>')) SELECT doc_id, CASE WHEN length(m) > 500 THEN 'pmc' ELSE 'plain' END AS source, CASE WHEN length(m) > 500 THEN length(m) ELSE length(text) END::INT AS n_chars FROM t WHERE length(m) > 500 OR length(text) > 500",
-    "feed_weather": _HOURS + " SELECT date, NULL::DOUBLE AS temp_mean, max(v) AS temp_max, min(v) AS temp_min, NULL::DOUBLE AS wind_speed_max, round(avg(w), 1) AS relative_humidity_mean FROM h GROUP BY date",
-    "feed_air_quality": _HOURS + " SELECT date, NULL::DOUBLE AS pm2_5, round(avg(v), 2) AS pm10, round(avg(w), 2) AS no2, NULL::DOUBLE AS o3 FROM h GROUP BY date",
+    "full_text_cascade": "WITH t AS (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS m FROM documents) SELECT doc_id, CASE WHEN length(m) > 500 THEN 'pmc' ELSE 'plain' END AS source, CASE WHEN length(m) > 500 THEN length(m) ELSE length(text) END::INT AS n_chars FROM t WHERE length(m) > 500 OR length(text) > 500",
+    "feed_weather": _HOURS + " SELECT date, NULL::DOUBLE AS temp_mean, max(v) AS temp_max, min(v) AS temp_min, NULL::DOUBLE AS wind_speed_max, " + _mean("w", 1) + " AS relative_humidity_mean FROM h GROUP BY date",
+    "feed_air_quality": _HOURS + " SELECT date, NULL::DOUBLE AS pm2_5, " + _mean("v", 2) + " AS pm10, " + _mean("w", 2) + " AS no2, NULL::DOUBLE AS o3 FROM h GROUP BY date",
     "feed_generic": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1",
-    "feed_national": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, round(avg(round(o_totalprice, 0)), 4) AS value, sum(o_orderkey % 100)::DOUBLE AS pop FROM orders WHERE o_orderstatus = 'O' GROUP BY 1",
-    "feed_sentinel": "WITH m AS (SELECT (date_trunc('week', make_date(year(o_orderdate), 1, 4)) + to_days(((o_orderkey % 52) * 7)::INT))::DATE AS d, round(o_totalprice / 700, 7) AS v FROM orders WHERE o_orderstatus = 'F') SELECT strftime(d, '%Y-%m-%d') AS date, round(avg(v), 4) AS ili_incidence FROM m GROUP BY 1",
+    "feed_national": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, " + _mean("round(o_totalprice, 0)", 4) + " AS value, sum(o_orderkey % 100)::DOUBLE AS pop FROM orders WHERE o_orderstatus = 'O' GROUP BY 1",
+    "feed_sentinel": "WITH m AS (SELECT (date_trunc('week', make_date(year(o_orderdate), 1, 4)) + to_days(((o_orderkey % 52) * 7)::INT))::DATE AS d, round(o_totalprice / 700, 7) AS v FROM orders WHERE o_orderstatus = 'F') SELECT strftime(d, '%Y-%m-%d') AS date, " + _mean("v", 4) + " AS ili_incidence FROM m GROUP BY 1",
     "latest_incidence": "WITH w AS (SELECT year(o_orderdate) * 100 + weekofyear(o_orderdate) AS week, count(*)::DOUBLE AS inc FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT round(arg_max(CASE WHEN inc % 2 = 0 THEN inc / 10 ELSE inc END, week), 3) AS value FROM w",
     "catalog_resource": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN 'd/' || s_suppkey ELSE 'u/' || s_suppkey END AS url FROM supplier",
     "latest_snapshots": "SELECT event_type AS feed, max(event_id) AS taken_at, max(event_id) AS level, arg_max(user_id, event_id) AS area FROM events WHERE event_id % 2 = 1 GROUP BY event_type",

@@ -79,13 +79,13 @@ def search_vector_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embedding_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts as they go to an embedder, at most 2000 characters."""
-    return table(spark, sf, "documents").select("doc_id", F.md5(upkeep.embedding_input(F.col("text"), 2000, 1 << 30)).alias("digest"))
+    """Texts as they go to an embedder, with its limits on words and characters."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(upkeep.embedding_input(F.col("text"))).alias("digest"))
 
 
 def embedding_update(spark: SparkSession, sf: str) -> DataFrame:
     """A stand-in embedder: the length of each text."""
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 500).alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     out = upkeep.embed(docs, lambda texts: [[float(len(t))] for t in texts], "doc_id", "text")
     return out.select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("v"))
 
@@ -269,6 +269,12 @@ _POPULATION = ", ".join("({}, '{}', {}::DOUBLE)".format(i, k.replace("'", "''"),
 _KINDS = {k: _held("lower(text)", words) for k, words in T.SIGNALS.items()}
 _STRENGTH = " + ".join(f"{k}::INT" for k in T.SIGNALS)
 
+#: At most 7500 words and 20,000 characters of a text on one line; null for blank texts.
+_INPUT = r"""
+WITH l AS (SELECT doc_id, trim(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS t FROM documents), w AS (SELECT *, string_split_regex(t, ' +') AS w FROM l),
+i AS (SELECT doc_id, CASE WHEN t <> '' THEN rtrim(left(CASE WHEN len(w) > 7500 THEN array_to_string(w[1:7500], ' ') ELSE t END, 20000)) END AS t FROM w)
+"""
+
 SQL = {
     "variable_series": f"WITH n AS (SELECT c_custkey, {_plain(_choice(NAMES, 'c_custkey') + chr(32) + '||' + chr(39) + ' ' + chr(39) + '||c_mktsegment')} AS t FROM customer) SELECT c_custkey, CASE {_SERIES} END AS series, ({_PARAMETER}) AS is_parameter FROM n",
     "place_population": f"WITH p(i, k, v) AS (VALUES {_POPULATION}), l AS (SELECT c_custkey, lower(trim({_choice(LABELS, 'c_custkey')})) AS w FROM customer), s AS (SELECT c_custkey, unnest(list_prepend(w, list_transform(string_split(regexp_replace(w, '[/;|]', ',', 'g'), ','), lambda x: trim(x)))) AS part, generate_subscripts(list_prepend(w, string_split(regexp_replace(w, '[/;|]', ',', 'g'), ',')), 1) AS n FROM l), f AS (SELECT c_custkey, arg_min(v, n) AS population FROM s JOIN p ON part = k GROUP BY c_custkey) SELECT c_custkey, population FROM customer LEFT JOIN f USING (c_custkey)",
@@ -279,8 +285,8 @@ SQL = {
     "pico_export": "SELECT c_custkey AS doc_id, c_name AS title, (2000 + c_custkey % 20)::INT AS year, NULL::VARCHAR AS journal, 'cohort' AS study_design, (c_custkey % 100)::INT AS confidence_pct, c_mktsegment AS P, 'i' AS I, 'c' AS C, 'o' AS O, '' AS pico_notes FROM customer WHERE c_custkey % 4 = 0",
     "evidence_signals": "WITH s AS (SELECT " + ", ".join(f"coalesce({h}, FALSE) AS {k}" for k, h in _KINDS.items()) + f" FROM documents) SELECT CASE WHEN {_STRENGTH} >= 3 THEN 'strong' WHEN {_STRENGTH} >= 1 THEN 'moderate' ELSE 'weak' END AS strength, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {k}) AS {k}" for k in T.SIGNALS) + " FROM s GROUP BY 1",
     "search_vector_terms": "WITH w AS (SELECT p_partkey, unnest(regexp_extract_all(lower(p_brand), '[\\p{L}\\p{N}]+')) AS term, 'A' AS weight FROM part UNION ALL SELECT p_partkey, unnest(regexp_extract_all(lower(concat_ws(' ', p_name, p_brand, p_type)), '[\\p{L}\\p{N}]+')), 'B' FROM part), t AS (SELECT p_partkey, term, min(weight) AS weight, count(*) AS c FROM w GROUP BY 1, 2) SELECT term, weight, count(*) AS n, sum(c)::BIGINT AS places FROM t GROUP BY 1, 2",
-    "embedding_inputs": "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN t <> '' THEN md5(rtrim(left(t, 2000))) END AS digest FROM t",
-    "embedding_update": "WITH t AS (SELECT doc_id, trim(regexp_replace(left(text, 500), '[\\r\\n]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN t <> '' THEN length(t)::DOUBLE END AS v FROM t",
+    "embedding_inputs": _INPUT + "SELECT doc_id, md5(t) AS digest FROM i",
+    "embedding_update": _INPUT + "SELECT doc_id, length(t)::DOUBLE AS v FROM i",
     "insert_unique_where": "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 2 = 1 AND o_totalprice > 100000) f WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_orderkey % 2 = 0 AND e.o_totalprice > 100000 AND e.o_custkey = f.o_custkey AND e.o_orderstatus = f.o_orderstatus) UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1 AND o_totalprice <= 100000",
     "link_backfill": "SELECT lang AS scenario_id, count(*) AS n, 0::BIGINT AS scored FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND trim(lang) <> '' GROUP BY lang",
     "orphan_check": "SELECT count(*) AS n, count(*) FILTER (WHERE conv_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)) AS n_orphans FROM conversations",

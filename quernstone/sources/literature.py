@@ -148,10 +148,17 @@ def pubmed(df: DataFrame, payload: str = "payload") -> DataFrame:
 NOT_BODY = ("ref-list", "table-wrap", "fig", "disp-formula", "inline-formula", "xref", "supplementary-material", "back", "front")
 
 
+#: XML's own entities; the ampersand comes last.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
 def body_text(xml: Column, skip: tuple[str, ...] = NOT_BODY) -> Column:
     """Running text of an article's XML, in one line; elements to skip go with all that is in them (of nested ones of a kind, up to the first end)."""
     bare = F.regexp_replace(xml, r"(?is)<(" + "|".join(skip) + r")\b[^>]*(?:/>|>.*?</\1\s*>)", " ")
-    return F.nullif(squeeze(F.regexp_replace(bare, "<[^>]*>", " ")), F.lit(""))
+    plain = F.regexp_replace(bare, "<[^>]*>", " ")
+    for name, character in ENTITIES.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
+    return F.nullif(squeeze(plain), F.lit(""))
 
 
 def full_text(candidates: DataFrame, key: str, sources: list[str], least: int = 500) -> DataFrame:

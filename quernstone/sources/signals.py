@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import isoweek_to_date
-from ..operators.timeseries import fold_duplicate_days, wide
+from ..operators.timeseries import fold_duplicate_days, rounded_mean, wide
 
 #: Names of the feeds' fields and of the columns made of them, places, and column names that are recognised.
 DAILY = {"temperature_2m_mean": "temp_mean", "temperature_2m_max": "temp_max", "temperature_2m_min": "temp_min", "precipitation_sum": "precip_sum", "wind_speed_10m_max": "wind_speed_max"}
@@ -35,12 +35,12 @@ def _arrays(df: DataFrame, payload: str, part: str, names: list[str]) -> DataFra
 def weather(df: DataFrame, payload: str = "payload") -> DataFrame:
     days = _arrays(df, payload, "daily", list(DAILY)).select(F.col("time").alias("date"), *[F.col(a).alias(b) for a, b in DAILY.items()])
     damp = _arrays(df, payload, "hourly", ["relative_humidity_2m"]).groupBy(F.substring("time", 1, 10).alias("date"))
-    return days.join(damp.agg(F.round(F.avg("relative_humidity_2m"), 1).alias("relative_humidity_mean")), "date", "left")
+    return days.join(damp.agg(rounded_mean("relative_humidity_2m", 1).alias("relative_humidity_mean")), "date", "left")
 
 
 def air_quality(df: DataFrame, payload: str = "payload") -> DataFrame:
     hours = _arrays(df, payload, "hourly", list(AIR))
-    return hours.groupBy(F.substring("time", 1, 10).alias("date")).agg(*[F.round(F.avg(a), 2).alias(b) for a, b in AIR.items()])
+    return hours.groupBy(F.substring("time", 1, 10).alias("date")).agg(*[rounded_mean(a, 2).alias(b) for a, b in AIR.items()])
 
 
 def wastewater(df: DataFrame, plant: str, targets: list[str] | None = None) -> DataFrame:
@@ -86,7 +86,7 @@ def sentinel(df: DataFrame, filters: dict[str, str] | None = None, value: str |
         return df.sparkSession.createDataFrame([], "date date, ili_incidence double")
     rows = equal_ignoring_case(df, filters or {})
     rows = rows.select(isoweek_to_date(F.col(day).cast("string")).alias("date"), F.col(value).cast("string").try_cast("double").alias("v")).filter("date is not null and v is not null")
-    return rows.groupBy("date").agg(F.round(F.avg("v"), 4).alias("ili_incidence"))
+    return rows.groupBy("date").agg(rounded_mean("v", 4).alias("ili_incidence"))
 
 
 def latest_incidence(df: DataFrame, payload: str = "payload") -> DataFrame:
