@@ -45,6 +45,11 @@ def hybrid(df: DataFrame, terms: list[str], query: list[float], alpha: float = 0
     rows = lexical(df, terms, text).filter("lexical > 0")
     if first is not None:
         rows = rows.orderBy(F.col("lexical").desc(), key).limit(first)
+    return reranked(rows, query, alpha, vector, key, k)
+
+
+def reranked(rows: DataFrame, query: list[float], alpha: float = 0.5, vector: str = "embedding", key: str = "doc_id", k: int = 10) -> DataFrame:
+    """The best k of rows with a ``lexical`` score by a blend of that, scaled to 1, and the cosine; alpha weighs the cosine."""
     rows = with_similarity(rows, query, vector)
     rows = rows.crossJoin(F.broadcast(rows.agg(F.max("lexical").alias("_most"))))  # one row
     rows = rows.withColumn("score", alpha * F.coalesce("similarity", F.lit(0.0)) + (1 - alpha) * F.col("lexical") / F.col("_most")).drop("_most")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from ..operators import graph, search
-from ..session import table
+from ..operators import graph, search, text_index, vector_index
+from ..session import table, unused_path
 from . import boolean as B
 
 _LOW = "lower(text)"
@@ -69,6 +69,41 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("vec_id", F.round("similarity", 5).alias("similarity"))
 
 
+def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors by an index of all of them, read cell by cell until no other can hold a nearer one."""
+    index = vector_index.build(table(spark, sf, "embeddings"), unused_path(spark, "vectors"))
+    return index.nearest(spark, QUERY, 12).select("vec_id", F.round("similarity", 5).alias("similarity"))
+
+
+def vector_index_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest vectors of each label to its mean's direction, among all labels, by the same index for all queries."""
+    e = table(spark, sf, "embeddings")
+    index = vector_index.build(e, unused_path(spark, "vectors"))
+    parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    found = index.nearest_of_many(means, "label", "mean", 5)
+    return found.select("label", "rank", "vec_id", F.round("similarity", 5).alias("similarity"))
+
+
+#: Words of a search, rare and frequent, one of them twice and one in no text.
+BM25_QUERY = "Water energy, the und zzyzx of Water est"
+
+
+def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best documents by BM25, from an inverted index of all texts."""
+    index = text_index.build(table(spark, sf, "documents").select("doc_id", "text"), unused_path(spark, "texts"), buckets=16)
+    return index.top(spark, BM25_QUERY, 20).select("doc_id", F.round("score", 5).alias("score"))
+
+
+def bm25_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The 60 best by words from the inverted index, ranked again by a blend with the cosine."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(e, "doc_id", "left_semi")
+    index = text_index.build(docs, unused_path(spark, "texts"), buckets=16)
+    first = index.top(spark, BM25_QUERY, 60).withColumnRenamed("score", "lexical")
+    return search.reranked(first.join(e, "doc_id"), QUERY, k=10).select("doc_id", F.round("score", 5).alias("score"))
+
+
 def screened_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """Labels stand for decisions: 0 excluded, 1 included; those of label 2 are duplicates."""
     rows = table(spark, sf, "embeddings").withColumn("decision", F.when(F.col("label") == 0, "excluded").when(F.col("label") == 1, "included"))
@@ -121,6 +156,21 @@ def _hybrid_sql(first: str = "") -> str:
     )
 
 
+_NORM = lambda v: f"sqrt(list_dot_product({v}, {v}))"
+
+
+def _bm25_sql(docs: str = "documents") -> str:
+    """Scores of all documents with a term of the query, by the formula."""
+    terms = "SELECT DISTINCT unnest(regexp_extract_all(lower('" + BM25_QUERY + "'), '[\\p{L}\\p{N}]+')) AS term"
+    return (
+        f"w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {docs}), "
+        "s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), "
+        f"c AS (SELECT doc_id, term, len(w) AS length, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM w) WHERE term IN ({terms}) GROUP BY ALL), "
+        "f AS (SELECT term, count(*) AS df FROM c GROUP BY term), "
+        "b AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)))) AS score FROM c JOIN f USING (term), s GROUP BY doc_id)"
+    )
+
+
 #: Nodes of a drawn graph: as many as come nearest to the query.
 _NODES = 300
 
@@ -170,6 +220,10 @@ QUERIES = {
     "facet_counts": facet_counts,
     "evidence_fingerprint": evidence_fingerprint,
     "vector_topk": vector_topk,
+    "vector_index_topk": vector_index_topk,
+    "vector_index_many": vector_index_many,
+    "bm25_rank": bm25_rank,
+    "bm25_hybrid": bm25_hybrid,
     "screened_retrieval": screened_retrieval,
     "scenario_scores": scenario_scores,
     "lexical_rank": lexical_rank,
@@ -199,6 +253,20 @@ SQL = {
         for n, c in (("facet_1", _SA), ("facet_2", _SB), ("facet_3", _SC), ("union", f"{_SA} OR {_SB} OR {_SC}"), ("intersection", f"{_SA} AND {_SB} AND {_SC}"))
     ),
     "evidence_fingerprint": "SELECT source, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) || '|0.45|fr|brief') AS fingerprint FROM documents GROUP BY source",
+    "vector_index_topk": f"WITH v AS ({_VEC}) SELECT vec_id, round({_COS}, 5) AS similarity FROM v ORDER BY {_COS} DESC, vec_id LIMIT 12",
+    "vector_index_many": (
+        "WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i), "
+        "m AS (SELECT label, list(m ORDER BY i) AS mean FROM p GROUP BY label), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), "
+        f"s AS (SELECT label, vec_id, list_dot_product(mean, e) / ({_NORM('mean')} * {_NORM('e')}) AS s FROM m, v) "
+        "SELECT label, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id)::INT AS rank, vec_id, round(s, 5) AS similarity FROM s "
+        "QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) <= 5"
+    ),
+    "bm25_rank": f"WITH {_bm25_sql()} SELECT doc_id, round(score, 5) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20",
+    "bm25_hybrid": (
+        f"WITH v AS ({_VEC}), d AS (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), {_bm25_sql('d')}, "
+        f"l AS (SELECT doc_id, score AS lex FROM b ORDER BY score DESC, doc_id LIMIT 60), x AS (SELECT doc_id, 0.5 * {_COS} + 0.5 * lex / (SELECT max(lex) FROM l) AS x FROM l JOIN v ON vec_id = doc_id) "
+        "SELECT doc_id, round(x, 5) AS score FROM x ORDER BY x DESC, doc_id LIMIT 10"
+    ),
     "vector_topk": f"WITH v AS ({_VEC}) SELECT vec_id, round({_COS}, 5) AS similarity FROM v ORDER BY {_COS} DESC, vec_id LIMIT 12",
     "screened_retrieval": f"WITH v AS ({_VEC}), s AS (SELECT vec_id, label, {_COS} AS c FROM v) SELECT vec_id, round(c, 5) AS similarity FROM s WHERE label <> 0 AND label <> 2 AND c >= 0.0 ORDER BY (label = 1) DESC, c DESC, vec_id LIMIT 8",
     "scenario_scores": f"WITH v AS ({_VEC}) SELECT label, count(*) AS n, round(avg({_COS}), 5) AS mean_similarity, round(max({_COS}), 5) AS best FROM v GROUP BY label",
