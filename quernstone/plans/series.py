@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import epidemic, models, timeseries
-from ..session import table
-from ..streaming import living_review
+from ..session import table, unused_path
+from ..streaming import living_review, review_stream
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,6 +169,19 @@ def living_review_increment(spark: SparkSession, sf: str) -> DataFrame:
     return living_review.new_records(known, batch, F.lit(1), now=F.col("last")).select("external_id").distinct()
 
 
+def living_review_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of all days arrive in three batches; those of users and types that were known before the look-back of 20 days add nothing."""
+    rows = _events(spark, sf).select(F.col("user_id").cast("string").alias("external_id"), F.col("event_type").alias("source"), F.to_date("ts").alias("entered"))
+    last = rows.agg(F.max("entered").cast("string")).first()[0]
+    now = F.to_date(F.lit(last))
+    landing, target, state = (unused_path(spark, n) for n in ("landing", "reviewed", "state"))
+    rows.repartitionByRange(3, "entered").write.parquet(landing)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    known = rows.filter(F.col("entered") < F.date_sub(now, 20))
+    review_stream.review(stream, target, state, 20, known=known, now=now).awaitTermination()
+    return review_stream.reviewed(target, rows).select("external_id", "source")
+
+
 def _dated(query):
     """The query with its dates and times as text, which all clients read alike."""
 
@@ -205,7 +218,7 @@ def living_review_all(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: _dated(f) for f in (
     hourly_to_daily, weekly_resample_mixed, weekly_outer_join, pivot_event_type, seasonal_harmonics, isoweek_dates, week_ends, digest_due, durbin_watson,
     corr_leakage, quantile_bands, weighted_pool, median_gap, error_metrics, class_metrics, leaderboard, monitor_level, bootstrap_ci, train_eval_regression,
-    forecast, seir_projection, seir_ensemble_bands, tumbling_events, sliding_events, session_events, living_review_increment,
+    forecast, seir_projection, seir_ensemble_bands, tumbling_events, sliding_events, session_events, living_review_increment, living_review_stream,
     stratified_folds, expanding_folds, living_review_all,
 )}
 
@@ -267,6 +280,7 @@ SQL = {
     "tumbling_events": "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3",
     "sliding_events": "WITH h AS (SELECT date_trunc('hour', ts) - to_hours(k::INT) AS window_start, event_type FROM events, range(2) t(k)) SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n FROM h GROUP BY 1, 2, 3",
     "session_events": "WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE)::INT AS b FROM events), s AS (SELECT user_id, ts, sum(coalesce(b, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k",
+    "living_review_stream": "WITH e AS (SELECT user_id::VARCHAR AS external_id, event_type AS source, ts::DATE AS d, (SELECT max(ts)::DATE FROM events) - 20 AS since FROM events) SELECT external_id, source FROM e GROUP BY external_id, source HAVING min(d) >= max(since)",
     "living_review_increment": "WITH e AS (SELECT user_id || ':' || event_type || ':' || hour(ts) AS external_id, ts::DATE AS d, (SELECT max(ts)::DATE FROM events) AS last FROM events) SELECT DISTINCT external_id FROM e WHERE d >= last - 1 AND external_id NOT IN (SELECT external_id FROM e WHERE d < last - 1)",
     "stratified_folds": "SELECT l_returnflag, fold::INT AS fold, count(*) AS n FROM (SELECT l_returnflag, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey) - 1) % 5 AS fold FROM lineitem) GROUP BY 1, 2",
     "expanding_folds": "WITH r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS r, count(*) OVER () AS c FROM events WHERE ts IS NOT NULL) SELECT greatest(floor((r - (c - 5 * (c // 6))) / (c // 6)), -1)::INT AS fold, count(*) AS n, sum(event_id)::BIGINT AS ids, round(avg(value), 6) AS mean FROM r GROUP BY 1",
