@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is removed if an earlier line (by document id, then line number) is the same or
-one edit away: a character put in, taken out or changed.  Lines are compared without
-white space at either end.  Lines shorter than ``least`` characters are not compared by
-edits; exact copies are removed from ``exact`` characters on (``least`` if not given).
+A line is removed if an earlier line (by document id, then line number) is within its edit
+bound.  The bound grows with the line: none for lines shorter than ``least`` characters, of which only the
+same line is a copy ("17" and "18" are two lines), and one edit from there on: a character put in,
+taken out or changed.  Lines are compared without white space at either end; every line that
+is not blank is judged.
 
 1. Each distinct line is known by a hash, its earliest place and four keys.  Two lines one
    edit apart share the first or the last half of the shorter one's length, so keys that
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from .store import unused, written
 from .tokens import Fingerprints, mix
 
-#: Lines of fewer characters are not compared by edits.  Documents with shared halves up to which their list is broadcast.
+#: Lines of fewer characters have an edit bound of zero.  Lines with shared halves up to which their list is broadcast (some 50 bytes each).
 LEAST, BROADCAST = 12, 200_000
 
 _SPACE = " \t\n\v\f\r"
@@ -87,9 +88,9 @@ def _first_hash(line: str) -> int:
 _PLACE = "late boolean, id long, number int, h1 long"
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, exact: int | None = None) -> DataFrame:
-    """``docs`` with the lines taken out of its text, and columns n_lines and n_removed."""
-    exact = least if exact is None else max(1, min(exact, least))
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, exact: int = 1) -> DataFrame:
+    """``docs`` with the lines taken out of its text, and columns n_lines and n_removed; lines of fewer than ``exact`` characters are left alone."""
+    exact = max(1, min(exact, least))
     names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash with those used here
     key_at, text_at = names[docs.columns.index(key)], names[docs.columns.index(text)]
     rows = docs.toDF(*names).withColumn(key_at, F.col(key_at).cast("long"))
@@ -138,7 +139,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
                         ["variant", "at", "late", "id", "number", "h1", "line"],
                     )
 
-    few = asked.count() <= BROADCAST
+    few = (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST
     met = texts.filter("text is not null").join(F.broadcast(asked) if few else asked, ["late", "id"])
     near = written(met.select("late", "id", "text", "asked").mapInArrow(spread, f"variant long, at int, {_PLACE}, line string"))
     several = near.groupBy("variant").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("variant")

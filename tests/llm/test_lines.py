@@ -17,9 +17,9 @@ def close(a, b):
 
 
 def brute(rows, least=12):
-    """By row, the lines that stay (None for a null text)."""
-    places = [((i is None, i or 0, k), r, x.strip(SPACE)) for r, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if len(x.strip(SPACE)) >= least]
-    gone = {(r, p[2]) for p, r, x in places if any(q < p and close(x, y) for q, _, y in places)}
+    """By row, the lines that stay (None for a null text); short lines are copies only of the same line."""
+    places = [((i is None, i or 0, k), r, x.strip(SPACE)) for r, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if x.strip(SPACE)]
+    gone = {(r, p[2]) for p, r, x in places if any(q < p and (x == y or min(len(x), len(y)) >= least and close(x, y)) for q, _, y in places)}
     return [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (r, k) not in gone) for r, (_, t) in enumerate(rows)]
 
 

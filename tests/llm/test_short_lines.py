@@ -1,24 +1,11 @@
-import hashlib
+from quernstone.llm import lines, queries
 
-from test_lines import SPACE, brute
 
-from quernstone.llm import queries
+def test_short_lines_are_copies_of_the_same_line_only(spark):
+    rows = [(1, "17\n18\n \nyes\n}"), (2, "17\nyet\n\n  yes \n}\n}"), (3, "a line of twelve\na line of twelv"), (4, "eleven char\neleven chars")]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "17\n18\n \nyes\n}", 2: "yet\n", 3: "a line of twelve", 4: "eleven char\neleven chars"}
 
 
-def test_exact_copies_of_short_lines(spark, folder):
-    """All non-blank lines: short ones by exact copies, the others by one edit."""
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-    short, want = set(), {}
-    long_ = dict(zip([i for i, _ in rows], brute(rows)))
-    for i, text in sorted(rows):
-        kept = []
-        for line in long_[i].split("\n") if long_[i] else [""]:
-            bare = line.strip(SPACE)
-            if 0 < len(bare) < 12 and bare in short:
-                continue
-            short.add(bare)
-            kept.append(line)
-        want[i] = hashlib.sha256("\n".join(kept).encode()).hexdigest()
-    got = {r["doc_id"]: r["kept_sha256"] for r in queries.op5_lines_all(spark, folder).collect()}
-    assert got == want
-    assert got != {r["doc_id"]: r["kept_sha256"] for r in queries.op5_lines(spark, folder).collect()}
+def test_both_names_give_the_same(spark, folder):
+    assert sorted(map(tuple, queries.op5_lines_all(spark, folder).collect())) == sorted(map(tuple, queries.op5_lines(spark, folder).collect()))
