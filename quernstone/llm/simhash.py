@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import saved
+from .tokens import mix
 
 #: Fingerprints of a shard from which on it is dealt out again.
 SHARD = 1024
@@ -37,7 +38,9 @@ SHARD = 1024
 #: 0.8 a pair shares no band with a probability of (1 - 0.8**4)**20, 0.00003.
 BANDS, BAND, LEADERS = 20, 4, 4
 #: Times as many leaders in each further round; texts to compare up to which their hashes are broadcast.
-FASTER, BROADCAST = 8, 100_000
+FASTER, BROADCAST = 64, 100_000
+#: Bits of a text's parities: as many as a text has shingles, or so; longer texts are told apart less well, but rightly.
+PARITIES = 512
 #: Odd multipliers: one order of all hashes each.
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,6 +71,15 @@ def _simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def _parities(hashes: np.ndarray) -> list[int]:
+    """The parities of how many of a set of hashes fall on each of ``PARITIES`` bits.
+
+    A shingle that only one of two sets has turns one bit, so two sets differ in at least as many shingles as their parities in bits.
+    """
+    odd = np.bincount((mix(hashes) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
+
 def _bands(hashes: np.ndarray) -> list[int]:
     """A hash for each band of minimum hashes; none for no shingles."""
     if not len(hashes):
@@ -258,9 +270,11 @@ def _linked(nodes: DataFrame, links: DataFrame, texts: DataFrame, words: int, si
 
     Two sets of a and b shingles can only be similar if they have similarity / (1 + similarity) * (a + b)
     in common, and neither has more in common with the other than with all texts of other
-    components.  That rules out exactly, before they meet, the texts whose own edits set them apart.
+    components.  That rules out exactly, before they meet, the texts whose own edits set them apart.  Of
+    the rest, two only meet if their parities differ in no more bits than sets so similar can differ
+    in shingles; what is left are pairs that are as similar as asked, or nearly.
     """
-    banded = nodes.select("h", "n", F.posexplode("bands").alias("band", "v"))
+    banded = nodes.select("h", "n", "parities", F.posexplode("bands").alias("band", "v"))
     several = banded.groupBy("band", "v").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("band", "v")
     linked = saved(components(links))
     left = _apart(saved(banded.join(several, ["band", "v"], "left_semi")), linked)
@@ -268,15 +282,18 @@ def _linked(nodes: DataFrame, links: DataFrame, texts: DataFrame, words: int, si
         return linked
     sets = _shingles(left.select("h").distinct(), nodes, texts, words, lower)
     enough = lambda common, a, b: common * (1 + similarity) >= similarity * (a + b) - 1e-6
-    kept = ["band", "v", "h", "n", "shared"]
+    kept = ["band", "v", "h", "n", "shared", "parities"]
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    differ = lambda a, b: (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6
     left = left.join(_shared(left, sets), "h").filter(enough(F.col("shared"), F.col("n"), similarity * F.col("n"))).select(*kept)
     left = _apart(saved(left), linked)
     while not left.isEmpty():
         order = W.partitionBy("band", "v").orderBy("size", F.desc(F.col("shared") / F.col("n")), "component", "h")
         first = left.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
-        first = saved(first.select("band", "v", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"), F.col("component").alias("of_a")))
+        first = saved(first.select("band", "v", F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"), F.col("parities").alias("parities_a"), F.col("component").alias("of_a")))
         met = left.join(first, ["band", "v"]).filter("component <> of_a").filter(F.least("n", "n_a") >= similarity * F.greatest("n", "n_a"))
         met = met.filter(enough(F.least("shared", "shared_a"), F.col("n"), F.col("n_a")))
+        met = met.filter(apart("parities", "parities_a") <= differ(F.col("n"), F.col("n_a")))
         pairs = saved(met.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct())
         links = saved(links.unionByName(_verified(pairs, sets, similarity)))
         linked = saved(components(links))
@@ -295,15 +312,16 @@ def near_copies(
     Distinct texts are told apart by a 64-bit hash.  ``leaders`` changes the route, not the result.
     """
 
-    @F.pandas_udf("struct<fp long, n int, bands array<long>>")
+    @F.pandas_udf("struct<fp long, n int, bands array<long>, parities array<long>>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes = [_hashes(t, words, lower) for t in batch]
-            yield pd.DataFrame({"fp": [_simhash(h) for h in hashes], "n": [len(np.unique(h)) for h in hashes], "bands": [_bands(h) for h in hashes]})
+            sets = [np.unique(h) for h in hashes]
+            yield pd.DataFrame({"fp": [_simhash(h) for h in hashes], "n": [len(s) for s in sets], "bands": [_bands(h) for h in hashes], "parities": [_parities(s) for s in sets]})
 
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = saved(texts.select("id", F.xxhash64("text").alias("h"), prints("text").alias("p")).select("id", "h", "p.*"))
-    nodes = saved(rows.groupBy("h").agg(F.min("id").alias("least"), F.first(F.struct("fp", "n", "bands")).alias("p")).select("h", "least", "p.*"))
+    nodes = saved(rows.groupBy("h").agg(F.min("id").alias("least"), F.first(F.struct("fp", "n", "bands", "parities")).alias("p")).select("h", "least", "p.*"))
     prime = saved(nodes.groupBy("fp").agg(F.min("h").alias("h")))
     of = lambda side: prime.select(F.col("fp").alias(side), F.col("h").alias(f"h_{side}"))
     near = near_links(prime.select("fp"), radius, shard).join(of("a"), "a").join(of("b"), "b").select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from quernstone.llm import components, queries, simhash
@@ -139,3 +140,15 @@ def test_bands_of_many_texts(spark, groups, monkeypatch):
     for leaders in (1, simhash.LEADERS):
         monkeypatch.setattr(simhash, "BROADCAST", 0 if leaders == 1 else 100_000)
         assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, leaders=leaders).collect()} == want
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    """Sets differ in at least as many shingles as their parities in bits, whatever their sizes."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 300, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for kept in (0, n // 2, n * 9 // 10, n):
+            b = np.unique(np.concatenate((a[:kept], rng.integers(0, 1 << 63, n // 8, dtype=np.uint64))))
+            p, q = (np.array(simhash._parities(x), np.int64) for x in (a, b))
+            bits = int(np.unpackbits((p ^ q).view(np.uint8)).sum())
+            assert bits <= len(np.setxor1d(a, b)) and (n < 40 or kept == n or bits > 0)
