@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stem import words
+
 #: Documents in a block, about; blocks that a search begins with.
 BLOCK, FIRST = 4096, 4
 
@@ -33,11 +35,6 @@ K1, B = 1.2, 0.75
 Analyse = Callable[[Column], Column]
 
 
-def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([\p{L}\p{N}]+)"), F.lit(1))
-
-
 @dataclass
 class TextIndex:
     path: str

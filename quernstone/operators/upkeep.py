@@ -9,18 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stem
 from ..functions import text as T
 
 
 def search_vector(label: Column, content: Column) -> Column:
     """array<struct<term, weight, positions>> of a chunk: words of the label weigh A, of the content B, positions run on from one to the other.
 
-    Words are lower-case runs of letters and digits; they are not stemmed.  A word of both keeps A.
+    Words are lower-case runs of letters and digits, not stemmed.  A word of both keeps A.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)([\p{L}\p{N}]+)"), F.lit(1))
-    a, b = words(label), words(content)
+    return weighted(stem.words(label), stem.words(content))
+
+
+def with_search_vector(df: DataFrame, label: str, content: str, name: str = "search_vector") -> DataFrame:
+    """``df`` with a search vector of English stems; stop words have a place but are no terms."""
+    rows = df.withColumns({"_a": stem.stems(stem.words(F.col(label))), "_b": stem.stems(stem.words(F.col(content)))})
+    return rows.withColumn(name, weighted(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def weighted(a: Column, b: Column) -> Column:
+    """A search vector of two arrays of terms; null stands for a word that is no term."""
     placed = F.transform(F.concat(a, b), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("at")))
-    terms = F.array_sort(F.array_distinct(F.concat(a, b)))
+    terms = F.array_sort(F.filter(F.array_distinct(F.concat(a, b)), lambda w: w.isNotNull()))
     where = lambda t: F.transform(F.filter(placed, lambda p: p["term"] == t), lambda p: p["at"])
     return F.transform(terms, lambda t: F.struct(t.alias("term"), F.when(F.array_contains(a, t), "A").otherwise("B").alias("weight"), where(t).alias("positions")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from ..operators import graph, search, text_index, vector_index
+from ..operators import density, graph, search, text_index, vector_index
 from ..session import table, unused_path
 from . import boolean as B
 
@@ -191,6 +191,10 @@ def cluster_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("cluster", "method").agg(F.count("*").alias("n"), F.count_if("noise").alias("n_noise"))
 
 
+def cluster_density(spark: SparkSession, sf: str) -> DataFrame:
+    return density.clusters(table(spark, sf, "embeddings"), samples=5, least=10)
+
+
 def cluster_words(spark: SparkSession, sf: str) -> DataFrame:
     return graph.top_words(table(spark, sf, "documents").select("lang", "text"), "text", "lang").select("lang", "rank", "word", "n")
 
@@ -232,6 +236,7 @@ QUERIES = {
     "knn_graph_degree": knn_graph_degree,
     "graph_communities": graph_communities,
     "cluster_vectors": cluster_vectors,
+    "cluster_density": cluster_density,
     "cluster_words": cluster_words,
     "cluster_topics": cluster_topics,
     "label_neighbours": label_neighbours,

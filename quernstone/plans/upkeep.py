@@ -78,6 +78,13 @@ def search_vector_terms(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("v.term", "v.weight").agg(F.count("*").alias("n"), F.sum(F.size("v.positions")).alias("places")).select("term", "weight", "n", "places")
 
 
+def search_vector_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as chunks under their source: documents and places of each stem; stop words have places but are no terms."""
+    docs = table(spark, sf, "documents").filter("lang = 'en'")
+    v = upkeep.with_search_vector(docs.select("source", "text"), "source", "text", "v").select(F.explode("v").alias("v"))
+    return v.groupBy("v.term", "v.weight").agg(F.count("*").alias("n"), F.sum(F.size("v.positions")).alias("places")).select("term", "weight", "n", "places")
+
+
 def embedding_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """Texts as they go to an embedder, with its limits on words and characters."""
     return table(spark, sf, "documents").select("doc_id", F.md5(upkeep.embedding_input(F.col("text"))).alias("digest"))
@@ -245,7 +252,7 @@ def importances_by_variable(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     variable_series, place_population, place_in_text, provenance_ids, fractions, pico_valid, pico_export, evidence_signals, search_vector_terms,
-    embedding_inputs, embedding_update, insert_unique_where, link_backfill, orphan_check, new_flags, corpus_union, chunk_repair, content_duplicates,
+    search_vector_stems, embedding_inputs, embedding_update, insert_unique_where, link_backfill, orphan_check, new_flags, corpus_union, chunk_repair, content_duplicates,
     chunk_type_counts, field_distributions, active_jobs, pooled_studies, hull_corners, day_offsets, class_balance, holdout_stratified,
     average_precision, survey_bands, finite_numbers, exact_passes, replaced_chunks, live_order, seir_calibrate, seir_shift, importances_by_variable,
 )}
