@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import week_end
@@ -42,6 +43,27 @@ def daily(df: DataFrame, ts: str, values: dict[str, str], digits: int | None = N
     return df.groupBy(F.substring(F.col(ts).cast("string"), 1, 10).alias("date")).agg(*named)
 
 
+def rolling(df: DataFrame, day: str, values: dict[str, str], days: int, by: list[str] | None = None, least: int = 1, stretch: int | None = None) -> DataFrame:
+    """``df`` with, for each of ``values`` (a column to mean, sum, max, min or count), its aggregate over the last ``days`` days, named column_how_days.
+
+    Windows are of calendar days, so days without a row stay gaps and only shrink what a window holds; with
+    fewer than ``least`` values it is null.  A long series is cut into stretches of ``stretch`` days; each is one
+    window partition, with the rows of the days before it that its first windows reach back to.
+    """
+    long_, by = max(stretch or 32 * days, days), by or []
+    rows = df.withColumns({"_day": F.unix_date(F.to_date(day)).cast("long"), "_own": F.lit(True)})
+    part = F.floor(F.col("_day") / long_)
+    rows = rows.withColumn("_part", part)
+    lent = rows.filter((F.col("_part") + 1) * long_ - F.col("_day") < days).withColumns({"_part": F.col("_part") + 1, "_own": F.lit(False)})
+    window = W.partitionBy(*by, "_part").orderBy("_day").rangeBetween(1 - days, 0)
+    how = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+    out = rows.unionByName(lent)
+    for column, name in values.items():
+        enough = F.count(column).over(window) >= least
+        out = out.withColumn(f"{column}_{name}_{days}", F.when(enough, how[name](column).over(window)))
+    return out.filter("_own").drop("_day", "_own", "_part")
+
+
 def weekly(df: DataFrame, day: str, values: dict[str, str], fill_gaps: bool = True) -> DataFrame:
     """Days to weeks that end on Sunday; empty weeks between the first and the last appear, with sums of zero."""
     rows = df.withColumn("week", week_end(F.to_date(day)))

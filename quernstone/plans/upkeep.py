@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, places
 from ..functions import text as T
-from ..operators import dedup, epidemic, filters, graph, models, upkeep
-from ..session import table
+from ..operators import dedup, epidemic, filters, graph, models, partitions, upkeep
+from ..session import table, unused_path
 
 #: Names of variables as they come from extraction, in two languages.
 NAMES = ("Daily new cases", "Décès cumulés", "R0", "serial interval", "Temperature (mean)", "cas actifs", "at-risk population", "Immunity duration", "taux_d_attaque", "vaccination rate", "presymptomatic share", "case fatality")
@@ -217,6 +217,15 @@ def replaced_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return filters.replace_partition(t, fresh).groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum("turn").alias("turns"))
 
 
+def replaced_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """The same repair on a stored table, of which only the touched partitions are rewritten."""
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), "turn", F.when(F.col("turn") > 0, "fulltext_section").otherwise("title_abstract").alias("chunk_type"))
+    path = unused_path(spark, "chunks")
+    partitions.write(t, path, "document_id", 32)
+    partitions.replace_chunks(t.filter("document_id % 3 = 0 and turn = 1").withColumn("turn", F.lit(100).cast("long")), path, 32)
+    return partitions.read(t, path).groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum("turn").alias("turns"))
+
+
 def live_order(spark: SparkSession, sf: str) -> DataFrame:
     """The place of each customer by balance, missing ones as zero."""
     from pyspark.sql import Window as W
@@ -254,7 +263,7 @@ QUERIES = {f.__name__: f for f in (
     variable_series, place_population, place_in_text, provenance_ids, fractions, pico_valid, pico_export, evidence_signals, search_vector_terms,
     search_vector_stems, embedding_inputs, embedding_update, insert_unique_where, link_backfill, orphan_check, new_flags, corpus_union, chunk_repair, content_duplicates,
     chunk_type_counts, field_distributions, active_jobs, pooled_studies, hull_corners, day_offsets, class_balance, holdout_stratified,
-    average_precision, survey_bands, finite_numbers, exact_passes, replaced_chunks, live_order, seir_calibrate, seir_shift, importances_by_variable,
+    average_precision, survey_bands, finite_numbers, exact_passes, replaced_chunks, replaced_in_place, live_order, seir_calibrate, seir_shift, importances_by_variable,
 )}
 
 
@@ -318,3 +327,4 @@ SQL = {
     "seir_calibrate": "SELECT r_regionkey, round((1.5 + 0.4 * r_regionkey)::DOUBLE, 3) AS r0 FROM region",
     "seir_shift": "SELECT r_regionkey, round((20 + 6 * r_regionkey)::DOUBLE, 2) AS shift, 0.25::DOUBLE AS scale FROM region",
 }
+SQL["replaced_in_place"] = SQL["replaced_chunks"]

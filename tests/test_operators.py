@@ -143,3 +143,21 @@ def test_levels_and_forecast(spark):
     days = spark.range(60).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"), (F.col("id") * 2.0).alias("v"))
     out = models.seasonal_forecast(days, "d", "v", 7).orderBy("step").collect()
     assert len(out) == 12 and abs(out[0]["forecast"] - 120) < 2 and models.seasonal_forecast(days.limit(10), "d", "v", 7).count() == 0
+
+
+def test_rolling_windows_with_gaps(spark):
+    """Stretches give what one window over the whole series would; days without rows are gaps."""
+    from quernstone.operators import timeseries
+
+    days = [d for d in range(0, 400) if d % 7 not in (2, 3) and not 100 < d < 130]
+    rows = [(k, f"2024-01-01 + {d}", d, None if d % 11 == 0 else float(d % 13)) for k in ("a", "b") for d in days]
+    df = spark.createDataFrame(rows, "k string, label string, d int, x double").selectExpr("k", "d", "x", "date_add(date'2024-01-01', d) as day")
+    for stretch in (None, 7, 50):
+        out = timeseries.rolling(df, "day", {"x": "sum"}, 7, ["k"], stretch=stretch)
+        got = {(r["k"], r["d"]): r["x_sum_7"] for r in timeseries.rolling(out, "day", {"x_sum_7": "count"}, 7, ["k"]).collect()}
+        value = {d: None if d % 11 == 0 else float(d % 13) for d in days}
+        for d in days:
+            have = [value[e] for e in range(d - 6, d + 1) if value.get(e) is not None]
+            assert got["a", d] == got["b", d] == (sum(have) if have else None)
+    few = timeseries.rolling(df, "day", {"x": "mean"}, 3, ["k"], least=3).filter("x_mean_3 is not null")
+    assert 0 < few.count() < df.count() and "_part" not in few.columns
