@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -217,21 +217,43 @@ def pico(payload: Column) -> Column:
     return F.when(whole, F.struct(*fields, F.coalesce(x["pico_confidence"], F.lit(0.5)).alias("pico_confidence"), F.coalesce(x["pico_notes"], F.lit("")).alias("pico_notes")))
 
 
-#: Words of each kind of evidence signal; the vocabulary is this library's own.
+#: Words and phrases of each kind of evidence signal, a star for any ending; the vocabulary is this library's own and a parameter.
 SIGNALS = {
-    "demand": ["demand", "attendance", "admissions", "calls", "surge"], "resource": ["ambulance", "beds", "staff", "ventilator", "capacity"],
-    "intervention": ["vaccin", "quarantine", "isolation", "screening", "training"], "horizon": ["forecast", "short-term", "long-term", "nowcast"],
-    "crisis": ["outbreak", "pandemic", "disaster", "emergency", "heatwave"], "border": ["cross-border", "border", "frontier"],
+    "demand": ["demand", "attendance", "admission*", "calls", "surge"], "resource": ["ambulance*", "beds", "staff", "ventilator*", "capacity"],
+    "intervention": ["vaccin*", "quarantine*", "isolation", "screening", "training"], "horizon": ["forecast*", "short term", "long term", "nowcast*"],
+    "crisis": ["outbreak*", "pandemic*", "disaster*", "emergency", "heatwave*"], "border": ["cross border", "border*", "frontier*"],
 }
 
+#: Words that take back a signal within the three words after them.
+NEGATORS = ("no", "not", "without", "never")
 
-def evidence_signals(text: Column) -> Column:
-    """By kind of signal, the words that a text holds, in any case."""
-    low = F.lower(text)
-    return F.struct(*[F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)).alias(kind) for kind, words in SIGNALS.items()])
+
+def with_signals(df: DataFrame, text: str = "text", name: str = "signals", rules: dict[str, list[str]] = SIGNALS, negators: tuple[str, ...] = NEGATORS) -> DataFrame:
+    """``df`` with a struct of, by kind of signal, the rules that whole words of a text meet, in any case.
+
+    A phrase meets words in a row; where one of the three words before it is a negator it doesn't count.
+    """
+
+    def meets(rule: str) -> Column:
+        def at(i: Column) -> Column:
+            same = F.lit(True)
+            for j, part in enumerate(rule.split()):
+                word = F.get("_words", i + j)
+                same = same & F.coalesce(F.startswith(word, F.lit(part[:-1])) if part.endswith("*") else word == part, F.lit(False))
+            before = F.slice("_words", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
+            return same & ~F.exists(before, lambda w: w.isin(*negators)) if negators else same
+
+        return F.exists(F.sequence(F.lit(0), F.size("_words") - 1), at)
+
+    found = [F.filter(F.array(*[F.when(meets(r), r) for r in many]), lambda r: r.isNotNull()).alias(kind) for kind, many in rules.items()]
+    none = F.array().cast("array<string>")
+    rows = df.withColumn("_words", F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([\p{L}\p{N}]+)"), F.lit(1)))
+    full = F.struct(*found)
+    empty = F.struct(*[none.alias(kind) for kind in rules])
+    return rows.withColumn(name, F.when(F.size("_words") > 0, full).otherwise(empty)).drop("_words")
 
 
-def evidence_strength(signals: Column, high: int = 3, some: int = 1) -> Column:
+def evidence_strength(signals: Column, high: int = 3, some: int = 1, rules: dict[str, list[str]] = SIGNALS) -> Column:
     """strong, moderate or weak, by how many kinds of signal there are."""
-    kinds = sum(((F.size(signals[k]) > 0).cast("int") for k in SIGNALS), F.lit(0))
+    kinds = sum(((F.size(signals[k]) > 0).cast("int") for k in rules), F.lit(0))
     return F.when(kinds >= high, "strong").when(kinds >= some, "moderate").otherwise("weak")

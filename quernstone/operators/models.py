@@ -142,17 +142,19 @@ def scorer(metric: str | None, task: str, n_classes: int = 2) -> tuple[str, bool
 
 
 def positive_class(values: list[str], wanted: str | None = None) -> str | None:
-    """The class that counts as positive: the wanted one (in any case), else a usual name for it, else the last in order."""
+    """The class that counts as positive: the wanted one (in any case), else the first in order that is a word for an event, else the last."""
     known = sorted({str(v) for v in values})
-    by_name = {v.strip().lower(): v for v in known}
-    for name in ([wanted.strip().lower()] if wanted else []) + list(POSITIVE):
-        if name in by_name:
-            return by_name[name]
-    return known[-1] if known else None
+    plain = lambda v: v.strip().lower()
+    asked = [v for v in known if wanted and plain(v) == plain(wanted)]
+    events = [v for v in known if plain(v).removesuffix(".0") in POSITIVE]
+    return next(iter(asked + events + known[-1:]), None)
 
 
-#: Usual names of a positive class.
-POSITIVE = ("1", "1.0", "true", "yes", "oui", "positive", "case", "event", "high")
+#: Words for an event, in English and French.
+POSITIVE = frozenset((
+    "1", "true", "vrai", "oui", "yes", "positive", "positif", "pos", "event", "événement", "evenement", "case", "cas", "death", "décès", "deces", "deceased", "dead",
+    "mort", "mortality", "mortalité", "malade", "disease", "present", "présent", "abnormal", "anormal",
+))
 
 
 def prepared(df: DataFrame, target: str, features: list[str], task: str, key: str, order: str | None, positive: str | None = None) -> tuple[DataFrame, str, list[str], str | None]:

@@ -65,11 +65,23 @@ def pico_export(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.pico_export(_pico(spark, sf))
 
 
+#: The library's rules, with some that the words of the test tables meet.
+SIGNAL_RULES = T.SIGNALS | {"demand": [*T.SIGNALS["demand"], "thon", "erin"], "horizon": [*T.SIGNALS["horizon"], "wh*"], "border": [*T.SIGNALS["border"], "of the", "que*"]}
+
+
 def evidence_signals(spark: SparkSession, sf: str) -> DataFrame:
     """By kind, documents that hold a signal, and how strong documents are in all."""
-    rows = table(spark, sf, "documents").select(T.evidence_signals(F.col("text")).alias("s"))
-    rows = rows.select(T.evidence_strength(F.col("s")).alias("strength"), *[(F.size(F.col("s")[k]) > 0).alias(k) for k in T.SIGNALS])
-    return rows.groupBy("strength").agg(F.count("*").alias("n"), *[F.count_if(F.col(k)).alias(k) for k in T.SIGNALS])
+    rows = T.with_signals(table(spark, sf, "documents").select("text"), "text", "s", SIGNAL_RULES)
+    rows = rows.select(T.evidence_strength(F.col("s"), rules=SIGNAL_RULES).alias("strength"), *[(F.size(F.col("s")[k]) > 0).alias(k) for k in SIGNAL_RULES])
+    return rows.groupBy("strength").agg(F.count("*").alias("n"), *[F.count_if(F.col(k)).alias(k) for k in SIGNAL_RULES])
+
+
+def signal_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Which words were found, by kind: documents of each."""
+    rows = T.with_signals(table(spark, sf, "documents").select("text"), "text", "s", SIGNAL_RULES)
+    named = lambda k: F.transform(F.col("s")[k], lambda w: F.struct(F.lit(k).alias("kind"), w.alias("rule")))
+    each = F.explode(F.flatten(F.array(*[named(k) for k in SIGNAL_RULES])))
+    return rows.select(each.alias("x")).groupBy("x.kind", "x.rule").agg(F.count("*").alias("n"))
 
 
 def search_vector_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +272,7 @@ def importances_by_variable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    variable_series, place_population, place_in_text, provenance_ids, fractions, pico_valid, pico_export, evidence_signals, search_vector_terms,
+    variable_series, place_population, place_in_text, provenance_ids, fractions, pico_valid, pico_export, evidence_signals, signal_words, search_vector_terms,
     search_vector_stems, embedding_inputs, embedding_update, insert_unique_where, link_backfill, orphan_check, new_flags, corpus_union, chunk_repair, content_duplicates,
     chunk_type_counts, field_distributions, active_jobs, pooled_studies, hull_corners, day_offsets, class_balance, holdout_stratified,
     average_precision, survey_bands, finite_numbers, exact_passes, replaced_chunks, replaced_in_place, live_order, seir_calibrate, seir_shift, importances_by_variable,
@@ -282,8 +294,18 @@ def _held(text: str, words) -> str:
 _SERIES = " ".join(f"WHEN {_held('t', words)} THEN '{name}'" for name, words in places.SERIES_WORDS.items())
 _PARAMETER = " OR ".join(f"contains(' ' || t || ' ', ' {w} ')" for w in places.PARAMETER_WORDS) + " OR " + _held("t", places.PARAMETER_PARTS)
 _POPULATION = ", ".join("({}, '{}', {}::DOUBLE)".format(i, k.replace("'", "''"), v) for i, (k, v) in enumerate(places.POPULATION.items()))
-_KINDS = {k: _held("lower(text)", words) for k, words in T.SIGNALS.items()}
-_STRENGTH = " + ".join(f"{k}::INT" for k in T.SIGNALS)
+
+
+def _rule(rule: str) -> str:
+    """Whether the words w of a text meet a rule anywhere that no negator stands shortly before."""
+    parts = [f"coalesce(starts_with(w[i + {j}], '{p[:-1]}'), FALSE)" if p.endswith("*") else f"coalesce(w[i + {j}] = '{p}', FALSE)" for j, p in enumerate(rule.split())]
+    negators = ", ".join(f"'{n}'" for n in T.NEGATORS)
+    return f"len(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(parts)} AND len(list_filter(w[greatest(1, i - 3):i - 1], lambda n: n IN ({negators}))) = 0)) > 0"
+
+
+_SIGNAL_WORDS = r"WITH t AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents)"
+_KINDS = {k: "(" + " OR ".join(map(_rule, rules)) + ")" for k, rules in SIGNAL_RULES.items()}
+_STRENGTH = " + ".join(f"{k}::INT" for k in SIGNAL_RULES)
 
 #: At most 7500 words and 20,000 characters of a text on one line; null for blank texts.
 _INPUT = r"""
@@ -299,7 +321,8 @@ SQL = {
     "fractions": "SELECT l_linenumber, round(avg(CASE WHEN l_linenumber % 2 = 0 THEN l_discount + 0.02 ELSE l_discount END), 6) AS share FROM lineitem GROUP BY l_linenumber",
     "pico_valid": "SELECT c_custkey AS doc_id, c_custkey % 4 = 0 AS valid FROM customer",
     "pico_export": "SELECT c_custkey AS doc_id, c_name AS title, (2000 + c_custkey % 20)::INT AS year, NULL::VARCHAR AS journal, 'cohort' AS study_design, (c_custkey % 100)::INT AS confidence_pct, c_mktsegment AS P, 'i' AS I, 'c' AS C, 'o' AS O, '' AS pico_notes FROM customer WHERE c_custkey % 4 = 0",
-    "evidence_signals": "WITH s AS (SELECT " + ", ".join(f"coalesce({h}, FALSE) AS {k}" for k, h in _KINDS.items()) + f" FROM documents) SELECT CASE WHEN {_STRENGTH} >= 3 THEN 'strong' WHEN {_STRENGTH} >= 1 THEN 'moderate' ELSE 'weak' END AS strength, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {k}) AS {k}" for k in T.SIGNALS) + " FROM s GROUP BY 1",
+    "signal_words": _SIGNAL_WORDS + " " + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{r}' AS rule, count(*) AS n FROM t WHERE {_rule(r)} HAVING count(*) > 0" for k, rules in SIGNAL_RULES.items() for r in rules),
+    "evidence_signals": _SIGNAL_WORDS + ", s AS (SELECT " + ", ".join(f"coalesce({h}, FALSE) AS {k}" for k, h in _KINDS.items()) + f" FROM t) SELECT CASE WHEN {_STRENGTH} >= 3 THEN 'strong' WHEN {_STRENGTH} >= 1 THEN 'moderate' ELSE 'weak' END AS strength, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {k}) AS {k}" for k in T.SIGNALS) + " FROM s GROUP BY 1",
     "search_vector_terms": "WITH w AS (SELECT p_partkey, unnest(regexp_extract_all(lower(p_brand), '[\\p{L}\\p{N}]+')) AS term, 'A' AS weight FROM part UNION ALL SELECT p_partkey, unnest(regexp_extract_all(lower(concat_ws(' ', p_name, p_brand, p_type)), '[\\p{L}\\p{N}]+')), 'B' FROM part), t AS (SELECT p_partkey, term, min(weight) AS weight, count(*) AS c FROM w GROUP BY 1, 2) SELECT term, weight, count(*) AS n, sum(c)::BIGINT AS places FROM t GROUP BY 1, 2",
     "embedding_inputs": _INPUT + "SELECT doc_id, md5(t) AS digest FROM i",
     "embedding_update": _INPUT + "SELECT doc_id, length(t)::DOUBLE AS v FROM i",

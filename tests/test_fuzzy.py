@@ -95,6 +95,7 @@ def test_importances_scorers_and_warnings(spark):
     assert abs(sum(by.values()) - 1) < 1e-9 and by["x"] > by["k"] > by["z"] and got["importances"][0][0] == "x"
     assert models.scorer("average_precision", "classification") == ("average_precision", True) and models.scorer("average_precision", "classification", 3) == ("roc_auc", True)
     assert models.scorer(None, "regression") == ("rmse", False) and models.scorer("r2", "regression") == ("r2", True)
+    assert models.positive_class(["décès", "survie"]) == "décès" and models.positive_class([0.0, 1.0]) == "1.0" and models.positive_class(["Mort", "oui"]) == "Mort"
     assert models.positive_class(["non", "oui"]) == "oui" and models.positive_class(["x", "Y"], "y") == "Y" and models.positive_class(["a", "b"]) == "b"
     assert models.unstable({"r2": 0.5, "r2_std": 0.2}, "r2") and models.unstable({"r2": 0.5, "r2_std": 0.1}, "r2") is None
     own = df.withColumn("c", (F.col("x") > 0).cast("int")).withColumn("twin", F.col("x") ** 3)
