@@ -174,7 +174,7 @@ def rolling_week(spark: SparkSession, sf: str) -> DataFrame:
     days = _events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("total"))
     out = timeseries.rolling(days, "day", {"total": "sum"}, 7, ["user_id"], stretch=10)
     out = timeseries.rolling(out, "day", {"total": "mean"}, 7, ["user_id"], least=3, stretch=10)
-    return out.select("user_id", F.col("day").cast("string").alias("day"), F.round("total_sum_7", 3).alias("week"), F.round("total_mean_7", 3).alias("mean"))
+    return out.select("user_id", F.col("day").cast("string").alias("day"), F.round("total_sum_7", 4).alias("week"), F.round("total_mean_7", 6).alias("mean"))
 
 
 def living_review_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,7 +288,7 @@ SQL = {
     "tumbling_events": "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3",
     "sliding_events": "WITH h AS (SELECT date_trunc('hour', ts) - to_hours(k::INT) AS window_start, event_type FROM events, range(2) t(k)) SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n FROM h GROUP BY 1, 2, 3",
     "session_events": "WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE)::INT AS b FROM events), s AS (SELECT user_id, ts, sum(coalesce(b, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k",
-    "rolling_week": "WITH d AS (SELECT user_id, ts::DATE AS day, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT user_id, day::VARCHAR AS day, round(sum(total) OVER w, 3) AS week, CASE WHEN count(*) OVER w >= 3 THEN round(avg(total) OVER w, 3) END AS mean FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)",
+    "rolling_week": "WITH d AS (SELECT user_id, ts::DATE AS day, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT user_id, day::VARCHAR AS day, round(sum(total) OVER w, 4) AS week, CASE WHEN count(*) OVER w >= 3 THEN round(avg(total) OVER w, 6) END AS mean FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)",
     "living_review_stream": "WITH e AS (SELECT user_id::VARCHAR AS external_id, event_type AS source, ts::DATE AS d, (SELECT max(ts)::DATE FROM events) - 20 AS since FROM events) SELECT external_id, source FROM e GROUP BY external_id, source HAVING min(d) >= max(since)",
     "living_review_increment": "WITH e AS (SELECT user_id || ':' || event_type || ':' || hour(ts) AS external_id, ts::DATE AS d, (SELECT max(ts)::DATE FROM events) AS last FROM events) SELECT DISTINCT external_id FROM e WHERE d >= last - 1 AND external_id NOT IN (SELECT external_id FROM e WHERE d < last - 1)",
     "stratified_folds": "SELECT l_returnflag, fold::INT AS fold, count(*) AS n FROM (SELECT l_returnflag, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey) - 1) % 5 AS fold FROM lineitem) GROUP BY 1, 2",
