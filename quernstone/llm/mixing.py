@@ -3,9 +3,10 @@
 The total of all targets is cut into slots.  Slot i stands at the fractional part of
 i / golden ratio; the source whose interval of the cumulative targets holds that point
 gets the slot.  Sources with too few slots to be served evenly are dealt again among
-themselves, in slots of fewer tokens.  A source's documents are laid end to end in
-shuffled order, in a ring; each slot takes the next tokens of the ring, always as many
-as it counts.  Offsets are running sums in two levels (within a bucket, over the
+themselves, in slots of fewer tokens.  Slots are numbered within their source, and a
+source's documents are laid end to end in shuffled order, in a ring that is cut into
+blocks of as many tokens as a slot counts; slot n of a source joins block n of its
+ring.  Numbers and offsets are running sums in two levels (within a bucket, over the
 buckets), so no source is ever ordered in one task.
 
 Defined results: a null text has size zero and is never taken; a null source is a
@@ -24,8 +25,8 @@ from pyspark.sql import Window as W
 from .store import saved
 from .tokens import WORD
 
-#: Slots that all tokens are cut into; buckets of a source's shuffled order; cells of the unit interval.
-SLOTS, BUCKETS, CELLS = 1 << 20, 4096, 1024
+#: Slots that all tokens are cut into; rows of a bucket of a source's shuffled order, or of its slots; cells of the unit interval.
+SLOTS, BUCKET, CELLS = 1 << 20, 1 << 15, 1024
 
 _GOLDEN = 0.6180339887498949
 
@@ -58,59 +59,105 @@ def targets(sized: DataFrame, most: float = 3.0, cycle: tuple[float, ...] = (1.0
     return by.withColumn("target", F.coalesce(share, F.col("limit"))).select("rank", "source", "weight", "source_size", "target")
 
 
-def _turns(sources: DataFrame, total: float, tokens: int) -> DataFrame:
-    """Rows (rank, target) -> (rank, words): what the slots of ``tokens`` that the schedule gives to each source count."""
+def _deal(sources: DataFrame, total: float, tokens: int) -> DataFrame:
+    """Rows (rank, target) -> the slots of ``tokens`` that the schedule gives to each source: (rank, at, nth, tokens)."""
+    slots = ceil(total / tokens)
     s = sources.withColumn("high", F.sum("target").over(W.orderBy("rank"))).withColumn("low", (F.col("high") - F.col("target")) / total).withColumn("high", F.col("high") / total)
     s = s.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
     point = F.col("id") * F.lit(_GOLDEN)
-    points = sources.sparkSession.range(ceil(total / tokens)).withColumn("x", point - F.floor(point)).withColumn("cell", F.floor(F.col("x") * CELLS))
-    used = points.join(F.broadcast(s), "cell").filter("x >= low and x < high")  # a row for each source and cell at most
-    return used.groupBy("rank").agg((F.count("*") * tokens).alias("words"))
+    points = sources.sparkSession.range(slots).withColumn("x", point - F.floor(point)).withColumn("cell", F.floor(F.col("x") * CELLS))
+    used = points.join(s, "cell").filter("x >= low and x < high")  # a row for each source and cell at most
+    used = used.select("rank", "id", F.floor(F.col("id") / BUCKET).alias("run"))
+    runs = used.groupBy("rank", "run").agg(F.count("*").alias("n"))
+    runs = runs.select("rank", "run", (F.sum("n").over(W.partitionBy("rank").orderBy("run")) - F.col("n")).alias("before"))
+    turn = F.row_number().over(W.partitionBy("rank", "run").orderBy("id")) - 1
+    numbered = used.withColumn("turn", turn).join(runs, ["rank", "run"])
+    return numbered.select("rank", ((F.col("id") + 0.5) / slots).alias("at"), (F.col("before") + F.col("turn")).alias("nth"), F.lit(tokens).cast("long").alias("tokens"))
 
 
 def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Sources -> (rank, words): words that the slots of each source take.
+    """Sources -> their slots: rank, at (when in the mix, from 0 to 1), nth (of the source's slots) and tokens.
 
     A source that would get less than the root of ``slots`` (or than half an even share,
     if that is less) waits for the next round, so no target is small beside a slot of
     its round; in a round of no more words than slots, a slot is one word.
     """
     left = sources.filter("target > 0").select("rank", "target")
-    done = left.select("rank", F.lit(0).cast("long").alias("words")).limit(0)
+    done = left.select("rank", F.lit(0.5).alias("at"), F.lit(0).cast("long").alias("nth"), F.lit(0).cast("long").alias("tokens")).limit(0)
     while (all_ := left.agg(F.count("*").alias("n"), F.sum("target").alias("total")).first())["n"]:
         here = max(slots, 64 * all_["n"])
         least = min(isqrt(slots) * all_["total"] / here, all_["total"] / (2 * all_["n"])) if all_["total"] > here else 0.0
         served = left.filter(F.col("target") >= least)
         total = served.agg(F.sum("target").alias("total")).first()["total"]
-        done = done.unionByName(_turns(served, total, max(1, ceil(total / here))))
+        done = done.unionByName(_deal(served, total, max(1, ceil(total / here))))
         left = left.filter(F.col("target") < least)
     return done
 
 
-def mix(
-    docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", size: Column | None = None,
-    slots: int = SLOTS, most: float = 3.0, seed: int = 42,
-) -> DataFrame:
-    """One row for each document: id, source, size, source_size, target (of its source) and taken."""
+def _ring(sized: DataFrame) -> DataFrame:
+    """Rows (id, rank, size, h) with words -> start and end of each in its source's ring."""
+    buckets = max(1, ceil(sized.count() / BUCKET))
+    placed = sized.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    within = W.partitionBy("rank", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, 0)
+    placed = placed.withColumn("end", F.sum("size").over(within))
+    sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("held"))
+    sums = sums.select("rank", "bucket", (F.sum("held").over(W.partitionBy("rank").orderBy("bucket")) - F.col("held")).alias("before"))
+    placed = placed.join(sums, ["rank", "bucket"]).withColumn("end", F.col("before") + F.col("end"))
+    return placed.select("id", "rank", "size", (F.col("end") - F.col("size")).alias("start"), "end")
+
+
+def _blocks(ring: DataFrame, sources: DataFrame) -> DataFrame:
+    """Parts of documents in the blocks of their ring: its columns, nth (of the block), skip (words of the document before the part) and part.
+
+    As many laps as the source's slots make, cut where they end, and one at least.
+    """
+    served = sources.select("rank", "source", "source_size", "target", "words", F.coalesce("tokens", "source_size").alias("tokens"))
+    laps = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("words") - 1) / F.col("source_size"))))
+    parts = ring.join(served, "rank").withColumn("lap", F.explode(laps)).withColumn("base", F.col("lap") * F.col("source_size") + F.col("start"))
+    block = lambda at: F.floor(at / F.col("tokens"))
+    parts = parts.withColumn("nth", F.explode(F.sequence(block(F.col("base")), block(F.col("base") + F.col("size") - 1))))
+    begins = F.greatest("base", F.col("nth") * F.col("tokens"))
+    ends = F.least(F.col("base") + F.col("size"), (F.col("nth") + 1) * F.col("tokens"), "words")
+    return parts.withColumn("skip", begins - F.col("base")).withColumn("part", F.greatest(F.lit(0), ends - begins))
+
+
+def _parts(docs: DataFrame, text: str, source: str, key: str, size: Column | None, slots: int, most: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their source's numbers, their parts in blocks, and the slots."""
     size = n_words(text) if size is None else size
-    sized = saved(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size")))
+    h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    sized = saved(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size"), h.alias("h")))
     sources = saved(targets(sized, most))
+    turns = saved(schedule(sources, slots))
     limit = F.floor(F.col("source_size") * F.lit(float(most)))
-    sources = sources.join(schedule(sources, slots), "rank", "left").withColumn("words", F.coalesce(F.least("words", limit), F.lit(0)))
+    given = turns.groupBy("rank").agg(F.sum("tokens").alias("words"), F.max("tokens").alias("tokens"))
+    sources = sources.join(given, "rank", "left").withColumn("words", F.coalesce(F.least("words", limit), F.lit(0)))
+    of = sources.select(F.col("source").alias("of"), "rank", "source_size", "target")
+    ranked = sized.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return ranked, _blocks(_ring(ranked.filter("size > 0").select("id", "rank", "size", "h")), sources), turns
 
-    h = F.xxhash64(F.lit(seed), "id")
-    placed = sized.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    within = W.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn("end", F.sum("size").over(within))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    before = F.sum("held").over(W.partitionBy("source").orderBy("bucket")) - F.col("held")
-    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("nth"), before.alias("before"))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("nth")))
-    placed = placed.select("id", "source", "size", (F.col("before") + F.col("end")).alias("end"))
-    named = sources.select(F.col("source").alias("of"), "words", "source_size", "target")
-    placed = placed.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-
-    rounds = F.when(F.col("size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - rounds * F.col("source_size") - F.col("end") + F.col("size")))
-    taken = F.when(F.col("size") > 0, F.col("size") * rounds + rest).otherwise(0)
-    return placed.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+def stream(
+    docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", size: Column | None = None,
+    slots: int = SLOTS, most: float = 3.0, seed: int = 42,
+) -> DataFrame:
+    """The mix itself, a row for each part of a document in a slot: at, nth, id, source, skip and part (in words).
+
+    Rows in order of ``at`` have each source near its share at every point of the mix.
+    """
+    _, parts, turns = _parts(docs, text, source, key, size, slots, most, seed)
+    out = parts.join(turns.select("rank", "nth", "at"), ["rank", "nth"]).filter("part > 0")
+    return out.select("at", "nth", F.col("id").alias(key), F.col("source").alias(source), "skip", "part")
+
+
+def mix(
+    docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", size: Column | None = None,
+    slots: int = SLOTS, most: float = 3.0, seed: int = 42,
+) -> DataFrame:
+    """One row for each document: id, source, size, source_size, target (of its source) and taken, the sum of its parts in slots."""
+    ranked, parts, turns = _parts(docs, text, source, key, size, slots, most, seed)
+    met = parts.join(turns.select("rank", "nth", F.lit(1).alias("met")), ["rank", "nth"], "left")
+    # a document's place in its ring tells equal rows apart
+    taken = met.groupBy("rank", "start", "id", "source", "size", "source_size", "target").agg(F.sum(F.col("part") * F.coalesce("met", F.lit(0))).alias("taken"))
+    none = ranked.filter("size = 0").withColumn("taken", F.lit(0))
+    both = taken.drop("rank", "start").unionByName(none.drop("rank", "h"))
+    return both.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -81,3 +82,61 @@ def test_tiny_sources_beside_a_huge_one(spark):
         target[r["source"]] = r["target"]
     for s, t in target.items():
         assert abs(by[s] - t) <= 0.005 * t, (s, by[s], t)
+
+
+def brute_parts(rows, target, slots, seed=42):
+    """rows: (id, size, source, h) of documents with words -> ({id: taken}, [(at, nth, source)]) by dealing slot after slot, word after word."""
+    order = sorted(target, key=lambda s: (s is None, s or ""))
+    total = sum(target.values())
+    tokens = max(1, -int(-total // max(slots, 64 * len(order))))
+    high, at = {}, 0.0
+    for s in order:
+        at += target[s]
+        high[s] = at / total
+    rings = {s: [r[0] for r in sorted((r for r in rows if r[2] == s), key=lambda r: (r[4], r[3], r[0], r[1])) for _ in range(r[1])] for s in order}
+    taken, dealt, n = defaultdict(int), [], -int(-total // tokens)
+    turns = defaultdict(int)
+    for i in range(n):
+        x = i * 0.6180339887498949
+        s = next((s for s in order if x - math.floor(x) < high[s]), None)
+        if s is None:
+            continue
+        nth, turns[s] = turns[s], turns[s] + 1
+        dealt.append(((i + 0.5) / n, nth, s))
+        for w in range(nth * tokens, min((nth + 1) * tokens, 3 * len(rings[s]))):
+            taken[rings[s][w % len(rings[s])]] += 1
+    return taken, dealt
+
+
+@pytest.mark.parametrize("slots", [200, 1000, 100_000])
+def test_against_a_brute_schedule(spark, slots, monkeypatch):
+    """Slots, blocks and takings are those of dealing one slot after the other; buckets of a few rows."""
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    rows = [(i, "w " * (1 + i * 7 % 40), "abbc"[i % 4]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, slots=slots).collect()
+    h = {r["doc_id"]: r["h"] for r in df.select("doc_id", mixing.F.xxhash64(mixing.F.lit(42), "doc_id", "text").alias("h")).collect()}
+    buckets = -(-len(rows) // 50)
+    sized = [(i, 1 + i * 7 % 40, s, h[i], h[i] % buckets) for i, _, s in rows]
+    target = {r["source"]: r["target"] for r in got}
+    taken, dealt = brute_parts(sized, target, slots)
+    assert {r["doc_id"]: r["taken"] for r in got} == {i: taken[i] for i, _, _ in rows}
+    parts = mixing.stream(df, slots=slots).collect()
+    assert {(round(r["at"], 9), r["nth"], r["source"]) for r in parts} <= {(round(a, 9), n, s) for a, n, s in dealt}
+    by = defaultdict(int)
+    for r in parts:
+        assert 0 <= r["skip"] and 0 < r["part"] and r["skip"] + r["part"] <= 1 + r["doc_id"] * 7 % 40
+        by[r["doc_id"]] += r["part"]
+    assert by == {i: n for i, n in taken.items() if n}
+
+
+def test_order_of_the_mix(spark):
+    """At every tenth of the mix, each source is near its share of what has been dealt."""
+    rows = [(i, "w " * 20, "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parts = mixing.stream(df).collect()
+    target = {r["source"]: r["target"] for r in mixing.mix(df).collect()}
+    for tenth in range(1, 11):
+        for s, t in target.items():
+            sofar = sum(r["part"] for r in parts if r["source"] == s and r["at"] <= tenth / 10)
+            assert abs(sofar - t * tenth / 10) <= 4
