@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import saved
+from .store import saved, written
 from .tokens import WORD
 
 #: Slots that all tokens are cut into; rows of a bucket of a source's shuffled order, or of its slots; cells of the unit interval.
@@ -95,25 +95,24 @@ def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def _ring(sized: DataFrame) -> DataFrame:
-    """Rows (id, rank, size, h) with words -> start and end of each in its source's ring."""
+    """Rows (rank, size, h, id and more) with words -> the same with start, each one's place in its source's ring."""
     buckets = max(1, ceil(sized.count() / BUCKET))
     placed = sized.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     within = W.partitionBy("rank", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(within))
     sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("held"))
     sums = sums.select("rank", "bucket", (F.sum("held").over(W.partitionBy("rank").orderBy("bucket")) - F.col("held")).alias("before"))
-    placed = placed.join(sums, ["rank", "bucket"]).withColumn("end", F.col("before") + F.col("end"))
-    return placed.select("id", "rank", "size", (F.col("end") - F.col("size")).alias("start"), "end")
+    placed = placed.join(sums, ["rank", "bucket"])
+    return placed.select(*sized.columns, (F.col("before") + F.col("end") - F.col("size")).alias("start"))
 
 
-def _blocks(ring: DataFrame, sources: DataFrame) -> DataFrame:
+def _blocks(ring: DataFrame) -> DataFrame:
     """Parts of documents in the blocks of their ring: its columns, nth (of the block), skip (words of the document before the part) and part.
 
     As many laps as the source's slots make, cut where they end, and one at least.
     """
-    served = sources.select("rank", "source", "source_size", "target", "words", F.coalesce("tokens", "source_size").alias("tokens"))
     laps = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("words") - 1) / F.col("source_size"))))
-    parts = ring.join(served, "rank").withColumn("lap", F.explode(laps)).withColumn("base", F.col("lap") * F.col("source_size") + F.col("start"))
+    parts = ring.withColumn("lap", F.explode(laps)).withColumn("base", F.col("lap") * F.col("source_size") + F.col("start"))
     block = lambda at: F.floor(at / F.col("tokens"))
     parts = parts.withColumn("nth", F.explode(F.sequence(block(F.col("base")), block(F.col("base") + F.col("size") - 1))))
     begins = F.greatest("base", F.col("nth") * F.col("tokens"))
@@ -130,10 +129,11 @@ def _parts(docs: DataFrame, text: str, source: str, key: str, size: Column | Non
     turns = saved(schedule(sources, slots))
     limit = F.floor(F.col("source_size") * F.lit(float(most)))
     given = turns.groupBy("rank").agg(F.sum("tokens").alias("words"), F.max("tokens").alias("tokens"))
-    sources = sources.join(given, "rank", "left").withColumn("words", F.coalesce(F.least("words", limit), F.lit(0)))
-    of = sources.select(F.col("source").alias("of"), "rank", "source_size", "target")
-    ranked = sized.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    return ranked, _blocks(_ring(ranked.filter("size > 0").select("id", "rank", "size", "h")), sources), turns
+    words, tokens = F.coalesce(F.least("words", limit), F.lit(0)), F.coalesce("tokens", "source_size")
+    served = sources.join(given, "rank", "left").select(F.col("source").alias("of"), "rank", "source_size", "target", words.alias("words"), tokens.alias("tokens"))
+    # a table of its own, so that its size is known and no source's documents are shuffled to one task
+    ranked = sized.join(written(served), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return ranked, _blocks(_ring(ranked.filter("size > 0"))), turns
 
 
 def stream(
@@ -159,5 +159,5 @@ def mix(
     # a document's place in its ring tells equal rows apart
     taken = met.groupBy("rank", "start", "id", "source", "size", "source_size", "target").agg(F.sum(F.col("part") * F.coalesce("met", F.lit(0))).alias("taken"))
     none = ranked.filter("size = 0").withColumn("taken", F.lit(0))
-    both = taken.drop("rank", "start").unionByName(none.drop("rank", "h"))
+    both = taken.drop("rank", "start").unionByName(none.select("id", "source", "size", "source_size", "target", "taken"))
     return both.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
