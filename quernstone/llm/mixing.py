@@ -26,7 +26,7 @@ from .store import saved, written
 from .tokens import WORD
 
 #: Slots that all tokens are cut into; rows of a bucket of a source's shuffled order, or of its slots; cells of the unit interval.
-SLOTS, BUCKET, CELLS = 1 << 20, 1 << 15, 1024
+SLOTS, BUCKET, CELLS = 1 << 20, 1 << 12, 1024
 
 _GOLDEN = 0.6180339887498949
 
