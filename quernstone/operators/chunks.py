@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,46 +35,28 @@ def title_abstract(title: Column, abstract: Column) -> Column:
 def paragraphs(text: Column, size: int = 3000, overlap: int = 300, least: int = 100) -> Column:
     """Chunks of whole paragraphs up to ``size`` characters; a chunk starts with the last paragraphs of the one before, up to ``overlap``.
 
-    Longer paragraphs are cut at sentence ends; chunks of ``least`` characters or fewer go.
+    Longer paragraphs are cut at the last sentence end that fits, or else at ``size``; chunks of ``least`` characters or fewer go.
     """
-    sentence = re.compile(r"(?<=[.!?])\s+")
-
-    def pieces(value: str) -> Iterator[str]:
-        for p in re.split(r"\n\s*\n", value):
-            p = p.strip()
-            held = ""
-            for s in sentence.split(p) if len(p) > size else [p]:
-                while len(s) > size:
-                    if held:
-                        yield held
-                        held = ""
-                    yield s[:size]
-                    s = s[size:]
-                if held and len(held) + 1 + len(s) > size:
-                    yield held
-                    held = s
-                else:
-                    held = f"{held} {s}" if held else s
-            if held:
-                yield held
-
-    def cut(value: str | None) -> list[str]:
-        out: list[str] = []
-        held: list[str] = []
-        for p in pieces(value or ""):
-            if held and sum(map(len, held)) + 2 * len(held) + len(p) > size:
-                out.append("\n\n".join(held))
-                tail: list[str] = []
-                for q in reversed(held):
-                    if sum(map(len, tail)) + len(q) > overlap:
-                        break
-                    tail.insert(0, q)
-                held = tail if sum(map(len, tail)) + 2 * len(tail) + len(p) <= size else []
-            held.append(p)
-        return [c for c in [*out, "\n\n".join(held)] if len(c) > least]
-
-    @F.pandas_udf("array<string>")
-    def chunked(values: pd.Series) -> pd.Series:
-        return values.map(cut)
-
-    return chunked(text)
+    gap = "\n\n"
+    trimmed = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    fitting = rf"(?s)\S.{{0,{size - 1}}}(?:\z|(?<=[.!?])(?=\s))|\S.{{0,{size - 1}}}"
+    cut = lambda p: F.transform(F.regexp_extract_all(p, F.lit(fitting), F.lit(0)), trimmed)
+    pieces = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda p: cut(trimmed(p))))
+    joined = lambda parts: F.array_join(parts, gap)
+    fits = lambda parts: F.length(joined(parts)) <= size
+
+    def repeated(held: Column, piece: Column) -> Column:
+        """The longest end of a chunk that the next one repeats, then its first piece."""
+        ends = F.transform(held, lambda _, i: F.slice(held, i + 1, F.size(held)))
+        end = F.get(F.filter(ends, lambda e: F.length(F.array_join(e, "")) <= overlap), F.lit(0))
+        both = F.concat(F.coalesce(end, F.array().cast("array<string>")), F.array(piece))
+        return F.when(fits(both), both).otherwise(F.array(piece))
+
+    def step(chunk: Column, piece: Column) -> Column:
+        longer = F.concat(chunk["held"], F.array(piece))
+        closed = F.struct(F.concat(chunk["done"], F.array(joined(chunk["held"]))).alias("done"), repeated(chunk["held"], piece).alias("held"))
+        return F.when(fits(longer), F.struct(chunk["done"].alias("done"), longer.alias("held"))).otherwise(closed)
+
+    none = F.array().cast("array<string>")
+    chunked = F.aggregate(pieces, F.struct(none.alias("done"), none.alias("held")), step, lambda c: F.concat(c["done"], F.array(joined(c["held"]))))
+    return F.filter(chunked, lambda c: F.length(c) > least)
