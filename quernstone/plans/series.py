@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import epidemic, models, timeseries
+from ..operators import epidemic, models, ranks, timeseries
 from ..session import table, unused_path
 from ..streaming import living_review, review_stream
 
@@ -82,6 +82,18 @@ def quantile_bands(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).groupBy("event_type").agg(q(0.33).alias("orange"), q(0.66).alias("red"), q(0.5).alias("median"))
 
 
+def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Thirds and the median of prices by flag, selected exactly."""
+    out = ranks.quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.33, 0.5, 0.66], "l_returnflag")
+    return out.withColumn("quantile", F.round("quantile", 4))
+
+
+def normality(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapiro and Wilk's W of prices by flag."""
+    out = ranks.shapiro_wilk(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
+    return out.select("l_returnflag", "n", F.round("w", 6).alias("w"))
+
+
 def weighted_pool(spark: SparkSession, sf: str) -> DataFrame:
     out = timeseries.pooled(table(spark, sf, "lineitem"), "l_discount", "l_quantity", ["l_shipmode"] if "l_shipmode" in table(spark, sf, "lineitem").columns else ["l_returnflag"])
     return out.select(*[c if c in ("n", out.columns[0]) else F.round(c, 6).alias(c) for c in out.columns])
@@ -225,7 +237,7 @@ def living_review_all(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: _dated(f) for f in (
     hourly_to_daily, weekly_resample_mixed, weekly_outer_join, pivot_event_type, seasonal_harmonics, isoweek_dates, week_ends, digest_due, durbin_watson,
-    corr_leakage, quantile_bands, weighted_pool, median_gap, error_metrics, class_metrics, leaderboard, monitor_level, bootstrap_ci, train_eval_regression,
+    corr_leakage, quantile_bands, exact_quantiles, normality, weighted_pool, median_gap, error_metrics, class_metrics, leaderboard, monitor_level, bootstrap_ci, train_eval_regression,
     forecast, seir_projection, seir_ensemble_bands, tumbling_events, sliding_events, session_events, living_review_increment, living_review_stream, rolling_week,
     stratified_folds, expanding_folds, living_review_all,
 )}
@@ -266,7 +278,39 @@ def _texts(sql: str, days: tuple[str, ...] = (), times: tuple[str, ...] = ()) ->
     return f"SELECT * REPLACE ({changed}) FROM ({sql})"
 
 
+def _poly_sql(x: str, factors: tuple[float, ...]) -> str:
+    """The polynomial in ``x``, highest power first."""
+    total = f"({factors[0]!r})"
+    for k in factors[1:]:
+        total = f"({total} * {x} + ({k!r}))"
+    return total
+
+
+def _normality_sql() -> str:
+    far, q = "sqrt(-2 * ln(least(p, 1 - p)))", "(p - 0.5)"
+    tail = f"({_poly_sql(far, ranks._TAIL[0])} / {_poly_sql(far, ranks._TAIL[1])})"
+    middle = f"({q} * {_poly_sql(f'({q} * {q})', ranks._MIDDLE[0])} / {_poly_sql(f'({q} * {q})', ranks._MIDDLE[1])})"
+    last, second = (_poly_sql("u", (*k, 0.0)) for k in (ranks._LAST, ranks._LAST_BUT_ONE))
+    return f"""
+WITH r AS (
+  SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i,
+    count(*) OVER (PARTITION BY l_returnflag) AS n, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS x
+  FROM lineitem),
+s AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM r),
+m AS (SELECT *, CASE WHEN p < {ranks._EDGE} THEN {tail} WHEN p > {1 - ranks._EDGE} THEN -{tail} ELSE {middle} END AS m FROM s),
+t AS (
+  SELECT l_returnflag, n, 1 / sqrt(n) AS u, sum(x * x) AS spread, sum(m * x) AS mx, sum(m * m) AS mm,
+    max(m) FILTER (i = n) AS m1, max(m) FILTER (i = n - 1) AS m2,
+    max(x) FILTER (i = n) - max(x) FILTER (i = 1) AS d1, max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS d2
+  FROM m GROUP BY l_returnflag, n),
+a AS (SELECT *, {last} + m1 / sqrt(mm) AS a1, {second} + m2 / sqrt(mm) AS a2 FROM t)
+SELECT l_returnflag, n, round(least(1.0, (a1 * d1 + a2 * d2 + (mx - m1 * d1 - m2 * d2) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2))) ** 2 / spread), 6) AS w
+FROM a"""
+
+
 SQL = {
+    "exact_quantiles": "SELECT l_returnflag, 0.33::DOUBLE AS share, round(quantile_cont(l_extendedprice, 0.33), 4) AS quantile FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 0.5::DOUBLE, round(quantile_cont(l_extendedprice, 0.5), 4) FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 0.66::DOUBLE, round(quantile_cont(l_extendedprice, 0.66), 4) FROM lineitem GROUP BY 1",
+    "normality": _normality_sql(),
     "seir_projection": _seir_sql(2.5, 7, 4, 0.01, 200),
     "hourly_to_daily": "SELECT strftime(ts, '%Y-%m-%d') AS date, round(avg(value), 4) AS v_mean, round(max(value), 4) AS v_max, round(min(value), 4) AS v_min, round(sum(value), 4) AS v_sum FROM events GROUP BY 1",
     "weekly_resample_mixed": f"WITH d AS (SELECT ts::DATE AS date, sum(value) AS p, avg(value) AS t, max(value) AS r FROM events GROUP BY 1), w AS (SELECT {_WEEK.format('date')} AS week, sum(p) AS p, avg(t) AS t, arg_max(r, date) AS r FROM d GROUP BY 1), {_CAL} SELECT week, round(coalesce(p, 0), 4) AS precip_sum, round(t, 4) AS temp_mean, round(r, 4) AS rsv_load FROM cal LEFT JOIN w USING (week)",
