@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .neighbours import FourierFeatures, Neighbours
+
 REGRESSION, CLASSIFICATION = "regression", "classification"
 #: Families that stand in for what is not available; results name them.
-STAND_INS = {"lightgbm": "gradient_boosting", "xgboost": "gradient_boosting", "knn": "random_forest", "svm": "linear_svm", "mlp": "mlp", "prophet": "seasonal", "sarimax": "seasonal"}
+STAND_INS = {"lightgbm": "gradient_boosting", "xgboost": "gradient_boosting", "svm": "kernel_svm", "prophet": "seasonal", "sarimax": "arima"}
 LOWER_IS_BETTER = ("rmse", "mae", "mape")
 
 
@@ -44,7 +46,7 @@ def family_for(family: str, task: str) -> str:
     """The family that is trained for the one asked for."""
     family = STAND_INS.get(family, family)
     if task == REGRESSION:
-        return {"logistic": "linear", "linear_svm": "linear", "mlp": "gradient_boosting"}.get(family, family)
+        return {"logistic": "linear", "linear_svm": "linear", "kernel_svm": "kernel_ridge", "mlp": "gradient_boosting"}.get(family, family)
     return {"linear": "logistic", "elasticnet": "logistic"}.get(family, family)
 
 
@@ -54,10 +56,14 @@ def estimator(family: str, task: str, target: str, n_features: int = 1, seed: in
         return {
             "linear": lambda: LinearRegression(**cols, **params), "elasticnet": lambda: LinearRegression(**cols, **({"regParam": 0.1, "elasticNetParam": 0.5} | params)),
             "random_forest": lambda: RandomForestRegressor(**cols, seed=seed, **params), "gradient_boosting": lambda: GBTRegressor(**cols, seed=seed, **({"maxIter": 20} | params)),
+            "knn": lambda: Neighbours(**cols, **params),
+            "kernel_ridge": lambda: Pipeline(stages=[FourierFeatures(seed=seed), LinearRegression(labelCol=target, featuresCol="fourier", **({"regParam": 0.01} | params))]),
         }[family]()
     return {
         "logistic": lambda: LogisticRegression(**cols, weightCol="_weight", **params), "random_forest": lambda: RandomForestClassifier(**cols, seed=seed, weightCol="_weight", **params),
         "gradient_boosting": lambda: GBTClassifier(**cols, seed=seed, **({"maxIter": 20} | params)), "linear_svm": lambda: LinearSVC(**cols, weightCol="_weight", **params),
+        "knn": lambda: Neighbours(**cols, classes=True, **params),
+        "kernel_svm": lambda: Pipeline(stages=[FourierFeatures(seed=seed), LinearSVC(labelCol=target, featuresCol="fourier", weightCol="_weight", **params)]),
         "mlp": lambda: MultilayerPerceptronClassifier(**cols, seed=seed, **({"layers": [n_features, 16, 2]} | params)),
     }[family]()
 
@@ -195,11 +201,13 @@ def _column(df: DataFrame, name: str) -> str:
 
 
 def score(model: PipelineModel, df: DataFrame, task: str) -> DataFrame:
-    """``df`` with score: the prediction, or the positive class's probability."""
+    """``df`` with score: the prediction, or the positive class's probability (the logistic function of the margin where a family gives no other)."""
     out = model.transform(df)
     if task == REGRESSION:
         return out.withColumn("score", F.col("prediction"))
-    return out.withColumn("score", vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction"))
+    if "probability" in out.columns:
+        return out.withColumn("score", vector_to_array("probability")[1])
+    return out.withColumn("score", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))
 
 
 def class_shares(df: DataFrame, target: str) -> DataFrame:
@@ -285,7 +293,7 @@ SPACES: dict[str, dict[str, tuple]] = {
     "svm": {"regParam": (1e-2, 1e2, "log")},
     "linear": {},
 }
-SPACES |= {"xgboost": SPACES["lightgbm"], "knn": SPACES["random_forest"]}
+SPACES |= {"xgboost": SPACES["lightgbm"], "knn": {"n_neighbors": (3, 25, "int"), "weights": ("uniform", "distance", "choice")}}
 #: Hidden layers that a perceptron may have.
 HIDDEN = ((64,), (128,), (64, 32))
 
@@ -297,7 +305,9 @@ def search_space(family: str, trials: int, n_features: int = 1, seed: int = 42)
         return [{"layers": [n_features, *rng.choice(HIDDEN), 2]} for _ in range(trials)]
     space = SPACES.get(family, {})
 
-    def draw(low: float, high: float, scale: str) -> int | float | str:
+    def draw(low, high, scale: str) -> int | float | str:
+        if scale == "choice":
+            return rng.choice((low, high))
         if scale == "int":
             return rng.randint(int(low), int(high))
         x = math.exp(rng.uniform(math.log(low), math.log(high))) if scale == "log" else rng.uniform(low, high)
