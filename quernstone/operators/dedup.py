@@ -75,8 +75,8 @@ def fuzzy_groups(df: DataFrame, title: str = "title", id_: str = "id", ratio: fl
     it are taken, and is taken by the smallest anchor like it: rounds of joins over the
     pairs decide that for all documents side by side.  Equal titles go as one.
     """
-    rows = df.select(F.col(id_).cast("long").alias("id"), T.normalize_title(F.col(title)).alias("t")).filter("t is not null")
-    same = saved(rows.groupBy("t").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")))
+    rows = saved(df.select(F.col(id_).cast("long").alias("id"), T.normalize_title(F.col(title)).alias("t")).filter("t is not null"))
+    same = saved(rows.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     pairs = saved(similar_titles(same.select("id", "t"), ratio, gap))
     state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("is", F.lit("open"))
     while True:
@@ -90,8 +90,8 @@ def fuzzy_groups(df: DataFrame, title: str = "title", id_: str = "id", ratio: fl
     members = pairs.join(anchors, "a").groupBy("b").agg(F.min("a").alias("group_id"))
     members = members.join(state.filter("is = 'taken'").select(F.col("id").alias("b")), "b").select(F.col("b").alias("id"), "group_id")
     placed = members.unionByName(members.select("group_id").distinct().select(F.col("group_id").alias("id"), "group_id"))
-    out = same.join(placed, "id", "left").filter((F.size("ids") > 1) | F.col("group_id").isNotNull())
-    return out.select(F.explode("ids").alias("id"), F.coalesce("group_id", "id").alias("group_id"))
+    kept = same.join(placed, "id", "left").filter((F.col("n") > 1) | F.col("group_id").isNotNull())
+    return rows.join(kept.select("t", F.coalesce("group_id", "id").alias("group_id")), "t").select("id", "group_id")
 
 
 def quality_score(has_fulltext: Column, abstract: Column, citations: Column, doi: Column, authors: Column, journal: Column, year: Column) -> Column:
