@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -89,3 +90,19 @@ def evidence_summary(df: DataFrame, year: str, citations: str, flags: dict[str,
         F.count("*").alias("n"), F.min(year).alias("year_min"), F.max(year).alias("year_max"), F.round(F.avg(citations), 2).alias("citations_avg"),
         F.max(citations).alias("citations_max"), *[F.count_if(c).alias(n) for n, c in flags.items()],
     )
+
+
+def top_articles(df: DataFrame, order: list[Column], k: int, columns: list[str], text: str, pico: str | None = None, excerpt: int = 300) -> DataFrame:
+    """The first k articles of a brief with their place, an excerpt of the abstract (blanks squeezed, cut with …) and, of a PICO record, its four main fields.
+
+    Give an order that ends with a unique column.  Broken records have null fields; a null abstract has an empty excerpt.
+    """
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    short = F.when(F.length(plain) > excerpt, F.concat(F.rtrim(F.substring(plain, 1, excerpt)), F.lit("…"))).otherwise(plain)
+    best = df.orderBy(*order).limit(k)
+    place = F.row_number().over(W.orderBy(*order))  # k rows
+    out = best.withColumns({"place": place, "excerpt": short})
+    if pico is None:
+        return out.select("place", *columns, "excerpt")
+    record = F.from_json(F.col(pico), "population string, intervention string, outcome string, key_finding string")
+    return out.select("place", *columns, "excerpt", record.alias("pico_summary"))

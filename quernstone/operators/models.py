@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import saved
+from . import arima
 from .neighbours import FourierFeatures, Neighbours
 
 REGRESSION, CLASSIFICATION = "regression", "classification"
@@ -478,3 +480,22 @@ def seasonal_forecast(df: DataFrame, day: str, value: str, period: int, horizon:
     rows = df.select((F.col(group).cast("string") if group else F.lit("all")).alias("grp"), F.to_date(day).alias("day"), F.col(value).cast("double").alias("value")).dropna()
     rows = rows.groupBy("grp", "day").agg(F.avg("value").alias("value"))
     return rows.groupBy("grp").applyInPandas(fit, "grp string, step int, forecast double, lower double, upper double, method string")
+
+
+def forecast(df: DataFrame, day: str, value: str, period: int, family: str = "prophet", horizon: int | None = None, group: str | None = None) -> DataFrame:
+    """Forecasts of every series by a family: sarimax (``arima.forecast``), or the regression that stands in for prophet."""
+    if family == "sarimax":
+        return arima.forecast(df, day, value, period, horizon, group).select("grp", "step", "forecast", "lower", "upper", "method")
+    return seasonal_forecast(df, day, value, period, horizon, group)
+
+
+def train_series(df: DataFrame, day: str, value: str, period: int, family: str = "prophet", horizon: int | None = None, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Forecasts of every series, and (grp, n, rmse, mae, r2, mape) of its last days, forecast from those before them.
+
+    Orders are chosen on the days before, so the metrics are of days that no choice has seen.
+    """
+    days = saved(arima.days_of(df, day, value, group).withColumn("held", arima.horizon_of(F.col("days"), horizon)).filter(F.col("days") >= arima.LEAST))
+    past = days.filter(F.col("n") <= F.col("days") - F.col("held"))
+    guess = forecast(past.select("grp", "day", "value"), "day", "value", period, family, horizon or 24, "grp")
+    real = days.filter(F.col("n") > F.col("days") - F.col("held")).select("grp", "value", (F.col("n") - F.col("days") + F.col("held")).alias("step"))
+    return forecast(days.select("grp", "day", "value"), "day", "value", period, family, horizon, "grp"), regression_metrics(real.join(guess, ["grp", "step"]), "value", "forecast", ["grp"])

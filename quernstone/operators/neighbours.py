@@ -216,7 +216,7 @@ class NeighboursModel(Model):
         if self.weights == "distance":
             far = F.col("distance")
             mean = F.coalesce(F.avg(F.when(far == 0, F.col("y"))), F.sum(F.when(far > 0, F.col("y") / far)) / F.sum(F.when(far > 0, 1 / far)))
-        mean = found.groupBy(F.col("query_id").alias("_query")).agg(mean.alias("_mean"))
+        mean = saved(found.groupBy(F.col("query_id").alias("_query")).agg(mean.alias("_mean")))  # metrics read it several times
         out = asked.join(mean, "_query", "left").drop("_query")
         if not self.classes:
             return out.withColumnRenamed("_mean", "prediction")

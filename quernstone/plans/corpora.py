@@ -170,6 +170,13 @@ def evidence_summary(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.evidence_summary(docs, "year", "n_chars", {"with_text": F.length("text") > 0, "english": F.col("lang") == "en"})
 
 
+def evidence_top(spark: SparkSession, sf: str) -> DataFrame:
+    """A brief's ten articles: of good quality first, then the longest, with an excerpt of each."""
+    docs = _docs(spark, sf).join(table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+    order = [F.col("quality").desc_nulls_last(), F.col("n_chars").desc_nulls_last(), F.col("doc_id")]
+    return corpus.top_articles(docs, order, 10, ["doc_id", "lang", "n_chars", "quality"], "text")
+
+
 def keyword_classifier(spark: SparkSession, sf: str) -> DataFrame:
     rules = [("promo", "offer"), ("steel", "metal"), ("brass", "metal"), ("tin", "metal"), ("small", "size"), ("large", "size")]
     rows = table(spark, sf, "part").select(T.first_rule(F.concat_ws(" ", "p_type", "p_name"), rules).alias("category"))
@@ -277,7 +284,7 @@ _T1 = "split_part(text, chr(10), 1)"
 QUERIES = {f.__name__: f for f in (
     filter_blank_ignored, membership_semi, membership_diff, dedup_exact_min_id, dedup_title_hash, dedup_impact, dedup_soft, dedup_fuzzy_block,
     quality_score, canonical_pick, survivorship, chunk_rows, chunk_structured, chunk_keep_one, legacy_partition, prisma_funnel, screening_progress,
-    cohen_kappa, agreement_matrix, corpus_stats_heatmap, fulltext_coverage, embedding_status, filter_options, null_profile, evidence_summary,
+    cohen_kappa, agreement_matrix, corpus_stats_heatmap, fulltext_coverage, embedding_status, filter_options, null_profile, evidence_summary, evidence_top,
     keyword_classifier, doc_tags, section_weight, token_counts, title_norms, identifier_forms, inverted_index_text, insert_new, update_from,
     hard_dedup, repointed_links, capped_sources, corpus_page, enrichment_lookup, backfill_fields,
 )}
@@ -319,6 +326,7 @@ SQL = {
     "filter_options": "SELECT DISTINCT 'lang' AS field, lang AS value FROM documents WHERE trim(lang) <> '' UNION ALL SELECT DISTINCT 'source', source FROM documents WHERE trim(source) <> ''",
     "null_profile": f"WITH s AS ({_SCREEN_SQL}) SELECT 'decision' AS field, round(avg((decision IS NULL)::INT), 6) AS null_share FROM s UNION ALL SELECT 'lang', round(avg((lang IS NULL)::INT), 6) FROM s UNION ALL SELECT 'source', round(avg((source IS NULL)::INT), 6) FROM s",
     "evidence_summary": "SELECT count(*) AS n, min(2000 + doc_id % 24)::INT AS year_min, max(2000 + doc_id % 24)::INT AS year_max, round(avg(n_chars), 2) AS citations_avg, max(n_chars) AS citations_max, count(*) FILTER (WHERE length(text) > 0) AS with_text, count(*) FILTER (WHERE lang = 'en') AS english FROM documents",
+    "evidence_top": "WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), r AS (SELECT row_number() OVER (ORDER BY quality DESC NULLS LAST, n_chars DESC NULLS LAST, doc_id)::INT AS place, doc_id, lang, n_chars, quality, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents LEFT JOIN q USING (doc_id) QUALIFY place <= 10) SELECT place, doc_id, lang, n_chars, quality, CASE WHEN length(t) > 300 THEN rtrim(t[1:300], ' ') || '…' ELSE t END AS excerpt FROM r",
     "keyword_classifier": "SELECT CASE WHEN contains(t, 'promo') THEN 'offer' WHEN contains(t, 'steel') THEN 'metal' WHEN contains(t, 'brass') THEN 'metal' WHEN contains(t, 'tin') THEN 'metal' WHEN contains(t, 'small') THEN 'size' WHEN contains(t, 'large') THEN 'size' END AS category, count(*) AS n FROM (SELECT lower(concat_ws(' ', p_type, p_name)) AS t FROM part) GROUP BY 1",
     "doc_tags": "SELECT " + ", ".join(f"count(*) FILTER (WHERE {_any(w)}) AS {t}" for t, w in T.TAGS.items()) + " FROM documents",
     "section_weight": f"WITH k AS (SELECT [{', '.join(repr(k) for k in T.WEIGHTS)}][(doc_id % {len(T.WEIGHTS)} + 1)::INT] AS kind, text FROM documents), w AS (SELECT {_weight_sql('kind', 'text')} AS weight FROM k) SELECT weight, count(*) AS n FROM w GROUP BY weight",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from ..operators import density, graph, search, text_index, vector_index
+from ..operators import density, graph, neighbours, search, text_index, vector_index
 from ..session import table, unused_path
 from . import boolean as B
 
@@ -186,6 +186,22 @@ def graph_communities(spark: SparkSession, sf: str) -> DataFrame:
     return graph.communities(nodes, graph.similarity_edges(nodes, 0.5))
 
 
+def knn_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """The label that the nine nearest other vectors give each fiftieth one."""
+    e = table(spark, sf, "embeddings")
+    found = neighbours.nearest(e.filter("vec_id % 50 = 0"), e, 9, "vec_id", "embedding", others=True)
+    return neighbours.votes(found, e, "vec_id", "label")
+
+
+def nearest_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """For each supplier, the three customers nearest in balance (in thousands) and nation."""
+    place = lambda p: F.array(F.col(f"{p}_acctbal").cast("double") / 1000, F.col(f"{p}_nationkey").cast("double"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), place("c").alias("vector"))
+    asked = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), place("s").alias("vector"))
+    found = neighbours.nearest(asked, rows, 3)
+    return found.select(F.col("query_id").alias("s_suppkey"), "rank", F.col("id").alias("c_custkey"), F.round("distance", 6).alias("distance"))
+
+
 def cluster_vectors(spark: SparkSession, sf: str) -> DataFrame:
     out = graph.clusters(table(spark, sf, "embeddings"), 8)
     return out.groupBy("cluster", "method").agg(F.count("*").alias("n"), F.count_if("noise").alias("n_noise"))
@@ -234,6 +250,8 @@ QUERIES = {
     "hybrid_rank": hybrid_rank,
     "hybrid_rerank": hybrid_rerank,
     "knn_graph_degree": knn_graph_degree,
+    "knn_votes": knn_votes,
+    "nearest_customers": nearest_customers,
     "graph_communities": graph_communities,
     "cluster_vectors": cluster_vectors,
     "cluster_density": cluster_density,
@@ -278,6 +296,16 @@ SQL = {
     "lexical_rank": _lexical_sql(),
     "hybrid_rank": _hybrid_sql(),
     "hybrid_rerank": _hybrid_sql(" ORDER BY lex DESC, doc_id LIMIT 60"),
+    "knn_votes": """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+d AS (SELECT a.vec_id AS query_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+n AS (SELECT query_id, label, count(*) AS votes, sum(count(*)) OVER (PARTITION BY query_id)::BIGINT AS n FROM d WHERE rank <= 9 AND label IS NOT NULL GROUP BY query_id, label)
+SELECT query_id, label, votes, n FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) = 1""",
+    "nearest_customers": """
+WITH d AS (
+  SELECT s_suppkey::BIGINT AS s_suppkey, c_custkey::BIGINT AS c_custkey, sqrt((s_acctbal::DOUBLE / 1000 - c_acctbal::DOUBLE / 1000) ** 2 + (s_nationkey::DOUBLE - c_nationkey::DOUBLE) ** 2) AS distance
+  FROM supplier, customer)
+SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY distance, c_custkey)::INT AS rank, c_custkey, round(distance, 6) AS distance FROM d QUALIFY rank <= 3""",
     "knn_graph_degree": _EDGES.format(least=0.35) + ", d AS (SELECT unnest([a, b]) AS vec_id FROM x) SELECT v.vec_id, count(d.vec_id) AS degree FROM v LEFT JOIN d USING (vec_id) GROUP BY v.vec_id",
     "graph_communities": "WITH RECURSIVE " + _EDGES.format(least=0.5).removeprefix("WITH ") + ", y AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x), r(id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, y.b FROM r JOIN y ON y.a = r.seen) SELECT id AS vec_id, min(seen) AS community FROM r GROUP BY id",
     "label_neighbours": "WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i), m AS (SELECT label, list(m ORDER BY i) AS mean FROM p GROUP BY label), s AS (SELECT label, list_dot_product(embedding::DOUBLE[], mean) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(mean, mean))) AS s FROM embeddings JOIN m USING (label)) SELECT label, count(*) AS n, round(avg(s), 5) AS mean_similarity FROM s GROUP BY label",

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import epidemic, models, ranks, timeseries
+from ..operators import arima, epidemic, models, ranks, timeseries
 from ..session import table, unused_path
 from ..streaming import living_review, review_stream
 
@@ -149,6 +149,19 @@ def forecast(spark: SparkSession, sf: str) -> DataFrame:
     return models.seasonal_forecast(d, "day", "v", 7, group="event_type")
 
 
+def forecast_arima(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily totals of each event type, forecast under the order of least AIC."""
+    d = _events(spark, sf).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    return arima.forecast(d, "day", "v", 7, group="event_type")
+
+
+def forecast_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the forecasts of each event type's last days are off, by both families."""
+    e = _events(spark, sf)
+    parts = [models.train_series(e, "ts", "value", 7, family, group="event_type")[1].withColumn("family", F.lit(family)) for family in ("sarimax", "prophet")]
+    return parts[0].unionByName(parts[1])
+
+
 def seir_projection(spark: SparkSession, sf: str) -> DataFrame:
     out = epidemic.simulate(spark, {"r0": 2.5, "infectious_period_days": 7, "incubation_period_days": 4, "cfr": 0.01}, 200)
     return out.select("day", *[F.round(c, 1).alias(c) for c in ("incidence", "prevalence", "cumulative", "deaths", "susceptible", "exposed", "recovered")])
@@ -238,7 +251,7 @@ def living_review_all(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: _dated(f) for f in (
     hourly_to_daily, weekly_resample_mixed, weekly_outer_join, pivot_event_type, seasonal_harmonics, isoweek_dates, week_ends, digest_due, durbin_watson,
     corr_leakage, quantile_bands, exact_quantiles, normality, weighted_pool, median_gap, error_metrics, class_metrics, leaderboard, monitor_level, bootstrap_ci, train_eval_regression,
-    forecast, seir_projection, seir_ensemble_bands, tumbling_events, sliding_events, session_events, living_review_increment, living_review_stream, rolling_week,
+    forecast, forecast_arima, forecast_errors, seir_projection, seir_ensemble_bands, tumbling_events, sliding_events, session_events, living_review_increment, living_review_stream, rolling_week,
     stratified_folds, expanding_folds, living_review_all,
 )}
 

@@ -176,10 +176,9 @@ def pooled_studies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hull_corners(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers' highest and lowest corners of a plane of balances: the ends of each nation's hull."""
-    s = table(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").cast("double").alias("x"), F.col("s_acctbal").alias("y"))
-    h = graph.convex_hull(s, "s_nationkey")
-    return h.groupBy("s_nationkey").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("low"), F.max("y").alias("high"))
+    """The corners of the hull of each nation's customers in the plane of key and balance."""
+    c = table(spark, sf, "customer").select("c_nationkey", F.col("c_custkey").cast("double").alias("x"), F.col("c_acctbal").alias("y"))
+    return graph.convex_hull(c, "c_nationkey").select("c_nationkey", "x", "y")
 
 
 def day_offsets(spark: SparkSession, sf: str) -> DataFrame:
@@ -337,7 +336,15 @@ SQL = {
     "field_distributions": "SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents WHERE trim(lang) <> '' GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE trim(source) <> '' GROUP BY source",
     "active_jobs": "SELECT CASE WHEN o_orderstatus = 'O' THEN 'running' ELSE 'done' END AS status, count(*) FILTER (WHERE o_orderstatus = 'O' AND epoch(TIMESTAMP '1996-01-01') - epoch(o_orderdate) <= 31536000) AS active, count(*) AS n FROM orders GROUP BY 1",
     "pooled_studies": "WITH s AS (SELECT l_suppkey, l_discount AS v, CASE WHEN l_linenumber > 2 AND l_quantity > 0 THEN l_quantity ELSE 1.0 END AS w, l_linenumber AS a FROM lineitem), m AS (SELECT l_suppkey, count(*) AS n, sum(w * v) / sum(w) AS mean, sqrt(greatest(0, sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ** 2)) AS sd, string_agg(DISTINCT a::VARCHAR, ',' ORDER BY a::VARCHAR) AS p FROM s GROUP BY l_suppkey) SELECT l_suppkey, n AS n_studies, round(mean, 6) AS value, round(mean - 1.96 * sd, 6) AS ci_low, round(mean + 1.96 * sd, 6) AS ci_high, p AS provenance FROM m",
-    "hull_corners": 'SELECT s_nationkey, min(s_suppkey)::DOUBLE AS "left", max(s_suppkey)::DOUBLE AS "right", min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier GROUP BY s_nationkey',
+    "hull_corners": """
+WITH p AS (SELECT DISTINCT c_nationkey AS g, c_custkey::DOUBLE AS x, c_acctbal::DOUBLE AS y FROM customer WHERE c_custkey IS NOT NULL AND c_acctbal IS NOT NULL),
+t AS (
+  SELECT a.g, a.x, a.y, b.x AS bx, b.y AS by_, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn,
+    (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) AS along, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS far
+  FROM p a JOIN p b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON a.g = c.g),
+e AS (SELECT g, x, y FROM t GROUP BY g, x, y, bx, by_ HAVING bool_and(turn > 0 OR turn = 0 AND along BETWEEN 0 AND far))
+SELECT DISTINCT g AS c_nationkey, x, y FROM e
+UNION ALL SELECT g, min(x), min(y) FROM p GROUP BY g HAVING count(*) = 1""",
     "day_offsets": "WITH d AS (SELECT o_orderkey, o_orderdate::DATE - min(o_orderdate::DATE) OVER (PARTITION BY o_orderstatus) AS d FROM orders) SELECT o_orderkey, d::DOUBLE AS \"offset\", greatest(1, least(d, 3650))::INT AS horizon FROM d",
     "class_balance": "WITH c AS (SELECT l_returnflag AS class, count(*) AS n FROM lineitem GROUP BY 1) SELECT class, n, round(n / sum(n) OVER (), 6) AS share, n / sum(n) OVER () < 0.1 AS rare FROM c",
     "holdout_stratified": "WITH r AS (SELECT o_orderstatus, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 5 = 0 AS t FROM orders) SELECT o_orderstatus, CASE WHEN t THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM r GROUP BY 1, 2",
