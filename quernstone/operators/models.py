@@ -8,6 +8,8 @@ import re
 import unicodedata
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -330,7 +332,13 @@ def _ranked(df: DataFrame, by: list[str], bucket: Column, order: list[Column | s
 def _bucket(df: DataFrame, value: Column, buckets: int = 256) -> Column:
     """About equal stretches of a value's range, as numbers in its order; nulls are in the first."""
     cuts = df.select(value.alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < value)), F.lit(0)) if cuts else F.lit(0)
+    cuts = np.array(sorted(set(cuts)))
+
+    @F.pandas_udf("int")
+    def place(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, values.to_numpy(float)))
+
+    return F.when(value.isNotNull(), place(value.cast("double"))).otherwise(0) if len(cuts) else F.lit(0)
 
 
 def _running(df: DataFrame, order: Column, columns: list[str]) -> DataFrame:
@@ -358,8 +366,9 @@ def folds(df: DataFrame, strategy: str, k: int, key: str, label: str | None = No
         return rows.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
     rows = df.filter(F.col(order).isNotNull())
     time = F.unix_micros(F.col(order).cast("timestamp")).cast("double") if dict(df.dtypes)[order].startswith(("date", "timestamp")) else F.col(order).cast("double")
-    rows, size = _ranked(rows, [], _bucket(rows, time, buckets), [order, key]), max(1, rows.count() // (k + 1))
-    start = F.lit(rows.count() - k * size)
+    n = rows.count()  # before the ranks, whose join keeps all rows
+    size = max(1, n // (k + 1))
+    rows, start = _ranked(rows, [], _bucket(rows, time, buckets), [order, key]), F.lit(n - k * size)
     return rows.withColumn("fold", F.greatest(F.floor((F.col("_rank") - start) / size), F.lit(-1)).cast("int")).drop("_rank")
 
 

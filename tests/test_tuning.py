@@ -52,3 +52,11 @@ def test_enrichment(spark):
     assert sorted((r["id"], r["authors"], r["journal"]) for r in got.collect()) == [(1, "X", "J1"), (2, "Y", "own"), (3, None, "own")]
     held = docs.withColumn("authors", F.lit("Z"))
     assert {r["id"]: r["authors"] for r in enrichment.backfill(held, [b], missing_only=True).collect()} == {1: "Z", 2: "Y", 3: "Z"}
+
+
+def test_expanding_folds_find_stretches_by_halving(spark):
+    """No filter walks through all cuts; as a step of the ranks' join, Spark lost the column that it walked for on large tables."""
+    df = spark.range(20000).select("id", (F.col("id") * 7 % 20000).cast("timestamp").alias("t"))
+    out = models.folds(df, "timeseries", 4, "id", order="t").groupBy("fold").agg(F.count("*").alias("n"), F.min(F.col("t").cast("long")).alias("least"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(f, 4000, 4000 * (f + 1)) for f in range(-1, 4)]
