@@ -29,10 +29,19 @@ def with_search_vector(df: DataFrame, label: str, content: str, name: str = "sea
 
 def weighted(a: Column, b: Column) -> Column:
     """A search vector of two arrays of terms; null stands for a word that is no term."""
-    placed = F.transform(F.concat(a, b), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("at")))
-    terms = F.array_sort(F.filter(F.array_distinct(F.concat(a, b)), lambda w: w.isNotNull()))
-    where = lambda t: F.transform(F.filter(placed, lambda p: p["term"] == t), lambda p: p["at"])
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.when(F.array_contains(a, t), "A").otherwise("B").alias("weight"), where(t).alias("positions")))
+    placed = F.filter(F.transform(F.concat(a, b), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("at"))), lambda p: p["term"].isNotNull())
+
+    def runs(p: Column) -> Column:
+        """Of places sorted by term, those of each term; a text is walked once, however many terms it has."""
+        starts = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (F.get(p, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+        return F.element_at(F.transform(F.array(starts), lambda s: F.transform(s, lambda at, n: one(p, at, F.coalesce(F.get(s, n + 1), F.size(p)) - at))), 1)
+
+    def one(p: Column, at: Column, n: Column) -> Column:
+        first = F.get(p, at)
+        weight = F.when(first["at"] <= F.size(a), "A").otherwise("B")
+        return F.struct(first["term"].alias("term"), weight.alias("weight"), F.transform(F.slice(p, at + 1, n), lambda x: x["at"]).alias("positions"))
+
+    return F.element_at(F.transform(F.array(F.array_sort(placed)), runs), 1)  # the sorted array and the starts get names, so that each is made once
 
 
 def embedding_input(text: Column, most_chars: int = 20_000, most_tokens: int = 7_500) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from quernstone.functions import stem
@@ -41,3 +43,13 @@ def test_index_of_stems(spark, tmp_path):
     index = text_index.build(docs, str(tmp_path / "i"), buckets=2, analyse=stem.english)
     assert {r["doc_id"] for r in index.top(spark, "the vaccinated", 5).collect()} == {1, 2}
     assert index.top(spark, "the", 5).count() == 0
+
+
+def test_a_text_of_many_terms_is_walked_once(spark):
+    """A look at all words for each term would take some 400 million steps here, and minutes."""
+    n = 20000
+    df = spark.createDataFrame([("w7", " ".join(f"w{i}" for i in range(n)) + " w7")], "l string, c string")
+    began = time.time()
+    got = {t["term"]: t for t in upkeep.with_search_vector(df, "l", "c").first()[2]}
+    assert time.time() - began < 60 and len(got) == n
+    assert got["w7"]["weight"] == "A" and got["w7"]["positions"] == [1, 9, n + 2] and got["w19999"]["positions"] == [n + 1]
