@@ -50,10 +50,14 @@ def similar_titles(titles: DataFrame, ratio: float = 0.92, gap: float = 0.15) ->
     one of their k * GRAM + 1 rarest pieces: those alone are joined, no block is compared
     pair by pair, and a first word that very many titles have makes no large group.
     """
-    rows = titles.select("id", "t", F.split("t", " ")[0].alias("word"), F.length("t").alias("n"))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - (GRAM - 1))), lambda i: F.substring(F.col("t"), i, F.lit(GRAM)))
-    grams = rows.select("id", "word", "n", F.posexplode(pieces).alias("at", "gram"))
-    grams = grams.withColumn("nth", F.row_number().over(W.partitionBy("id", "gram").orderBy("at"))).drop("at")
+    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = titles.select("id", "t", F.split("t", " ")[0].alias("word"), F.length("t").alias("n")).repartition(parts, "id")  # titles are few bytes, their pieces many
+    piece = lambda c, i: F.concat(*[F.coalesce(F.get(c, i + k), F.lit("")) for k in range(GRAM)])
+    # the characters get a name, so that a title is cut once and not anew for each piece
+    pieces = lambda c: F.transform(F.slice(c, 1, F.greatest(F.lit(1), F.size(c) - (GRAM - 1))), lambda x, i: piece(c, i))
+    pieces = F.element_at(F.transform(F.array(F.split("t", "")), pieces), 1)
+    grams = saved(rows.select("id", "word", "n", F.explode(pieces).alias("gram")).groupBy("id", "word", "n", "gram").agg(F.count("*").cast("int").alias("times")))
+    grams = grams.select("id", "word", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
     common = grams.groupBy("gram", "nth").agg(F.count("*").alias("held"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("held", "gram", "nth"))
     lost = F.floor(F.col("n") * ((1 - ratio) / ratio) + 1e-9) * GRAM  # by the most edits that any partner allows
@@ -63,8 +67,8 @@ def similar_titles(titles: DataFrame, ratio: float = 0.92, gap: float = 0.15) ->
     pairs = left.join(right, ["word", "gram", "nth"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     text = lambda k: titles.select(F.col("id").alias(k), F.col("t").alias(f"t_{k}"))
     both = pairs.join(text("a"), "a").join(text("b"), "b")
-    most = F.floor((1 - ratio) * F.greatest(F.length("t_a"), F.length("t_b")) + 1e-9)
-    return both.filter(F.levenshtein("t_a", "t_b") <= most).select("a", "b")
+    most = F.floor((1 - ratio) * F.greatest(F.length("t_a"), F.length("t_b")) + 1e-9).cast("int")
+    return both.withColumn("most", most).filter("levenshtein(t_a, t_b, most) >= 0").select("a", "b")  # only as far from the diagonal as that many edits go
 
 
 def fuzzy_groups(df: DataFrame, title: str = "title", id_: str = "id", ratio: float = 0.92, gap: float = 0.15) -> DataFrame:

@@ -103,3 +103,15 @@ def test_importances_scorers_and_warnings(spark):
     one = df.withColumn("c", F.when(F.col("id") == 1, "yes").otherwise("no"))
     board = {r["family"]: r["error"] for r in models.compare(one, "c", ["x"], ["logistic"], "classification", "roc_auc", key="id").collect()}
     assert "two rows" in board["logistic"]
+
+
+def test_distances_stop_at_the_most_edits(spark):
+    """Titles may be whole texts; of two such, only what so many edits can reach is compared.  Pieces are those of the plain cut."""
+    rng = random.Random(11)
+    t = "the " + " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000))
+    u = t[:5000] + "xyz" + t[5004:] + "é"
+    df = spark.createDataFrame([(1, t), (2, u), (3, "the " + t[::-1]), (4, "ab"), (5, "ééé à"), (6, "ééé à")], "id long, t string").coalesce(1)
+    out = dedup.similar_titles(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ", most" in plan[plan.index("levenshtein") :].split("\n")[0] or "cast(FLOOR" in plan[plan.index("levenshtein") :].split("\n")[0]
+    assert sorted((r["a"], r["b"]) for r in out.collect()) == [(1, 2), (5, 6)]
