@@ -12,7 +12,8 @@
 4. Rows of no cluster that stays are noise.
 
 Distances are Euclidean between unit vectors, rounded to seven places.  Work grows with the square of the rows, shared out by
-pairs of blocks.  The hierarchy is made in one task from one edge for each row, so at most ``MOST`` rows are
+pairs of blocks; there are at most ``BLOCKS`` of them until a block holds ``WIDEST`` rows, so what is shuffled grows with the rows only,
+and a task makes the distances of ``BLOCK`` rows by ``BLOCK`` at a time.  The hierarchy is made in one task from one edge for each row, so at most ``MOST`` rows are
 clustered; more are an error, not a sample.  Rows whose vector has no direction are noise; all rows together are never one cluster.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +32,29 @@ from .vector_index import directed
 
 #: Rows in a block, edges that one task joins, rows of a hierarchy.
 BLOCK, FEW, MOST = 1000, 262_144, 2_000_000
+#: Blocks that meet each other, and rows of a block beyond which there are more.
+BLOCKS, WIDEST = 48, 16_384
 
 DIGITS = 7
 
 
-def _matrix(values: list) -> np.ndarray:
-    rows = np.array([np.asarray(v["v"], float) for v in values])
+def _matrix(values: pa.StructArray) -> np.ndarray:
+    vectors = values.field("v")
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(float)
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.StructArray, pa.StructArray]]:
+    """Two blocks at a time, where Arrow holds them."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.column("i")[at].as_py(), batch.column("j")[at].as_py(), batch.column("x")[at].values, batch.column("y")[at].values
+
+
+def _parts(n: int, part: int) -> list[slice]:
+    return [slice(at, at + part) for at in range(0, n, part)]
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T))), DIGITS)
 
@@ -53,25 +69,35 @@ def _meetings(rows: DataFrame, blocks: int, *columns: str) -> DataFrame:
     return pairs.join(of("i", "x"), "i").join(of("j", "y"), "j")
 
 
-def core_distances(rows: DataFrame, samples: int, blocks: int) -> DataFrame:
+def core_distances(rows: DataFrame, samples: int, blocks: int, part: int = BLOCK) -> DataFrame:
     """(row, core); with no more rows than ``samples`` it is that to the farthest one."""
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, j, x, y in zip(batch["i"], batch["j"], batch["x"], batch["y"]):
-                d = _distances(_matrix(x), _matrix(y))
-                sides = [(x, d), (y, d.T)] if i != j else [(x, d)]
-                for own, table in sides:
-                    if i == j:
-                        np.fill_diagonal(table, np.inf)
-                    best = np.sort(table, axis=1)[:, :samples]
-                    yield pd.DataFrame({"row": [r["row"] for r in own], "d": [b[np.isfinite(b)].tolist() for b in best]})
+    def best(own: np.ndarray, other: np.ndarray, same: bool) -> np.ndarray:
+        """The least distances of each row to the others, in order; infinite where there are fewer."""
+        out = []
+        for p in _parts(len(own), part):
+            found = np.full((len(own[p]), 0), np.inf)
+            for q in _parts(len(other), part):
+                d = _distances(own[p], other[q])
+                if same and p == q:
+                    np.fill_diagonal(d, np.inf)
+                found = np.hstack([found, np.partition(d, samples - 1, axis=1)[:, :samples] if d.shape[1] > samples else d])
+                found = np.sort(found, axis=1)[:, :samples]
+            out.append(found)
+        return np.vstack(out)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, j, x, y in _met(batches):
+            a, b = _matrix(x), _matrix(y)
+            for own, found in [(x, best(a, b, i == j))] + ([(y, best(b, a, False))] if i != j else []):
+                lists = pa.array([r[np.isfinite(r)] for r in found], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([own.field("row").cast(pa.int64()), lists], ["row", "d"])
 
     met = _meetings(rows, blocks)
     if blocks > 1:  # rows of one block meet each other too
         own = rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("i")).agg(F.collect_list(F.struct("row", "v")).alias("x"))
         met = met.unionByName(own.select("i", F.col("i").alias("j"), "x", F.col("x").alias("y")))
-    found = met.mapInPandas(near, "row long, d array<double>")
+    found = met.mapInArrow(near, "row long, d array<double>")
     nearest = F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, samples)
     return found.groupBy("row").agg(nearest.alias("d")).select("row", F.coalesce(F.array_max("d"), F.lit(0.0)).alias("core"))
 
@@ -91,6 +117,22 @@ def _prim(w: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
+def _tree(unit: np.ndarray, core: np.ndarray, part: int) -> list[tuple[int, int, float]]:
+    """Edges of a spanning tree of rows: those of every two parts of them, joined from short to long."""
+    whole = np.arange(len(unit))
+    parts = [whole[s] for s in _parts(len(unit), part)]
+    found = []
+    for i, a in enumerate(parts):
+        for b in parts[i + 1 :] if len(parts) > 1 else [a]:
+            rows = np.concatenate((a, b)) if len(parts) > 1 else a
+            w = np.maximum(_distances(unit[rows], unit[rows]), np.maximum(core[rows, None], core[rows]))
+            found += [(int(rows[p]), int(rows[q]), d) for p, q, d in _prim(w)]
+    if len(parts) < 3:
+        return found
+    groups = _Groups()
+    return [e for e in sorted(found, key=lambda e: e[2]) if groups.join(e[0], e[1])]
+
+
 class _Groups:
     """Union of numbered groups."""
 
@@ -233,19 +275,18 @@ def clusters(df: DataFrame, key: str = "vec_id", vector: str = "embedding", samp
     plain = rows.select(F.col("key").alias(key), F.lit(None).cast(kind).alias("cluster"), F.lit(True).alias("noise"))
     if n < 2:
         return plain
-    blocks = -(-n // block)
-    cored = saved(able.join(core_distances(able, samples, blocks), "row"))
-
-    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, j, x, y in zip(batch["i"], batch["j"], batch["x"], batch["y"]):
-                both = [*x, *y] if i != j else list(x)
-                unit, core, names = _matrix(both), np.array([r["core"] for r in both]), [r["row"] for r in both]
-                w = np.maximum(_distances(unit, unit), np.maximum(core[:, None], core))
-                edges = [(min(names[p], names[q]), max(names[p], names[q]), d) for p, q, d in _prim(w)]
-                yield pd.DataFrame(edges, columns=["a", "b", "w"])
-
-    tree = spanning_tree(_meetings(cored, blocks, "core").mapInPandas(trees, "a long, b long, w double"), few)
+    blocks = max(min(-(-n // block), BLOCKS), -(-n // WIDEST))
+    cored = saved(able.join(core_distances(able, samples, blocks, block), "row"))
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, j, x, y in _met(batches):
+            sides = [(_matrix(v), v.field("core").to_numpy(zero_copy_only=False), v.field("row").to_numpy(zero_copy_only=False)) for v in ((x, y) if i != j else (x,))]
+            unit, core, names = (np.concatenate(c) for c in zip(*sides))
+            edges = pd.DataFrame(_tree(unit, core, block), columns=["p", "q", "w"]).astype({"p": "int64", "q": "int64"})
+            p, q = names[edges["p"].to_numpy()], names[edges["q"].to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64()), pa.array(edges["w"].to_numpy(float))], ["a", "b", "w"])
+
+    tree = spanning_tree(_meetings(cored, blocks, "core").mapInArrow(trees, "a long, b long, w double"), few)
 
     def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)

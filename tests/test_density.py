@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.operators import density
 
@@ -108,3 +109,14 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "vec_id long, embedding array<float>")
     assert {(r["cluster"], r["noise"]) for r in density.clusters(df).collect()} == {(None, True)}
     assert density.clusters(df.limit(1)).count() == 1 and density.clusters(df.limit(0)).count() == 0
+
+
+def test_wide_blocks_meet_in_parts(spark):
+    """Many rows stand in at most so many blocks, so what is shuffled grows with the rows; a task still takes a part of a block at a time."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6)) + 4 * rng.normal(size=(5, 6))[rng.integers(0, 5, 400)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, density.clusters(df, block=1000).collect()), key=str)
+    assert sorted(map(tuple, density.clusters(df, block=7).collect()), key=str) == want and {r[1] for r in want} - {None}
+    rows = df.select(F.col("vec_id").alias("row"), F.col("embedding").alias("v"))
+    assert len({r["i"] for r in density._meetings(rows, density.BLOCKS).select("i").collect()}) < density.BLOCKS == 48
