@@ -93,10 +93,16 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _counts(texts: DataFrame, analyse: Analyse) -> DataFrame:
+    """(key, term, count); texts are less to shuffle than their terms, which stay where their key is."""
+    said = texts.repartition("key").select("key", F.explode(analyse(F.col("text"))).alias("term"))
+    return said.groupBy("key", "term").agg(F.count("*").alias("count"))
+
+
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 64, block: int = BLOCK, analyse: Analyse = words) -> TextIndex:
     """Writes the index of ``docs`` under ``path``; ``buckets`` should grow with the vocabulary.
 
-    Counts are pre-aggregated before they are shuffled; a bucket with a frequent term is split into several files.
+    Texts are dealt out by key once, and their terms counted there; a bucket with a frequent term is split into several files.
     """
     spark = docs.sparkSession
     said = docs.select(F.col(key).alias("key"), analyse(F.col(text)).alias("w"))
@@ -107,7 +113,7 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", b
     placed.select("key", "length", (F.col("level").cast("long") * (1 << 32) + F.pmod(F.xxhash64("key"), "parts")).alias("block")).write.parquet(f"{path}/documents")
     documents = spark.read.parquet(f"{path}/documents")
     n, mean = documents.agg(F.count("*"), F.avg("length")).first()
-    counts = said.select("key", F.explode("w").alias("term")).groupBy("key", "term").agg(F.count("*").alias("count"))
+    counts = _counts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), analyse)
     share = F.col("length") / (mean or 1.0)
     weight = F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * share))
     rows = counts.join(documents, "key").select("term", F.col("key").alias(key), "block", "count", weight.alias("weight"), _bucket(F.col("term"), buckets).alias("bucket"))

@@ -59,3 +59,10 @@ def test_only_the_terms_folders_and_promising_blocks_are_read(spark, tmp_path, d
 def test_empty_table(spark, tmp_path):
     index = text_index.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "i"), buckets=2)
     assert index.top(spark, "word", 3).count() == 0
+
+
+def test_terms_are_counted_where_their_text_is(spark):
+    texts = spark.createDataFrame([(1, "a b a"), (2, "a"), (1, "b c"), (3, None)], "key long, text string")
+    out = text_index._counts(texts, text_index.words)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 2), (1, "b", 2), (1, "c", 1), (2, "a", 1)]
