@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,6 +25,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..session import saved
@@ -32,6 +34,8 @@ from ..session import saved
 ROWS, QUERIES = 4096, 512
 #: Cells and rings of a cell at most; what is known of all rings goes to every task.
 CELLS, RINGS = 4096, 64
+#: Bounds of queries and rings that a task makes at once.
+BOUNDS = 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -78,12 +82,15 @@ def _wanted(pivots: np.ndarray, rings: pd.DataFrame, k: int, v: Column, limit: C
     """The rings that a query meets: those of promise until they hold k rows (no limit), or all others within the limit."""
     kind = ArrayType(IntegerType())
     cell, low, high, n = (rings[c].to_numpy() for c in ("cell", "low", "high", "n"))
+    step = max(1, BOUNDS // len(cell))
 
-    def bounds(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack(vectors.to_numpy()).astype(float)
-        slack = 1e-6 * (1 + np.linalg.norm(x, axis=1)[:, None] + high[None])
-        gap = _distances(x, pivots)[:, cell]
-        return np.maximum(np.maximum(gap - high, low - gap), 0) - slack, gap + high
+    def bounds(vectors: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The least and the widest distance to each ring, query by query; made for as many queries at once as memory is meant for."""
+        for at in range(0, len(vectors), step):
+            x = np.stack(vectors.iloc[at : at + step].to_numpy()).astype(float)
+            slack = 1e-6 * (1 + np.linalg.norm(x, axis=1)[:, None] + high[None])
+            gap = _distances(x, pivots)[:, cell]
+            yield from zip(np.maximum(np.maximum(gap - high, low - gap), 0) - slack, gap + high)
 
     def first(least: np.ndarray, most: np.ndarray) -> np.ndarray:
         order = np.lexsort((most, np.maximum(least, 0)))
@@ -91,14 +98,12 @@ def _wanted(pivots: np.ndarray, rings: pd.DataFrame, k: int, v: Column, limit: C
 
     @F.pandas_udf(kind)
     def opening(vectors: pd.Series) -> pd.Series:
-        least, most = bounds(vectors)
-        return pd.Series([first(a, b).astype(np.int32).tolist() for a, b in zip(least, most)], dtype=object)
+        return pd.Series([first(a, b).astype(np.int32).tolist() for a, b in bounds(vectors)], dtype=object)
 
     @F.pandas_udf(kind)
     def rest(vectors: pd.Series, limits: pd.Series) -> pd.Series:
-        least, most = bounds(vectors)
         out = []
-        for a, b, far in zip(least, most, limits.fillna(np.inf)):
+        for (a, b), far in zip(bounds(vectors), limits.fillna(np.inf)):
             keep = a <= far
             keep[first(a, b)] = False
             out.append(np.flatnonzero(keep).astype(np.int32).tolist())
@@ -113,26 +118,32 @@ def _compared(queries: DataFrame, blocks: DataFrame, k: int, others: bool, kind:
     packed = queries.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("split")))
     packed = packed.groupBy("unit", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))  # about QUERIES
 
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for asked, rows in zip(part["queries"], part["rows"]):
-                ids = np.array([r["id"] for r in rows], dtype=object)
-                x, q = np.stack([r["v"] for r in rows]).astype(float), np.stack([a["v"] for a in asked]).astype(float)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # one pair at a time, its numbers read where Arrow holds them
+                (names, q), (ids, x) = (block(batch.column(c)[at].values) for c in ("queries", "rows"))
                 about, out = _distances(q, x), []
                 length = np.linalg.norm(x, axis=1).max()
-                for a, vector, near in zip(asked, q, about):
+                for name, vector, near in zip(names, q, about):
                     reach = k + (1 if others else 0)
                     edge = np.partition(near, reach - 1)[reach - 1] if len(near) > reach else np.inf
                     some = np.flatnonzero(near <= edge + 1e-6 * (1 + length + np.linalg.norm(vector)))
                     if others:
-                        some = some[ids[some] != a["id"]]
+                        some = some[ids[some] != name]
                     exact = np.linalg.norm(x[some] - vector, axis=1)
                     best = sorted(zip(exact.tolist(), ids[some].tolist()))[:k]
-                    out += [(a["id"], i, d) for d, i in best]
-                yield pd.DataFrame(out, columns=["query_id", "id", "distance"])
+                    out += [(name, i, d) for d, i in best]
+                columns = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], of), pa.array(columns[1], of), pa.array(columns[2], pa.float64())], ["query_id", "id", "distance"])
+
+    def block(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the matrix of a block."""
+        vectors = values.field("v")
+        return np.array(values.field("id").to_pylist(), dtype=object), vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
+    of = to_arrow_type(queries.schema["id"].dataType)
     pairs = packed.join(blocks, "unit").select("queries", "rows")
-    return pairs.mapInPandas(compare, f"query_id {kind}, id {kind}, distance double")
+    return pairs.mapInArrow(compare, f"query_id {kind}, id {kind}, distance double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -111,3 +111,11 @@ def test_products_come_near_the_kernel(spark):
     out = model.transform(df.select("id", array_to_vector("vector").alias("features"))).select("id", vector_to_array("fourier").alias("z")).collect()
     z = {r["id"]: np.array(r["z"]) for r in out}
     assert max(abs(z[a] @ z[b] - math.exp(-0.3 * np.sum((x[a] - x[b]) ** 2))) for a in z for b in z) < 0.06
+
+
+def test_bounds_are_made_for_a_few_queries_at_a_time(spark, monkeypatch):
+    """With very many rings, a batch of queries by all of them would not fit."""
+    df = spark.range(300).select("id", F.array(F.sin(F.col("id") * 1.7), F.cos(F.col("id") * 2.3)).alias("vector"))
+    whole = sorted(map(tuple, neighbours.nearest(df, df, 2, others=True, cells=8).collect()))
+    monkeypatch.setattr(neighbours, "BOUNDS", 24)
+    assert sorted(map(tuple, neighbours.nearest(df, df, 2, others=True, cells=8).collect())) == whole and len(whole) == 600
