@@ -16,12 +16,12 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import unused
+from .store import sliced, unused
 
 #: Fixed pattern of the byte-level pre-tokenizer; white space is Unicode's property.
 PRETOKEN = (
@@ -179,18 +179,19 @@ def _vocabulary(raw: str) -> Vocabulary:
     return _loaded[raw]
 
 
-def _slices(values: pd.Series, most: int = 2_000_000) -> Iterator[list]:
-    """Runs of values of about ``most`` characters, so that memory does not follow the Arrow batch."""
-    part: list = []
-    held = 0
-    for v in values:
-        part.append(v)
-        held += len(v) if v is not None else 0
-        if held >= most:
+def _slices(batches: Iterator[pa.Array], most: int = 500_000) -> Iterator[list]:
+    """Runs of values of about ``most`` characters or bytes, so that memory does not follow the Arrow batch."""
+    for values in sliced(batches):
+        part: list = []
+        held = 0
+        for v in values:
+            part.append(v.as_py())
+            held += len(part[-1] or "")
+            if held >= most:
+                yield part
+                part, held = [], 0
+        if part:
             yield part
-            part, held = [], 0
-    if part:
-        yield part
 
 
 class ByteBPE:
@@ -204,12 +205,11 @@ class ByteBPE:
         """The ids of a text column: packed little-endian uint32, as binary."""
         raw = self._raw
 
-        @F.pandas_udf("binary")
-        def bpe_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("binary")
+        def bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vocab = _vocabulary(raw.value)
-            for batch in batches:
-                for part in _slices(batch):
-                    yield pd.Series(vocab.encode([t or "" for t in part]), dtype=object)
+            for part in _slices(batches):
+                yield pa.array(vocab.encode([t or "" for t in part]), pa.binary())
 
         return bpe_encode(text)
 
@@ -217,11 +217,11 @@ class ByteBPE:
         """The text of a column of packed ids (null: empty)."""
         raw = self._raw
 
-        @F.pandas_udf("string")
-        def bpe_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("string")
+        def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vocab = _vocabulary(raw.value)
-            for batch in batches:
-                yield pd.Series([vocab.decode(x or b"") for x in batch], dtype=object)
+            for part in _slices(batches):
+                yield pa.array([vocab.decode(x or b"") for x in part], pa.string())
 
         return bpe_decode(ids)
 
@@ -229,13 +229,12 @@ class ByteBPE:
         """Struct (ids, decoded): the ids of a text column and the text decoded from them, in one worker."""
         raw = self._raw
 
-        @F.pandas_udf("struct<ids binary, decoded string>")
-        def bpe_round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf("struct<ids binary, decoded string>")
+        def bpe_round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vocab = _vocabulary(raw.value)
-            for batch in batches:
-                for part in _slices(batch):
-                    ids = vocab.encode([t or "" for t in part])
-                    yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([vocab.decode(x) for x in ids], dtype=object)})
+            for part in _slices(batches):
+                ids = vocab.encode([t or "" for t in part])
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([vocab.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
 
         return bpe_round_trip(text)
 

@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved, unused
+from .store import saved, sliced, unused
 
 #: Labelled texts of each class that the models are fitted on; longest letter run; Kneser-Ney discount.
 FIT_ROWS, ORDER, DISCOUNT = 3000, 6, 0.75
@@ -178,13 +179,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 def _class_counts(rows: DataFrame) -> DataFrame:
     """Training texts -> letter runs with their counts in toxic and in ordinary ones."""
 
-    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for toxic, part in batch.groupby("toxic"):
-                found: Counter[str] = Counter()
-                for text in part.text:
-                    found.update(words_of(text))
-                yield pd.DataFrame({"word": pd.Series(list(found), dtype=object), "toxic": int(toxic), "n": list(found.values())})
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, 1024):
+            found: dict[int, Counter[str]] = {}
+            for text, toxic in zip(part.column("text"), part.column("toxic").to_pylist()):
+                found.setdefault(toxic, Counter()).update(words_of(text.as_py()))
+            for toxic, words in found.items():
+                columns = [pa.array(list(words), pa.string()), pa.repeat(pa.scalar(toxic, pa.int32()), len(words)), pa.array(list(words.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "toxic", "n"])
 
     def count_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -193,7 +195,7 @@ def _class_counts(rows: DataFrame) -> DataFrame:
                 rows = rows.assign(toxic=toxic[owner], n=n[owner])
                 yield rows.groupby(["m", "run", "context", "tail", "toxic"], as_index=False).sum()
 
-    words = rows.mapInPandas(count_words, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
+    words = rows.mapInArrow(count_words, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
     runs = words.mapInPandas(count_runs, "m int, run long, context long, tail long, toxic int, n long")
     own = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
     return runs.groupBy("m", "run", "context", "tail").agg(own(1).alias("toxic"), own(0).alias("ordinary"))
@@ -211,20 +213,19 @@ def _run_rows(words: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
 def corpus_runs(texts: DataFrame) -> DataFrame:
     """Texts (one column) -> the distinct letter runs (m, run, context, tail) of all their words."""
 
-    def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                found: set[str] = set()
-                for text in batch.iloc[at : at + 1024, 0]:
-                    found.update(words_of(text))
-                yield pd.DataFrame({"word": pd.Series(list(found), dtype=object)})
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, 1024):
+            found: set[str] = set()
+            for text in part.column(0):
+                found.update(words_of(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
 
     def distinct_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows, _ in _run_rows(batch.word.tolist()):
                 yield rows.drop_duplicates()
 
-    words = texts.mapInPandas(distinct_words, "word string").distinct()
+    words = texts.mapInArrow(distinct_words, "word string").distinct()
     return words.mapInPandas(distinct_runs, "m int, run long, context long, tail long").distinct()
 
 
@@ -281,11 +282,11 @@ def score(
     model = spark.sparkContext.broadcast(Model(table, letters))
     del arrow, table
 
-    @F.pandas_udf("struct<whole double, top double>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                yield pd.DataFrame(model.value.features(batch.iloc[at : at + 256].tolist()), columns=["whole", "top"])
+    @F.arrow_udf("struct<whole double, top double>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in sliced(batches):
+            pairs = np.array(model.value.features(part.to_pylist()), np.float64)
+            yield pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["whole", "top"])
 
     fitted = rows.filter("part = 0").select("toxic", features("text").alias("f")).select("toxic", "f.*").toPandas()
     if fitted.toxic.nunique() < 2:  # too few texts to set any aside

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import unused, written
+from .store import sliced, unused, written
 from .tokens import Fingerprints, mix
 
 #: Lines of fewer characters have an edit bound of zero.  Lines with shared halves up to which their list is broadcast (some 50 bytes each).
@@ -99,7 +99,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     texts = rows.select(*place_of, F.col(text_at).alias("text"))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             found = _distinct(*(batch.column(i).to_pylist() for i in range(3)), exact)
             digest = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
             late, ids, numbers = zip(*[v[0] for v in found.values()]) if found else ((), (), ())
@@ -158,7 +158,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     kept = kept.groupBy("late", "id").agg(F.collect_list(F.struct("number", "h1")).alias("kept"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out, total, gone = [], [], []
             for value, stay in zip(batch.column(text_at).to_pylist(), batch.column("kept")):
                 stay = set(zip(*(c.to_pylist() for c in stay.values.flatten()))) if stay.is_valid else ()

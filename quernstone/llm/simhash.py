@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import saved
+from .store import saved, sliced
 from .tokens import mix
 
 #: Fingerprints of a shard from which on it is dealt out again.
@@ -96,10 +95,10 @@ def fingerprint(text: Column | str, words: int = 3, lower: bool = True) -> Colum
     def of(text: str | None) -> int:
         return _simhash(_hashes(text, words, lower))
 
-    @F.pandas_udf("long")
-    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([of(t) for t in batch], dtype="int64")
+    @F.arrow_udf("long")
+    def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in sliced(batches):
+            yield pa.array([of(t.as_py()) for t in part], pa.int64())
 
     return simhash(text)
 
@@ -226,10 +225,10 @@ def near_duplicates(
 def _shingles(asked: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, lower: bool) -> DataFrame:
     """Text hashes (h) -> (h, s), s the set of the text's shingles."""
 
-    @F.pandas_udf("array<long>")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([np.unique(_hashes(t, words, lower)).view(np.int64) for t in batch], dtype=object)
+    @F.arrow_udf("array<long>")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in sliced(batches):
+            yield pa.array([np.unique(_hashes(t.as_py(), words, lower)).view(np.int64) for t in part], pa.list_(pa.int64()))
 
     asked = saved(asked.join(nodes.select("h", "least"), "h").select(F.col("h").alias("_h"), F.col("least").alias("_of")))
     few = asked.count() <= BROADCAST
@@ -312,12 +311,14 @@ def near_copies(
     Distinct texts are told apart by a 64-bit hash.  ``leaders`` changes the route, not the result.
     """
 
-    @F.pandas_udf("struct<fp long, n int, bands array<long>, parities array<long>>")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes = [_hashes(t, words, lower) for t in batch]
+    @F.arrow_udf("struct<fp long, n int, bands array<long>, parities array<long>>")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in sliced(batches):
+            hashes = [_hashes(t.as_py(), words, lower) for t in part]
             sets = [np.unique(h) for h in hashes]
-            yield pd.DataFrame({"fp": [_simhash(h) for h in hashes], "n": [len(s) for s in sets], "bands": [_bands(h) for h in hashes], "parities": [_parities(s) for s in sets]})
+            lists = [pa.array([f(x) for x in of], pa.list_(pa.int64())) for f, of in ((_bands, hashes), (_parities, sets))]
+            columns = [pa.array([_simhash(h) for h in hashes], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *lists]
+            yield pa.StructArray.from_arrays(columns, ["fp", "n", "bands", "parities"])
 
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = saved(texts.select("id", F.xxhash64("text").alias("h"), prints("text").alias("p")).select("id", "h", "p.*"))

@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch that are Python objects at a time.
+ROWS = 256
+
+Rows = TypeVar("Rows", pa.Array, pa.RecordBatch)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a folder of its own only where none is set and all runs on one machine."""
@@ -42,3 +50,10 @@ def unused(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def sliced(batches: Iterable[Rows], rows: int = ROWS) -> Iterator[Rows]:
+    """The rows of Arrow batches, few at a time: a whole batch as Python objects takes a multiple of its bytes, which a reused worker keeps."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
