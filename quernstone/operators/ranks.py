@@ -20,6 +20,8 @@ from ..session import saved
 
 #: Cells that a range of values is cut into; distinct values of a cell that are ordered without another cut.
 CELLS, FEW = 256, 8192
+#: Distinct values of a range that is ordered in one task.
+RANGE = 1 << 17
 
 # Rational approximation of the inverse normal distribution (relative error 1.15e-9).
 _MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
@@ -123,10 +125,10 @@ def _royston(n: pd.Series, spread: pd.Series, mx: pd.Series, mm: pd.Series, firs
     return pd.DataFrame([one(*row) for row in zip(n, spread, mx, mm, first, last)], columns=["w", "z", "p"], dtype="float64")
 
 
-def shapiro_wilk(df: DataFrame, value: str, by: str | None = None, few: int = FEW) -> DataFrame:
+def shapiro_wilk(df: DataFrame, value: str, by: str | None = None, few: int = RANGE) -> DataFrame:
     """Shapiro and Wilk's W of each group with Royston's approximation: (by, n, w, z, p); small p speaks against a normal distribution.
 
-    Every value takes part, ranked in two levels (about ``few`` rows of a group to a bucket).  Below four values, or if all
+    Every value takes part, ranked in two levels (about ``few`` distinct values to a bucket).  Below four values, or if all
     are equal, w is null.  Published p values reach to 5000 rows; beyond, p extends the same formula.
     """
     v = F.col(value).cast("double")
@@ -134,14 +136,13 @@ def shapiro_wilk(df: DataFrame, value: str, by: str | None = None, few: int = FE
     rows = df.select(F.struct(g.alias("by")).alias("g"), v.alias("v")).filter("v is not null and not isnan(v)")
     counted = saved(rows.groupBy("g", "v").agg(F.count("*").alias("k")))
     whole = counted.groupBy("g").agg(F.sum("k").alias("n"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"), F.count("*").alias("distinct"))
-    cuts = counted.groupBy("g").agg(F.percentile_approx("v", [i / CELLS for i in range(1, CELLS)], 8 * CELLS).alias("cuts"), F.count("*").alias("d"))
-    cuts = cuts.select("g", F.when(F.col("d") > few, F.array_distinct("cuts")).otherwise(F.array().cast("array<double>")).alias("cuts"))
-    placed = counted.join(cuts, "g").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    # ranges of the ordered values are the buckets; a value is in one row, so they are even whatever the values are
+    placed = saved(counted.repartitionByRange(max(1, -(-counted.count() // few)), "g", "v").withColumn("bucket", F.spark_partition_id()))
     held = placed.groupBy("g", "bucket").agg(F.sum("k").alias("held"))
-    held = held.select("g", "bucket", (F.sum("held").over(W.partitionBy("g").orderBy("bucket")) - F.col("held")).alias("below"))
+    held = held.select("g", "bucket", (F.sum("held").over(W.partitionBy("g").orderBy("bucket")) - F.col("held")).alias("below")).join(whole, "g")
     within = F.sum("k").over(W.partitionBy("g", "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) - F.col("k")
     ranked = placed.withColumn("before", within).join(held, ["g", "bucket"]).withColumn("before", F.col("before") + F.col("below"))
-    ranked = ranked.join(whole, "g").withColumn("rank", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("k") - 1)))
+    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("k") - 1)))
     ranked = ranked.withColumn("m", normal_quantile((F.col("rank") + 0.625) / (F.col("n") + 0.25))).withColumn("x", F.col("v") - F.col("mean"))
     at = lambda r: F.max(F.when(F.col("rank") == r, F.col("x")))
     last = F.col("n") - 1
