@@ -20,8 +20,8 @@ from ..session import saved
 
 #: Cells that a range of values is cut into; distinct values of a cell that are ordered without another cut.
 CELLS, FEW = 256, 8192
-#: Distinct values of a range that is ordered in one task.
-RANGE = 1 << 17
+#: Distinct values of a range that is ordered in one task; ranks up to which their ranges are broadcast.
+RANGE, BROADCAST = 1 << 17, 100_000
 
 # Rational approximation of the inverse normal distribution (relative error 1.15e-9).
 _MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
@@ -55,9 +55,11 @@ def _selected(values: DataFrame, wanted: DataFrame, few: int) -> DataFrame:
     todo = wanted.join(here, "g").select("g", "rank", F.lit(0).cast("long").alias("below"), "low", "high", "distinct")
     while True:
         todo = saved(todo)
+        # a join by group alone would sort all values of a group in one task
+        dealt = F.broadcast if todo.count() <= BROADCAST else lambda ranges: ranges
         near = todo.filter(F.col("distinct") <= few)
         ranges = near.select("g", "low", "high", "below").distinct()
-        inside = ranges.join(values, "g").filter("v between low and high")
+        inside = values.join(dealt(ranges), "g").filter("v between low and high")
         upto = F.sum("n").over(W.partitionBy("g", "low").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
         steps = inside.withColumn("upto", F.col("below") + upto).withColumn("before", F.col("upto") - F.col("n"))
         got = near.select("g", "rank", "low").join(steps.select("g", "low", "v", "before", "upto"), ["g", "low"]).filter("rank >= before and rank < upto").select("g", "rank", "v")
@@ -66,7 +68,7 @@ def _selected(values: DataFrame, wanted: DataFrame, few: int) -> DataFrame:
         if far.isEmpty():
             return found
         ranges = far.select("g", "low", "high", "below").distinct()
-        inside = ranges.join(values, "g").filter("v between low and high").select("g", F.col("low").alias("of"), "below", "v", "n")
+        inside = values.join(dealt(ranges), "g").filter("v between low and high").select("g", F.col("low").alias("of"), "below", "v", "n")
         # cuts by the values' order, so that a range of any shape loses all but a few parts in 256 of its values
         cuts = inside.groupBy("g", "of").agg(F.percentile_approx("v", [i / CELLS for i in range(1, CELLS)], 8 * CELLS).alias("cuts"))
         cells = inside.join(cuts, ["g", "of"]).withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("v"))))

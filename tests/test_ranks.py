@@ -101,3 +101,12 @@ def test_ranges_are_not_searched_cut_by_cut(spark, monkeypatch):
     df = spark.range(3000).select((F.col("id") * F.col("id")).cast("double").alias("v"))
     row = ranks.shapiro_wilk(df, "v", few=100).first()
     assert row["n"] == 3000 and 0.8 < row["w"] < 0.95
+
+
+def test_ranges_are_sent_to_the_values(spark, monkeypatch):
+    """Values are not dealt out by their group, of which there may be one."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    df = spark.range(3000).select(F.col("id").cast("double").alias("v"))
+    assert ranks.quantiles(df, "v", [0.25], few=100).first()["quantile"] == 749.75
+    assert sent
