@@ -208,8 +208,9 @@ def living_review_stream(spark: SparkSession, sf: str) -> DataFrame:
     last = rows.agg(F.max("entered").cast("string")).first()[0]
     now = F.to_date(F.lit(last))
     landing, target, state = (unused_path(spark, n) for n in ("landing", "reviewed", "state"))
-    rows.repartitionByRange(3, "entered").write.parquet(landing)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)  # of a batch
+    rows.repartitionByRange(3 * files, "entered", "external_id").write.parquet(landing)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(landing)
     known = rows.filter(F.col("entered") < F.date_sub(now, 20))
     review_stream.review(stream, target, state, 20, known=known, now=now).awaitTermination()
     return review_stream.reviewed(target, rows).select("external_id", "source")

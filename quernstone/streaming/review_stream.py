@@ -19,34 +19,43 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 KEYS = ["external_id", "source"]
 
+#: Buckets of keys, for the life of a checkpoint: what a task holds at a time is the first records of one bucket's keys in one batch.
+BUCKETS = 4096
+_KEY, _BUCKET = "review_key", "review_bucket"  # Spark renames columns that begin with an underscore on their way to pandas
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class FirstSeen(StatefulProcessor):
-    """Lets the first record of a key through: the one entered first of those that come together."""
+    """Lets the first record of each key of a bucket through: the one entered first of those that come together."""
 
     def __init__(self, columns: list[str], entered: str):
-        self.columns, self.entered = columns, entered
+        self.columns, self.order = columns, [entered, *[c for c in columns if c != entered]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "known boolean")
+        self.seen = handle.getMapState("seen", "key string", "known boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            for _ in rows:  # all rows of a key are to be read
-                pass
-            return
-        self.seen.update((True,))
         first = None
         for part in rows:
-            part = part[self.columns]
-            both = part if first is None else pd.concat([first, part])
-            first = both.sort_values([self.entered, *[c for c in self.columns if c != self.entered]], kind="stable", na_position="last").iloc[:1]
-        yield first
+            if part.empty:  # a bucket of known keys only
+                continue
+            part = part[[_KEY, *self.columns]]
+            first = part if first is None else pd.concat([first, part])
+            if first[_KEY].duplicated().any():
+                first = first.sort_values(self.order, kind="stable", na_position="last").drop_duplicates(_KEY)
+        if first is None:
+            return
+        new = first[[not self.seen.containsKey((k,)) for k in first[_KEY]]]
+        for k in new[_KEY]:
+            self.seen.updateValue((k,), (True,))
+        if len(new):
+            yield new[self.columns]
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update((True,))
+        for k in initialState[_KEY] if not initialState.empty else ():
+            self.seen.updateValue((k,), (True,))
 
     def close(self) -> None:
         pass
@@ -56,12 +65,18 @@ def first_seen(stream: DataFrame, lookback_days: int, entered: str = "entered",
     """The records of a stream that are new; ``known`` (external_id, source) is what was there before the stream began."""
     since = F.date_sub(now if now is not None else F.current_date(), lookback_days)
     fresh = stream.filter((F.col(entered) >= since) & F.col("external_id").isNotNull())
-    start = known.select(*KEYS).distinct().groupBy(*KEYS) if known is not None else None
-    return fresh.groupBy(*KEYS).transformWithStateInPandas(
+    types = [(c, fresh.schema[c].dataType) for c in KEYS]
+    start = _dealt(known.select(*[F.col(c).cast(t) for c, t in types]).distinct()).select(_BUCKET, _KEY).groupBy(_BUCKET) if known is not None else None
+    return _dealt(fresh).groupBy(_BUCKET).transformWithStateInPandas(
         statefulProcessor=FirstSeen(stream.columns, entered), outputStructType=stream.schema, outputMode="Append", timeMode="None", initialState=start
     )
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with their key as one text, in which null differs from any value, and its bucket."""
+    return rows.withColumn(_KEY, F.to_json(F.struct(*KEYS))).withColumn(_BUCKET, F.pmod(F.xxhash64(_KEY), F.lit(BUCKETS)).cast("int"))
+
+
 def review(
     stream: DataFrame, target: str, checkpoint: str, lookback_days: int = 30, entered: str = "entered", known: DataFrame | None = None, now: Column | None = None,
     once: bool = True, interval: str = "1 day", then: Callable[[DataFrame, int], None] | None = None,

@@ -68,3 +68,41 @@ def test_no_batch_reads_the_target(spark, landing, tmp_path):
     shutil.rmtree(tmp_path / "target" / "epoch=0")
     landing.add(("1", "a", 0), ("2", "a", 0))
     assert run(spark, landing, tmp_path)[0] == [("2", "a")]
+
+
+def test_python_gets_buckets_of_keys(spark, landing, tmp_path, monkeypatch):
+    """Python was called for each key, known ones too."""
+    monkeypatch.setattr(review_stream, "BUCKETS", 3)
+    known = spark.range(1000).selectExpr("string(id % 500) AS external_id", "'a' AS source")
+    landing.add(*[(str(i), "a", d) for i in range(490, 520) for d in (2, 5, 3)], ("x", None, 1), ("x", "", 1))
+    q = review_stream.review(living_review.read_stream(spark, landing.path, SCHEMA), str(tmp_path / "target"), str(tmp_path / "ck"), known=known)
+    q.awaitTermination(300)
+    (state,) = q.lastProgress["stateOperators"]
+    assert state["customMetrics"]["numMapStateVars"] > 0 and state["numRowsTotal"] == 522
+    rows = review_stream.reviewed(str(tmp_path / "target"), spark.createDataFrame([], SCHEMA)).withColumn("days", F.date_diff(F.current_date(), "entered")).collect()
+    want = [(str(i), "a", 5) for i in range(500, 520)] + [("x", "", 1), ("x", None, 1)]
+    assert sorted(((r["external_id"], r["source"], r["days"]) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_query_lands_in_three_batches_of_many_files(spark, monkeypatch):
+    """A batch was one file, written by one task."""
+    from pathlib import Path
+
+    from quernstone.plans import registry
+
+    checks, queries, review = Path(spark.conf.get("spark.checkpoint.dir")), [], review_stream.review
+
+    def kept(*args, **options):
+        queries.append(review(*args, **options))
+        return queries[-1]
+
+    monkeypatch.setattr(review_stream, "review", kept)
+    before = set(checks.glob("landing-*"))
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        registry.QUERIES["living_review_stream"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    (new,) = set(checks.glob("landing-*")) - before
+    assert len(list(new.glob("*.parquet"))) == 12 and [p["batchId"] for p in queries[0].recentProgress] == [0, 1, 2]
