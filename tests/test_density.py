@@ -120,3 +120,38 @@ def test_wide_blocks_meet_in_parts(spark):
     assert sorted(map(tuple, density.clusters(df, block=7).collect()), key=str) == want and {r[1] for r in want} - {None}
     rows = df.select(F.col("vec_id").alias("row"), F.col("embedding").alias("v"))
     assert len({r["i"] for r in density._meetings(rows, density.BLOCKS).select("i").collect()}) < density.BLOCKS == 48
+
+
+def test_tree_from_few_nearest(spark):
+    """What is among no row's two nearest is looked for where it may be shorter; the tree is as short as that of all pairs, and plans don't grow."""
+    x = blobs(seed=3)
+    w = reachability(x, 2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, v array<double>").repartition(3)
+    near = density.nearest(rows.filter("row not between 4 and 8"), 2, 7, 10)  # 3 to 8 are copies
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    d = np.round(np.sqrt(np.maximum(0, 2 - 2 * u @ u.T)), 7)
+    for r in near.select("row", "near").collect():
+        others = np.sort(np.delete(d[r["row"]], [r["row"], *range(4, 9)]))
+        assert [e["d"] for e in r["near"]] == others[:2].tolist() and all(d[r["row"], e["other"]] == e["d"] for e in r["near"])
+    cored = density.core_distances(near.withColumn("times", F.when(F.col("row") == 3, 6).otherwise(1)), 2, 2)
+    tree = density.shortest_edges(cored, block=20)
+    kept = [i for i in range(len(x)) if not 4 <= i <= 8]
+    got, want = [r["w"] for r in tree.collect()], [e for _, _, e in kruskal(w[np.ix_(kept, kept)])]
+    assert sorted(got) == pytest.approx(sorted(want), abs=1e-12)
+    assert len(tree._jdf.queryExecution().analyzed().constraints().mkString()) < 200
+
+
+def test_two_blocks_meet_once(spark):
+    rows = spark.range(200).select(F.col("id").alias("row"), F.array(F.lit(1.0)).alias("v"))
+    far = f"least(j - i, 9 - j + i) > {density.BESIDE}"
+    met = [(r["i"], r["j"]) for pairs in ("i = j", f"i < j and not {far}", f"i < j and {far}") for r in density._meetings(rows, 9, pairs=pairs).select("i", "j").collect()]
+    assert sorted(met) == [(i, j) for i in range(9) for j in range(i, 9)]
+
+
+def test_rows_that_wait_for_a_shorter_edge():
+    """Row 2 may have an edge of 1 not seen yet, so its edge of 3 is not taken; the others take theirs."""
+    rows, seen = np.array([5, 6, 7, 8]), (np.array([5, 7, 6]), np.array([6, 8, 7]), np.array([1.0, 1.0, 3.0]))
+    of, need = density.settled(rows, np.array([9.0, 9.0, 1.0, 9.0]), *seen)
+    assert len(set(of)) == 1 and (need == -np.inf).all()  # 5 and 6 may take it
+    of, need = density.settled(rows, np.array([9.0, 2.0, 1.0, 9.0]), *seen)
+    assert of.tolist() == [0, 0, 2, 2] and sorted(need) == [-np.inf, -np.inf, 3.0, 3.0]
