@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import saved
+from ..session import written
 
 
 def canonical_by(df: DataFrame, key: Column, id_: str = "doc_id") -> DataFrame:
@@ -39,36 +43,125 @@ def exact_groups(df: DataFrame, doi: str = "doi", pmid: str = "pmid", title: str
     return found
 
 
-#: Length of the pieces that title candidates are found by.
-GRAM = 3
+#: Characters that meet in a task from one side, and what a title counts besides its own; pairs looked at, and characters passed on, at a time.
+STRETCH, EACH, STEP, PASSED = 1 << 22, 100, 1 << 14, 1 << 22
+#: Counters of a title's pieces of two characters; length of the pieces that long titles are held against each other by.
+COUNTERS, LONG = 256, 8
+
+
+def _pieces(chars: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all pieces of so many characters."""
+    out = np.zeros(max(0, len(chars) - length + 1), np.uint64)
+    for k in range(length):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + chars[k : k + len(out)]
+    return out ^ (out >> np.uint64(29))
+
+
+class _Titles:
+    """Titles by first word, length and id, with counts of their pieces."""
 
+    def __init__(self, ids: np.ndarray, texts: pa.Array, codes: dict[str, int]):
+        plain = texts.to_pylist()
+        n = np.array([len(t) for t in plain], np.int64)
+        word = np.array([codes.setdefault(t.partition(" ")[0], len(codes)) for t in plain], np.int64)
+        order = np.lexsort((ids, n, word))
+        self.ids, self.n, self.texts, self.plain = ids[order], n[order], texts.take(pa.array(order)), [plain[i] for i in order]
+        self.place = (word[order] << 40) + self.n
+        self.counts = np.zeros((len(plain), COUNTERS), np.int16)
+        for i, t in enumerate(self.plain):
+            pieces = np.bincount((_pieces(self.chars(i), 2) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            self.counts[i] = np.minimum(pieces, np.iinfo(np.int16).max)
 
-def similar_titles(titles: DataFrame, ratio: float = 0.92, gap: float = 0.15) -> DataFrame:
+    def chars(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.plain[i].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    def long(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(_pieces(self.chars(i), LONG), return_counts=True)
+
+
+def _likely(x: _Titles, y: _Titles, ratio: float, apart: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in x and y, few at a time, of titles with the same first word, like lengths and as many common pieces as so few edits leave.
+
+    An edit changes at most two pieces of two characters into two others, and touches at most ``LONG`` longer ones.
+    """
+    same = x is y
+    reach = x.place - x.n + np.floor((x.n + 1e-6) / (1 - apart)).astype(np.int64) + 1
+    first = np.arange(1, len(x.n) + 1) if same else np.searchsorted(y.place, x.place - x.n + np.floor(x.n * (1 - apart)).astype(np.int64) - 1)
+    many = np.maximum(0, np.searchsorted(y.place, reach, side="right") - first)
+    upto = np.cumsum(many)
+    last, pieces = -1, None
+    for at in range(0, int(upto[-1]) if len(upto) else 0, STEP):
+        f = np.arange(at, min(at + STEP, int(upto[-1])))
+        i = np.searchsorted(upto, f, side="right")
+        j = first[i] + f - (upto[i] - many[i])
+        longer = np.maximum(x.n[i], y.n[j])
+        most = np.floor((1 - ratio) * longer + 1e-9).astype(np.int64)
+        near = np.flatnonzero((np.abs(x.n[i] - y.n[j]) <= apart * longer + 1e-9) & (np.abs(x.n[i] - y.n[j]) <= most))
+        i, j, longer, most = i[near], j[near], longer[near], most[near]
+        left = np.flatnonzero(np.abs(x.counts[i] - y.counts[j]).sum(axis=1, dtype=np.int64) <= 4 * most)
+        kept = []
+        for k in left:
+            least = longer[k] - LONG + 1 - LONG * most[k]
+            if least > 0:
+                if i[k] != last:
+                    last, pieces = i[k], x.long(i[k])
+                other = y.long(j[k])
+                _, p, q = np.intersect1d(pieces[0], other[0], assume_unique=True, return_indices=True)
+                if np.minimum(pieces[1][p], other[1][q]).sum() < least:
+                    continue
+            kept.append(k)
+        yield i[kept], j[kept]
+
+
+def similar_titles(titles: DataFrame, ratio: float = 0.92, gap: float = 0.15, stretch: int = STRETCH) -> DataFrame:
     """Distinct titles (id, t) -> pairs (a < b) with the same first word, like lengths and a distance of at most (1 - ratio) of the longer.
 
-    With k edits at most k * GRAM pieces of a title can be lost, so two such titles share
-    one of their k * GRAM + 1 rarest pieces: those alone are joined, no block is compared
-    pair by pair, and a first word that very many titles have makes no large group.
+    Titles are dealt out by their first word.  A word of many titles is cut into stretches of like length, and into parts of
+    those, and only stretches with like lengths meet, two in a task: so no task grows, and a title is shuffled once for each
+    stretch that it meets, its pieces never.  In a task counts of pieces rule out nearly all pairs that are not alike, and none that are.
     """
+    apart = min(gap, 1 - ratio)
     parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = titles.select("id", "t", F.split("t", " ")[0].alias("word"), F.length("t").alias("n")).repartition(parts, "id")  # titles are few bytes, their pieces many
-    piece = lambda c, i: F.concat(*[F.coalesce(F.get(c, i + k), F.lit("")) for k in range(GRAM)])
-    # the characters get a name, so that a title is cut once and not anew for each piece
-    pieces = lambda c: F.transform(F.slice(c, 1, F.greatest(F.lit(1), F.size(c) - (GRAM - 1))), lambda x, i: piece(c, i))
-    pieces = F.element_at(F.transform(F.array(F.split("t", "")), pieces), 1)
-    grams = saved(rows.select("id", "word", "n", F.explode(pieces).alias("gram")).groupBy("id", "word", "n", "gram").agg(F.count("*").cast("int").alias("times")))
-    grams = grams.select("id", "word", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
-    common = grams.groupBy("gram", "nth").agg(F.count("*").alias("held"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("held", "gram", "nth"))
-    lost = F.floor(F.col("n") * ((1 - ratio) / ratio) + 1e-9) * GRAM  # by the most edits that any partner allows
-    keys = grams.join(common, ["gram", "nth"]).withColumn("rank", rank).filter(F.col("rank") <= lost + 1).select("word", "gram", "nth", "id", "n")
-    left, right = (keys.select("word", "gram", "nth", F.col("id").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    near = F.abs(F.col("n_a") - F.col("n_b")) <= F.least(F.lit(gap), F.lit(1 - ratio)) * F.greatest("n_a", "n_b") + 1e-9
-    pairs = left.join(right, ["word", "gram", "nth"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    text = lambda k: titles.select(F.col("id").alias(k), F.col("t").alias(f"t_{k}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b")
+    rows = titles.select("id", "t", F.split("t", " ")[0].alias("word"), F.length("t").cast("long").alias("n"))
+    sized = written(rows.groupBy("word", "n").agg(F.sum(F.col("n") + EACH).alias("chars")))
+    before = F.coalesce(F.sum("chars").over(W.partitionBy("word").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    large = sized.groupBy("word").agg(F.sum("chars").alias("all")).filter(F.col("all") > stretch).select("word")
+    cut = sized.join(large, "word").withColumn("s", F.floor(before / stretch)).groupBy("word", "s")
+    cut = written(cut.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.ceil(F.sum("chars") / (2 * stretch)).alias("parts")))  # one for so many characters
+    each = cut.select("word", "s", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    one, two = (each.select("word", *[F.col(c).alias(f"{c}{k}") for c in ("s", "lo", "hi", "p")]) for k in (1, 2))
+    meet = one.join(two, "word").filter("(s1 < s2 or s1 = s2 and p1 <= p2)").filter(F.col("lo2") * (1 - apart) <= F.col("hi1") + 1)
+    meet = written(meet.select("word", "s1", "p1", "s2", "p2", F.concat_ws(" ", "word", "s1", "p1", "s2", "p2").alias("key")))
+    sides = meet.select("word", F.col("s1").alias("s"), F.col("p1").alias("p"), "key", F.lit(0).alias("side"))
+    sides = sides.unionByName(meet.filter("s1 <> s2 or p1 <> p2").select("word", F.col("s2").alias("s"), F.col("p2").alias("p"), "key", F.lit(1).alias("side")))
+    few = max(parts, -(-(sized.agg(F.sum("chars")).first()[0] or 0) // stretch))
+    within = F.broadcast(cut.select(F.col("word").alias("word_"), "s", "lo", "hi", "parts"))
+    placed = rows.join(within, (F.col("word") == F.col("word_")) & F.col("n").between(F.col("lo"), F.col("hi")), "left").withColumn("p", F.pmod(F.xxhash64("id"), "parts"))
+    dealt = placed.join(F.broadcast(sides), ["word", "s", "p"], "left")
+    alone = F.concat(F.lit(" "), F.pmod(F.xxhash64("word"), F.lit(few)).cast("string"))  # words of few titles, several in a task
+    dealt = dealt.select(F.coalesce("key", alone).alias("key"), F.coalesce("side", F.lit(0)).alias("side"), F.struct("id", "t").alias("title"))
+    of = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("title")))
+    packed = dealt.repartition(few + meet.count(), "key").groupBy("key").agg(of(0).alias("x"), of(1).alias("y")).select("x", "y")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                codes: dict[str, int] = {}
+                x, y = (_Titles(v.field("id").to_numpy(zero_copy_only=False), v.field("t"), codes) if len(v) else None for v in (batch.column(k)[at].values for k in "xy"))
+                if x is None:
+                    continue
+                y = x if y is None else y
+                for i, j in _likely(x, y, ratio, apart):
+                    size = np.cumsum(x.n[i] + y.n[j]) // PASSED
+                    for s in np.unique(size):
+                        p, q = i[size == s], j[size == s]
+                        a = [pa.array(x.ids[p]), x.texts.take(pa.array(p))]
+                        yield pa.RecordBatch.from_arrays([*a, pa.array(y.ids[q]), y.texts.take(pa.array(q))], ["i", "t_a", "j", "t_b"])
+
+    both = packed.mapInArrow(compared, "i long, t_a string, j long, t_b string").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "t_a", "t_b")
     most = F.floor((1 - ratio) * F.greatest(F.length("t_a"), F.length("t_b")) + 1e-9).cast("int")
-    return both.withColumn("most", most).filter("levenshtein(t_a, t_b, most) >= 0").select("a", "b")  # only as far from the diagonal as that many edits go
+    within = " or ".join(f"levenshtein(t_a, t_b, {m}) >= 0" for m in ("least(most, 32)", "least(most, 512)", "most"))  # few edits are found soon
+    return both.withColumn("most", most).filter(within).select("a", "b")  # only as far from the diagonal as that many edits go
 
 
 def fuzzy_groups(df: DataFrame, title: str = "title", id_: str = "id", ratio: float = 0.92, gap: float = 0.15) -> DataFrame:
@@ -79,15 +172,15 @@ def fuzzy_groups(df: DataFrame, title: str = "title", id_: str = "id", ratio: fl
     it are taken, and is taken by the smallest anchor like it: rounds of joins over the
     pairs decide that for all documents side by side.  Equal titles go as one.
     """
-    rows = saved(df.select(F.col(id_).cast("long").alias("id"), T.normalize_title(F.col(title)).alias("t")).filter("t is not null"))
-    same = saved(rows.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    pairs = saved(similar_titles(same.select("id", "t"), ratio, gap))
+    rows = written(df.select(F.col(id_).cast("long").alias("id"), T.normalize_title(F.col(title)).alias("t")).filter("t is not null"))
+    same = written(rows.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    pairs = written(similar_titles(same.select("id", "t"), ratio, gap))
     state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("is", F.lit("open"))
     while True:
         seen = pairs.join(state.select(F.col("id").alias("a"), F.col("is").alias("of")), "a").groupBy("b")
         seen = seen.agg(F.bool_or(F.col("of") == "anchor").alias("near"), F.bool_and(F.col("of") == "taken").alias("free"))
         now = F.when(F.col("is") != "open", F.col("is")).when(F.col("near"), "taken").when(F.coalesce("free", F.lit(True)), "anchor").otherwise("open")
-        state = saved(state.join(seen, F.col("id") == F.col("b"), "left").select("id", now.alias("is")))
+        state = written(state.join(seen, F.col("id") == F.col("b"), "left").select("id", now.alias("is")))
         if not state.filter("is = 'open'").limit(1).count():
             break
     anchors = state.filter("is = 'anchor'").select(F.col("id").alias("a"))

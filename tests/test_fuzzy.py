@@ -115,3 +115,31 @@ def test_distances_stop_at_the_most_edits(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert ", most" in plan[plan.index("levenshtein") :].split("\n")[0] or "cast(FLOOR" in plan[plan.index("levenshtein") :].split("\n")[0]
     assert sorted((r["a"], r["b"]) for r in out.collect()) == [(1, 2), (5, 6)]
+
+
+def test_stretches_of_a_word_meet_as_all_pairs(spark):
+    """A word of many titles in few or many stretches, some of one length in parts: the same pairs."""
+    rng = random.Random(9)
+    titles = []
+    for n in range(120):
+        t = list("the " + "".join(rng.choice("abcd ") for _ in range(rng.choice([12, 30, 30, 30, 90]))) + "x")
+        for _ in range(3):
+            titles.append(" ".join("".join(t).split()))
+            t[rng.randrange(4, len(t))] = rng.choice("abcd")
+    titles = sorted(set(titles))
+    want = {(a, b) for a, s in enumerate(titles) for b, t in enumerate(titles[:]) if a < b and distance(s, t) <= int(0.08 * max(len(s), len(t)) + 1e-9)}
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, t string")
+    for stretch in (400, 5000, dedup.STRETCH):
+        assert sorted((r["a"], r["b"]) for r in dedup.similar_titles(df, stretch=stretch).collect()) == sorted(want)
+    assert len(want) > 50
+
+
+def test_pieces_of_titles_are_not_shuffled(spark):
+    """Titles go to disk a few times, not once for each of their pieces."""
+    rng = random.Random(3)
+    titles = ["the " + "".join(rng.choice("abcdefghijklmnop ") for _ in range(600)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, t string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert dedup.similar_titles(df).count() == 0
+    assert written() - before < 2 * sum(map(len, titles))
