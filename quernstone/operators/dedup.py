@@ -45,8 +45,8 @@ def exact_groups(df: DataFrame, doi: str = "doi", pmid: str = "pmid", title: str
 
 #: Characters that meet in a task from one side, and what a title counts besides its own; pairs looked at, and characters passed on, at a time.
 STRETCH, EACH, STEP, PASSED = 1 << 22, 100, 1 << 14, 1 << 22
-#: Counters of a title's pieces of two characters; length of the pieces that long titles are held against each other by.
-COUNTERS, LONG = 256, 8
+#: Counters of a title's pieces of two characters; length of the pieces that longer titles than so many characters are held against each other by.
+COUNTERS, LONG, LONGER = 256, 8, 1000
 
 
 def _pieces(chars: np.ndarray, length: int) -> np.ndarray:
@@ -98,23 +98,30 @@ def _likely(x: _Titles, y: _Titles, ratio: float, apart: float) -> Iterator[tupl
         most = np.floor((1 - ratio) * longer + 1e-9).astype(np.int64)
         near = np.flatnonzero((np.abs(x.n[i] - y.n[j]) <= apart * longer + 1e-9) & (np.abs(x.n[i] - y.n[j]) <= most))
         i, j, longer, most = i[near], j[near], longer[near], most[near]
-        left = np.flatnonzero(np.abs(x.counts[i] - y.counts[j]).sum(axis=1, dtype=np.int64) <= 4 * most)
-        kept = []
-        for k in left:
-            least = longer[k] - LONG + 1 - LONG * most[k]
-            if least > 0:
-                if i[k] != last:
-                    last, pieces = i[k], x.long(i[k])
-                other = y.long(j[k])
-                _, p, q = np.intersect1d(pieces[0], other[0], assume_unique=True, return_indices=True)
-                if np.minimum(pieces[1][p], other[1][q]).sum() < least:
-                    continue
-            kept.append(k)
-        yield i[kept], j[kept]
+        alike = np.abs(x.counts[i] - y.counts[j]).sum(axis=1, dtype=np.int64) <= 4 * most
+        for k in np.flatnonzero(alike & (longer > LONGER)):  # the counts of long titles are much the same
+            if i[k] != last:
+                last, pieces = i[k], x.long(i[k])
+            other = y.long(j[k])
+            _, p, q = np.intersect1d(pieces[0], other[0], assume_unique=True, return_indices=True)
+            alike[k] = np.minimum(pieces[1][p], other[1][q]).sum() >= longer[k] - LONG + 1 - LONG * most[k]
+        yield i[alike], j[alike]
+
+
+def _alike(pairs: DataFrame, ratio: float) -> DataFrame:
+    """Those of (t_a, t_b, ...) whose distance is at most (1 - ratio) of the longer."""
+    most = F.floor((1 - ratio) * F.greatest(F.length("t_a"), F.length("t_b")) + 1e-9).cast("int")
+    within = " or ".join(f"levenshtein(t_a, t_b, {m}) >= 0" for m in ("least(most, 32)", "least(most, 512)", "most"))  # few edits are found soon
+    return pairs.withColumn("most", most).filter(within)  # only as far from the diagonal as that many edits go
 
 
 def similar_titles(titles: DataFrame, ratio: float = 0.92, gap: float = 0.15, stretch: int = STRETCH) -> DataFrame:
-    """Distinct titles (id, t) -> pairs (a < b) with the same first word, like lengths and a distance of at most (1 - ratio) of the longer.
+    """Distinct titles (id, t) -> pairs (a < b) with the same first word, like lengths and a distance of at most (1 - ratio) of the longer."""
+    return _alike(likely_titles(titles, ratio, gap, stretch, texts=True), ratio).select("a", "b")
+
+
+def likely_titles(titles: DataFrame, ratio: float = 0.92, gap: float = 0.15, stretch: int = STRETCH, texts: bool = False) -> DataFrame:
+    """Pairs (a < b) that hold all ``similar_titles`` and few others; on demand with their texts, t_a and t_b (in any order).
 
     Titles are dealt out by their first word.  A word of many titles is cut into stretches of like length, and into parts of
     those, and only stretches with like lengths meet, two in a task: so no task grows, and a title is shuffled once for each
@@ -152,41 +159,47 @@ def similar_titles(titles: DataFrame, ratio: float = 0.92, gap: float = 0.15, st
                     continue
                 y = x if y is None else y
                 for i, j in _likely(x, y, ratio, apart):
-                    size = np.cumsum(x.n[i] + y.n[j]) // PASSED
+                    size = np.cumsum(x.n[i] + y.n[j]) // PASSED if texts else np.zeros(len(i))
                     for s in np.unique(size):
                         p, q = i[size == s], j[size == s]
-                        a = [pa.array(x.ids[p]), x.texts.take(pa.array(p))]
-                        yield pa.RecordBatch.from_arrays([*a, pa.array(y.ids[q]), y.texts.take(pa.array(q))], ["i", "t_a", "j", "t_b"])
+                        pair = [pa.array(x.ids[p]), pa.array(y.ids[q])]
+                        yield pa.RecordBatch.from_arrays([*pair, x.texts.take(pa.array(p)), y.texts.take(pa.array(q))] if texts else pair, names)
 
-    both = packed.mapInArrow(compared, "i long, t_a string, j long, t_b string").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "t_a", "t_b")
-    most = F.floor((1 - ratio) * F.greatest(F.length("t_a"), F.length("t_b")) + 1e-9).cast("int")
-    within = " or ".join(f"levenshtein(t_a, t_b, {m}) >= 0" for m in ("least(most, 32)", "least(most, 512)", "most"))  # few edits are found soon
-    return both.withColumn("most", most).filter(within).select("a", "b")  # only as far from the diagonal as that many edits go
+    names = ["i", "j", "t_a", "t_b"] if texts else ["i", "j"]
+    both = packed.mapInArrow(compared, "i long, j long" + ", t_a string, t_b string" * texts)
+    return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), *names[2:])
 
 
 def fuzzy_groups(df: DataFrame, title: str = "title", id_: str = "id", ratio: float = 0.92, gap: float = 0.15) -> DataFrame:
     """Rows (id, group_id): groups of titles alike, each anchored at its first free document.
 
     In order of id, a document that no anchor has taken yet becomes an anchor and takes
-    all free ones that are like it.  So a document is an anchor once all smaller ones like
-    it are taken, and is taken by the smallest anchor like it: rounds of joins over the
-    pairs decide that for all documents side by side.  Equal titles go as one.
+    all free ones that are like it.  So a document is an anchor once all smaller ones that may be like it
+    are taken or found unlike, and is taken by the smallest anchor like it: rounds of joins over the
+    pairs decide that for all documents side by side.  What is taken takes none, so its pairs go before their distance is
+    known: each round compares documents with the smallest ones left for them, four times as many as in the last.  Equal titles go as one.
     """
     rows = written(df.select(F.col(id_).cast("long").alias("id"), T.normalize_title(F.col(title)).alias("t")).filter("t is not null"))
     same = written(rows.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    pairs = written(similar_titles(same.select("id", "t"), ratio, gap))
-    state = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("is", F.lit("open"))
-    while True:
-        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("is").alias("of")), "a").groupBy("b")
-        seen = seen.agg(F.bool_or(F.col("of") == "anchor").alias("near"), F.bool_and(F.col("of") == "taken").alias("free"))
-        now = F.when(F.col("is") != "open", F.col("is")).when(F.col("near"), "taken").when(F.coalesce("free", F.lit(True)), "anchor").otherwise("open")
-        state = written(state.join(seen, F.col("id") == F.col("b"), "left").select("id", now.alias("is")))
-        if not state.filter("is = 'open'").limit(1).count():
-            break
-    anchors = state.filter("is = 'anchor'").select(F.col("id").alias("a"))
-    members = pairs.join(anchors, "a").groupBy("b").agg(F.min("a").alias("group_id"))
-    members = members.join(state.filter("is = 'taken'").select(F.col("id").alias("b")), "b").select(F.col("b").alias("id"), "group_id")
-    placed = members.unionByName(members.select("group_id").distinct().select(F.col("group_id").alias("id"), "group_id"))
+    left = written(likely_titles(same.select("id", "t"), ratio, gap).withColumn("alike", F.lit(False)))  # not compared yet, or alike
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken, many = left.select(F.col("b").alias("id"), F.col("a").alias("group_id")).limit(0), 1
+    texts = written(same.select("id", "t").join(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))  # few: rounds don't shuffle the others
+    text = lambda k: texts.select(F.col("id").alias(k), F.col("t").alias(f"t_{k}"))
+    while not left.isEmpty():
+        ranked = left.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy("alike", "a")))
+        asked = ranked.filter((F.col("rank") <= many) & ~F.col("alike")).select("a", "b").repartition(parts, "a", "b")
+        found = _alike(asked.join(text("a"), "a").join(text("b"), "b"), ratio).select("a", "b")
+        known = ranked.filter((F.col("rank") > many) | F.col("alike")).select("a", "b", "alike").unionByName(found.withColumn("alike", F.lit(True)))
+        known = written(known)
+        anchors = written(known.select("a").distinct().join(known.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))  # none smaller is left for them
+        hit = known.filter("alike").join(anchors, "a").groupBy("b").agg(F.min("a").alias("group_id")).select(F.col("b").alias("id"), "group_id")
+        taken = written(taken.unionByName(hit).groupBy("id").agg(F.min("group_id").alias("group_id")))
+        gone, first = taken.select(F.col("id").alias("a")), taken.select(F.col("id").alias("b"), F.col("group_id").alias("first"))
+        rest = known.join(gone, "a", "left_anti").join(anchors.withColumn("anchor", F.lit(True)), "a", "left").filter("anchor is null or not alike")
+        left = written(rest.join(first, "b", "left").filter("first is null or a < first").select("a", "b", "alike"))
+        many *= 4
+    placed = taken.unionByName(taken.select("group_id").distinct().select(F.col("group_id").alias("id"), "group_id"))
     kept = same.join(placed, "id", "left").filter((F.col("n") > 1) | F.col("group_id").isNotNull())
     return rows.join(kept.select("t", F.coalesce("group_id", "id").alias("group_id")), "t").select("id", "group_id")
 

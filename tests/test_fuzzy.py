@@ -143,3 +143,19 @@ def test_pieces_of_titles_are_not_shuffled(spark):
     before = written()
     assert dedup.similar_titles(df).count() == 0
     assert written() - before < 2 * sum(map(len, titles))
+
+
+def test_near_copies_are_compared_with_their_anchor(spark, monkeypatch):
+    """A group of near copies costs a distance or few for each, not one for each two."""
+    rng, asked, alike = random.Random(1), [], dedup._alike
+    base = "the " + "".join(rng.choice("abcdefgh ") for _ in range(100)) + "x"
+    titles = [base[: 4 + n] + "é" + base[5 + n :] for n in range(90)]
+
+    def counted(pairs, ratio):
+        asked.append(pairs.count())
+        return alike(pairs, ratio)
+
+    monkeypatch.setattr(dedup, "_alike", counted)
+    got = dedup.fuzzy_groups(spark.createDataFrame(list(enumerate(titles)), "id long, title string")).collect()
+    assert len(got) == 90 and {r["group_id"] for r in got} == {0}
+    assert sum(asked) < 4 * 90
